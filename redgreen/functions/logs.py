@@ -1,7 +1,7 @@
 """Column expressions over one log body (whole text in, text or number out).
 
-All of them stay inside generated code: no higher-order functions over line
-arrays, only byte-level string built-ins and linear-time regular expressions.
+Text is never split into line arrays: byte-level string built-ins and
+linear-time regular expressions pass over it a fixed number of times.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from redgreen.functions.text import (
     col,
     drop_lines,
     first_lines,
+    let,
     newlines,
     simple_lower,
     text_or_empty,
@@ -51,7 +52,7 @@ ELISION = "\n\n... [log truncated] ...\n\n"
 DROPPED_HEAD = "... [head of excerpt dropped to fit budget] ...\n"
 
 _INLINE_SPACE = "[" + SPACE.replace("\n", "") + "]"
-_BLANK_RUN = rf"(?<![^\n])({_INLINE_SPACE}*+)(?:\n{_INLINE_SPACE}*+(?![^\n]))++"
+_BLANK_RUN = rf"\n({_INLINE_SPACE}*+)(?:\n{_INLINE_SPACE}*+(?![^\n]))++"
 _STAMP = r"(?md)^(?=[^\n]{29})(?=[^\n]{4}-[^\n]{2}-[^\n]{2}T)[^ \n]{1,33} "
 
 
@@ -83,48 +84,70 @@ def step_file(base: Column | str) -> Column:
 
 
 def collapse_blank_lines(body: Column | str) -> Column:
-    """Keep only the first line of every run of blank lines."""
-    return F.regexp_replace(col(body), _BLANK_RUN, "$1")
+    """Keep only the first line of every run of blank lines.
+
+    A run is searched from the line feed before it, which the text's first
+    line borrows; possessive loops neither backtrack nor recurse.
+    """
+    led = F.regexp_replace(F.concat(F.lit("\n"), col(body)), _BLANK_RUN, "\n$1")
+    return let(led, lambda t: F.substring(t, F.lit(2), F.length(t)))
 
 
 def failure_score(step_name: Column | str, body: Column | str) -> Column:
     """How strongly a step looks like the failing one; 0 for housekeeping steps."""
-    lowered = simple_lower(body)
     name = simple_lower(text_or_empty(step_name))
-    points = F.lit(0)
-    for i, marker in enumerate(FAILURE_MARKERS):
-        worth = len(FAILURE_MARKERS) - i
-        points = points + F.when(F.contains(lowered, F.lit(marker)), F.lit(worth)).otherwise(F.lit(0))
-    return F.when(F.startswith(name, F.lit("post ")) | (name == "complete job"), F.lit(0)).otherwise(points)
+    housekeeping = F.startswith(name, F.lit("post ")) | (name == "complete job")
+
+    def points(lowered: Column) -> Column:
+        total = F.lit(0)
+        for i, marker in enumerate(FAILURE_MARKERS):
+            worth = len(FAILURE_MARKERS) - i
+            total = total + F.when(F.contains(lowered, F.lit(marker)), F.lit(worth)).otherwise(F.lit(0))
+        return total
+
+    return F.when(housekeeping, F.lit(0)).otherwise(let(simple_lower(text_or_empty(body)), points))
 
 
-def after_last_marker(body: Column | str) -> Column:
-    """``struct(size, rest)``: the text after the last anchor marker.
+def anchor_line(body: Column) -> Column:
+    """0-based index of the last line holding an anchor marker, null without one.
 
-    ``size`` equals the whole length when no marker occurs. A marker never
-    spans lines, so the shortest rest belongs to the last line holding one.
+    A marker never spans lines, so the shortest text after any marker's last
+    occurrence belongs to the last line that holds one.
     """
-    lowered = simple_lower(body)
-    rests = [F.substring_index(lowered, marker, -1) for marker in ANCHOR_MARKERS]
-    return F.least(*[F.struct(F.octet_length(r).alias("size"), r.alias("rest")) for r in rests])
 
+    def located(lowered: Column) -> Column:
+        rests = F.array(*[F.substring_index(lowered, marker, -1) for marker in ANCHOR_MARKERS])
+        sized = F.transform(rests, lambda r: F.struct(F.octet_length(r).alias("size"), r.alias("rest")))
+        return let(
+            F.array_min(sized),
+            lambda last: F.when(
+                last["size"] < F.octet_length(lowered), newlines(lowered) - newlines(last["rest"])
+            ),
+        )
 
-def head_lines(body: Column | str, n: int) -> Column:
+    return let(simple_lower(body), located)
+
+
+def head_lines(body: Column, n: int) -> Column:
     """First n lines, or '' when the body has no more than n."""
     if n <= 0:
         return F.lit("")
-    body = col(body)
-    head = first_lines(body, n)
-    return F.when(F.octet_length(head) < F.octet_length(body), head).otherwise(F.lit(""))
+    return let(
+        first_lines(body, n), lambda head: F.when(F.octet_length(head) < F.octet_length(body), head).otherwise(F.lit(""))
+    )
 
 
-def window_around(body: Column | str, anchor: Column, before: int, after: int) -> Column:
+def window_around(body: Column, anchor: Column, before: int, after: int) -> Column:
     """Lines ``anchor - before`` to ``anchor + after``, clipped to the body."""
-    upto = first_lines(body, anchor + F.lit(after + 1))
-    return drop_lines(upto, anchor - F.lit(before))
-
-
-def anchor_line(body: Column | str, last: Column) -> Column:
-    """0-based index of the anchor line, null when there is none."""
-    lowered = simple_lower(body)
-    return F.when(last["size"] < F.octet_length(lowered), newlines(lowered) - newlines(last["rest"]))
+    return let(first_lines(body, anchor + F.lit(after + 1)), lambda upto: drop_lines(upto, anchor - F.lit(before)))
+
+
+def error_block(body: Column, before: int, after: int) -> Column:
+    """``struct(anchor, block)``: the window around the anchor, the whole body without one."""
+    return let(
+        anchor_line(body),
+        lambda anchor: F.struct(
+            anchor.alias("anchor"),
+            F.when(anchor.isNull(), body).otherwise(window_around(body, anchor, before, after)).alias("block"),
+        ),
+    )

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from redgreen.functions.text import utrim
+from redgreen.functions.text import constant, fold_for_search, let, utrim
 
 
 class Rule(NamedTuple):
@@ -83,36 +82,111 @@ def _fold_letter(m: re.Match[str]) -> str:
     return {"k": r"[k\u212A]", "s": r"[s\u017F]"}.get(m.group().lower(), m.group())
 
 
-def required_literals(pattern: str) -> list[str]:
-    """Lower-case texts that every match must contain, found by a cheap search.
+def required_literals(pattern: str) -> list[list[str]]:
+    """Lower-case texts a match must contain: one of each inner list.
 
     Only plain patterns qualify: anything but literal text, word edges, ``.*``,
-    groups and ``x?`` gives no literals, and the regular expression decides alone.
+    groups of plain alternatives and ``x?`` gives none, and the regular
+    expression decides alone.
     """
     if not pattern.startswith("(?i)"):
         return []
     body = pattern.removeprefix("(?i)").replace(r"\b", "")
-    parts = re.split(r"\([^()]*\)\??|\.\*|.\?", body)
-    plain = all(re.fullmatch(r"[A-Za-z0-9 /:_-]*", p) for p in parts)
-    return [p.lower() for p in parts if len(p.strip()) > 1] if plain else []
+    parts = re.split(r"(\([^()]*\)\??)|\.\*|.\?", body)
+    needed = []
+    for part in filter(None, parts):
+        if part.endswith(")?"):
+            continue
+        choices = part.strip("()").split("|") if part.startswith("(") else [part]
+        if not all(re.fullmatch(r"[A-Za-z0-9 /:_-]+", c) for c in choices):
+            return []
+        if all(len(c.strip()) > 1 for c in choices):
+            needed.append([c.lower() for c in choices])
+    return needed
 
 
-def rule_hit(text: Column, folded: Column, rule: Rule) -> Column:
-    """Whether the rule matches; the regex runs only behind its literals."""
-    match = F.rlike(text, F.lit(java_regex(rule.pattern)))
-    literals = [F.contains(folded, F.lit(t)) for t in required_literals(rule.pattern)]
-    return reduce(lambda a, b: a & b, [*literals, match])
+def line_regex(pattern: str) -> str:
+    """The whole line around a match; no default rule can match a line feed."""
+    flags, _, body = java_regex(pattern).partition(")")
+    return f"{flags}m)^[^\\n]*?(?:{body})[^\\n]*"
 
 
-def matched_line(text: Column, rule: Rule) -> Column:
-    """The trimmed line that holds the rule's first match."""
-    flags, _, body = java_regex(rule.pattern).partition(")")
-    return utrim(F.regexp_extract(text, f"{flags}m)^[^\\n]*?(?:{body})[^\\n]*", 0))
+_RULE_ARRAY = (
+    "array<struct<rule int, category string, weight double, needs array<array<string>>, first array<string>, "
+    "regex string, line_regex string>>"
+)
 
 
-def category_weights(rules: Sequence[Rule]) -> dict[str, list[int]]:
-    """Rule positions per category, categories in name order (the tie-break)."""
-    by_category: dict[str, list[int]] = {}
-    for i, rule in enumerate(rules):
-        by_category.setdefault(rule.category, []).append(i)
-    return dict(sorted(by_category.items()))
+def rule_array(rules: Sequence[Rule]) -> Column:
+    """The rule table as one constant, folded into the plan as a literal.
+
+    ``first`` is the most telling group of ``needs``: no line without one of
+    its texts can match.
+    """
+    rows = []
+    for i, r in enumerate(rules):
+        needs = required_literals(r.pattern)
+        rows.append(
+            {
+                "rule": i,
+                "category": r.category,
+                "weight": r.weight,
+                "needs": needs,
+                "first": max(needs, key=lambda choices: min(map(len, choices)), default=[]),
+                "regex": java_regex(r.pattern),
+                "line_regex": line_regex(r.pattern),
+            }
+        )
+    return constant(rows, _RULE_ARRAY)
+
+
+def line_at(text: Column, position: Column) -> Column:
+    """The line around a 1-based character position."""
+    start = F.substring_index(F.left(text, position - 1), "\n", -1)
+    rest = F.substring_index(F.substring(text, position, F.length(text)), "\n", 1)
+    return F.concat(start, rest)
+
+
+def matched_line(text: Column, folded: Column, rule: Column) -> Column:
+    """The line that holds the rule's first match, '' when nothing matches.
+
+    The first line with one of the rule's literals is the earliest that can
+    match, and almost always does; only otherwise is the whole text searched.
+    Folding maps character to character, so positions agree.
+    """
+    found = F.filter(F.transform(rule["first"], lambda t: F.instr(folded, t)), lambda p: p > 0)
+    anywhere = F.call_function("regexp_extract", text, rule["line_regex"], F.lit(0))
+    return let(
+        F.array_min(found),
+        lambda position: F.when(position.isNull(), anywhere).otherwise(
+            let(
+                line_at(text, position),
+                lambda line: F.when(F.rlike(line, rule["regex"]), line).otherwise(anywhere),
+            )
+        ),
+    )
+
+
+def matching_rules(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """``array<struct<rule, category, weight, line>>``: rules that match, in order, each once.
+
+    A substring search for the literals goes first, so that of the whole table
+    only the few expressions likely to match run, and those over one line.
+    """
+
+    def likely(rule: Column, folded: Column) -> Column:
+        return F.forall(rule["needs"], lambda choices: F.exists(choices, lambda c: F.contains(folded, c)))
+
+    def hits(folded: Column) -> Column:
+        tried = F.transform(
+            F.filter(rule_array(rules), lambda r: likely(r, folded)),
+            lambda r: F.struct(
+                r["rule"].alias("rule"),
+                r["category"].alias("category"),
+                r["weight"].alias("weight"),
+                utrim(matched_line(text, folded, r)).alias("line"),
+            ),
+        )
+        return F.filter(tried, lambda m: m["line"] != "")
+
+    return let(fold_for_search(text), hits)

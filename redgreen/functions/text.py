@@ -6,7 +6,8 @@ UTF-8 bytes unless a name says otherwise.
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,21 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` evaluated once however often it is used.
+
+    A chain of derived columns would do the same until a filter is pushed
+    through it, which pastes every definition into every use. One bound
+    expression stays as small as it was written.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def constant(value: object, schema: str) -> Column:
+    """A nested constant as one literal of the plan, folded before execution."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
 def text_or_empty(c: Column | str) -> Column:
     """Null and the empty string behave alike in every key column."""
     return F.coalesce(col(c), F.lit(""))
@@ -48,12 +64,8 @@ def simple_lower(c: Column | str) -> Column:
 
 
 def fold_for_search(c: Column | str) -> Column:
-    """Lower case plus the two non-ASCII code points that fold to ASCII letters."""
-    return F.lower(F.replace(col(c), F.lit("\u017f"), F.lit("s")))
-
-
-def contains_any(c: Column, needles: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(c, F.lit(n)) for n in needles))
+    """Simple lower case, and the long s as ``s``; as many characters as before."""
+    return F.replace(simple_lower(c), F.lit("\u017f"), F.lit("s"))
 
 
 def newlines(c: Column | str) -> Column:

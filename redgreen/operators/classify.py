@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redgreen.functions.rules import RULES, Rule, category_weights, matched_line, rule_hit
-from redgreen.functions.text import fold_for_search
+from redgreen.functions.rules import RULES, Rule, matching_rules
+from redgreen.functions.text import constant, let, text_or_empty
 from redgreen.operators.taxonomy import UNKNOWN, label_of, mitigation_of
 
 # Confidence formula, citation limit and wording.
@@ -23,99 +22,107 @@ MAX_CONFIDENCE = 0.92
 MAX_CITATIONS = 3
 
 
-def add_rule_hits(df: DataFrame, excerpt: str = "excerpt", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Add ``hits``: one boolean per rule, a narrow projection with no rule table to join."""
-    folded = df.withColumn("folded", fold_for_search(excerpt))
-    hits = F.array(*[rule_hit(F.col(excerpt), F.col("folded"), r) for r in rules])
-    return folded.withColumn("hits", hits).drop("folded")
+def rule_hits(df: DataFrame, key: str, excerpt: str = "excerpt", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``(key, rule, category, weight, line)``: one row per matching rule.
+
+    A constant rule table inside the projection: no join, no shuffle.
+    """
+    found = let(text_or_empty(excerpt), lambda text: matching_rules(text, rules))
+    return df.select(key, F.inline(found))
 
 
-def rule_hits(df: DataFrame, key: str, excerpt: str = "excerpt", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``(key, rule, category, weight, line)``: one row per matching rule."""
-    matched = [
-        F.when(
-            F.col("hits")[i],
-            F.struct(
-                F.lit(i).alias("rule"),
-                F.lit(r.category).alias("category"),
-                F.lit(r.weight).alias("weight"),
-                matched_line(F.col(excerpt), r).alias("line"),
+def ranking(matched: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """``struct(best struct<score, tie, category, matched>, runner_up)`` of the matching rules.
+
+    Categories rank by score, then by name; one without a match has score 0.
+    Weights are halves, so sums are exact in any order.
+    """
+    names = sorted({r.category for r in rules})
+    rows = [{"name": c, "tie": -i} for i, c in enumerate(names)]
+    categories = constant(rows, "array<struct<name string, tie int>>")
+
+    def scored(c: Column) -> Column:
+        own = F.filter(matched, lambda m: m["category"] == c["name"])
+        return let(
+            own,
+            lambda hits: F.struct(
+                F.aggregate(hits, F.lit(0.0), lambda total, m: total + m["weight"]).alias("score"),
+                c["tie"].alias("tie"),
+                c["name"].alias("category"),
+                F.size(hits).alias("matched"),
             ),
         )
-        for i, r in enumerate(rules)
-    ]
-    rows = add_rule_hits(df, excerpt, rules).select(key, F.explode(F.array(*matched)).alias("hit"))
-    return rows.where(F.col("hit").isNotNull()).select(key, "hit.*")
-
 
-def _total(values: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, values)
+    ranked = F.sort_array(F.transform(categories, scored), asc=False)
+    return let(
+        ranked,
+        lambda r: F.struct(
+            r[0].alias("best"), F.coalesce(F.try_element_at(r, F.lit(2))["score"], F.lit(0.0)).alias("runner_up")
+        ),
+    )
 
 
-def add_scores(df: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """From ``hits`` add ``best struct<score, tie, category, matched>`` and ``runner_up``.
+def rule_scores(df: DataFrame, key: str, excerpt: str = "excerpt", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``(key, category, score, runner_up)`` of the rows that some rule matches."""
+    found = let(text_or_empty(excerpt), lambda text: matching_rules(text, rules))
+    place = let(found, lambda m: F.when(F.size(m) > 0, ranking(m, rules)))
+    ranked = df.select(key, place.alias("place")).where(F.col("place").isNotNull())
+    return ranked.select(key, "place.best.category", "place.best.score", "place.runner_up")
 
-    Categories rank by score, then by name; weights are halves, so sums are
-    exact in any order. Without a match ``best.score`` is 0.
-    """
-    groups = category_weights(rules)
-    candidates = []
-    for tie, (category, members) in enumerate(groups.items()):
-        score = _total([F.when(F.col("hits")[i], F.lit(rules[i].weight)).otherwise(F.lit(0.0)) for i in members])
-        matched = _total([F.col("hits")[i].cast("int") for i in members])
-        candidates.append(
-            F.struct(
-                score.alias("score"), F.lit(-tie).alias("tie"), F.lit(category).alias("category"),
-                matched.alias("matched"),
-            )
-        )
-    ranked = df.withColumn("ranked", F.sort_array(F.array(*candidates), asc=False))
-    runner_up = F.col("ranked")[1]["score"] if len(groups) > 1 else F.lit(0.0)
-    return ranked.withColumns({"best": F.col("ranked")[0], "runner_up": runner_up}).drop("ranked")
 
+def citations(matched: Column, category: Column) -> Column:
+    """Lines the winning category's rules matched: rule order, no repeats, first three."""
+    winning = F.filter(matched, lambda m: m["category"] == category)
+    return F.slice(F.array_distinct(F.transform(winning, lambda m: m["line"])), 1, MAX_CITATIONS)
 
-def citations(excerpt: str, rules: Sequence[Rule] = RULES) -> Column:
-    """Lines matched by the winning category's rules: rule order, no repeats, first three.
 
-    ``array_except`` against a null drops both nulls and repeats and keeps order.
-    """
-    lines = [
-        F.when(F.col("hits")[i] & (F.col("best.category") == r.category), matched_line(F.col(excerpt), r))
-        for i, r in enumerate(rules)
-    ]
-    none = F.array(F.lit(None).cast("string"))
-    return F.slice(F.array_except(F.array(*lines), none), 1, MAX_CITATIONS)
-
-
-def rule_verdict(excerpt: str, rules: Sequence[Rule] = RULES) -> Column:
-    """The verdict struct for rows carrying ``hits``, ``best`` and ``runner_up``."""
-    best = F.col("best")
-    matched = best["score"] > 0
-    margin = best["score"] - F.col("runner_up")
-    confidence = F.least(
-        F.lit(MAX_CONFIDENCE), F.lit(BASE_CONFIDENCE) + F.lit(PER_POINT) * best["score"] + F.lit(PER_MARGIN) * margin
-    )
-    patterns = F.when(best["matched"] == 1, F.lit("1 pattern")).otherwise(
-        F.concat(best["matched"].cast("string"), F.lit(" patterns"))
-    )
-    explanation = F.concat(
-        F.lit("Matched "), patterns, F.lit(" for "), label_of(best["category"]), F.lit(f". {BASELINE_NOTE}.")
-    )
-    category = F.when(matched, best["category"]).otherwise(F.lit(UNKNOWN))
-    no_lines = F.array().cast("array<string>")
+def _verdict(category: Column, confidence: Column, explanation: Column, cited: Column) -> Column:
     return F.struct(
         category.alias("category"),
-        F.when(matched, confidence).otherwise(F.lit(NO_MATCH_CONFIDENCE)).alias("confidence"),
-        F.when(matched, explanation).otherwise(F.lit(NO_MATCH_TEXT)).alias("explanation"),
-        F.when(matched, citations(excerpt, rules)).otherwise(no_lines).alias("cited_lines"),
+        confidence.alias("confidence"),
+        explanation.alias("explanation"),
+        cited.alias("cited_lines"),
         mitigation_of(category).alias("suggested_mitigation"),
         F.lit(False).alias("downgraded"),
         F.lit(None).cast("string").alias("raw_category"),
-        no_lines.alias("hallucinated_citations"),
+        F.array().cast("array<string>").alias("hallucinated_citations"),
+    )
+
+
+def rule_verdict(excerpt: Column | str, rules: Sequence[Rule] = RULES) -> Column:
+    """The verdict of one text as a single bound expression."""
+    no_match = _verdict(
+        F.lit(UNKNOWN), F.lit(NO_MATCH_CONFIDENCE), F.lit(NO_MATCH_TEXT), F.array().cast("array<string>")
     )
 
+    def decided(matched: Column, place: Column) -> Column:
+        best = place["best"]
+        margin = best["score"] - place["runner_up"]
+        confidence = F.lit(BASE_CONFIDENCE) + F.lit(PER_POINT) * best["score"] + F.lit(PER_MARGIN) * margin
+        patterns = F.when(best["matched"] == 1, F.lit("1 pattern")).otherwise(
+            F.concat(best["matched"].cast("string"), F.lit(" patterns"))
+        )
+        explanation = F.concat(
+            F.lit("Matched "), patterns, F.lit(" for "), label_of(best["category"]), F.lit(f". {BASELINE_NOTE}.")
+        )
+        return _verdict(
+            best["category"],
+            F.least(F.lit(MAX_CONFIDENCE), confidence),
+            explanation,
+            citations(matched, best["category"]),
+        )
+
+    def judged(text: Column) -> Column:
+        return let(
+            matching_rules(text, rules),
+            lambda matched: F.when(F.size(matched) == 0, no_match).otherwise(
+                let(ranking(matched, rules), lambda place: decided(matched, place))
+            ),
+        )
+
+    return let(text_or_empty(excerpt), judged)
+
 
 def classify_by_rules(df: DataFrame, excerpt: str = "excerpt", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Add ``verdict`` to every row; narrow, no shuffle."""
-    scored = add_scores(add_rule_hits(df, excerpt, rules), rules)
-    return scored.withColumn("verdict", rule_verdict(excerpt, rules)).drop("hits", "best", "runner_up")
+    return df.withColumn("verdict", rule_verdict(excerpt, rules))

@@ -13,17 +13,14 @@ PASSED = "success"
 MIN_ATTEMPTS = 2
 
 SIGNATURE = ["head_sha", "workflow_file", "job_name"]
+# Attempts of a signature order by start time, a missing one first, then by ids.
+ATTEMPT_ORDER = ["started_at", "run_id", "run_attempt", "job_id"]
 
 
 def passed() -> Column:
     return F.col("conclusion") == PASSED
 
 
-def attempt_order() -> Column:
-    """Start time, then ids; a missing start time sorts first."""
-    return F.struct("started_at", "run_id", "run_attempt", "job_id")
-
-
 def decisive_jobs(jobs: DataFrame) -> DataFrame:
     """Rows that count: a decisive conclusion, a commit and a job name."""
     kept = jobs.where(F.col("conclusion").isin(DECISIVE) & (F.col("head_sha") != "") & (F.col("job_name") != ""))
@@ -43,15 +40,14 @@ def detect(jobs: DataFrame, min_attempts: int = MIN_ATTEMPTS) -> DataFrame:
     primary_failure`` (the latest failed run) and ``last_pass_url``. The runs
     themselves are the child rows of ``occurrence_runs``.
     """
-    order = attempt_order()
-    run = F.struct("run_id", "run_attempt", "job_id", "started_at", "conclusion", "url")
+    failed_run = F.when(~passed(), F.struct(*ATTEMPT_ORDER, "conclusion", "url"))
+    passed_run = F.when(passed(), F.struct(*ATTEMPT_ORDER, "url"))
     groups = decisive_jobs(jobs).groupBy(*SIGNATURE).agg(
         F.count(F.lit(1)).alias("total_attempts"),
         F.count_if(~passed()).alias("failed_runs"),
-        F.min_by("branch", order).alias("branch"),
-        F.min_by("workflow_name", order).alias("workflow_name"),
-        F.max_by(F.when(~passed(), run), F.when(~passed(), order)).alias("primary_failure"),
-        F.max_by(F.when(passed(), F.col("url")), F.when(passed(), order)).alias("last_pass_url"),
+        F.min(F.struct(*ATTEMPT_ORDER, "branch", "workflow_name")).alias("first"),
+        F.max(failed_run).alias("primary_failure"),
+        F.max(passed_run)["url"].alias("last_pass_url"),
     )
     flaky = groups.where(
         (F.col("total_attempts") >= max(MIN_ATTEMPTS, min_attempts))
@@ -61,8 +57,8 @@ def detect(jobs: DataFrame, min_attempts: int = MIN_ATTEMPTS) -> DataFrame:
     return flaky.select(
         short_hash(*SIGNATURE).alias("id"),
         "head_sha",
-        "branch",
-        "workflow_name",
+        "first.branch",
+        "first.workflow_name",
         "workflow_file",
         "job_name",
         "total_attempts",
@@ -93,7 +89,7 @@ def ordered_runs(runs: DataFrame) -> DataFrame:
 
     A range sort on the whole key: even one occurrence spreads over many tasks.
     """
-    return runs.orderBy("id", "outcome", "started_at", "run_id", "run_attempt", "job_id")
+    return runs.orderBy("id", "outcome", *ATTEMPT_ORDER)
 
 
 def ranked_occurrences(occurrences: DataFrame) -> DataFrame:

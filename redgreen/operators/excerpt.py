@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redgreen.functions.logs import (
     DROPPED_HEAD,
     ELISION,
-    after_last_marker,
-    anchor_line,
     collapse_blank_lines,
+    error_block,
     failure_score,
     head_lines,
-    window_around,
 )
+from redgreen.functions.text import let, text_or_empty
 from redgreen.sources.archives import step_position
 
 
@@ -36,46 +35,60 @@ class ExcerptOptions:
 
 
 def anchor_window(steps: DataFrame, options: ExcerptOptions = ExcerptOptions()) -> DataFrame:
-    """Add ``collapsed``, ``anchor`` (0-based line or null) and ``block``.
-
-    Every step is a narrow projection; staged columns keep each text pass single.
-    """
+    """Add ``anchor`` (0-based line of the collapsed body, or null) and ``block``."""
     o = options.effective()
-    staged = steps.withColumn("collapsed", collapse_blank_lines(F.coalesce("body", F.lit(""))))
-    staged = staged.withColumn("last_marker", after_last_marker("collapsed"))
-    staged = staged.withColumn("anchor", anchor_line("collapsed", F.col("last_marker"))).drop("last_marker")
-    block = window_around("collapsed", F.col("anchor"), o.lines_before, o.lines_after)
-    return staged.withColumn("block", F.when(F.col("anchor").isNull(), F.col("collapsed")).otherwise(block))
+    found = let(collapse_blank_lines(text_or_empty("body")), lambda b: error_block(b, o.lines_before, o.lines_after))
+    return steps.withColumn("found", found).select(*steps.columns, "found.anchor", "found.block")
 
 
-def add_excerpt(steps: DataFrame, options: ExcerptOptions = ExcerptOptions()) -> DataFrame:
-    """Add ``excerpt struct<text, step_name, original_bytes, excerpt_bytes, truncated>``.
+def excerpt_of(step_name: Column | str, body: Column | str, options: ExcerptOptions = ExcerptOptions()) -> Column:
+    """``struct<text, step_name, original_bytes, excerpt_bytes, truncated>`` of one step log.
 
     Head lines and the window meet at an elision marker unless the window
     already holds the head. Over budget, the last ``max_chars`` characters stay.
     """
     o = options.effective()
-    staged = anchor_window(steps, o).withColumn("head", head_lines("collapsed", o.head_lines))
-    separate = (F.col("head") != "") & ~F.contains(F.col("block"), F.col("head"))
-    staged = staged.withColumn(
-        "joined", F.when(separate, F.concat("head", F.lit(ELISION), "block")).otherwise(F.col("block"))
-    )
-    over_bytes = F.octet_length("joined") > o.max_chars
-    over = over_bytes & (F.length("joined") > o.max_chars)
-    staged = staged.withColumn(
-        "text",
-        F.when(over, F.concat(F.lit(DROPPED_HEAD), F.right(F.col("joined"), F.lit(o.max_chars)))).otherwise(
-            F.col("joined")
+    step = F.col(step_name) if isinstance(step_name, str) else step_name
+
+    def joined(collapsed: Column) -> Column:
+        def with_head(block: Column) -> Column:
+            return let(
+                head_lines(collapsed, o.head_lines),
+                lambda head: F.when(
+                    (head != "") & ~F.contains(block, head), F.concat(head, F.lit(ELISION), block)
+                ).otherwise(block),
+            )
+
+        return let(error_block(collapsed, o.lines_before, o.lines_after)["block"], with_head)
+
+    def fitted(raw: Column, collapsed: Column, text: Column) -> Column:
+        over = F.octet_length(text) > o.max_chars
+        kept = F.when(
+            over & (F.length(text) > o.max_chars), F.concat(F.lit(DROPPED_HEAD), F.right(text, F.lit(o.max_chars)))
+        ).otherwise(text)
+        return let(
+            kept,
+            lambda t: F.struct(
+                t.alias("text"),
+                step.alias("step_name"),
+                F.octet_length(raw).alias("original_bytes"),
+                F.octet_length(t).alias("excerpt_bytes"),
+                (over | (F.octet_length(text) < F.octet_length(collapsed))).alias("truncated"),
+            ),
+        )
+
+    return let(
+        text_or_empty(body),
+        lambda raw: let(
+            collapse_blank_lines(raw),
+            lambda collapsed: let(joined(collapsed), lambda text: fitted(raw, collapsed, text)),
         ),
     )
-    excerpt = F.struct(
-        F.col("text"),
-        F.col("step_name"),
-        F.octet_length(F.coalesce("body", F.lit(""))).alias("original_bytes"),
-        F.octet_length("text").alias("excerpt_bytes"),
-        (over_bytes | (F.octet_length("joined") < F.octet_length("collapsed"))).alias("truncated"),
-    )
-    return staged.select(*steps.columns, excerpt.alias("excerpt"))
+
+
+def add_excerpt(steps: DataFrame, options: ExcerptOptions = ExcerptOptions()) -> DataFrame:
+    """Add ``excerpt``; narrow, each text pass made once."""
+    return steps.withColumn("excerpt", excerpt_of("step_name", "body", options))
 
 
 def failing_step(steps: DataFrame) -> DataFrame:
@@ -96,7 +109,11 @@ def archive_excerpts(steps: DataFrame, options: ExcerptOptions = ExcerptOptions(
     the budget however long its log is, and map-side combining leaves one row
     per archive and task. An archive that could not be read keeps its error.
     """
-    scored = steps.withColumn("score", F.when(F.col("error").isNull(), failure_score("step_name", "body")))
-    cut = add_excerpt(scored, options)
-    order = F.when(F.col("error").isNull(), F.struct("score", step_position()))
-    return cut.groupBy("archive").agg(F.max_by("excerpt", order).alias("excerpt"), F.max("error").alias("error"))
+    usable = F.col("error").isNull()
+    cut = steps.select(
+        "archive",
+        "error",
+        F.when(usable, F.struct(failure_score("step_name", "body").alias("score"), step_position())).alias("rank"),
+        F.when(usable, excerpt_of("step_name", "body", options)).alias("excerpt"),
+    )
+    return cut.groupBy("archive").agg(F.max_by("excerpt", "rank").alias("excerpt"), F.max("error").alias("error"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redgreen.functions.text import is_blank, text_or_empty, utrim
+from redgreen.functions.text import is_blank, let, text_or_empty, utrim
 from redgreen.operators.taxonomy import CODES
 from redgreen.operators.verdicts import invalid_reason
+from redgreen.schemas import VERDICT
 
 # The response shape and the user prompt around one excerpt.
 RESPONSE_SHAPE = """{
@@ -61,39 +62,37 @@ def build_requests(items: DataFrame) -> DataFrame:
 
 
 def _unfenced(response: Column) -> Column:
-    """Content of the first fenced block, else the whole trimmed text."""
-    start = F.instr(response, F.lit(_FENCE))
-    rest = F.substring(response, start + 3, F.length(response))
-    line = F.instr(rest, F.lit("\n"))
-    rest = F.when(line > 0, F.substring(rest, line + 1, F.length(rest))).otherwise(rest)
-    return F.when(start > 0, utrim(F.substring_index(rest, _FENCE, 1))).otherwise(response)
+    """Content of the first fenced block, else the whole text."""
+
+    def inside(rest: Column) -> Column:
+        after_tag = let(
+            F.instr(rest, F.lit("\n")),
+            lambda line: F.when(line > 0, F.substring(rest, line + 1, F.length(rest))).otherwise(rest),
+        )
+        return utrim(F.substring_index(after_tag, _FENCE, 1))
+
+    return let(
+        F.instr(response, F.lit(_FENCE)),
+        lambda start: F.when(start == 0, response).otherwise(
+            let(F.substring(response, start + 3, F.length(response)), inside)
+        ),
+    )
 
 
-def parse_responses(responses: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``verdict`` and ``malformed`` (the reason, null for a usable response).
+def _field(entries: Column, name: str) -> Column:
+    """The last non-null value under a key, whatever its case."""
+    named = F.filter(entries, lambda e: (F.lower(e["key"]) == name) & ~F.is_variant_null(e["value"]))
+    return F.try_element_at(named, F.lit(-1))["value"]
 
-    The first JSON value at the first brace is decoded and what follows it is
-    ignored. Fields are decoded as variants, so each must have its own JSON
-    type: a number is no explanation. Keys match in any case, the last one
-    wins, and a JSON null leaves a field at its zero value.
-    """
-    staged = responses.withColumn("response", utrim(text_or_empty(raw)))
-    staged = staged.withColumn("response", _unfenced(F.col("response")))
-    brace = F.instr("response", F.lit("{"))
-    payload = F.when(brace > 0, F.substring(F.col("response"), brace, F.length("response")))
-    staged = staged.withColumn("payload", payload)
-    fields = F.from_json("payload", "map<string,variant>", _JSON_OPTIONS)
-    staged = staged.withColumn("fields", F.map_entries(fields))
-
-    def field(name: str) -> Column:
-        named = F.filter("fields", lambda e: (F.lower(e["key"]) == name) & ~F.is_variant_null(e["value"]))
-        return F.try_element_at(named, F.lit(-1))["value"]
 
-    names = ["category", "confidence", "explanation", "cited_lines", "suggested_mitigation"]
-    staged = staged.withColumns({f"f_{n}": field(n) for n in names})
+def _decoded(fields: Column) -> Column:
+    """``struct(verdict, malformed)`` of the five raw fields."""
 
     def has_type(name: str, *types: str) -> Column:
-        return F.coalesce(F.schema_of_variant(f"f_{name}").rlike(f"^({'|'.join(types)})"), F.lit(True))
+        return F.coalesce(F.schema_of_variant(fields[name]).rlike(f"^({'|'.join(types)})"), F.lit(True))
+
+    def text(name: str) -> Column:
+        return utrim(F.coalesce(F.try_variant_get(fields[name], "$", "string"), F.lit("")))
 
     typed = (
         has_type("category", "STRING")
@@ -102,34 +101,70 @@ def parse_responses(responses: DataFrame, raw: str = "raw") -> DataFrame:
         & has_type("cited_lines", "ARRAY<STRING>", "ARRAY<VOID>")
         & has_type("suggested_mitigation", "STRING")
     )
-
-    def text(name: str) -> Column:
-        return utrim(F.coalesce(F.try_variant_get(f"f_{name}", "$", "string"), F.lit("")))
-
-    lines = F.try_variant_get("f_cited_lines", "$", "array<string>")
+    no_lines = F.array().cast("array<string>")
+    lines = F.coalesce(F.try_variant_get(fields["cited_lines"], "$", "array<string>"), no_lines)
     verdict = F.struct(
         F.lower(text("category")).alias("category"),
-        F.coalesce(F.try_variant_get("f_confidence", "$", "double"), F.lit(0.0)).alias("confidence"),
+        F.coalesce(F.try_variant_get(fields["confidence"], "$", "double"), F.lit(0.0)).alias("confidence"),
         text("explanation").alias("explanation"),
-        F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda x: text_or_empty(x)).alias(
-            "cited_lines"
-        ),
+        F.transform(lines, lambda x: F.coalesce(x, F.lit(""))).alias("cited_lines"),
         text("suggested_mitigation").alias("suggested_mitigation"),
         F.lit(False).alias("downgraded"),
         F.lit(None).cast("string").alias("raw_category"),
-        F.array().cast("array<string>").alias("hallucinated_citations"),
+        no_lines.alias("hallucinated_citations"),
     )
-    staged = staged.withColumn("decoded", verdict)
-    malformed = (
-        F.when(F.col("response") == "", F.lit("empty response"))
-        .when(F.col("payload").isNull(), F.lit("no JSON object found"))
-        .when(F.col("fields").isNull(), F.lit("not a JSON object"))
-        .when(~typed, F.lit("wrong field type"))
-        .otherwise(invalid_reason("decoded"))
-    )
-    staged = staged.withColumn("malformed", malformed)
-    kept = F.when(F.col("malformed").isNull(), F.col("decoded"))
-    return staged.select(*responses.columns, kept.alias("verdict"), "malformed")
+
+    def checked(v: Column) -> Column:
+        return let(
+            invalid_reason(v),
+            lambda reason: F.struct(F.when(reason.isNull(), v).alias("verdict"), reason.alias("malformed")),
+        )
+
+    return F.when(~typed, _malformed("wrong field type")).otherwise(let(verdict, checked))
+
+
+def _malformed(reason: str) -> Column:
+    return F.struct(F.lit(None).cast(VERDICT).alias("verdict"), F.lit(reason).alias("malformed"))
+
+
+def parsed_response(raw: Column | str) -> Column:
+    """``struct(verdict, malformed)`` of one raw response; exactly one of them is null.
+
+    The first JSON value at the first brace is decoded and what follows it is
+    ignored. Fields are decoded as variants, so each must have its own JSON
+    type: a number is no explanation. Keys match in any case, the last one
+    wins, and a JSON null leaves a field at its zero value.
+    """
+    names = ["category", "confidence", "explanation", "cited_lines", "suggested_mitigation"]
+
+    def from_entries(entries: Column) -> Column:
+        fields = F.struct(*[_field(entries, n).alias(n) for n in names])
+        return F.when(entries.isNull(), _malformed("not a JSON object")).otherwise(let(fields, _decoded))
+
+    def from_text(response: Column) -> Column:
+        return let(
+            F.instr(response, F.lit("{")),
+            lambda brace: F.when(response == "", _malformed("empty response"))
+            .when(brace == 0, _malformed("no JSON object found"))
+            .otherwise(
+                let(
+                    F.map_entries(
+                        F.from_json(
+                            F.substring(response, brace, F.length(response)), "map<string,variant>", _JSON_OPTIONS
+                        )
+                    ),
+                    from_entries,
+                )
+            ),
+        )
+
+    return let(utrim(text_or_empty(raw)), lambda trimmed: let(_unfenced(trimmed), from_text))
+
+
+def parse_responses(responses: DataFrame, raw: str = "raw") -> DataFrame:
+    """Add ``verdict`` and ``malformed`` (the reason, null for a usable response)."""
+    parsed = responses.withColumn("parsed", parsed_response(raw))
+    return parsed.select(*responses.columns, "parsed.verdict", "parsed.malformed")
 
 
 def repair_requests(requests: DataFrame, first_round: DataFrame) -> DataFrame:

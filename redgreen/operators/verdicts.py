@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redgreen.functions.text import col, is_blank, utrim
+from redgreen.functions.text import col, is_blank, let, text_or_empty, utrim
 from redgreen.operators.taxonomy import UNKNOWN, is_category
 
 # Fixed value: verdicts below this confidence become unknown.
@@ -32,42 +32,55 @@ def with_validity(df: DataFrame, verdict: str = "verdict") -> DataFrame:
     )
 
 
-def verify_citations(df: DataFrame, excerpt: str = "excerpt", verdict: str = "verdict") -> DataFrame:
-    """Keep cited lines that occur in the excerpt, move the rest to ``hallucinated_citations``.
+def _rebuilt(v: Column, **changed: Column) -> Column:
+    fields = [
+        "category", "confidence", "explanation", "cited_lines", "suggested_mitigation", "downgraded",
+        "raw_category", "hallucinated_citations",
+    ]
+    return F.when(v.isNotNull(), F.struct(*[changed.get(f, v[f]).alias(f) for f in fields]))
 
-    Lines compare trimmed but are kept as written; blank ones are dropped.
-    """
-    cited = F.coalesce(F.col(verdict)["cited_lines"], F.array().cast("array<string>"))
-    text = F.col(excerpt)
 
-    def quoted(line: Column) -> Column:
-        return ~is_blank(line) & F.contains(text, utrim(line))
+def verified(verdict: Column, excerpt: Column) -> Column:
+    """The verdict with only the cited lines that occur in the excerpt.
 
-    def invented(line: Column) -> Column:
-        return ~is_blank(line) & ~F.contains(text, utrim(line))
+    The rest moves to ``hallucinated_citations``. Lines compare trimmed but are
+    kept as written; blank ones are dropped.
+    """
 
-    checked = (
-        F.col(verdict)
-        .withField("cited_lines", F.filter(cited, quoted))
-        .withField("hallucinated_citations", F.filter(cited, invented))
-    )
-    return df.withColumn(verdict, checked)
+    def sorted_out(v: Column, text: Column) -> Column:
+        cited = F.coalesce(v["cited_lines"], F.array().cast("array<string>"))
+        lines = F.filter(cited, lambda x: ~is_blank(x))
+        return _rebuilt(
+            v,
+            cited_lines=F.filter(lines, lambda x: F.contains(text, utrim(x))),
+            hallucinated_citations=F.filter(lines, lambda x: ~F.contains(text, utrim(x))),
+        )
 
+    return let(verdict, lambda v: let(text_or_empty(excerpt), lambda text: sorted_out(v, text)))
 
-def apply_floor(df: DataFrame, floor: float = DEFAULT_FLOOR, verdict: str = "verdict") -> DataFrame:
+
+def floored(verdict: Column, floor: float = DEFAULT_FLOOR) -> Column:
     """Demote a verdict under the floor to unknown, keeping its raw category; at the floor it stays."""
     if not 0 <= floor <= 1:
         raise ValueError(f"floor must be in [0,1], got {floor:.2f}")
-    v = F.col(verdict)
-    demote = (v["category"] != UNKNOWN) & (v["confidence"] < floor)
-    demoted = (
-        v.withField("category", F.lit(UNKNOWN))
-        .withField("downgraded", F.lit(True))
-        .withField("raw_category", v["category"])
-    )
-    return df.withColumn(verdict, F.when(demote, demoted).otherwise(v))
+
+    def judged(v: Column) -> Column:
+        demoted = _rebuilt(
+            v, category=F.lit(UNKNOWN), downgraded=F.lit(True), raw_category=v["category"]
+        )
+        return F.when((v["category"] != UNKNOWN) & (v["confidence"] < floor), demoted).otherwise(v)
+
+    return let(verdict, judged)
+
+
+def verify_citations(df: DataFrame, excerpt: str = "excerpt", verdict: str = "verdict") -> DataFrame:
+    return df.withColumn(verdict, verified(F.col(verdict), F.col(excerpt)))
+
+
+def apply_floor(df: DataFrame, floor: float = DEFAULT_FLOOR, verdict: str = "verdict") -> DataFrame:
+    return df.withColumn(verdict, floored(F.col(verdict), floor))
 
 
 def settle(df: DataFrame, floor: float = DEFAULT_FLOOR, excerpt: str = "excerpt", verdict: str = "verdict") -> DataFrame:
     """Post-processing in its fixed order: citations first, then the floor."""
-    return apply_floor(verify_citations(df, excerpt, verdict), floor, verdict)
+    return df.withColumn(verdict, floored(verified(F.col(verdict), F.col(excerpt)), floor))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redgreen.operators.taxonomy import CODES, UNKNOWN
+from redgreen.sources.tables import spread
 
 # The log line written for each k = 0..15 and the label it stands for.
 MARKED_LINES = [
@@ -34,8 +35,14 @@ MARKED_LINES = [
 STEP_NAMES = ["Set up job", "Run tests", "Upload results", "Post Run checkout"]
 
 
+# Hash keys of the tables that feed costly per-row work.
+SPREAD_KEYS = {"lineitem": "l_orderkey", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table, spread over all cores where its files give fewer splits than there are cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
 
 def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +181,7 @@ def cited_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts with cited lines: two of their own, padded; one of a passage; a blank one; an invented one."""
     docs, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     passage = passages.select(F.col("item_id"), F.col("text").alias("passage"))
-    own = F.concat(F.lit(" \t"), F.substring_index("text", "\n", 1), F.lit(" "))
+    own = F.concat(F.lit(" \t"), F.substring_index("text", "\n", 1), F.lit("\u00a0"))
     tail = F.concat(F.substring_index("text", "\n", -1), F.lit("\n"))
     lines = F.array(own, tail, F.coalesce("passage", F.lit("  ")), F.lit("   "), F.lit("an invented line"))
     verdict = F.struct(

@@ -191,8 +191,7 @@ def rule_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rule_scores(spark: SparkSession, sf: str) -> DataFrame:
-    scored = c.add_scores(c.add_rule_hits(a.step_logs(spark, sf), "body"))
-    return scored.where(F.col("best.score") > 0).select("doc_id", "best.category", "best.score", "runner_up")
+    return c.rule_scores(a.step_logs(spark, sf), "doc_id", "body")
 
 
 @query

@@ -218,10 +218,10 @@ def excerpts(source: str, max_chars: int = 12000, before: int = 60, after: int =
         f"lined as (select *, string_split(body, {NL}) as raw_lines from {source})",
         f"kept as (select *, {collapsed_lines('raw_lines')} as lines from lined)",
         f"""anchored as (select *, array_to_string(lines, {NL}) as collapsed,
-  list_max(list_transform(lines, lambda x, i: case when {marked} then i end)) as at from kept)""",
+  list_max(list_transform(lines, lambda x, i: case when {marked} then i end)) as spot from kept)""",
         f"""blocks as (select *,
-  case when at is null then collapsed
-    else array_to_string(lines[greatest(1, at - {before}):least(len(lines), at + {after})], {NL}) end as block,
+  case when spot is null then collapsed
+    else array_to_string(lines[greatest(1, spot - {before}):least(len(lines), spot + {after})], {NL}) end as block,
   case when len(lines) > {head} then array_to_string(lines[1:{head}], {NL}) else '' end as head from anchored)""",
         f"""joined as (select *, case when head <> '' and not contains(block, head) then head || {q(ELISION)} || block
   else block end as long_text from blocks)""",
@@ -235,7 +235,7 @@ def excerpts(source: str, max_chars: int = 12000, before: int = 60, after: int =
 EXCERPT_COLUMNS = """step_name, md5(excerpt) as text, cast(strlen(body) as integer) as original_bytes,
   cast(strlen(excerpt) as integer) as excerpt_bytes, truncated"""
 CHECKS["excerpt_anchor_window"] = with_ctes(
-    [STEPS, *excerpts("steps")], "select doc_id, cast(at - 1 as integer) as anchor, md5(block) as block from excerpts"
+    [STEPS, *excerpts("steps")], "select doc_id, cast(spot - 1 as integer) as anchor, md5(block) as block from excerpts"
 )
 CHECKS["excerpt_assembled"] = with_ctes(
     [STEPS, *excerpts("steps")], f"select doc_id, {EXCERPT_COLUMNS} from excerpts"
@@ -316,7 +316,7 @@ select doc_id, md5(array_to_string(list_filter(lines, lambda x: {utrim('x')} <>
   md5(array_to_string(list_filter(lines, lambda x: {utrim('x')} <> '' and not contains(text, {utrim('x')})), '|')) as invented,
   cast(len(list_filter(lines, lambda x: {utrim('x')} <> '' and contains(text, {utrim('x')}))) as integer) as n_kept,
   cast(len(list_filter(lines, lambda x: {utrim('x')} <> '' and not contains(text, {utrim('x')}))) as integer) as n_invented
-from (select d.doc_id, d.text, [' ' || chr(9) || string_split(d.text, {NL})[1] || ' ', string_split(d.text, {NL})[-1] || {NL},
+from (select d.doc_id, d.text, [' ' || chr(9) || string_split(d.text, {NL})[1] || chr(160), string_split(d.text, {NL})[-1] || {NL},
     coalesce(b.text, '  '), '   ', 'an invented line'] as lines
   from documents d left join benchmark b on d.doc_id = b.item_id)"""
 

@@ -1,0 +1,16 @@
+"""How a table's splits meet the cores that work on them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute a table whose files give fewer splits than there are cores.
+
+    A single row group is a single task however many cores are idle, which
+    matters when each row is a log to search. A table large enough to fill the
+    cluster has more splits than cores and comes back unchanged, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
