@@ -138,9 +138,12 @@ def confusion_text(cells: DataFrame) -> DataFrame:
 def scores(outcomes: DataFrame, provider: str, model: str, baseline: bool) -> DataFrame:
     """One nested row with every metric, for the JSON sink.
 
-    Arrays and maps here hold at most 7 and 49 entries.
+    Arrays and maps here hold at most 7 and 49 entries, and the cells packed
+    into one row about twice that: all parts read that row, so the outcomes are
+    computed once.
     """
     table = cells(outcomes)
+    table = table.agg(F.collect_list(F.struct(*table.columns)).alias("packed")).select(F.inline("packed"))
     by_category = per_category(table)
     listed = by_category.agg(
         F.sort_array(

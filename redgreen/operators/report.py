@@ -70,16 +70,30 @@ def category() -> Column:
     return F.coalesce(F.col("verdict.category"), F.lit(""))
 
 
-def category_counts(items: DataFrame) -> DataFrame:
+def tally(items: DataFrame) -> DataFrame:
+    """``(category, job_name, failed, n)``: the one aggregate every rollup derives from.
+
+    Rollups sum over it instead of filtering it, so several of them in one plan
+    share a single pass over the items.
+    """
+    failed = F.coalesce("error", F.lit("")) != ""
+    keys = [category().alias("category"), F.col("job_name"), failed.alias("failed")]
+    return items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _classified(n: str = "n") -> Column:
+    return F.coalesce(F.sum(F.when(~F.col("failed"), F.col(n))), F.lit(0))
+
+
+def category_counts(tally: DataFrame) -> DataFrame:
     """``(category, n)``, failed items left out."""
-    return classified(items).groupBy(category().alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return tally.groupBy("category").agg(_classified().alias("n")).where(F.col("n") > 0)
 
 
-def category_share(items: DataFrame) -> DataFrame:
-    """Counts with label, whole-percent share and owner; the window runs over at most seven rows."""
-    counts = category_counts(items)
+def category_share(tally: DataFrame) -> DataFrame:
+    """Counts with label, whole-percent share and owner; the window runs over one row per category."""
     share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return counts.select(
+    return category_counts(tally).select(
         report_order_of("category").alias("ord"),
         "category",
         label_of("category").alias("label"),
@@ -117,10 +131,10 @@ def ordered_detail(detail: DataFrame) -> DataFrame:
 def issue_groups(items: DataFrame) -> DataFrame:
     """One row per classified item with its group's size, label, advice and sort key.
 
-    Sizes come from a seven-row count joined back by category, not from a
-    window that would put a whole category into one task.
+    Sizes are one row per category joined back, not a window that would put a
+    whole category into one task; adaptive execution broadcasts them by size.
     """
-    sizes = F.broadcast(category_counts(items).withColumnRenamed("n", "group_size"))
+    sizes = category_counts(tally(items)).withColumnRenamed("n", "group_size")
     rows = classified(items).withColumn("category", category()).join(sizes, "category")
     return rows.select(
         "id",
@@ -141,18 +155,20 @@ def ordered_issue_groups(groups: DataFrame) -> DataFrame:
     return groups.orderBy(F.desc("severity"), "category", F.desc("confidence"), "id")
 
 
-def digest_totals(items: DataFrame) -> DataFrame:
-    """One row: classified occurrences, distinct jobs, genuine bugs."""
-    return classified(items).agg(
-        F.count(F.lit(1)).alias("occurrences"),
-        F.countDistinct("job_name").alias("jobs"),
-        F.count_if(category() == GENUINE_BUG).alias("genuine_bugs"),
+def digest_totals(tally: DataFrame) -> DataFrame:
+    """One row: classified occurrences, distinct jobs, genuine bugs, and all items."""
+    good = ~F.col("failed")
+    return tally.agg(
+        _classified().alias("occurrences"),
+        F.countDistinct(F.when(good, F.col("job_name"))).alias("jobs"),
+        F.coalesce(F.sum(F.when(good & (F.col("category") == GENUINE_BUG), F.col("n"))), F.lit(0)).alias("genuine_bugs"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("items"),
     )
 
 
-def noisiest_jobs(items: DataFrame, top: int = TOP_JOBS) -> DataFrame:
+def noisiest_jobs(tally: DataFrame, top: int = TOP_JOBS) -> DataFrame:
     """Jobs with most occurrences, name breaking ties: combined counts, then top-k."""
-    counts = classified(items).groupBy("job_name").agg(F.count(F.lit(1)).alias("n"))
+    counts = tally.groupBy("job_name").agg(_classified().alias("n")).where(F.col("n") > 0)
     return counts.orderBy(F.desc("n"), "job_name").limit(top)
 
 
@@ -196,7 +212,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def markdown_lines(items: DataFrame, header: Header) -> DataFrame:
     """The full report: header, summary table, every item by severity then confidence."""
     none = F.array().cast("array<string>")
-    total = digest_totals(items)
+    counted = tally(items)
+    total = digest_totals(counted)
     n = F.col("occurrences")
     top = _texts(
         "# Flake report",
@@ -221,8 +238,9 @@ def markdown_lines(items: DataFrame, header: Header) -> DataFrame:
     share_line = _all(
         "| ", F.col("label"), " | ", F.col("n").cast("string"), " | ", F.col("share"), " | ", F.col("owner"), " |"
     )
-    any_item = items.agg(F.count(F.lit(1)).alias("n_items"))
-    after_summary = F.when(n > 0, _texts("")).otherwise(none)
+    after_summary = F.concat(
+        F.when(n > 0, _texts("")).otherwise(none), F.when(F.col("items") > 0, _texts("## Occurrences", "")).otherwise(none)
+    )
 
     v = F.col("verdict")
     failed = F.coalesce("error", F.lit("")) != ""
@@ -279,10 +297,9 @@ def markdown_lines(items: DataFrame, header: Header) -> DataFrame:
     return _union(
         [
             _lines(total, 0, F.concat(top, summary)),
-            _lines(category_share(items), 1, _texts(share_line), rank=F.col("ord")),
+            _lines(category_share(counted), 1, _texts(share_line), rank=F.col("ord")),
             _lines(total, 2, after_summary),
-            _lines(any_item, 3, F.when(F.col("n_items") > 0, _texts("## Occurrences", "")).otherwise(none)),
-            _lines(items, 4, body, rank=-severity, weight=F.lit(0.0) - confidence, item=F.col("id")),
+            _lines(items, 3, body, rank=-severity, weight=F.lit(0.0) - confidence, item=F.col("id")),
         ]
     )
 
@@ -304,8 +321,9 @@ def issue_lines(items: DataFrame, header: Header) -> DataFrame:
         *(ISSUE_BASELINE if header.baseline else []),
     )
     end = F.when(n == 0, _texts(ISSUE_EMPTY)).otherwise(_texts("---", FOOTER))
-    total = digest_totals(items)
-    groups = category_counts(items)
+    counted = tally(items)
+    total = digest_totals(counted)
+    groups = category_counts(counted)
     rank = -severity_of("category")
     open_group = _texts(
         _all("### ", label_of("category"), " (", F.col("n").cast("string"), ")"),
@@ -368,17 +386,18 @@ def digest_lines(items: DataFrame, header: Header, window_days: int = 7) -> Data
         ).otherwise(none),
         _texts("| Category | Count |", "| --- | ---: |"),
     )
-    total = digest_totals(items)
+    counted = tally(items)
+    total = digest_totals(counted)
     row = _all("| ", F.col("label"), " | ", F.col("n").cast("string"), " |")
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "job_name"))
-    noisy = noisiest_jobs(items).withColumn("place", place)
+    noisy = noisiest_jobs(counted).withColumn("place", place)
     job_line = _all(
         F.col("place").cast("string"), ". `", F.col("job_name"), "` — ", F.col("n").cast("string"), " occurrence(s)"
     )
     return _union(
         [
             _lines(total, 0, F.concat(top, F.when(n == 0, _texts(DIGEST_EMPTY)).otherwise(found))),
-            _lines(category_share(items), 1, _texts(row), rank=F.col("ord")),
+            _lines(category_share(counted), 1, _texts(row), rank=F.col("ord")),
             _lines(total, 2, F.when(n > 0, _texts("", "**Noisiest jobs**", "")).otherwise(none)),
             _lines(noisy, 3, _texts(job_line), rank=F.col("place")),
             _lines(total, 4, F.when(n > 0, _texts("", FOOTER)).otherwise(none)),

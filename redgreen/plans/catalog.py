@@ -357,12 +357,12 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def category_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return r.category_counts(_items(spark, sf))
+    return r.category_counts(r.tally(_items(spark, sf)))
 
 
 @query
 def category_share(spark: SparkSession, sf: str) -> DataFrame:
-    return r.category_share(_items(spark, sf))
+    return r.category_share(r.tally(_items(spark, sf)))
 
 
 @query
@@ -383,12 +383,12 @@ def first_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def digest_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return r.digest_totals(_items(spark, sf))
+    return r.digest_totals(r.tally(_items(spark, sf)))
 
 
 @query
 def noisiest_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    return r.noisiest_jobs(_items(spark, sf))
+    return r.noisiest_jobs(r.tally(_items(spark, sf)))
 
 
 def _report(fmt: str) -> Query:

@@ -494,7 +494,7 @@ CHECKS["issue_groups"] = with_ctes(
   round(confidence, 9) as confidence from good""",
 )
 CHECKS["first_sentences"] = f"select doc_id, md5({sentence('text')}) as sentence from documents"
-CHECKS["digest_totals"] = with_ctes(ITEMS, "select occurrences, jobs, genuine_bugs from totals")
+CHECKS["digest_totals"] = with_ctes(ITEMS, "select occurrences, jobs, genuine_bugs, (select count(*) from items) as items from totals")
 NOISY = """noisy as (select job_name, n, row_number() over (order by n desc, job_name) as place
   from (select job_name, count(*) as n from good group by all) qualify place <= 5)"""
 CHECKS["noisiest_jobs"] = with_ctes([*ITEMS, NOISY], "select job_name, n from noisy")
@@ -550,14 +550,13 @@ CHECKS["report_markdown"] = with_ctes(
                 f"['| ' || label || ' | ' || n || ' | ' || {percent('n / (select sum(n) from counts)')} || ' | ' || owner || ' |']",
                 rank="ord",
             ),
-            lines("totals", 2, "['']"),
-            lines("totals", 3, "['## Occurrences', '']"),
+            lines("totals", 2, "['', '## Occurrences', '']"),
             lines(
-                "good", 4, f"['### `' || job_name || '` — ' || label, ''] || {FACTS}", rank="-severity",
+                "good", 3, f"['### `' || job_name || '` — ' || label, ''] || {FACTS}", rank="-severity",
                 weight="round(0.0 - confidence, 9)", item="id",
             ),
             lines(
-                "(select * from items where failed)", 4,
+                "(select * from items where failed)", 3,
                 "['### `' || job_name || '` — ', '', '> Classification failed: downloading log: gone', '']", item="id",
             ),
         ]
