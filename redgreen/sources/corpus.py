@@ -37,7 +37,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """``(log_path, excerpt)``: every file below a directory as one whole text."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return files.select(_decoded(F.col("_metadata.file_path")).alias("log_path"), F.col("value").alias("excerpt"))
 
 

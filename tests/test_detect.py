@@ -1,0 +1,157 @@
+import hashlib
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from redgreen.operators import detect as d
+from redgreen.plans.workflow import scan
+from redgreen.sources import jobs as j
+
+SCHEMA = (
+    "run_id bigint, run_attempt int, job_id bigint, job_name string, workflow_name string, workflow_file string, "
+    "head_sha string, branch string, conclusion string, started_at timestamp, url string"
+)
+START = datetime(2026, 3, 1, 8, 0)
+
+
+def job(n, conclusion, sha="abc1234def", name="unit", file="ci.yml", minute=None, branch="main", workflow="CI"):
+    started = None if minute == "none" else START + timedelta(minutes=n if minute is None else minute)
+    return (100 + n, 1, 9000 + n, name, workflow, file, sha, branch, conclusion, started, f"https://ci/{n}")
+
+
+def frame(spark, *jobs):
+    return spark.createDataFrame(list(jobs), SCHEMA)
+
+
+TRUTH = {
+    "fail then pass on one commit": ([job(1, "failure"), job(2, "success")], 1),
+    "pass then fail on one commit": ([job(1, "success"), job(2, "failure")], 1),
+    "a fix on a later commit": ([job(1, "failure"), job(2, "success", sha="fff")], 0),
+    "always red": ([job(1, "failure"), job(2, "failure")], 0),
+    "always green": ([job(1, "success"), job(2, "success")], 0),
+    "cancelled says nothing": ([job(1, "failure"), job(2, "cancelled")], 0),
+    "skipped says nothing": ([job(1, "success"), job(2, "skipped")], 0),
+    "a timeout is a failure": ([job(1, "timed_out"), job(2, "success")], 1),
+    "another job": ([job(1, "failure"), job(2, "success", name="lint")], 0),
+    "another workflow": ([job(1, "failure"), job(2, "success", file="nightly.yml")], 0),
+    "one attempt": ([job(1, "failure")], 0),
+    "nothing": ([], 0),
+    "no commit": ([job(1, "failure", sha=""), job(2, "success", sha="")], 0),
+    "no job name": ([job(1, "failure", name=""), job(2, "success", name="")], 0),
+    "no workflow is allowed": ([job(1, "failure", file=""), job(2, "success", file="")], 1),
+    "null workflow equals an empty one": ([job(1, "failure", file=None), job(2, "success", file="")], 1),
+    "an unknown conclusion": ([job(1, "failure"), job(2, "neutral")], 0),
+}
+
+
+@pytest.mark.parametrize("case", TRUTH)
+def test_truth_table(spark, case):
+    jobs, flaky = TRUTH[case]
+    assert d.detect(frame(spark, *jobs)).count() == flaky
+
+
+def test_rate_attributes_and_primary_failure(spark):
+    jobs = frame(
+        spark,
+        job(3, "failure", branch="late", workflow="Late"),
+        job(1, "success", branch="first", workflow="First"),
+        job(2, "failure"),
+        job(4, "cancelled"),
+    )
+    row = d.detect(jobs).first()
+    assert (row.total_attempts, row.failed_runs, row.passed_runs) == (3, 2, 1)
+    assert row.failure_rate == pytest.approx(2 / 3)
+    assert (row.branch, row.workflow_name) == ("first", "First")
+    assert (row.primary_failure.job_id, row.last_pass_url) == (9003, "https://ci/1")
+
+
+def test_ties_and_missing_times_order_by_ids(spark):
+    jobs = frame(
+        spark,
+        job(5, "failure", minute=0, branch="five"),
+        job(4, "success", minute=0, branch="four"),
+        job(9, "failure", minute="none", branch="zero time"),
+    )
+    row = d.detect(jobs).first()
+    assert row.branch == "zero time"
+    assert row.primary_failure.job_id == 9005
+
+
+def test_min_attempts_is_at_least_two(spark):
+    jobs = frame(spark, job(1, "failure"), job(2, "success"))
+    assert d.detect(jobs, 0).count() == 1
+    assert d.detect(jobs, 3).count() == 0
+
+
+def test_ids_are_stable_and_separate_parts(spark):
+    jobs = frame(
+        spark,
+        *[job(i, c, sha=s, name=n) for i, (c, s, n) in enumerate(
+            [("failure", "ab", "c"), ("success", "ab", "c"), ("failure", "a", "bc"), ("success", "a", "bc")]
+        )],
+    )
+    ids = {r.job_name: r.id for r in d.detect(jobs).collect()}
+    assert len(set(ids.values())) == 2
+    assert ids["c"] == hashlib.sha256(b"ab\0ci.yml\0c\0").hexdigest()[:12]
+
+
+def test_input_order_does_not_matter(spark):
+    jobs = [job(i, c, sha=f"s{i % 7}") for i, c in enumerate(["failure", "success", "timed_out"] * 14)]
+    one = d.ranked_occurrences(d.detect(frame(spark, *jobs))).collect()
+    two = d.ranked_occurrences(d.detect(frame(spark, *reversed(jobs)).repartition(3))).collect()
+    assert one == two and len(one) == 7
+
+
+def test_ranking(spark):
+    jobs = frame(
+        spark,
+        *[job(i, c, name="b") for i, c in enumerate(["failure", "success"])],
+        *[job(i, c, name="a") for i, c in enumerate(["failure", "success"])],
+        *[job(i, c, name="z") for i, c in enumerate(["failure", "failure", "success"])],
+    )
+    assert [r.job_name for r in d.ranked_occurrences(d.detect(jobs)).collect()] == ["z", "a", "b"]
+
+
+def test_runs_are_rows_in_time_order(spark):
+    jobs = frame(spark, job(3, "success"), job(2, "failure"), job(1, "timed_out"), job(7, "success", sha="other"))
+    rows = d.ordered_runs(d.occurrence_runs(jobs, d.detect(jobs))).collect()
+    assert [(r.outcome, r.job_id) for r in rows] == [("failed", 9001), ("failed", 9002), ("passed", 9003)]
+
+
+def test_a_hot_signature_is_one_combined_row(spark):
+    hot = spark.range(30000).select(
+        F.col("id").alias("run_id"), F.lit(1).alias("run_attempt"), F.col("id").alias("job_id"),
+        F.lit("hot").alias("job_name"), F.lit("CI").alias("workflow_name"), F.lit("ci.yml").alias("workflow_file"),
+        F.lit("sha").alias("head_sha"), F.lit("main").alias("branch"),
+        F.when(F.col("id") % 3 == 0, "failure").otherwise("success").alias("conclusion"),
+        F.timestamp_seconds("id").alias("started_at"), F.lit("u").alias("url"),
+    )
+    occurrences = d.detect(hot)
+    row = occurrences.first()
+    assert (row.total_attempts, row.failed_runs, row.primary_failure.job_id) == (30000, 10000, 29997)
+    plan = occurrences._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "collect_list" not in plan
+    assert d.occurrence_runs(hot, occurrences).count() == 30000
+
+
+def test_summary_counts_indecisive_rows_too(spark):
+    jobs = frame(spark, job(1, "failure"), job(2, "success"), job(3, "skipped", sha="x"), job(4, "success", sha=""))
+    _, summary = scan(jobs)
+    assert summary.first().asDict() == {
+        "total_jobs": 4, "distinct_commits": 2, "flaky_occurrences": 1, "affected_jobs": 1, "mean_failure_rate": 0.5
+    }
+    _, empty = scan(jobs.limit(0))
+    assert tuple(empty.first()) == (0, 0, 0, 0, 0.0)
+
+
+def test_scan_table_rounds_half_to_even(spark):
+    jobs = [job(i, "failure" if i == 0 else "success") for i in range(8)]
+    row = d.scan_table(d.detect(frame(spark, *jobs))).first()
+    assert (row["commit"], row["fail_rate"], row["attempts"]) == ("abc1234", "12%", 8)
+
+
+def test_workflow_filter(spark):
+    jobs = frame(spark, job(1, "failure"), job(2, "success"), job(3, "failure", file="x.yml"))
+    assert j.for_workflow(jobs, "x.yml").count() == 1
+    assert j.for_workflow(jobs).count() == 3
