@@ -144,9 +144,7 @@ def parsed_response(raw: Column | str) -> Column:
     def from_text(response: Column) -> Column:
         return let(
             F.instr(response, F.lit("{")),
-            lambda brace: F.when(response == "", _malformed("empty response"))
-            .when(brace == 0, _malformed("no JSON object found"))
-            .otherwise(
+            lambda brace: F.when(brace == 0, _malformed("no JSON object found")).otherwise(
                 let(
                     F.map_entries(
                         F.from_json(
@@ -158,7 +156,12 @@ def parsed_response(raw: Column | str) -> Column:
             ),
         )
 
-    return let(utrim(text_or_empty(raw)), lambda trimmed: let(_unfenced(trimmed), from_text))
+    return let(
+        utrim(text_or_empty(raw)),
+        lambda trimmed: F.when(trimmed == "", _malformed("empty response")).otherwise(
+            let(_unfenced(trimmed), from_text)
+        ),
+    )
 
 
 def parse_responses(responses: DataFrame, raw: str = "raw") -> DataFrame:
