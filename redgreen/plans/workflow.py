@@ -14,8 +14,9 @@ from redgreen.operators.classify import classify_by_rules
 from redgreen.operators.excerpt import ExcerptOptions, archive_excerpts
 from redgreen.operators.responses import merge_rounds, parse_responses, with_answers
 from redgreen.operators.verdicts import DEFAULT_FLOOR, settle
-from redgreen.sources.archives import locate_logs
+from redgreen.sources.archives import locate_logs, unzip_steps
 from redgreen.sources.jobs import for_workflow
+from redgreen.sources.tables import only_listed
 
 
 class Classifier(NamedTuple):
@@ -77,32 +78,38 @@ def _error(*causes: tuple[Column, Column]) -> Column:
 def classify_occurrences(
     occurrences: DataFrame,
     log_index: DataFrame,
-    steps: DataFrame,
+    logs: DataFrame,
     provider: Classifier,
     floor: float = DEFAULT_FLOOR,
     options: ExcerptOptions = ExcerptOptions(),
 ) -> DataFrame:
     """One item per occurrence; what fails carries ``error`` and the run goes on.
 
-    ``log_index`` is ``(job_id, log_archive)``, ``steps`` the unzipped step rows.
-    Detection comes first and its few archive names filter the step rows, so
-    logs of healthy jobs are neither scored nor cut; from there on only
-    excerpts, bounded by the budget, move between tasks.
+    ``log_index`` is ``(job_id, log_archive)``; ``logs`` are step rows, or
+    archives still zipped. Detection comes first and its few archive names
+    filter the logs where they are read, so those of healthy jobs are neither
+    moved, unzipped, scored nor cut; from there on only excerpts, bounded by
+    the budget, move between tasks. Pass landed occurrences: they are read twice.
     """
     failure = F.col("primary_failure")
     failing = occurrences.withColumns(
         {"job_id": failure["job_id"], "failing_url": failure["url"], "passing_url": F.col("last_pass_url")}
     )
     located = locate_logs(failing, log_index)
-    names = located.where(F.col("log_error").isNull()).select(F.col("log_archive").alias("archive")).distinct()
-    cut = archive_excerpts(steps.join(names, "archive", "left_semi"), options).select(
-        F.col("archive").alias("log_archive"),
+    names = located.where(F.col("log_error").isNull()).select(F.col("log_archive").alias("archive"))
+    wanted = only_listed(logs, names, ["archive"])
+    steps = unzip_steps(wanted) if "content" in logs.columns else wanted
+    # Occurrences without a log get a key of their own, so that they spread
+    # instead of meeting in one partition under an empty name.
+    key = F.when(F.col("log_error").isNull(), F.col("log_archive")).otherwise(F.concat(F.lit("\0"), "id"))
+    cut = archive_excerpts(steps, options).select(
+        F.col("archive").alias("key"),
         F.col("excerpt.step_name").alias("step_name"),
         F.col("excerpt.text").alias("excerpt"),
         F.col("excerpt.excerpt_bytes").alias("excerpt_len"),
         F.col("error").alias("extract_error"),
     )
-    answered = settle(provider.run(located.join(cut, "log_archive", "left")), floor)
+    answered = settle(provider.run(located.withColumn("key", key).join(cut, "key", "left").drop("key")), floor)
     unread = F.concat(F.lit("downloading log: reading archive "), "log_archive", F.lit(": not found"))
     error = _error(
         (failure.isNull(), F.lit("occurrence has no failing run")),

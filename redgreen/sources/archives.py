@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from redgreen.functions.logs import step_file, strip_stamps
 from redgreen.functions.text import text_or_empty
 from redgreen.schemas import STEP_LOG
+from redgreen.sources.tables import only_listed
 
 # Fixed value: an archive may expand to less than this many bytes.
 MAX_ARCHIVE_BYTES = 64 * 1024 * 1024
@@ -36,7 +37,7 @@ def unzip_steps(archives: DataFrame) -> DataFrame:
 
     # Nested, so that workers get the function itself and need no installed package.
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # One archive at a time: memory is bounded by the expansion cap, not the batch.
+        # Spark bounds a batch by bytes, and archives expand one at a time up to the cap.
         columns = ["archive", "job_dir", "entry_no", "entry_name", "raw_body", "error"]
         for batch in batches:
             for archive, content in zip(batch["archive"], batch["content"]):
@@ -91,7 +92,8 @@ def locate_logs(failures: DataFrame, index: DataFrame) -> DataFrame:
     smallest archive name, found by a map-side combined minimum.
     """
     archive = F.element_at(F.split(text_or_empty("log_archive"), "/"), -1)
-    listed = index.groupBy("job_id").agg(F.min(archive).alias("log_archive"), F.lit(True).alias("listed"))
+    wanted = only_listed(index, failures.where(F.col("job_id").isNotNull()), ["job_id"])
+    listed = wanted.groupBy("job_id").agg(F.min(archive).alias("log_archive"), F.lit(True).alias("listed"))
     found = failures.join(listed, "job_id", "left")
     error = F.when(
         F.col("listed").isNull(), F.concat(F.lit("no job with id "), F.col("job_id").cast("string"))

@@ -1,8 +1,9 @@
-"""How a table's splits meet the cores that work on them."""
+"""Spreading small tables over the cores, and keeping large ones from moving."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -14,3 +15,28 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+# A filter is 2,048 bitmaps of 32,768 bits: 8 MiB whatever the number of keys.
+BITMAP_BITS = 32768
+BITMAPS = 2048
+
+
+def only_listed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key occurs in ``keys``: an exact semi join that moves few of the other rows.
+
+    How many keys there are shows only at run time, so a plain semi join plans
+    a shuffle of the whole left side, here log texts of which almost none are
+    wanted. A bitmap over the keys' hashes has a fixed size and can always be
+    broadcast; rows it rules out stay where they were read. The semi join then
+    settles the few that share a bit with some key.
+    """
+    bit = F.pmod(F.xxhash64(*on), F.lit(BITMAP_BITS * BITMAPS))
+    place = {"_bucket": F.floor(bit / BITMAP_BITS).cast("int"), "_bit": (bit % BITMAP_BITS).cast("int")}
+    # Equal values of different types hash apart.
+    listed = keys.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in on]).distinct()
+    bitmaps = listed.withColumns(place).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+    byte = F.substring("_bitmap", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.col("_bit") % 8) == 1
+    possible = rows.withColumns(place).join(F.broadcast(bitmaps), "_bucket").where(is_set)
+    return possible.select(*rows.columns).join(listed, on, "left_semi")

@@ -13,7 +13,8 @@ from redgreen.sources import archives as ar
 from redgreen.sources import corpus as co
 from redgreen.sources import jobs as j
 from redgreen.sources import results as rs
-from redgreen.sources.tables import spread
+from redgreen.sources import tables
+from redgreen.sources.tables import only_listed, spread
 
 
 def fails(action):
@@ -237,3 +238,18 @@ def test_spread_leaves_large_tables_alone(spark):
     small, large = spark.range(10).coalesce(1), spark.range(0, 1000, 1, 64)
     assert spread(small, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(large, "id") is large
+
+
+def test_only_listed_is_an_exact_semi_join(spark, monkeypatch):
+    rows = spark.range(20000).select((F.col("id") % 5000).alias("a"), F.concat(F.lit("k"), F.col("id") % 7).alias("b"))
+    keys = rows.where("a % 61 = 3 and b <> 'k2'").select("a", "b").unionByName(
+        spark.createDataFrame([(-1, "none"), (None, "k1")], "a long, b string")
+    )
+    want = rows.join(keys.distinct(), ["a", "b"], "left_semi").groupBy("a", "b").count()
+    for bitmaps in (tables.BITMAPS, 1):
+        monkeypatch.setattr(tables, "BITMAPS", bitmaps)
+        monkeypatch.setattr(tables, "BITMAP_BITS", 32768 if bitmaps > 1 else 64)
+        got = only_listed(rows, keys, ["a", "b"])
+        assert got.columns == rows.columns
+        assert sorted(got.groupBy("a", "b").count().collect()) == sorted(want.collect())
+    assert only_listed(rows, keys.limit(0), ["a", "b"]).count() == 0

@@ -47,8 +47,8 @@ def write_fixture(folder):
 def classified(spark, folder, provider, floor=0.5):
     jobs = j.read_jobs(spark, str(folder / "runs.json"))
     occurrences, _ = w.scan(jobs)
-    steps = ar.unzip_steps(ar.read_archives(spark, str(folder)))
-    return w.classify_occurrences(occurrences, jobs.select("job_id", "log_archive"), steps, provider, floor)
+    archives = ar.read_archives(spark, str(folder))
+    return w.classify_occurrences(occurrences, jobs.select("job_id", "log_archive"), archives, provider, floor)
 
 
 def test_scan_to_report(spark, tmp_path):
