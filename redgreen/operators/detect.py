@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redgreen.functions.text import percent, short_commit, short_hash, text_or_empty
-from redgreen.sources.tables import only_listed
 
 # Conclusions that say something about the code.
 DECISIVE = ["success", "failure", "timed_out"]
@@ -74,13 +73,12 @@ def detect(jobs: DataFrame, min_attempts: int = MIN_ATTEMPTS) -> DataFrame:
 def occurrence_runs(jobs: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Failed and passed runs of every occurrence, one row per attempt.
 
-    Runs of other signatures are dropped where they are read. The id is a hash
-    of the signature, so nothing but membership is needed from the occurrences,
-    and a hot signature skews only the job side, which adaptive execution
-    splits. Sort with ``ordered_runs`` where the order has to show.
+    The id is a hash of the signature, so nothing but membership is needed from
+    the occurrences. A hot signature skews only the job side, which adaptive
+    execution splits. Sort with ``ordered_runs`` where the order has to show.
     """
     outcome = F.when(passed(), F.lit("passed")).otherwise(F.lit("failed"))
-    return only_listed(decisive_jobs(jobs), occurrences, SIGNATURE).select(
+    return decisive_jobs(jobs).join(occurrences.select(*SIGNATURE), SIGNATURE, "left_semi").select(
         short_hash(*SIGNATURE).alias("id"),
         outcome.alias("outcome"),
         *["run_id", "run_attempt", "job_id", "conclusion", "started_at", "url"],

@@ -29,7 +29,8 @@ def only_listed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     a shuffle of the whole left side, here log texts of which almost none are
     wanted. A bitmap over the keys' hashes has a fixed size and can always be
     broadcast; rows it rules out stay where they were read. The semi join then
-    settles the few that share a bit with some key.
+    settles the few that share a bit with some key. It is written as a join
+    with distinct keys, since a semi join would be pushed below the filter.
     """
     bit = F.pmod(F.xxhash64(*on), F.lit(BITMAP_BITS * BITMAPS))
     place = {"_bucket": F.floor(bit / BITMAP_BITS).cast("int"), "_bit": (bit % BITMAP_BITS).cast("int")}
@@ -39,4 +40,4 @@ def only_listed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     byte = F.substring("_bitmap", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))
     is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.col("_bit") % 8) == 1
     possible = rows.withColumns(place).join(F.broadcast(bitmaps), "_bucket").where(is_set)
-    return possible.select(*rows.columns).join(listed, on, "left_semi")
+    return possible.join(listed, on).select(*rows.columns)
