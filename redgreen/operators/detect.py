@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ def decisive_jobs(jobs: DataFrame) -> DataFrame:
     return kept.withColumn("workflow_file", text_or_empty("workflow_file"))
 
 
-def detect(jobs: DataFrame, min_attempts: int = MIN_ATTEMPTS) -> DataFrame:
-    """One row per flaky occurrence.
+def detect(jobs: DataFrame, min_attempts: int = MIN_ATTEMPTS, by: Sequence[str] = ()) -> DataFrame:
+    """One row per flaky occurrence, within each value of ``by`` (say the repository).
 
     A single shuffle on the signature. Every aggregate combines map-side into
     one fixed-size buffer, so a signature holding a third of all attempts costs
@@ -42,7 +44,7 @@ def detect(jobs: DataFrame, min_attempts: int = MIN_ATTEMPTS) -> DataFrame:
     """
     failed_run = F.when(~passed(), F.struct(*ATTEMPT_ORDER, "conclusion", "url"))
     passed_run = F.when(passed(), F.struct(*ATTEMPT_ORDER, "url"))
-    groups = decisive_jobs(jobs).groupBy(*SIGNATURE).agg(
+    groups = decisive_jobs(jobs).groupBy(*by, *SIGNATURE).agg(
         F.count(F.lit(1)).alias("total_attempts"),
         F.count_if(~passed()).alias("failed_runs"),
         F.min(F.struct(*ATTEMPT_ORDER, "branch", "workflow_name")).alias("first"),
@@ -55,6 +57,7 @@ def detect(jobs: DataFrame, min_attempts: int = MIN_ATTEMPTS) -> DataFrame:
         & (F.col("failed_runs") < F.col("total_attempts"))
     )
     return flaky.select(
+        *by,
         short_hash(*SIGNATURE).alias("id"),
         "head_sha",
         "first.branch",
@@ -70,7 +73,7 @@ def detect(jobs: DataFrame, min_attempts: int = MIN_ATTEMPTS) -> DataFrame:
     )
 
 
-def occurrence_runs(jobs: DataFrame, occurrences: DataFrame) -> DataFrame:
+def occurrence_runs(jobs: DataFrame, occurrences: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Failed and passed runs of every occurrence, one row per attempt.
 
     The id is a hash of the signature, so nothing but membership is needed from
@@ -78,7 +81,9 @@ def occurrence_runs(jobs: DataFrame, occurrences: DataFrame) -> DataFrame:
     execution splits. Sort with ``ordered_runs`` where the order has to show.
     """
     outcome = F.when(passed(), F.lit("passed")).otherwise(F.lit("failed"))
-    return decisive_jobs(jobs).join(occurrences.select(*SIGNATURE), SIGNATURE, "left_semi").select(
+    keys = [*by, *SIGNATURE]
+    return decisive_jobs(jobs).join(occurrences.select(*keys), keys, "left_semi").select(
+        *by,
         short_hash(*SIGNATURE).alias("id"),
         outcome.alias("outcome"),
         *["run_id", "run_attempt", "job_id", "conclusion", "started_at", "url"],
@@ -104,26 +109,24 @@ def primary_failures(occurrences: DataFrame) -> DataFrame:
     return occurrences.select("id", "job_name", *failure)
 
 
-def summarise(jobs: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """One row of totals; counts every job row, decisive or not.
+def summarise(jobs: DataFrame, occurrences: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row of totals per value of ``by``; counts every job row, decisive or not.
 
     Two global aggregates of one row each meet in a union, not a join.
     """
-    scanned = jobs.agg(
+    scanned = jobs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_jobs"),
         F.countDistinct(F.nullif("head_sha", F.lit(""))).alias("distinct_commits"),
     )
-    flaky = occurrences.agg(
+    flaky = occurrences.groupBy(*by).agg(
         F.count(F.lit(1)).alias("flaky_occurrences"),
         F.countDistinct("job_name").alias("affected_jobs"),
         F.avg("failure_rate").alias("mean_failure_rate"),
     )
     both = scanned.unionByName(flaky, allowMissingColumns=True)
-    return both.agg(
-        F.max("total_jobs").alias("total_jobs"),
-        F.max("distinct_commits").alias("distinct_commits"),
-        F.max("flaky_occurrences").alias("flaky_occurrences"),
-        F.max("affected_jobs").alias("affected_jobs"),
+    counts = ["total_jobs", "distinct_commits", "flaky_occurrences", "affected_jobs"]
+    return both.groupBy(*by).agg(
+        *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts],
         F.coalesce(F.max("mean_failure_rate"), F.lit(0.0)).alias("mean_failure_rate"),
     )
 

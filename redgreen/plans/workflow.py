@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -61,11 +61,13 @@ def classifier(name: str, **landed: DataFrame | str) -> Classifier:
     raise ValueError(f"unknown classifier {name!r} (want one of: deterministic, responses)")
 
 
-def scan(jobs: DataFrame, workflow_file: str = "", min_attempts: int = d.MIN_ATTEMPTS) -> tuple[DataFrame, DataFrame]:
+def scan(
+    jobs: DataFrame, workflow_file: str = "", min_attempts: int = d.MIN_ATTEMPTS, by: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """``(occurrences, summary)`` of the job rows given."""
     kept = for_workflow(jobs, workflow_file)
-    occurrences = d.detect(kept, min_attempts)
-    return occurrences, d.summarise(kept, occurrences)
+    occurrences = d.detect(kept, min_attempts, by)
+    return occurrences, d.summarise(kept, occurrences, by)
 
 
 def _error(*causes: tuple[Column, Column]) -> Column:

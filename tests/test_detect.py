@@ -155,3 +155,15 @@ def test_workflow_filter(spark):
     jobs = frame(spark, job(1, "failure"), job(2, "success"), job(3, "failure", file="x.yml"))
     assert j.for_workflow(jobs, "x.yml").count() == 1
     assert j.for_workflow(jobs).count() == 3
+
+
+def test_repositories_apart(spark):
+    one = frame(spark, job(1, "failure"), job(2, "success"), job(3, "failure")).withColumn("repo", F.lit("a"))
+    two = frame(spark, job(1, "failure"), job(2, "failure")).withColumn("repo", F.lit("b"))
+    jobs = one.unionByName(two)
+    occurrences, summary = scan(jobs, by=["repo"])
+    assert [(r.repo, r.total_attempts) for r in occurrences.collect()] == [("a", 3)]
+    totals = {r.repo: (r.total_jobs, r.flaky_occurrences, r.mean_failure_rate) for r in summary.collect()}
+    assert totals == {"a": (3, 1, pytest.approx(2 / 3)), "b": (2, 0, 0.0)}
+    assert {r.repo for r in d.occurrence_runs(jobs, occurrences, ["repo"]).collect()} == {"a"}
+    assert d.detect(jobs).first().total_attempts == 5
