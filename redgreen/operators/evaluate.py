@@ -160,9 +160,9 @@ def scores(outcomes: DataFrame, provider: str, model: str, baseline: bool) -> Da
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("expected", F.map_entries("predictions").alias("e"))))).alias("m")
     ).select(F.transform_values("m", lambda _, e: F.map_from_entries(e)).alias("confusion"))
     header = {"provider": F.lit(provider), "model": F.lit(model), "baseline": F.lit(baseline)}
-    one = F.lit(1).alias("one")
-    joined = totals(table).select("*", one).join(listed.select("*", one), "one").join(matrix.select("*", one), "one")
-    return joined.drop("one").withColumns(header)
+    # One row each: a union and an aggregate instead of a join without a key.
+    parts = totals(table).unionByName(listed, allowMissingColumns=True).unionByName(matrix, allowMissingColumns=True)
+    return parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns]).withColumns(header)
 
 
 def case_listing(outcomes: DataFrame) -> DataFrame:

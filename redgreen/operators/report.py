@@ -10,7 +10,7 @@ the lines in order across as many files as the data needs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -423,8 +423,8 @@ def in_reading_order(lines: DataFrame) -> DataFrame:
 def write_report(
     items: DataFrame, header: Header, path: str, fmt: str = "markdown", window_days: int = 7
 ) -> None:
-    """Text files whose name order is reading order; ``json`` writes the items themselves."""
+    """Text files whose name order is reading order; ``json`` writes the items under the header's columns."""
     if fmt == "json":
-        items.write.mode("errorifexists").json(path)
+        items.withColumns({k: F.lit(v) for k, v in asdict(header).items()}).write.mode("errorifexists").json(path)
     else:
         in_reading_order(report_lines(items, header, fmt, window_days)).write.mode("errorifexists").text(path)

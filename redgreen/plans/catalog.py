@@ -98,8 +98,13 @@ def recent_runs_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def attempt_flattening(spark: SparkSession, sf: str) -> DataFrame:
-    attempts = j.every_attempt(a.runs(spark, sf))
-    return j.jobs_of_attempts(a.job_results(spark, sf), attempts).select("run_id", "run_attempt", "job_id")
+    jobs = j.jobs_of_every_attempt(a.job_results(spark, sf), a.runs(spark, sf))
+    return jobs.select("run_id", "run_attempt", "job_id")
+
+
+@query
+def every_attempt(spark: SparkSession, sf: str) -> DataFrame:
+    return j.every_attempt(a.runs(spark, sf)).select("run_id", "run_attempt")
 
 
 # Sources

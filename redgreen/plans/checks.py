@@ -120,6 +120,9 @@ CHECKS["attempt_flattening"] = with_ctes(
     """select run_id, run_attempt, job_id from jobs
 where run_attempt between 1 and greatest(run_id % 7, 1)""",
 )
+CHECKS["every_attempt"] = """
+select o_orderkey as run_id, cast(unnest(range(1, greatest(o_orderkey % 7, 1) + 1)) as integer) as run_attempt
+from orders"""
 
 CHECKS["timestamp_normalise"] = """
 select event_id,

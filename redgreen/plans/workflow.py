@@ -50,14 +50,20 @@ def from_responses(name: str, model: str, first: DataFrame, second: DataFrame) -
     return Classifier(name, model, run)
 
 
-def classifier(name: str, **landed: DataFrame | str) -> Classifier:
-    """``deterministic``, or ``responses`` over landed tables; any other name is an error."""
+def classifier(
+    name: str,
+    first: DataFrame | None = None,
+    second: DataFrame | None = None,
+    provider: str = "responses",
+    model: str = "",
+) -> Classifier:
+    """``deterministic``, or ``responses`` over two landed rounds; any other name is an error."""
     if name == "deterministic":
         return deterministic()
     if name == "responses":
-        return from_responses(
-            str(landed.get("provider", "responses")), str(landed.get("model", "")), landed["first"], landed["second"]
-        )
+        if first is None or second is None:
+            raise ValueError("responses needs the tables of both rounds")
+        return from_responses(provider, model, first, second)
     raise ValueError(f"unknown classifier {name!r} (want one of: deterministic, responses)")
 
 

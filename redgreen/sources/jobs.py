@@ -122,6 +122,13 @@ def every_attempt(runs: DataFrame) -> DataFrame:
     return runs.withColumn("run_attempt", F.explode(attempts))
 
 
-def jobs_of_attempts(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Jobs of the listed (run, attempt) pairs."""
-    return jobs.join(attempts.select("run_id", "run_attempt"), ["run_id", "run_attempt"], "left_semi")
+def jobs_of_every_attempt(jobs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Jobs of every attempt of the listed runs.
+
+    The same as joining ``every_attempt``, but the range condition stands in
+    for the exploded rows, so runs are not multiplied before they shuffle.
+    """
+    latest = F.greatest(F.coalesce("run_attempt", F.lit(1)), F.lit(1))
+    listed = runs.select(F.col("run_id").alias("listed_run"), latest.alias("latest"))
+    made = (F.col("run_id") == F.col("listed_run")) & F.col("run_attempt").between(F.lit(1), F.col("latest"))
+    return jobs.join(listed, made, "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from redgreen.operators import detect as d
 from redgreen.operators import evaluate as ev
+from redgreen.operators import report as rp
 from redgreen.plans import workflow as w
 from redgreen.sources import archives as ar
 from redgreen.sources import corpus as co
@@ -102,6 +103,9 @@ def test_windows_and_caps(spark, tmp_path):
     assert [r.run_id for r in j.newest_runs(runs, 2).collect()] == [2, 3]
     attempts = sorted((r.run_id, r.run_attempt) for r in j.every_attempt(runs).collect())
     assert attempts == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (4, 1)]
+    jobs = spark.range(1, 5).crossJoin(spark.range(0, 5)).toDF("run_id", "run_attempt")
+    joined = j.jobs_of_every_attempt(jobs, runs).collect()
+    assert sorted((r.run_id, r.run_attempt) for r in joined) == attempts
     for bad in (lambda: j.within_days(runs, date(2026, 3, 8), 0), lambda: j.newest_runs(runs, 0)):
         with pytest.raises(ValueError):
             bad()
@@ -253,3 +257,29 @@ def test_only_listed_is_an_exact_semi_join(spark, monkeypatch):
         assert got.columns == rows.columns
         assert sorted(got.groupBy("a", "b").count().collect()) == sorted(want.collect())
     assert only_listed(rows, keys.limit(0), ["a", "b"]).count() == 0
+
+
+def test_nested_classified_document(spark, tmp_path):
+    occurrence = {
+        "id": "o1", "head_sha": "abc1234def", "branch": "main", "workflow_name": "CI", "workflow_file": "ci.yml",
+        "job_name": "unit", "failed_runs": [job(1, url="https://fail")], "passed_runs": [job(2, "success")],
+        "total_attempts": 2, "failure_rate": 0.5,
+    }
+    verdict = {"category": "infra_flake", "confidence": 0.8, "explanation": "Gone. Really.", "cited_lines": ["x"], "suggested_mitigation": "m"}
+    zero = {"category": "", "confidence": 0, "explanation": "", "cited_lines": None, "suggested_mitigation": ""}
+    document = {
+        "repo": "acme/x", "source": "s", "generated_at": "2026-01-03T00:00:00Z", "provider": "p", "model": "m", "baseline": False,
+        "items": [
+            {"occurrence": occurrence, "verdict": verdict, "step_name": "Run", "excerpt_len": 9},
+            {"occurrence": {**occurrence, "id": "o2"}, "verdict": zero, "step_name": "", "excerpt_len": 0, "error": "downloading log: gone"},
+        ],
+    }
+    path = tmp_path / "classified.json"
+    path.write_text(json.dumps(document, indent=2))
+    items = rs.read_classified_document(spark, str(path))
+    lines = [x.line for x in rp.in_reading_order(rp.report_lines(items, rp.Header("acme/x", "s", datetime(2026, 1, 3), "p", "m", False))).collect()]
+    assert "1 flaky occurrence(s) classified." in lines and "### `unit` — Infrastructure flake" in lines
+    assert "[Failing run](https://fail) · [Passing rerun](u2)" in lines
+    assert lines[-4:-1] == ["### `unit` — ", "", "> Classification failed: downloading log: gone"]
+    rp.write_report(items.select("id", "verdict", "error"), rp.Header("acme/y", "s", datetime(2026, 1, 3), "p", "m", False), str(tmp_path / "out"), "json")
+    assert {r.repo for r in spark.read.json(str(tmp_path / "out")).collect()} == {"acme/y"}
