@@ -69,8 +69,6 @@ def strip_stamps(body: Column | str) -> Column:
     return F.when(F.octet_length(body) == F.length(body), F.regexp_replace(body, _STAMP, "")).otherwise(through_bytes)
 
 
-
-
 def step_file(base: Column | str) -> Column:
     """``3_Run tests.txt`` to ``struct(step_order 3, step_name 'Run tests')``.
 

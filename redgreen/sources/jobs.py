@@ -22,9 +22,13 @@ _KEYS = ["job_name", "workflow_name", "workflow_file", "head_sha", "branch", "co
 
 
 def parse_time(c: Column | str) -> Column:
-    """Timestamp of an accepted layout; null for '' and for anything else."""
+    """Timestamp of an accepted layout; null for '' and for anything else.
+
+    A text without a zone is UTC whatever the session's zone.
+    """
     c = col(c)
-    return F.when(F.rlike(c, F.lit(TIMESTAMP_LAYOUTS)), F.try_to_timestamp(F.replace(c, F.lit(","), F.lit("."))))
+    zoned = F.when(F.rlike(c, F.lit(r"(Z|[+-]\d{2}:\d{2})$")), c).otherwise(F.concat(c, F.lit("Z")))
+    return F.when(F.rlike(c, F.lit(TIMESTAMP_LAYOUTS)), F.try_to_timestamp(F.replace(zoned, F.lit(","), F.lit("."))))
 
 
 def bad_time(c: Column | str) -> Column:

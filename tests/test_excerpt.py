@@ -129,3 +129,16 @@ def test_unreadable_archive_keeps_its_error(spark):
     row = archive_excerpts(broken.unionByName(steps(spark, ("ok", ".", 1, "Run", "x")))).orderBy("archive").collect()
     assert (row[0].excerpt, row[0].error) == (None, "opening log archive: x")
     assert row[1].excerpt.text == "x" and row[1].error is None
+
+
+def test_a_hot_archive_is_combined_where_it_lies(spark):
+    rows = spark.range(20000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("a"), F.col("id").cast("string"))).alias("archive"),
+        F.lit(".").alias("job_dir"), F.col("id").alias("step_order"), F.lit("Run").alias("step_name"),
+        F.lit(0).alias("entry_no"),
+        F.when(F.col("id") % 1000 == 7, F.lit("panic: x")).otherwise(F.lit("error: y")).alias("body"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    got = {r.archive: r.excerpt.text for r in archive_excerpts(rows).where("archive in ('hot', 'a3')").collect()}
+    assert got == {"hot": "panic: x", "a3": "error: y"}
+    assert failing_step(rows).where("archive = 'hot'").first().step_order == 19007

@@ -42,6 +42,15 @@ def test_times(value, text, parsed):
     assert value(j.bad_time("x"), x=text) is False
 
 
+def test_times_without_a_zone_are_utc_in_any_session(spark, value):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert value(F.unix_seconds(j.parse_time("x")), x="1970-01-01 00:00:05") == 5
+        assert value(F.unix_seconds(j.parse_time("x")), x="1970-01-01T01:00:05+01:00") == 5
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize("text", ["2026-08", "yesterday", "2026-08-18 09:14:00Z", "2026-13-01T00:00:00Z", "09:14:00"])
 def test_bad_times(value, text):
     assert value(j.bad_time("x"), x=text) is True
