@@ -23,12 +23,9 @@ def test_no_query_pairs_rows_without_a_key(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "collect_list" not in text or name == "eval_scores"
-    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
-
-
-def test_python_runs_only_to_unzip(spark):
-    with_python = [n for n in QUERIES if "MapInPandas" in plan(QUERIES[n](spark, SF_DIR))]
-    assert with_python == ["archive_ingest"]
+    # Python runs only to unzip.
+    assert "EvalPython" not in text
+    assert ("MapInPandas" in text) == (name == "archive_ingest")
 
 
 def test_detection_shuffles_once(spark):
