@@ -1,15 +1,88 @@
-"""The corpus pipeline: documents through the stages of ``STAGES``, in order."""
+"""The corpus pipeline: documents through the stages of ``STAGES``, in order.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one
+before it kept; all but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from redgreen.llm import bpe, minhash, mixing, passages, quality
+from redgreen.llm.queries import RANKS, mixture_weights, source_domain
+from redgreen.llm.support import durable
+
+# Bytes of a passage that may stand in one place only; fifty words of prose are some 300.
+PASSAGE_BYTES = 256
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from labelled documents that are not held out."""
+    weights = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, weights, least=0.3)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest id, and of rows that share it one.
+
+    Documents without words or without an id stay.
+    """
+    found = durable(minhash.near_duplicates(docs, words=5, percent=80), "near")
+    gone = found.where("not kept").select("doc_id").distinct()
+    ids = durable(gone, "dropped")
+    left = docs.join(minhash.few(ids), "doc_id", "left_anti").select(*docs.columns)
+    twice = durable(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return left
+    # Only rows of repeated ids are lined up.
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    same = left.join(minhash.few(twice), "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return left.join(minhash.few(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(same.select(*docs.columns))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand in several places; ``n_chars`` follows the text.
+
+    Characters of which a part is cut off go too. A document may end up empty.
+    """
+    done = passages.remove_repeats(docs, PASSAGE_BYTES, kept_col="_kept")
+    changed = F.col("_kept.n_removed") > 0
+    text = F.when(changed, passages.whole_characters("_kept.kept")).otherwise(F.col("text"))
+    done = done.withColumn("text", text)
+    return done.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Nine tenths of the tokens, dealt to sources by weight; a document comes once per epoch that takes it."""
+    chosen = mixing.mix(docs, source_domain(), mixing.word_tokens(F.col("text")), mixture_weights(), fraction=0.9, max_epochs=2)
+    return chosen.select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and digests of them and of the bytes they decode to."""
+    done = docs.withColumn("_t", bpe.round_tripper(spark, RANKS, public_tokenizers.PATTERN)("text")).drop("text")
+    return done.withColumns({
+        "ids": F.col("_t.ids"), "n_tokens": F.size("_t.ids").cast("long"), "ids_sha256": bpe.ids_digest(F.col("_t.ids")),
+        "decoded_sha256": F.sha2("_t.decoded", 256),
+    }).drop("_t")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+# A trained classifier and repeated strings are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is a table of its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,11 +26,11 @@ from redgreen.llm.support import pick, ship
 
 # Longest piece that is merged in a matrix, in bytes. Longer ones give the same ids through a heap.
 MATRIX_BYTES = 512
-# Bytes in one matrix, and remembered pieces per worker: memory bounds that change no result.
+# Bytes in one matrix, and remembered words and pieces per worker: memory bounds that change no result.
 MATRIX_CELLS = 1 << 21
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
-NONE = np.int64(1) << 40
+NONE = np.int32((1 << 31) - 1)
 # Pieces of one matrix differ in length by at most a quarter.
 BUCKETS = [n if n < 8 else -int(np.ceil(np.log(n) / np.log(1.25))) for n in range(1, MATRIX_BYTES + 1)]
 BUCKETS.insert(0, 0)
@@ -53,11 +53,11 @@ class PairTable:
                 if left is not None and right is not None:
                     pairs.append((left << 32 | right, rank))
         keys = np.array([p[0] for p in pairs], dtype=np.uint64)
-        values = np.array([p[1] for p in pairs], dtype=np.int64)
+        values = np.array([p[1] for p in pairs], dtype=np.int32)
         self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(max(len(pairs), 1) * 3)))))
         self.mask = np.uint64((1 << (64 - int(self.shift))) - 1)
         self.keys = np.full(int(self.mask) + 1, np.uint64(0xFFFFFFFFFFFFFFFF), dtype=np.uint64)
-        self.values = np.full(int(self.mask) + 1, NONE, dtype=np.int64)
+        self.values = np.full(int(self.mask) + 1, NONE, dtype=np.int32)
         left = np.arange(len(keys))
         place = self.slot(keys)
         while len(left):  # all keys probe at once; of those that meet in a free slot one stays
@@ -73,7 +73,7 @@ class PairTable:
     def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, ``NONE`` where they do not merge (an id below zero is padding)."""
         keys = (left.astype(np.uint64) << np.uint64(32)) | (right.astype(np.uint64) & np.uint64(0xFFFFFFFF))
-        out = np.full(keys.shape, NONE, dtype=np.int64)
+        out = np.full(keys.shape, NONE, dtype=np.int32)
         todo = np.flatnonzero((left >= 0) & (right >= 0))
         place = self.slot(keys[todo])
         while len(todo):
@@ -85,6 +85,24 @@ class PairTable:
         return out
 
 
+class Memory:
+    """What was computed lately: at most ``size`` entries, of which the unused half goes first."""
+
+    def __init__(self, size: int):
+        self.half = size // 2
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Make room, bring what is still known to the front, and name the rest."""
+        if len(self.new) > self.half:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        absent = [x for x in wanted if x not in new]
+        new.update((x, old[x]) for x in absent if x in old)
+        return [x for x in absent if x not in new]
+
+
 class Codec:
     """Encodes pieces and decodes ids by one vocabulary."""
 
@@ -94,10 +112,12 @@ class Codec:
         # A blank between two other blanks: only there can cutting a text before single blanks change its pieces.
         self.blanks = re.compile(r" (?<=\s )(?:\s|\Z)")
         self.pairs = PairTable(ranks)
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.pieces_of: dict[str, bytes] = {}  # 32-bit ids of a piece
-        self.words: dict[str, bytes] = {}  # and of a word with a blank before it
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.tokens = np.empty(max(ranks.values()) + 1, dtype=object)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.known = Memory(REMEMBERED)  # 32-bit ids of a piece
+        self.words = Memory(REMEMBERED)  # and of a word with a blank before it
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """32-bit ids of each piece."""
@@ -123,7 +143,7 @@ class Codec:
     def merge_matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         flat = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(len(pieces), width)
         lengths = np.array([len(p) for p in pieces])
-        ids = np.where(np.arange(width) < lengths[:, None], self.byte_ids[flat], -1)
+        ids = np.where(np.arange(width) < lengths[:, None], self.byte_ids[flat], np.int32(-1))
         out: list[bytes] = [b""] * len(pieces)
         rows = np.arange(len(pieces))
         ranks = self.pairs.get(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), width - 1)
@@ -141,16 +161,16 @@ class Codec:
             # Compaction: the merged id takes the left place, everything to the right moves up by one.
             width = ids.shape[1]
             line = np.arange(len(rows))
-            source = np.arange(width - 1) + (np.arange(width - 1) > at[:, None])
-            ids = np.take_along_axis(ids, source, axis=1)
+            right = np.arange(width - 1, dtype=at.dtype) > at[:, None]
+            ids = np.where(right, ids[:, 1:], ids[:, :-1])
             ids[line, at] = best
             lengths = lengths - 1
             if width == 2:
                 for row, value in zip(rows, ids[:, 0].tolist()):
                     out[row] = array("i", (value,)).tobytes()
                 break
-            source = np.arange(width - 2) + (np.arange(width - 2) >= at[:, None])
-            ranks = np.take_along_axis(ranks, source, axis=1)
+            right = np.arange(width - 2, dtype=at.dtype) >= at[:, None]
+            ranks = np.where(right, ranks[:, 1:], ranks[:, :-1])
             # Only the two pairs around the merged id are new.
             has_left = at > 0
             ranks[line[has_left], at[has_left] - 1] = self.pairs.get(ids[line[has_left], at[has_left] - 1], best[has_left])
@@ -194,6 +214,12 @@ class Codec:
             i = after[i]
         return array("i", out).tobytes()
 
+    def cut_word(self, word: str) -> list[str]:
+        """Pieces of a word behind a blank."""
+        if word.isalpha():  # the commonest kinds need no pattern
+            return [" " + word]
+        return self.pieces.findall(" " + word)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts."""
         whole: list[list[str]] = []
@@ -206,23 +232,18 @@ class Codec:
             else:
                 whole.append(self.pieces.findall(first))
                 blank.append(rest)
-        for memory in (self.pieces_of, self.words):
-            if len(memory) > REMEMBERED:
-                memory.clear()
         # Words repeat, so each is cut and merged once.
-        words, known = self.words, self.pieces_of
-        fresh = {w: self.pieces.findall(" " + w) for w in set().union(*blank) if w not in words}
-        wanted = set().union(*whole, *fresh.values())
-        wanted = [piece for piece in wanted if piece not in known]
-        known.update(zip(wanted, self.merge([piece.encode() for piece in wanted])))
-        piece, word = known.__getitem__, words.__getitem__
-        words.update((w, b"".join(map(piece, pieces))) for w, pieces in fresh.items())
+        fresh = {w: self.cut_word(w) for w in self.words.missing(set().union(*blank))}
+        wanted = self.known.missing(set().union(*whole, *fresh.values()))
+        self.known.new.update(zip(wanted, self.merge([piece.encode() for piece in wanted])))
+        piece, word = self.known.new.__getitem__, self.words.new.__getitem__
+        self.words.new.update((w, b"".join(map(piece, pieces))) for w, pieces in fresh.items())
         return [
             np.frombuffer(b"".join([*map(piece, x), *map(word, y)]), dtype=np.int32) for x, y in zip(whole, blank)
         ]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.tokens[ids].tolist())
 
 
 _CODECS: dict[tuple[int, str], Codec] = {}
@@ -241,11 +262,11 @@ def _codec(shared, pattern: str) -> Codec:
 GROUP_CHARS = 1 << 21
 
 
-def _groups(texts: list[str | None]) -> Iterator[list[str]]:
+def _groups(batch: pa.Array) -> Iterator[list[str]]:
     group: list[str] = []
     size = 0
-    for text in texts:
-        group.append(text or "")
+    for text in batch:
+        group.append(text.as_py() or "")
         size += len(group[-1])
         if size >= GROUP_CHARS:
             yield group
@@ -254,6 +275,12 @@ def _groups(texts: list[str | None]) -> Iterator[list[str]]:
         yield group
 
 
+def _listed(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    flat = np.concatenate(ids) if ids else np.array([], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
+
+
 def encoder(spark: SparkSession, ranks_path: str, pattern: str):
     """Column function: text to ``array<int>`` of token ids. A null or empty text has no tokens."""
     ship(spark)
@@ -265,10 +292,7 @@ def encoder(spark: SparkSession, ranks_path: str, pattern: str):
 
         codec = bpe._codec(shared, pattern)
         for batch in batches:
-            ids = [line for group in bpe._groups(batch.to_pylist()) for line in codec.encode(group)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.array([], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
+            yield bpe._listed([line for group in bpe._groups(batch) for line in codec.encode(group)])
 
     return encode
 
@@ -284,11 +308,33 @@ def decoder(spark: SparkSession, ranks_path: str, pattern: str):
 
         codec = bpe._codec(shared, pattern)
         for batch in batches:
-            yield pa.array([codec.decode(ids.as_py() or []) for ids in batch], type=pa.binary())
+            yield pa.array([codec.decode(np.array(ids.as_py() or [], dtype=np.int64)) for ids in batch], type=pa.binary())
 
     return decode
 
 
+def round_tripper(spark: SparkSession, ranks_path: str, pattern: str):
+    """Column function: text to ``struct<ids, decoded>``, encoded and decoded again in one pass of one worker."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from redgreen.llm import bpe
+
+        codec = bpe._codec(shared, pattern)
+        for batch in batches:
+            parts = []
+            for group in bpe._groups(batch):
+                ids = codec.encode(group)
+                decoded = pa.array([codec.decode(line) for line in ids], type=pa.binary())
+                parts.append(pa.StructArray.from_arrays([bpe._listed(ids), decoded], ["ids", "decoded"]))
+            kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return both
+
+
 def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """All columns and ``ids_col``: the token ids of the whole text.
 
@@ -313,11 +359,11 @@ def round_trip(documents: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     Null ids are kept as they are; other columns take no part.
     """
-    encoded = encode_documents(pick(documents, doc_id=id_col, text=text_col), ranks_path, pattern)
-    decoded = decode_documents(encoded.select("doc_id", "ids"), ranks_path, pattern)
-    return decoded.select(
+    rows = pick(documents, doc_id=id_col, text=text_col)
+    done = rows.select("doc_id", round_tripper(documents.sparkSession, ranks_path, pattern)("text").alias("t"))
+    return done.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.size("t.ids").cast("long").alias("n_tokens"),
+        ids_digest(F.col("t.ids")).alias("ids_sha256"),
+        F.sha2("t.decoded", 256).alias("decoded_sha256"),
     )

@@ -10,5 +10,51 @@ pairs as (select q.vec_id query_id, c.vec_id vec_id, cast(list_inner_product(q.e
     from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0),
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) r from pairs)
 select query_id, cast(r as integer) as rank, vec_id, score from ranked where r <= 20
+""",
+    "op4_minhash": r"""
+with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+        else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end s from words),
+sizes as (select doc_id, len(s) n from sets),
+items as (select doc_id, unnest(s) x from sets),
+common as (select a.doc_id a, b.doc_id b, count(*) c from items a join items b on a.x = b.x and a.doc_id < b.doc_id group by all),
+links as (select a, b from common join sizes p on a = p.doc_id join sizes q on b = q.doc_id where 100 * c >= 80 * (p.n + q.n - c)),
+edges as (select a u, b v from links union all select b, a from links),
+reach as (select doc_id u, doc_id v from documents union select r.u, e.v from reach r join edges e on r.v = e.u)
+select d.doc_id, n n_shingles, min(v) component_id, d.doc_id = min(v) kept
+from sizes d join reach on d.doc_id = u group by d.doc_id, n
+""",
+    "op5_mixing": r"""
+with docs as (select doc_id, coalesce(lang, '') lang, coalesce(source, '') source,
+        coalesce('d' || cast(try_cast(regexp_extract(coalesce(source, ''), '(\d+)$', 1) as int) % 3 as varchar), '') "domain",
+        coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) n from documents),
+leaves as (select "domain", lang, source, sum(n) tokens, sum(n) * 2 capacity from docs group by all),
+total as (select cast(floor(sum(tokens) * cast(0.6 as double)) as double) budget from leaves),
+d0 as (select "domain", cast(sum(capacity) as double) cap, budget,
+        cast(case "domain" when 'd0' then 5 when 'd1' then 3 when 'd2' then 2 else 1 end as double) w from leaves, total group by all),
+d1 as (select *, coalesce(sum(cap) over (order by cap / w, "domain" rows between unbounded preceding and 1 preceding), 0) before,
+        sum(w) over (order by cap / w, "domain" rows between current row and unbounded following) ws from d0),
+d2 as (select *, cap * ws <= (budget - before) * w as full_ from d1),
+d3 as (select "domain", case when full_ then cap else w * max(case when not full_ then (budget - before) / ws end) over () end budget from d2),
+l0 as (select "domain", lang, cast(sum(capacity) as double) cap, budget,
+        cast(case lang when 'en' then 4 when 'de' then 3 when 'fr' then 2 else 1 end as double) w from leaves join d3 using ("domain") group by all),
+l1 as (select *, coalesce(sum(cap) over (partition by "domain" order by cap / w, lang rows between unbounded preceding and 1 preceding), 0) before,
+        sum(w) over (partition by "domain" order by cap / w, lang rows between current row and unbounded following) ws from l0),
+l2 as (select *, cap * ws <= (budget - before) * w as full_ from l1),
+l3 as (select "domain", lang, case when full_ then cap else w * max(case when not full_ then (budget - before) / ws end) over (partition by "domain") end budget from l2),
+s0 as (select "domain", lang, source, tokens, cast(capacity as double) cap, budget,
+        cast(case source when 'src0' then 2 else 1 end as double) w from leaves join l3 using ("domain", lang)),
+s1 as (select *, coalesce(sum(cap) over (partition by "domain", lang order by cap / w, source rows between unbounded preceding and 1 preceding), 0) before,
+        sum(w) over (partition by "domain", lang order by cap / w, source rows between current row and unbounded following) ws from s0),
+s2 as (select *, cap * ws <= (budget - before) * w as full_ from s1),
+s3 as (select "domain", lang, source, tokens, cast(floor(case when full_ then cap
+        else w * max(case when not full_ then (budget - before) / ws end) over (partition by "domain", lang) end) as bigint) budget from s2 where tokens > 0),
+spend as (select "domain", lang, source, budget, cast(budget // tokens as bigint) whole, cast(budget % tokens as bigint) rest from s3),
+lined as (select docs.*, budget, whole, rest, sum(n) over (partition by "domain", lang, source
+        order by md5('17:' || whole || ':' || coalesce(cast(doc_id as varchar), '')), doc_id, n rows unbounded preceding) upto
+        from docs join spend using ("domain", lang, source)),
+taken as (select *, whole + case when upto <= rest then 1 else 0 end times from lined)
+select doc_id, "domain", lang, source, cast(unnest(range(0, times)) as bigint) epoch, n n_tokens, budget leaf_budget from taken
 """,
 }
