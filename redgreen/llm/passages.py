@@ -1,7 +1,7 @@
 """Removal of repeated passages, by prefix-free parsing of the corpus.
 
 A rolling hash of ``TRIGGER`` bytes picks the phrase starts: every window of
-``length`` bytes is assigned to the position, among its first half, where that
+``length`` bytes is assigned to the position, among its first five eighths, where that
 hash is smallest (the leftmost of equal ones). The choice depends on the
 window's own bytes only, so equal windows are parsed alike wherever they stand.
 Windows of one phrase start that follow each other form a run.
@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redgreen.llm.support import durable, pick, reread, ship
+from redgreen.llm.support import discard, durable, pick, reread, ship
 
 TRIGGER = 16
 # Bytes parsed at once: several documents, or one that is longer.
@@ -90,9 +90,14 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(backward[:n], forward[width - 1 : width - 1 + n]) & low).astype(np.int64)
 
 
+def width(length: int) -> int:
+    """How many of a window's first positions its phrase start is chosen from."""
+    return max(1, (length - TRIGGER) * 5 // 8)
+
+
 def parse(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """Runs of windows: text number, first and last start in the text, dictionary and class hash."""
-    reach = max(1, (length - TRIGGER) // 2)
+    reach = width(length)
     ends = np.cumsum([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     none = np.empty(0, dtype=np.int64)
@@ -154,27 +159,24 @@ def runs(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "k1 bigint, k2 bigint, lo bigint, hi bigint, word bigint, whole bigint")
 
 
-def windows(rows: DataFrame, length: int) -> DataFrame:
-    """``(k1, k2, p, unsure, hash)``: every window of the runs that come with a text."""
+def windows(rows: DataFrame, length: int, reach: int) -> DataFrame:
+    """``(hash, place, unsure)``: every window of the runs that come with a text; place = run number * reach + offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from redgreen.llm import passages as m
 
         for batch in batches:
-            for k1, k2, text, spans in zip(*batch.columns):
+            for text, spans in zip(*batch.columns):
                 data = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
                 hashes = m.Hashes(data)
-                parts = [(s["lo"], s["hi"], s["unsure"]) for s in spans.as_py()]
-                starts = np.concatenate([np.arange(lo, hi + 1) for lo, hi, _ in parts])
-                unsure = np.concatenate([np.full(hi - lo + 1, u) for lo, hi, u in parts])
+                parts = [(s["lo"], s["hi"], s["run"], s["unsure"]) for s in spans.as_py()]
+                starts = np.concatenate([np.arange(lo, hi + 1) for lo, hi, _, _ in parts])
+                place = np.concatenate([number * reach + np.arange(hi - lo + 1) for lo, hi, number, _ in parts])
+                unsure = np.concatenate([np.full(hi - lo + 1, u) for lo, hi, _, u in parts])
                 found = hashes.of(starts, starts + length).view(np.int64)
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, k1.as_py())), pa.array(np.full(n, k2.as_py())), pa.array(starts.astype(np.int64)), pa.array(unsure), pa.array(found)],
-                    ["k1", "k2", "p", "unsure", "hash"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(place), pa.array(unsure)], ["hash", "place", "unsure"])
 
-    return rows.mapInArrow(run, "k1 bigint, k2 bigint, p bigint, unsure boolean, hash bigint")
+    return rows.select("text", "spans").mapInArrow(run, "hash bigint, place bigint, unsure boolean")
 
 
 def small(table: DataFrame, rows: int) -> DataFrame:
@@ -182,14 +184,16 @@ def small(table: DataFrame, rows: int) -> DataFrame:
 
 
 def repeats(texts: DataFrame, length: int) -> DataFrame:
-    """``(k1, k2, spans)``: starts of repeated windows, as inclusive ranges, of texts that have some.
+    """``(k1, k2, start, end)``: the maximal stretches of bytes that repeated strings cover.
 
     ``texts`` is ``(k1, k2, text)``; rows equal in all three are texts of their own.
     """
     ship(texts.sparkSession)
+    reach = width(length)
     parsed = durable(runs(texts, length), "runs")
     dictionary = parsed.groupBy("word").agg(F.count("*").alias("times")).where("times > 1").select("word")
     phrases = durable(reread(parsed).join(dictionary, "word"), "phrases")
+    discard([parsed])
     classes = phrases.groupBy("whole").agg(
         F.count("*").alias("members"), F.min("word").alias("word"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")
     )
@@ -198,28 +202,38 @@ def repeats(texts: DataFrame, length: int) -> DataFrame:
     sure = reread(phrases).join(classes.where("members > 1").select("whole"), "whole").select("k1", "k2", "lo", "hi")
     # Strings that several classes share: single windows decide, one member for each class.
     several = reread(classes).groupBy("word").agg(F.count("*").alias("kinds")).where("kinds > 1").select("word")
-    open_runs = reread(classes).join(several, "word").select("one.*", (F.col("members") == 1).alias("unsure"))
-    wanted = durable(open_runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "unsure")).alias("spans")), "wanted")
+    open_runs = reread(classes).join(several, "word").select(
+        F.monotonically_increasing_id().alias("run"), "one.*", (F.col("members") == 1).alias("unsure")
+    )
+    open_runs = durable(open_runs, "open")  # run numbers are fixed here
+    wanted = durable(open_runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "run", "unsure")).alias("spans")), "wanted")
     count = wanted.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first()["n"]
     # Rows equal in id and content share a key; only classes of several members can be theirs, so no unsure window counts twice.
-    met = texts.join(small(wanted, count), ["k1", "k2"]).select("k1", "k2", "text", "spans")
-    single = durable(windows(met, length), "windows")
-    twice = single.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
-    found = reread(single).where("unsure").join(twice, "hash").select("k1", "k2", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    # What a text collects is bounded by its own length.
-    return sure.union(found).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-
-
-def cut(body: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
-    """What is left of a text, the number of bytes removed, and of maximal removed stretches."""
-    if not spans:
-        return body, 0, 0
-    steps = np.zeros(len(body) + 1, dtype=np.int64)
-    np.add.at(steps, [lo for lo, _ in spans], 1)
-    np.add.at(steps, [hi + length for _, hi in spans], -1)
-    gone = np.cumsum(steps[:-1]) > 0
-    kept = np.frombuffer(body, dtype=np.uint8)[~gone].tobytes()
-    return kept, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+    met = texts.join(small(wanted, count), ["k1", "k2"]).select("text", "spans")
+    # Made twice rather than kept: hashes are dear to store and cheap to compute.
+    twice = windows(met, length, reach).groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    found = windows(met, length, reach).where("unsure").join(twice, "hash")
+    offsets = found.select(F.expr(f"place div {reach}").alias("run"), (F.col("place") % reach).alias("at"))
+    line = Window.partitionBy("run").orderBy("at")  # a run has ``reach`` windows at most
+    ranges = offsets.withColumn("island", F.col("at") - F.row_number().over(line)).groupBy("run", "island").agg(
+        F.min("at").alias("low"), F.max("at").alias("high")
+    )
+    part = reread(open_runs).where("unsure").join(ranges, "run").select("k1", "k2", (F.col("lo") + F.col("low")).alias("lo"), (F.col("lo") + F.col("high")).alias("hi"))
+    # Ranges of one text that touch or overlap in the bytes they cover become one stretch.
+    order = Window.partitionBy("k1", "k2").orderBy("lo", "hi")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = sure.union(part).withColumn("new", F.coalesce(F.col("lo") > before + length, F.lit(True)).cast("int"))
+    stretches = marked.withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return stretches.groupBy("k1", "k2", "stretch").agg(F.min("lo").alias("start"), (F.max("hi") + length).alias("end")).drop("stretch")
+
+
+def cut(body: bytes, stretches: list[tuple[int, int]]) -> bytes:
+    """What is left of a text without some stretches."""
+    at, kept = 0, []
+    for start, end in sorted(stretches):
+        kept.append(body[at:start])
+        at = end
+    return b"".join([*kept, body[at:]])
 
 
 def remove_repeats(documents: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept") -> DataFrame:
@@ -235,8 +249,9 @@ def remove_repeats(documents: DataFrame, length: int = 400, id_col: str = "doc_i
     texts = documents.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col(f"`{text_col}`").alias("text"))
     # Too short a text has no such string and need not be read for it.
     spans = durable(repeats(texts.where(F.octet_length("text") >= length), length), "spans")
-    count = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first()["n"]
-    spans = spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
+    count = spans.count()
+    # A row equal to another in id and content has that one's stretches too.
+    spans = spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     met = documents.join(small(spans, count), ["_k1", "_k2"], "left")
 
     @F.arrow_udf("struct<kept: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint>")
@@ -247,8 +262,9 @@ def remove_repeats(documents: DataFrame, length: int = 400, id_col: str = "doc_i
             rows = []
             for body, places in zip(text, spans):
                 body = (body.as_py() or "").encode("utf-8", "surrogatepass")
-                kept, removed, n = m.cut(body, [(s["lo"], s["hi"]) for s in places.as_py() or []], length)
-                rows.append((kept, len(body), removed, n))
+                stretches = [(s["start"], s["end"]) for s in places.as_py() or []]
+                kept = m.cut(body, stretches)
+                rows.append((kept, len(body), len(body) - len(kept), len(stretches)))
             kinds = [("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
 

@@ -6,8 +6,8 @@ kept, repeats shortened; a word that equals the one before it has the shape of
 a repeat). They are hashed into a fixed number of slots; a slot's value is the
 square root of its share among the text's n-grams, so a text of any length has
 a vector of length one. Training follows the regularised leader
-(FTRL-proximal) over a bounded, seeded sample of labelled rows, in shards
-whose weights are averaged. Scores are sparse dot products.
+(FTRL-proximal) over a bounded, seeded sample of labelled rows. Scores are
+sparse dot products.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -26,9 +25,8 @@ from redgreen.llm.support import durable, pick, ship
 
 SLOT_BITS = 18
 # At most this many labelled rows are learned from: those with the smallest hashes of their ids.
-TRAINING_ROWS = 24_000
-SHARDS = 8
-EPOCHS = 3
+TRAINING_ROWS = 8_000
+EPOCHS = 5
 
 _SHAPE = str.maketrans({**{c: "0" for c in "0123456789"}, "\n": "n", "\r": "n", "\t": "t"})
 _RUN = re.compile(r"(.)\1+")
@@ -77,7 +75,7 @@ class Features:
 class Ftrl:
     """FTRL-proximal logistic regression over sparse rows."""
 
-    def __init__(self, slots: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1):
+    def __init__(self, slots: int, alpha: float = 2.0, beta: float = 0.1, l1: float = 0.002, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(slots + 1), np.zeros(slots + 1)  # the last slot is the bias
 
@@ -97,34 +95,45 @@ class Ftrl:
 def train(labelled: DataFrame, rows: int = TRAINING_ROWS, seed: int = 7) -> np.ndarray:
     """Weights, bias last, from ``(doc_id, text, label)`` with labels 0 and 1.
 
-    The sample is bounded by ``rows`` and the result by the number of slots, so
-    neither the shards nor the driver hold more at any size of input. Without
-    rows all weights are zero and every score is one half.
+    Texts become sparse rows where they are read. At most ``rows`` of them are
+    learned from, by one task, as the updates follow each other; that bound and
+    the number of slots hold at any size of input. Without rows all weights are
+    zero and every score is one half.
     """
-    spark = labelled.sparkSession
-    ship(spark)
-    clean = labelled.where("label in (0, 1)")
-    sample = clean.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", F.xxhash64("text"), "label").limit(rows)
-    sample = durable(sample.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(SHARDS))), "training")
+    ship(labelled.sparkSession)
 
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from redgreen.llm import quality as q
 
-        features, model = q.Features(), q.Ftrl(1 << q.SLOT_BITS)
-        part = part.sort_values(["doc_id", "label"])
-        vectors = [(*features.of(text), int(label)) for text, label in zip(part["text"], part["label"])]
+        features = q.Features()
+        for batch in batches:
+            both = [features.of(text.as_py()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array([x.astype(np.int32).tobytes() for x, _ in both], pa.binary()),
+                 pa.array([v.astype(np.float32).tobytes() for _, v in both], pa.binary())],
+                ["doc_id", "label", "slots", "numbers"],
+            )
+
+    clean = labelled.where("label in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label"))
+    sample = clean.mapInArrow(vectors, "doc_id bigint, label int, slots binary, numbers binary")
+    sample = sample.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "slots", "label").limit(rows).withColumn("all", F.lit(0))
+
+    def learn(part: pa.Table) -> pa.Table:
+        from redgreen.llm import quality as q
+
+        model = q.Ftrl(1 << q.SLOT_BITS)
+        rows = sorted(zip(*(part.column(c).to_pylist() for c in ("doc_id", "label", "slots", "numbers"))))
+        lines = [(np.frombuffer(s, dtype=np.int32), np.frombuffer(v, dtype=np.float32), label) for _, label, s, v in rows]
         order = np.random.default_rng(seed)
         for _ in range(q.EPOCHS):
-            for i in order.permutation(len(vectors)):
-                model.learn(*vectors[i])
-        return pd.DataFrame({"rows": [len(part)], "weights": [model.weights().astype(np.float32).tobytes()]})
+            for i in order.permutation(len(lines)):
+                model.learn(*lines[i])
+        return pa.table({"weights": pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())})
 
-    parts = sample.groupBy("shard").applyInPandas(learn, "rows bigint, weights binary").collect()  # SHARDS rows at most
-    if not parts:
+    learned = sample.groupBy("all").applyInArrow(learn, "weights binary").collect()  # one row
+    if not learned:
         return np.zeros((1 << SLOT_BITS) + 1, dtype=np.float32)
-    lines = np.array([np.frombuffer(p["weights"], dtype=np.float32) for p in parts])
-    share = np.array([p["rows"] for p in parts], dtype=float)
-    return (lines * (share / share.sum())[:, None]).sum(axis=0).astype(np.float32)
+    return np.frombuffer(learned[0]["weights"], dtype=np.float32)
 
 
 def scorer(df: DataFrame, weights: np.ndarray):
