@@ -6,7 +6,8 @@ class, represented by its smallest id. Classes that share a band of minima are
 candidates: within a bucket each is compared with the bucket's smallest class,
 first by signature, then on the full sets. Linked classes form components by
 alternating large-star and small-star. What a bucket still holds apart after
-that is compared pair by pair, in blocks, so no link is lost to the star.
+that is compared in blocks, first by the likeliest pair of two components, then
+pair by pair, so no link is lost to the star.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ SEED = 20240607
 def word_hashes(text: str | None, memory: dict[bytes, int]) -> np.ndarray:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only ASCII is lowered and split at
-    if len(memory) > 400_000:
+    if len(memory) > 100_000:
         memory.clear()
     for word in set(words):
         if word not in memory:
@@ -227,13 +228,15 @@ def crowded(buckets: DataFrame) -> DataFrame:
     return reread(buckets).join(centres, "bucket")
 
 
-def apart(members: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def apart(members: DataFrame, classes: DataFrame, found: DataFrame, percent: int, best: bool) -> DataFrame:
     """Candidate pairs that the stars left open: same bucket, different components, neither its centre.
 
     Only buckets that hold several components are looked at. Their members are
     dealt into blocks, every two blocks of a bucket meet in one task, and only
-    pairs whose signatures agree come out; a bucket of any size is spread over
-    as many tasks as it has pairs of blocks.
+    pairs whose set sizes and signatures agree come out, each from the first
+    band it shares. With ``best``, two components give one pair, the one whose
+    signatures agree most; without, every pair comes out. A bucket of any size is spread
+    over as many tasks as it has pairs of blocks.
     """
     least = percent / 100 - SIGNATURE_SLACK
     marked = members.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -247,21 +250,36 @@ def apart(members: DataFrame, classes: DataFrame, found: DataFrame, percent: int
     )
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        from redgreen.llm import minhash as m
+
         i, j = key[1].as_py(), key[2].as_py()
         own, node, component, n = (table.column(c).to_numpy() for c in ("own", "node", "component", "n_shingles"))
         lines = np.frombuffer(b"".join(x.as_py() for x in table.column("signature")), dtype=np.uint16).reshape(len(node), -1)
+        keys = m.band_keys(lines)
+        band = int((keys[0] == key[0].as_py()).argmax())
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
+        pairs = []
         for x in left:
             fits = 100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x])
             some = right[fits & (component[right] != component[x]) & ((node[right] > node[x]) | (i != j))]
-            hits = some[(lines[some] == lines[x]).mean(axis=1) >= least] if len(some) else some
-            a += [int(node[x])] * len(hits)
-            b += node[hits].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    pairs = met.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            if len(some):
+                agree = (lines[some] == lines[x]).mean(axis=1)
+                hits = (agree >= least) & ((keys[some] == keys[x]).argmax(axis=1) == band)
+                pairs.append(np.column_stack([np.full(hits.sum(), x), some[hits], agree[hits] * 1000]).astype(np.int64))
+        a, b, agree = (np.concatenate(pairs) if pairs else np.empty((0, 3), dtype=np.int64)).T
+        ends = [np.minimum(component[a], component[b]), np.maximum(component[a], component[b])]
+        if best and len(a):
+            order = np.lexsort((node[b], node[a], -agree, ends[1], ends[0]))
+            first = np.append(True, (np.diff(ends[0][order]) != 0) | (np.diff(ends[1][order]) != 0))
+            keep = order[first]
+            a, b, agree, ends = a[keep], b[keep], agree[keep], [e[keep] for e in ends]
+        out = [np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), agree, *ends]
+        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("a", "b", "agree", "low", "high"), out)})
+
+    pairs = met.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint, agree bigint, low bigint, high bigint")
+    if best:
+        return pairs.groupBy("low", "high").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
+    return pairs.select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -292,10 +310,12 @@ def near_duplicates(
     star = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(durable(agreeing(star, classes, percent), "pairs"), texts, words, percent)
     found = durable(components(links), "components")
-    rest = durable(apart(members, classes, found, percent), "pairs")
-    if not rest.isEmpty():
-        links = links.union(confirmed(rest, texts, words, percent))
-        found = durable(components(links), "components")
+    # The likeliest link between any two components first: what that joins needs no more comparisons.
+    for best in (True, False):
+        more = confirmed(durable(apart(members, classes, found, percent, best), "pairs"), texts, words, percent)
+        if not more.isEmpty():
+            links = links.union(more)
+            found = durable(components(links), "components")
     # From classes back to documents: the class's smallest id, then its component.
     reached = reread(classes).select(*key, "node").join(found, "node", "left")
     reached = reached.select(*key, F.coalesce("component", "node").alias("component_id"))
