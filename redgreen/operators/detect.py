@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,30 +34,39 @@ def decisive_jobs(jobs: DataFrame) -> DataFrame:
 def detect(jobs: DataFrame, min_attempts: int = MIN_ATTEMPTS, by: Sequence[str] = ()) -> DataFrame:
     """One row per flaky occurrence, within each value of ``by`` (say the repository).
 
-    A single shuffle on the signature. Every aggregate combines map-side into
-    one fixed-size buffer, so a signature holding a third of all attempts costs
-    one row per map task; attempts are never collected into a group. What a
-    caller does not select (say ``primary_failure``) is pruned from the buffer.
+    Counts come first, in a hash aggregate whose buffers have a fixed size, so
+    a signature holding a third of all attempts costs one row per map task and
+    no job row is sorted. Only attempts of the few flaky signatures then meet
+    for their first attempt, latest failure and last pass; those need texts in
+    the buffer, for which the engine sorts. What a caller does not select (say
+    ``primary_failure``) is pruned from it. Attempts are never collected.
 
     Columns: ``id, head_sha, branch, workflow_name, workflow_file, job_name,
     total_attempts, failed_runs, passed_runs`` (counts), ``failure_rate,
     primary_failure`` (the latest failed run) and ``last_pass_url``. The runs
     themselves are the child rows of ``occurrence_runs``.
     """
+    keys = [*by, *SIGNATURE]
+    rows = decisive_jobs(jobs)
+    counts = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_attempts"), F.count_if(~passed()).alias("failed_runs")
+    )
+    counted = counts.where(
+        (F.col("total_attempts") >= max(MIN_ATTEMPTS, min_attempts))
+        & (F.col("failed_runs") > 0)
+        & (F.col("failed_runs") < F.col("total_attempts"))
+    )
     failed_run = F.when(~passed(), F.struct(*ATTEMPT_ORDER, "conclusion", "url"))
     passed_run = F.when(passed(), F.struct(*ATTEMPT_ORDER, "url"))
-    groups = decisive_jobs(jobs).groupBy(*by, *SIGNATURE).agg(
-        F.count(F.lit(1)).alias("total_attempts"),
-        F.count_if(~passed()).alias("failed_runs"),
+    # A null in ``by`` is a value like any other.
+    listed = counted.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) if k in by else F.col(k) == F.col(f"_{k}") for k in keys])
+    details = rows.join(listed, same, "left_semi").groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
         F.min(F.struct(*ATTEMPT_ORDER, "branch", "workflow_name")).alias("first"),
         F.max(failed_run).alias("primary_failure"),
         F.max(passed_run)["url"].alias("last_pass_url"),
     )
-    flaky = groups.where(
-        (F.col("total_attempts") >= max(MIN_ATTEMPTS, min_attempts))
-        & (F.col("failed_runs") > 0)
-        & (F.col("failed_runs") < F.col("total_attempts"))
-    )
+    flaky = counted.join(details, same)
     return flaky.select(
         *by,
         short_hash(*SIGNATURE).alias("id"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +58,13 @@ def prompt(job_name: Column | str, step_name: Column | str, excerpt: Column | st
     )
 
 
-def build_requests(items: DataFrame) -> DataFrame:
-    """``(id, prompt)`` for any batch-inference job, from ``id, job_name, step_name, excerpt``."""
-    return items.select("id", prompt("job_name", "step_name", "excerpt").alias("prompt"))
+def build_requests(items: DataFrame, on: Sequence[str] = ("id",)) -> DataFrame:
+    """``(id, system, prompt)`` for any batch-inference job, from ``id, job_name, step_name, excerpt``.
+
+    ``on`` are the columns that tell requests apart, here and in what follows.
+    """
+    text = prompt("job_name", "step_name", "excerpt").alias("prompt")
+    return items.select(*on, F.lit(SYSTEM_PROMPT).alias("system"), text)
 
 
 def _unfenced(response: Column) -> Column:
@@ -170,30 +176,32 @@ def parse_responses(responses: DataFrame, raw: str = "raw") -> DataFrame:
     return parsed.select(*responses.columns, "parsed.verdict", "parsed.malformed")
 
 
-def repair_requests(requests: DataFrame, first_round: DataFrame) -> DataFrame:
+def repair_requests(requests: DataFrame, first_round: DataFrame, on: Sequence[str] = ("id",)) -> DataFrame:
     """Second prompts for malformed responses only; a transport error gets none."""
-    again = first_round.where(F.col("malformed").isNotNull() & F.col("transport_error").isNull()).select("id")
-    wanted = requests.join(again, "id", "left_semi")
-    return wanted.select("id", F.concat("prompt", F.lit("\n\n" + REPAIR_SUFFIX)).alias("prompt"))
+    again = first_round.where(F.col("malformed").isNotNull() & F.col("transport_error").isNull()).select(*on)
+    wanted = requests.join(again, [*on], "left_semi")
+    return wanted.select(*on, "system", F.concat("prompt", F.lit("\n\n" + REPAIR_SUFFIX)).alias("prompt"))
 
 
-def merge_rounds(first_round: DataFrame, second_round: DataFrame, provider: str = "model") -> DataFrame:
+def merge_rounds(
+    first_round: DataFrame, second_round: DataFrame, provider: str = "model", on: Sequence[str] = ("id",)
+) -> DataFrame:
     """``(id, verdict, error)`` after at most one repair.
 
     Both inputs are parsed responses ``(id, verdict, malformed, transport_error)``.
     """
     second = second_round.select(
-        "id",
+        *on,
         F.col("verdict").alias("verdict2"),
         F.coalesce("transport_error", "malformed").alias("problem2"),
     )
-    both = first_round.join(second, "id", "left")
+    both = first_round.join(second, [*on], "left")
     repairable = F.col("transport_error").isNull() & F.col("malformed").isNotNull()
     twice = F.concat(
         F.lit(f"{provider} returned unparseable output twice: "), F.coalesce("problem2", F.lit("no second response"))
     )
     return both.select(
-        "id",
+        *on,
         F.when(F.col("transport_error").isNull(), F.coalesce("verdict", F.when(repairable, F.col("verdict2")))).alias(
             "verdict"
         ),
@@ -203,9 +211,9 @@ def merge_rounds(first_round: DataFrame, second_round: DataFrame, provider: str
     )
 
 
-def with_answers(requests: DataFrame, answers: DataFrame) -> DataFrame:
+def with_answers(requests: DataFrame, answers: DataFrame, on: Sequence[str] = ("id",)) -> DataFrame:
     """Requests plus ``verdict`` and ``classify_error``; one without any response is an error."""
-    answered = answers.select("id", "verdict", F.col("error").alias("classify_error"), F.lit(True).alias("answered"))
-    joined = requests.join(answered, "id", "left")
+    answered = answers.select(*on, "verdict", F.col("error").alias("classify_error"), F.lit(True).alias("answered"))
+    joined = requests.join(answered, [*on], "left")
     missing = F.when(F.col("answered").isNull(), F.lit("no response"))
     return joined.withColumn("classify_error", F.coalesce("classify_error", missing)).drop("answered")

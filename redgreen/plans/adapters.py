@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redgreen.operators.taxonomy import CODES, UNKNOWN
-from redgreen.sources.tables import spread
 
 # The log line written for each k = 0..15 and the label it stands for.
 MARKED_LINES = [
@@ -35,23 +34,16 @@ MARKED_LINES = [
 STEP_NAMES = ["Set up job", "Run tests", "Upload results", "Post Run checkout"]
 
 
-# Hash keys of the tables that feed costly per-row work.
-SPREAD_KEYS = {"lineitem": "l_orderkey", "documents": "doc_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table, spread over all cores where its files give fewer splits than there are cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job executions: a line item is an attempt, its order the run and the commit."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     flag, quantity = F.col("l_returnflag"), F.col("l_quantity")
-    job_id = ((F.col("l_orderkey") * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 10 + F.col(
-        "l_linenumber"
-    )
+    # Text, so that keys of any size neither overflow nor collide.
+    job_id = F.concat_ws("-", *[F.col(f"l_{c}").cast("string") for c in ("orderkey", "partkey", "suppkey", "linenumber")])
     conclusion = (
         F.when(flag == "A", "success")
         .when(flag == "N", "failure")
@@ -70,7 +62,7 @@ def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("branch"),
         conclusion.alias("conclusion"),
         F.col("l_shipdate").alias("started_at"),
-        F.concat(F.lit("https://ci.example/job/"), job_id.cast("string")).alias("url"),
+        F.concat(F.lit("https://ci.example/job/"), job_id).alias("url"),
         F.col("o_orderdate").alias("created_at"),
     )
 
@@ -122,27 +114,28 @@ def labelled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw responses in eight forms: bare, fenced, in prose, no JSON, bad category,
-    confidence 7, unbalanced, upper-case category with blanks."""
+    confidence 7, unbalanced, upper-case category with blanks. Every explanation is a whole turn."""
     turns = table(spark, sf_dir, "conversations")
-    explanation = F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(60))
     category = _pick(F.col("conv_id") % 7, CODES)
     return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         ((F.col("conv_id") + F.col("turn")) % 8).alias("form"),
         category.alias("category"),
         ((F.col("turn") % 11) / F.lit(10.0)).alias("confidence"),
-        F.coalesce(explanation, F.lit("")).alias("explanation"),
+        F.coalesce("text", F.lit("")).alias("explanation"),
         F.col("role").alias("job_name"),
     )
 
 
 def raw_response(form: Column) -> Column:
     """The response text of a form."""
+    # The explanation as a JSON string: what follows the key of a one-field object.
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("explanation").alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
 
     def obj(category: Column, confidence: Column) -> Column:
         return F.concat(
-            F.lit('{"category":"'), category, F.lit('","confidence":'), confidence, F.lit(',"explanation":"'),
-            F.col("explanation"), F.lit('","cited_lines":["a {b} c"],"suggested_mitigation":" retry "}'),
+            F.lit('{"category":"'), category, F.lit('","confidence":'), confidence, F.lit(',"explanation":'),
+            quoted, F.lit(',"cited_lines":["a {b} c"],"suggested_mitigation":" retry "}'),
         )
 
     category, confidence = F.col("category"), F.col("confidence").cast("string")
@@ -195,15 +188,26 @@ def cited_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step logs whose archive is a file name, as the log lookup wants it."""
-    return step_logs(spark, sf_dir).withColumn("archive", F.concat(F.col("archive").cast("string"), F.lit(".zip")))
+    """Step logs under the path of their archive; every thirteenth archive could not be read."""
+    steps = step_logs(spark, sf_dir)
+    unreadable = F.col("archive") % 13 == 6
+    return steps.select(
+        F.concat(F.lit("logs/"), F.col("archive").cast("string"), F.lit(".zip")).alias("archive"),
+        "job_dir", "step_order", "entry_no", "step_name",
+        F.when(~unreadable, F.col("body")).alias("body"),
+        F.when(unreadable, F.lit("reading archive: opening log archive: not a zip")).alias("error"),
+    )
 
 
 def log_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(job_id, log_archive)``: failed jobs only, and no archive name for open line items."""
+    """``(job_id, log_archive)``: failed jobs only, no archive name for every eleventh run, one that is gone for every seventh."""
     jobs = job_results(spark, sf_dir).where(F.col("conclusion") == "failure")
-    name = F.when(F.col("job_name") == "job-O", F.lit("")).otherwise(
-        F.concat(F.lit("logs/"), F.col("run_id").cast("string"), F.lit(".zip"))
+    archives = table(spark, sf_dir, "documents").count() // 4
+    run = F.col("run_id")
+    name = (
+        F.when(run % 11 == 4, F.lit(""))
+        .when(run % 7 == 2, F.concat(F.lit("logs/gone-"), run.cast("string"), F.lit(".zip")))
+        .otherwise(F.concat(F.lit("logs/"), (run % archives).cast("string"), F.lit(".zip")))
     )
     return jobs.select("job_id", name.alias("log_archive"))
 
@@ -267,7 +271,7 @@ TIME_FORMS = 6
 def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event times as text: three accepted layouts, an offset, an empty and a rejected text."""
     form = F.col("event_id") % TIME_FORMS
-    day, clock = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss")
+    day, clock = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss.SSSSSS")
     text = (
         F.when(form == 0, F.concat(day, F.lit("T"), clock, F.lit("Z")))
         .when(form == 1, F.concat(day, F.lit("T"), clock))

@@ -41,7 +41,7 @@ def percent(rate: str) -> str:
 
 NL = "chr(10)"
 
-JOB_ID = "((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber"
+JOB_ID = "l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber"
 JOBS = f"""jobs as (
   select l_orderkey as run_id, cast(l_linenumber as integer) as run_attempt, {JOB_ID} as job_id,
     'job-' || l_linestatus as job_name, 'Workflow ' || l_linenumber as workflow_name,
@@ -126,8 +126,8 @@ from orders"""
 
 CHECKS["timestamp_normalise"] = """
 select event_id,
-  case when event_id % 6 in (0, 1, 2) then date_trunc('second', ts)
-    when event_id % 6 = 3 then date_trunc('second', ts) - interval 2 hour end as parsed,
+  case when event_id % 6 in (0, 1, 2) then ts
+    when event_id % 6 = 3 then ts - interval 2 hour end as parsed,
   event_id % 6 = 5 as rejected
 from events"""
 CHECKS["step_names"] = """
@@ -164,14 +164,15 @@ select cast(doc_id as varchar), '.', 0, 'Summary', 2, md5('no number'), false fr
 union all
 select cast(doc_id as varchar), null, 0, null, null, null, true from stamped where doc_id % 10 = 9""",
 )
-CHECKS["job_log_lookup"] = with_ctes(
-    [JOBS, flaky()],
-    """select f.id, f.last_job_id as job_id,
-  case when j.job_id is null then null when j.job_name = 'job-O' then '' else j.run_id || '.zip' end as log_archive,
-  case when j.job_id is null then 'no job with id ' || f.last_job_id
-    when j.job_name = 'job-O' then 'job ' || f.last_job_id || ' has no log archive' end as log_error
-from flaky f left join (select * from jobs where conclusion = 'failure') j on j.job_id = f.last_job_id""",
-)
+LOOKED = """listed as (
+  select job_id, min(case when run_id % 11 = 4 then '' when run_id % 7 = 2 then 'logs/gone-' || run_id || '.zip'
+    else 'logs/' || run_id % (select count(*) // 4 from documents) || '.zip' end) as log_archive
+  from jobs where conclusion = 'failure' group by job_id),
+looked as (
+  select f.*, l.log_archive, case when l.job_id is null then 'no job with id ' || f.last_job_id
+    when l.log_archive = '' then 'job ' || f.last_job_id || ' has no log archive' end as log_error
+  from flaky f left join listed l on l.job_id = f.last_job_id)"""
+CHECKS["job_log_lookup"] = with_ctes([JOBS, flaky(), LOOKED], "select id, last_job_id as job_id, log_archive, log_error from looked")
 
 # Step logs and excerpts
 
@@ -327,20 +328,20 @@ from (select d.doc_id, d.text, [' ' || chr(9) || string_split(d.text, {NL})[1] |
 
 RESPONSES = f"""responses as (
   select conv_id * 1000 + turn as id, (conv_id + turn) % 8 as form, {pick('conv_id % 7', CODES)} as category,
-    (turn % 11) / 10.0 as confidence, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 60) as explanation, role as job_name,
+    (turn % 11) / 10.0 as confidence, coalesce(text, '') as explanation, role as job_name,
     turn
   from conversations)"""
-ROUND_ONE = """round_one as (select *, form in (0, 1, 2, 7) and trim(explanation) <> '' as usable, id % 13 = 12 as lost
+ROUND_ONE = f"""round_one as (select *, form in (0, 1, 2, 7) and {utrim('explanation')} <> '' as usable, id % 13 = 12 as lost
   from responses)"""
 VERDICT_ROWS = """rows as (select id, case when (id % 1000) % 4 = 3 then 'cosmic_rays' else category end as category,
   (id % 15 - 2) / 10.0 as confidence, case when id % 11 = 0 then '' else explanation end as explanation from responses)"""
 
 CHECKS["verdict_validation"] = with_ctes(
     [RESPONSES, VERDICT_ROWS],
-    """select id, reason is null as valid, reason as invalid_reason from (
+    f"""select id, reason is null as valid, reason as invalid_reason from (
   select id, case when category = 'cosmic_rays' then 'unknown category cosmic_rays'
     when confidence < 0 or confidence > 1 then 'confidence ' || printf('%.3f', cast(confidence as double)) || ' outside [0,1]'
-    when trim(explanation) = '' then 'empty explanation' end as reason from rows)""",
+    when {utrim('explanation')} = '' then 'empty explanation' end as reason from rows)""",
 )
 CHECKS["taxonomy_join"] = with_ctes(
     [RESPONSES, VERDICT_ROWS, TAXONOMY],
@@ -356,9 +357,9 @@ REQUEST = f"""requests as (select id, form, 'Job: ' || job_name || {q(rs.PROMPT_
 CHECKS["prompts"] = with_ctes([RESPONSES, REQUEST], "select id, md5(prompt) as prompt from requests")
 CHECKS["parsed_responses"] = with_ctes(
     [RESPONSES, ROUND_ONE],
-    """select id, not usable as malformed, case when usable then category end as category,
+    f"""select id, not usable as malformed, case when usable then category end as category,
   case when usable then round(cast(confidence as double), 9) end as confidence,
-  case when usable then trim(explanation) end as explanation, case when usable then 'a {b} c' end as cited,
+  case when usable then {utrim('explanation')} end as explanation, case when usable then 'a {{b}} c' end as cited,
   case when usable then 'retry' end as mitigation
 from round_one where not lost""",
 )
@@ -369,8 +370,8 @@ from requests r join round_one o on o.id = r.id where not usable and not lost"""
 )
 CHECKS["repair_round"] = with_ctes(
     [RESPONSES, ROUND_ONE],
-    """select id, case when outcome = 'answered' then category end as category, outcome from (
-  select *, case when lost then 'connection reset' when usable or (form in (3, 6) and trim(explanation) <> '')
+    f"""select id, case when outcome = 'answered' then category end as category, outcome from (
+  select *, case when lost then 'connection reset' when usable or (form in (3, 6) and {utrim('explanation')} <> '')
     then 'answered' else 'malformed twice' end as outcome from round_one)""",
 )
 
@@ -628,13 +629,13 @@ CHECKS["classified_items"] = with_ctes(
         "cut as materialized (select archive, step_name, excerpt from excerpts)",
         hits("cut", "archive", "excerpt"),
         *verdicts("cut", "archive", 0.5),
-        """looked as (select f.id, f.job_name, f.last_job_id, j.job_id, j.run_id, f.job_name = 'job-O' as open
-  from flaky f left join (select * from jobs where conclusion = 'failure') j on j.job_id = f.last_job_id)""",
-        """found as (select l.*, v.category, v.confidence, v.step_name, v.excerpt,
-    case when l.job_id is null then 'downloading log: no job with id ' || last_job_id
-      when open then 'downloading log: job ' || last_job_id || ' has no log archive'
-      when v.archive is null then 'downloading log: reading archive ' || l.run_id || '.zip: not found' else '' end as error
-  from looked l left join verdicts v on v.archive = l.run_id and not open)""",
+        LOOKED,
+        """found as (select l.id, l.job_name, v.category, v.confidence, v.step_name, v.excerpt,
+    case when l.log_error is not null then 'downloading log: ' || l.log_error
+      when a % 13 = 6 then 'extracting log: reading archive: opening log archive: not a zip'
+      when v.archive is null then 'downloading log: reading archive ' || l.log_archive || ': not found' else '' end as error
+  from (select *, try_cast(regexp_extract(log_archive, '^logs/([0-9]+)', 1) as bigint) as a from looked) l
+  left join verdicts v on v.archive = l.a and a % 13 <> 6)""",
     ],
     """select id, job_name, category, round(confidence, 9) as confidence, coalesce(step_name, '') as step_name,
   cast(coalesce(strlen(excerpt), 0) as integer) as excerpt_len, error, 'deterministic' as provider,

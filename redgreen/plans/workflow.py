@@ -15,8 +15,9 @@ from redgreen.operators.excerpt import ExcerptOptions, archive_excerpts
 from redgreen.operators.responses import merge_rounds, parse_responses, with_answers
 from redgreen.operators.verdicts import DEFAULT_FLOOR, settle
 from redgreen.sources.archives import locate_logs, unzip_steps
+from redgreen.sources.corpus import check_labels
 from redgreen.sources.jobs import for_workflow
-from redgreen.sources.tables import only_listed
+from redgreen.sources.tables import possibly_listed
 
 
 class Classifier(NamedTuple):
@@ -40,12 +41,16 @@ def deterministic() -> Classifier:
     return Classifier("deterministic", "rule-based-v1", _by_rules)
 
 
-def from_responses(name: str, model: str, first: DataFrame, second: DataFrame) -> Classifier:
-    """A classifier over landed response tables ``(id, raw, transport_error)``, with one repair round."""
+def from_responses(name: str, model: str, first: DataFrame, second: DataFrame, on: Sequence[str] = ("id",)) -> Classifier:
+    """A classifier over landed response tables ``(id, raw, transport_error)``, with one repair round.
+
+    ``on`` are the columns that tell requests apart: a short display id may
+    repeat, so a scan of many repositories joins on ``(*by, *SIGNATURE)``.
+    """
 
     def run(requests: DataFrame) -> DataFrame:
-        rounds = [parse_responses(r).select("id", "verdict", "malformed", "transport_error") for r in (first, second)]
-        return with_answers(requests, merge_rounds(*rounds, provider=name))
+        rounds = [parse_responses(r).select(*on, "verdict", "malformed", "transport_error") for r in (first, second)]
+        return with_answers(requests, merge_rounds(*rounds, provider=name, on=on), on)
 
     return Classifier(name, model, run)
 
@@ -56,14 +61,15 @@ def classifier(
     second: DataFrame | None = None,
     provider: str = "responses",
     model: str = "",
+    on: Sequence[str] = ("id",),
 ) -> Classifier:
-    """``deterministic``, or ``responses`` over two landed rounds; any other name is an error."""
+    """``deterministic``, or ``responses`` over two landed rounds joined ``on``; any other name is an error."""
     if name == "deterministic":
         return deterministic()
     if name == "responses":
         if first is None or second is None:
             raise ValueError("responses needs the tables of both rounds")
-        return from_responses(provider, model, first, second)
+        return from_responses(provider, model, first, second, on)
     raise ValueError(f"unknown classifier {name!r} (want one of: deterministic, responses)")
 
 
@@ -95,9 +101,9 @@ def classify_occurrences(
 
     ``log_index`` is ``(job_id, log_archive)``; ``logs`` are step rows, or
     archives still zipped. Detection comes first and its few archive names
-    filter the logs where they are read, so those of healthy jobs are neither
-    moved, unzipped, scored nor cut; from there on only excerpts, bounded by
-    the budget, move between tasks. Pass landed occurrences: they are read twice.
+    filter the logs where they are read, so those of healthy jobs are hardly
+    ever unzipped, scored or cut; only excerpts, bounded by the budget, move
+    between tasks. Pass landed occurrences: they are read twice.
     """
     failure = F.col("primary_failure")
     failing = occurrences.withColumns(
@@ -105,7 +111,7 @@ def classify_occurrences(
     )
     located = locate_logs(failing, log_index)
     names = located.where(F.col("log_error").isNull()).select(F.col("log_archive").alias("archive"))
-    wanted = only_listed(logs, names, ["archive"])
+    wanted = possibly_listed(logs, names, ["archive"])
     steps = unzip_steps(wanted) if "content" in logs.columns else wanted
     # Occurrences without a log get a key of their own, so that they spread
     # instead of meeting in one partition under an empty name.
@@ -144,6 +150,9 @@ def with_provenance(items: DataFrame, provider: Classifier) -> DataFrame:
 
 
 def evaluate(cases: DataFrame, provider: Classifier, floor: float = DEFAULT_FLOOR) -> DataFrame:
-    """Outcomes of ``cases(id, expected_category, excerpt)``, each classified on its whole raw log."""
-    requests = cases.withColumns({"job_name": F.lit("eval"), "step_name": F.lit("Run tests")})
+    """Outcomes of ``cases(id, expected_category, excerpt)``, each classified on its whole raw log.
+
+    A label outside the closed set fails the run.
+    """
+    requests = check_labels(cases).withColumns({"job_name": F.lit("eval"), "step_name": F.lit("Run tests")})
     return ev.outcomes(settle(provider.run(requests), floor))

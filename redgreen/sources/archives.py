@@ -14,21 +14,23 @@ from redgreen.functions.logs import step_file, strip_stamps
 from redgreen.functions.text import text_or_empty
 from redgreen.schemas import STEP_LOG
 
-# Fixed value: an archive may expand to less than this many bytes.
-MAX_ARCHIVE_BYTES = 64 * 1024 * 1024
-
-
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``(archive, content)`` of every zip below a directory, archive = file name."""
+    """``(archive, content)`` of every zip below a directory, archive = its path below it."""
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
     )
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    # Archives of different folders may share a file name.
+    return files.select(F.substring_index("path", root, -1).alias("archive"), "content")
 
 
-def unzip_steps(archives: DataFrame) -> DataFrame:
+def unzip_steps(archives: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """One row per step file, or one row with ``error`` for an unusable archive.
 
+    With ``max_bytes`` an archive that expands to as many bytes or more counts
+    as unusable; without it any size is read, entry by entry.
+
     This is the only place a Python worker is needed. Filter archives first:
     a predicate cannot be pushed through the worker. Land the result as a table
     when more than one query reads it, so nothing is expanded twice.
@@ -42,28 +44,27 @@ def unzip_steps(archives: DataFrame) -> DataFrame:
             for archive, content in zip(batch["archive"], batch["content"]):
                 rows = []
                 try:
-                    left = MAX_ARCHIVE_BYTES
+                    left = max_bytes
                     with zipfile.ZipFile(io.BytesIO(content)) as zipped:
                         for info in zipped.infolist():
                             if info.is_dir() or not info.filename.lower().endswith(".txt"):
                                 continue
                             with zipped.open(info) as entry:
                                 body = entry.read(left)
-                            left -= len(body)
-                            if left <= 0:
-                                raise ValueError(
-                                    f"log archive exceeds {MAX_ARCHIVE_BYTES} bytes; refusing to expand further"
-                                )
+                            if left is not None:
+                                left -= len(body)
+                                if left <= 0:
+                                    raise ValueError(f"log archive exceeds {max_bytes} bytes; refusing to expand further")
                             folder, _, base = info.filename.rpartition("/")
                             rows.append(
                                 (archive, folder or ".", len(rows), base, body.decode("utf-8", "replace"), None)
                             )
                     if not rows:
                         raise ValueError("log archive contained no .txt step files")
-                except (zipfile.BadZipFile, ValueError, OSError, EOFError, RuntimeError, NotImplementedError) as problem:
-                    rows = [(archive, None, None, None, None, f"opening log archive: {problem}")]
-                except Exception as problem:  # a corrupt deflate stream raises zlib.error
-                    rows = [(archive, None, None, None, None, f"reading log archive: {problem}")]
+                except ValueError as problem:  # the archive's content
+                    rows = [(archive, None, None, None, None, f"reading archive: {problem}")]
+                except Exception as problem:  # the container, or a corrupt stream in it
+                    rows = [(archive, None, None, None, None, f"reading archive: opening log archive: {problem}")]
                 yield pd.DataFrame(rows, columns=columns)
 
     raw = archives.select("archive", "content").mapInPandas(unzip, STEP_LOG)
@@ -87,11 +88,11 @@ def step_position() -> Column:
 def locate_logs(failures: DataFrame, index: DataFrame) -> DataFrame:
     """Add ``log_archive`` and, where there is none, ``log_error``, by ``job_id``.
 
-    ``index`` is ``(job_id, log_archive)``; a job listed twice keeps its
+    ``index`` is ``(job_id, log_archive)``, the archive's path below the log
+    folder as ``read_archives`` gives it; a job listed twice keeps its
     smallest archive name, found by a map-side combined minimum.
     """
-    archive = F.element_at(F.split(text_or_empty("log_archive"), "/"), -1)
-    listed = index.groupBy("job_id").agg(F.min(archive).alias("log_archive"), F.lit(True).alias("listed"))
+    listed = index.groupBy("job_id").agg(F.min(text_or_empty("log_archive")).alias("log_archive"), F.lit(True).alias("listed"))
     found = failures.join(listed, "job_id", "left")
     error = F.when(
         F.col("listed").isNull(), F.concat(F.lit("no job with id "), F.col("job_id").cast("string"))

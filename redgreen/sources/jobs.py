@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redgreen.functions.text import col, text_or_empty
-from redgreen.schemas import INDEX_DOCUMENT, JOB_COLUMNS
+from redgreen.schemas import INDEX_DOCUMENT, INDEX_JOB, JOB_COLUMNS
 
 # Scan defaults.
 DEFAULT_DAYS = 7
@@ -76,7 +76,7 @@ def read_jobs(spark: SparkSession, path: str, fmt: str = "index", strict: bool =
     if fmt == "index":
         raw = read_index(spark, path)
     elif fmt == "json":
-        raw = spark.read.schema(INDEX_DOCUMENT.partition("array<struct<")[2][:-2]).json(path)
+        raw = spark.read.schema(INDEX_JOB).option("mode", "FAILFAST").json(path)
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
         if dict(raw.dtypes)["started_at"] != "string":
@@ -98,13 +98,14 @@ def for_workflow(jobs: DataFrame, workflow_file: str = "") -> DataFrame:
 def within_days(runs: DataFrame, as_of: date, days: int = DEFAULT_DAYS, column: str = "created_at") -> DataFrame:
     """Rows created on or after the day ``days`` before ``as_of``.
 
-    The bound is a literal compared with the bare column, so it reaches the
-    Parquet reader.
+    Days are UTC whatever the session's zone. The bound is a literal compared
+    with the bare column, so it reaches the Parquet reader.
     """
     if days < 1:
         raise ValueError(f"days must be at least 1, got {days}")
     since = date.fromordinal(as_of.toordinal() - days)
-    bound = F.lit(since.isoformat()).cast(dict(runs.dtypes)[column])
+    kind = dict(runs.dtypes)[column]
+    bound = F.lit(f"{since.isoformat()}T00:00:00Z" if kind == "timestamp" else since.isoformat()).cast(kind)
     return runs.where(F.col(column) >= bound)
 
 

@@ -1,43 +1,35 @@
-"""Spreading small tables over the cores, and keeping large ones from moving."""
+"""Keeping rows that nobody asked for where they were read."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Redistribute a table whose files give fewer splits than there are cores.
-
-    A single row group is a single task however many cores are idle, which
-    matters when each row is a log to search. A table large enough to fill the
-    cluster has more splits than cores and comes back unchanged, unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-# A filter is 2,048 bitmaps of 32,768 bits: 8 MiB whatever the number of keys.
+# Bits of a filter for each key: a row of another key passes with a chance of 1 in 16.
+BITS_PER_KEY = 16
 BITMAP_BITS = 32768
-BITMAPS = 2048
+# Beyond this size (32 million keys) a filter is no longer sent to every task.
+MAX_FILTER_BYTES = 64 << 20
 
 
-def only_listed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key occurs in ``keys``: an exact semi join that moves few of the other rows.
+def possibly_listed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key may occur in ``keys``: all that do, and few of the others.
 
-    How many keys there are shows only at run time, so a plain semi join plans
-    a shuffle of the whole left side, here log texts of which almost none are
-    wanted. A bitmap over the keys' hashes has a fixed size and can always be
-    broadcast; rows it rules out stay where they were read. The semi join then
-    settles the few that share a bit with some key. It is written as a join
-    with distinct keys, since a semi join would be pushed below the filter.
+    A bitmap over the hashes of the keys, sized by counting them, is broadcast,
+    so the rows, here whole logs, are neither moved nor sorted. With more keys
+    than a filter may hold all rows pass. What follows must not mind the few
+    others: join its results, which are small, with the keys.
     """
-    bit = F.pmod(F.xxhash64(*on), F.lit(BITMAP_BITS * BITMAPS))
-    place = {"_bucket": F.floor(bit / BITMAP_BITS).cast("int"), "_bit": (bit % BITMAP_BITS).cast("int")}
     # Equal values of different types hash apart.
     listed = keys.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in on]).distinct()
-    bitmaps = listed.withColumns(place).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+    bitmaps = max(1, math.ceil(listed.count() * BITS_PER_KEY / BITMAP_BITS))
+    if bitmaps * BITMAP_BITS // 8 > MAX_FILTER_BYTES:
+        return rows
+    bit = F.pmod(F.xxhash64(*on), F.lit(BITMAP_BITS * bitmaps))
+    place = {"_bucket": F.floor(bit / BITMAP_BITS).cast("int"), "_bit": (bit % BITMAP_BITS).cast("int")}
+    maps = listed.withColumns(place).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
     byte = F.substring("_bitmap", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))
     is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.col("_bit") % 8) == 1
-    possible = rows.withColumns(place).join(F.broadcast(bitmaps), "_bucket").where(is_set)
-    return possible.join(listed, on).select(*rows.columns)
+    return rows.withColumns(place).join(F.broadcast(maps), "_bucket").where(is_set).select(*rows.columns)

@@ -28,9 +28,45 @@ def test_no_query_pairs_rows_without_a_key(spark, name):
     assert ("MapInPandas" in text) == (name == "archive_ingest")
 
 
-def test_detection_shuffles_once(spark):
-    text = plan(QUERIES["min_attempts_3"](spark, SF_DIR))
-    assert text.count("ENSURE_REQUIREMENTS") == 1 and "partial_count" in text
+def test_no_job_row_is_sorted_to_count_it(spark):
+    """Sorting aggregates stand above the semi join with flaky signatures only."""
+    text = plan(QUERIES["flaky_occurrences"](spark, SF_DIR))
+    assert "HashAggregate" in text and "partial_count" in text
+    for node in re.findall(r"SortAggregate\([^\n]*", text):
+        assert "partial_min(struct" in node or "min(struct" in node or "max(" in node
+    below = text[text.index("partial_min(struct"):].split("HashAggregate")[0]
+    assert "LeftSemi" in below
+
+
+def test_no_exchange_moves_a_log(spark):
+    """With broadcasts by size off, only the name filter is broadcast and only excerpts are shuffled."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = QUERIES["classified_items"](spark, SF_DIR)
+        seen = []
+
+        def walk(node):
+            if node.nodeName().startswith(("Exchange", "Sort")):
+                output = node.output()
+                seen.append({output.apply(i).name() for i in range(output.size())})
+            children = node.children()
+            for i in range(children.size()):
+                walk(children.apply(i))
+
+        walk(df._jdf.queryExecution().executedPlan().initialPlan())
+        assert seen and not any({"body", "content", "text"} & names for names in seen)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_every_cause_and_most_categories_occur(spark):
+    rows = QUERIES["classified_items"](spark, SF_DIR).select("category", "error").collect()
+    errors = {" ".join(r.error.split(" ")[:2]) for r in rows}
+    assert {"downloading log:", "extracting log:", ""} <= errors
+    assert any(r.error.endswith("has no log archive") for r in rows) and any(r.error.endswith("not found") for r in rows)
+    assert len({r.category for r in rows if not r.error}) >= 4
+    assert sum(not r.error for r in rows) > len(rows) / 2
 
 
 def test_columns_and_filters_reach_the_scan(spark):

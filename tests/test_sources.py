@@ -15,7 +15,7 @@ from redgreen.sources import corpus as co
 from redgreen.sources import jobs as j
 from redgreen.sources import results as rs
 from redgreen.sources import tables
-from redgreen.sources.tables import only_listed, spread
+from redgreen.sources.tables import possibly_listed
 
 
 def fails(action):
@@ -156,17 +156,39 @@ def test_unusable_archives(spark):
     assert "no .txt step files" in rows["other"].error and "no .txt step files" in rows["empty"].error
 
 
-def test_expansion_cap(spark, monkeypatch):
-    monkeypatch.setattr(ar, "MAX_ARCHIVE_BYTES", 100)
-    rows = {r.archive: r for r in unzip(spark, over=zipped(**{"1_a.txt": "x" * 60, "2_b.txt": "y" * 40}), under=zipped(**{"1_a.txt": "x" * 99}))}
-    assert "exceeds 100 bytes" in rows["over"].error and rows["under"].error is None
+def test_expansion_cap(spark):
+    archives = [("over", zipped(**{"1_a.txt": "x" * 60, "2_b.txt": "y" * 40})), ("under", zipped(**{"1_a.txt": "x" * 99}))]
+    rows = spark.createDataFrame(archives, "archive string, content binary")
+    found = {r.archive: r.error for r in ar.unzip_steps(rows, max_bytes=100).collect()}
+    assert found == {"over": "reading archive: log archive exceeds 100 bytes; refusing to expand further", "under": None}
+    assert {r.error for r in ar.unzip_steps(rows).collect()} == {None}
 
 
 def test_archive_directory(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "a b+1.zip").write_bytes(zipped(**{"1_a.txt": "x"}))
+    (tmp_path / "deep" / "er").mkdir()
+    (tmp_path / "deep" / "er" / "a b+1.zip").write_bytes(zipped(**{"1_a.txt": "y"}))
     (tmp_path / "notes.txt").write_text("x")
-    assert [r.archive for r in ar.read_archives(spark, str(tmp_path)).collect()] == ["a b+1.zip"]
+    found = ar.unzip_steps(ar.read_archives(spark, str(tmp_path))).collect()
+    assert sorted((r.archive, r.body) for r in found) == [("deep/a b+1.zip", "x"), ("deep/er/a b+1.zip", "y")]
+
+
+def test_broken_json_line_fails_the_read(spark, tmp_path):
+    (tmp_path / "jobs.json").write_text(json.dumps(job(1)) + "\n{broken\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        j.read_jobs(spark, str(tmp_path / "jobs.json"), "json").collect()
+
+
+def test_window_starts_at_utc_midnight_in_any_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        runs = spark.sql("select timestamp'2026-03-02T02:00:00Z' as created_at, timestamp'2026-03-01T23:59:59Z' as x")
+        assert j.within_days(runs, date(2026, 3, 9), 7).count() == 1
+        assert j.within_days(runs, date(2026, 3, 9), 7, "x").count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_log_lookup(spark):
@@ -174,7 +196,7 @@ def test_log_lookup(spark):
     index = spark.createDataFrame([(1, "x/one.zip"), (2, ""), (3, None), (1, "x/one.zip")], "job_id bigint, log_archive string")
     got = {r.id: (r.log_archive, r.log_error) for r in ar.locate_logs(failures, index).collect()}
     assert got == {
-        "a": ("one.zip", None), "b": ("", "job 2 has no log archive"), "c": ("", "job 3 has no log archive"),
+        "a": ("x/one.zip", None), "b": ("", "job 2 has no log archive"), "c": ("", "job 3 has no log archive"),
         "d": (None, "no job with id 4"),
     }
 
@@ -247,25 +269,18 @@ def test_nested_scan_document(spark, tmp_path):
     assert sorted((r.outcome, r.job_id) for r in flat.collect()) == [("failed", 9001), ("failed", 9002), ("passed", 9003)]
 
 
-def test_spread_leaves_large_tables_alone(spark):
-    small, large = spark.range(10).coalesce(1), spark.range(0, 1000, 1, 64)
-    assert spread(small, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(large, "id") is large
-
-
-def test_only_listed_is_an_exact_semi_join(spark, monkeypatch):
+def test_name_filter_keeps_every_listed_row_and_few_others(spark, monkeypatch):
     rows = spark.range(20000).select((F.col("id") % 5000).alias("a"), F.concat(F.lit("k"), F.col("id") % 7).alias("b"))
     keys = rows.where("a % 61 = 3 and b <> 'k2'").select("a", "b").unionByName(
         spark.createDataFrame([(-1, "none"), (None, "k1")], "a long, b string")
     )
-    want = rows.join(keys.distinct(), ["a", "b"], "left_semi").groupBy("a", "b").count()
-    for bitmaps in (tables.BITMAPS, 1):
-        monkeypatch.setattr(tables, "BITMAPS", bitmaps)
-        monkeypatch.setattr(tables, "BITMAP_BITS", 32768 if bitmaps > 1 else 64)
-        got = only_listed(rows, keys, ["a", "b"])
-        assert got.columns == rows.columns
-        assert sorted(got.groupBy("a", "b").count().collect()) == sorted(want.collect())
-    assert only_listed(rows, keys.limit(0), ["a", "b"]).count() == 0
+    want = rows.join(keys.distinct(), ["a", "b"], "left_semi")
+    got = possibly_listed(rows, keys, ["a", "b"])
+    assert got.columns == rows.columns and want.exceptAll(got).isEmpty()
+    assert got.count() < want.count() + 20000 / 8
+    assert possibly_listed(rows, keys.limit(0), ["a", "b"]).isEmpty()
+    monkeypatch.setattr(tables, "MAX_FILTER_BYTES", 100)
+    assert possibly_listed(rows, keys, ["a", "b"]) is rows
 
 
 def test_nested_classified_document(spark, tmp_path):

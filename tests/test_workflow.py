@@ -61,7 +61,7 @@ def test_scan_to_report(spark, tmp_path):
     assert net.verdict.cited_lines == ["error: dial tcp 1.1.1.1: i/o timeout"]
     assert (net.failing_url, net.passing_url) == ("https://ci/net/1", "https://ci/net/2")
     assert got["race"].verdict.category == "race_condition" and got["race"].excerpt_len == 25
-    assert got["broken"].error.startswith("extracting log: opening log archive: ")
+    assert got["broken"].error.startswith("extracting log: reading archive: opening log archive: ")
     assert got["lost"].error == "downloading log: reading archive lost.zip: not found"
     assert got["bare"].error == "downloading log: job 41 has no log archive"
     assert all(got[x].verdict is None for x in ("broken", "lost", "bare"))
