@@ -204,17 +204,17 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = durable(large.where("u <> v").distinct(), "edges")
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_least = durable(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         met = reread(large).join(small_least, "u")
         small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            small_least.select("u", F.col("m").alias("v"))
+            reread(small_least).select("u", F.col("m").alias("v"))
         )
         new = durable(small.distinct(), "edges")
         state = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        discard([edges, large])
+        discard([edges, large, least, small_least])
         edges = new
         if tuple(state) == before:
             break
@@ -224,7 +224,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def crowded(buckets: DataFrame) -> DataFrame:
     """``(bucket, node, centre, n)`` of the buckets that hold more than one node; centre = the smallest."""
-    centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    # A table of its own: only where both sides of a join are read anew can the engine split a hot bucket's rows.
+    centres = durable(buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "centres")
     return reread(buckets).join(centres, "bucket")
 
 
@@ -241,7 +242,7 @@ def apart(members: DataFrame, classes: DataFrame, found: DataFrame, percent: int
     least = percent / 100 - SIGNATURE_SLACK
     marked = members.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = marked.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.where("low <> high").select("bucket")
+    mixed = durable(mixed.where("low <> high").select("bucket"), "mixed")
     met = marked.where("node <> centre").join(mixed, "bucket").join(reread(classes).select("node", "signature", "n_shingles"), "node")
     met = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -191,7 +191,8 @@ def repeats(texts: DataFrame, length: int) -> DataFrame:
     ship(texts.sparkSession)
     reach = width(length)
     parsed = durable(runs(texts, length), "runs")
-    dictionary = parsed.groupBy("word").agg(F.count("*").alias("times")).where("times > 1").select("word")
+    # Tables of their own: only where both sides of a join are read anew can the engine split a hot string's rows.
+    dictionary = durable(parsed.groupBy("word").agg(F.count("*").alias("times")).where("times > 1").select("word"), "dictionary")
     phrases = durable(reread(parsed).join(dictionary, "word"), "phrases")
     discard([parsed])
     classes = phrases.groupBy("whole").agg(
@@ -201,7 +202,7 @@ def repeats(texts: DataFrame, length: int) -> DataFrame:
     # Members of a class of several: all windows repeat.
     sure = reread(phrases).join(classes.where("members > 1").select("whole"), "whole").select("k1", "k2", "lo", "hi")
     # Strings that several classes share: single windows decide, one member for each class.
-    several = reread(classes).groupBy("word").agg(F.count("*").alias("kinds")).where("kinds > 1").select("word")
+    several = durable(reread(classes).groupBy("word").agg(F.count("*").alias("kinds")).where("kinds > 1").select("word"), "several")
     open_runs = reread(classes).join(several, "word").select(
         F.monotonically_increasing_id().alias("run"), "one.*", (F.col("members") == 1).alias("unsure")
     )
@@ -211,7 +212,7 @@ def repeats(texts: DataFrame, length: int) -> DataFrame:
     # Rows equal in id and content share a key; only classes of several members can be theirs, so no unsure window counts twice.
     met = texts.join(small(wanted, count), ["k1", "k2"]).select("text", "spans")
     # Made twice rather than kept: hashes are dear to store and cheap to compute.
-    twice = windows(met, length, reach).groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    twice = durable(windows(met, length, reach).groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "twice")
     found = windows(met, length, reach).where("unsure").join(twice, "hash")
     offsets = found.select(F.expr(f"place div {reach}").alias("run"), (F.col("place") % reach).alias("at"))
     line = Window.partitionBy("run").orderBy("at")  # a run has ``reach`` windows at most
