@@ -420,11 +420,16 @@ def in_reading_order(lines: DataFrame) -> DataFrame:
     return lines.orderBy(*LINE_KEY).select("line")
 
 
+def json_rows(items: DataFrame, header: Header) -> DataFrame:
+    """The ``json`` format: items under the header's columns."""
+    return items.withColumns({k: F.lit(v) for k, v in asdict(header).items()})
+
+
 def write_report(
     items: DataFrame, header: Header, path: str, fmt: str = "markdown", window_days: int = 7
 ) -> None:
     """Text files whose name order is reading order; ``json`` writes the items under the header's columns."""
     if fmt == "json":
-        items.withColumns({k: F.lit(v) for k, v in asdict(header).items()}).write.mode("errorifexists").json(path)
+        json_rows(items, header).write.mode("errorifexists").json(path)
     else:
         in_reading_order(report_lines(items, header, fmt, window_days)).write.mode("errorifexists").text(path)

@@ -67,6 +67,33 @@ def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _landed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs as they land: numbered, times as text with a zone or without, some names missing."""
+    jobs = job_results(spark, sf_dir)
+    clock = F.date_format(F.col("started_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    number = F.col("run_id") * 10 + F.col("run_attempt")
+    return jobs.select(
+        "run_id", "run_attempt", number.alias("job_id"), "job_name", "workflow_name", "workflow_file", "head_sha",
+        F.when(F.col("branch") != "P", F.col("branch")).alias("branch"), "conclusion",
+        F.when(number % 3 == 0, clock).otherwise(F.concat(clock, F.lit("Z"))).alias("started_at"), "url",
+        F.concat(F.col("run_id").cast("string"), F.lit(".zip")).alias("log_archive"),
+    )
+
+
+def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One index document per order, as text; an order has a handful of lines."""
+    jobs = _landed_jobs(spark, sf_dir)
+    listed = jobs.groupBy("run_id").agg(F.collect_list(F.struct(*jobs.columns)).alias("jobs"))
+    text = F.to_json(F.struct(F.concat(F.lit("acme/"), (F.col("run_id") % 5).cast("string")).alias("repo"), "jobs"))
+    return listed.select(F.col("run_id").cast("string").alias("file"), text.alias("document"))
+
+
+def job_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON text per job."""
+    jobs = _landed_jobs(spark, sf_dir)
+    return jobs.select(F.to_json(F.struct(*jobs.columns)).alias("line"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workflow runs: an order, holding only its latest attempt number."""
     return table(spark, sf_dir, "orders").select(
@@ -170,6 +197,12 @@ def second_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", raw_response(form).alias("raw"), F.lit(None).cast("string").alias("transport_error"))
 
 
+def response_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as labelled cases of the responses above; every fourth label is another category."""
+    label = F.when(F.col("id") % 4 == 1, F.lit(UNKNOWN)).otherwise(F.col("category"))
+    return model_responses(spark, sf_dir).select("id", label.alias("expected_category"), F.col("explanation").alias("excerpt"))
+
+
 def cited_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts with cited lines: two of their own, padded; one of a passage; a blank one; an invented one."""
     docs, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")

@@ -67,6 +67,30 @@ def primary_failures(spark: SparkSession, sf: str) -> DataFrame:
     return d.primary_failures(d.detect(a.job_results(spark, sf)))
 
 
+@query
+def ordered_runs(spark: SparkSession, sf: str) -> DataFrame:
+    jobs = a.job_results(spark, sf)
+    return d.ordered_runs(d.occurrence_runs(jobs, d.detect(jobs)))
+
+
+@query
+def ranked_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = d.ranked_occurrences(d.detect(a.job_results(spark, sf)))
+    return ranked.select("id", "job_name", nine("failure_rate"))
+
+
+@query
+def index_documents(spark: SparkSession, sf: str) -> DataFrame:
+    rows = j.normalise_jobs(j.index_rows(a.index_documents(spark, sf)))
+    return rows.select("repo", "run_id", "run_attempt", "job_id", "job_name", "conclusion", "started_at", "log_archive")
+
+
+@query
+def job_lines(spark: SparkSession, sf: str) -> DataFrame:
+    rows = j.normalise_jobs(j.line_rows(a.job_lines(spark, sf)))
+    return rows.select("run_id", "run_attempt", "job_id", "branch", "conclusion", "started_at")
+
+
 @query
 def scan_summary(spark: SparkSession, sf: str) -> DataFrame:
     _, summary = w.scan(a.job_results(spark, sf))
@@ -350,6 +374,24 @@ def eval_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _answered_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of landed responses: every fourth case labelled otherwise, some lost, some malformed twice."""
+    landed = w.classifier("responses", first=a.first_round(spark, sf), second=a.second_round(spark, sf), provider="model")
+    return w.evaluate(a.response_cases(spark, sf), landed)
+
+
+@query
+def eval_responses(spark: SparkSession, sf: str) -> DataFrame:
+    doubles = ["accuracy", "mean_confidence_correct", "mean_confidence_wrong"]
+    return ev.totals(ev.cells(_answered_cases(spark, sf))).withColumns({x: nine(x) for x in doubles})
+
+
+@query
+def response_listing(spark: SparkSession, sf: str) -> DataFrame:
+    error = F.when(F.startswith("error", F.lit("model returned unparseable output twice: ")), "malformed twice")
+    return ev.case_listing(_answered_cases(spark, sf)).withColumn("error", F.coalesce(error, "error"))
+
+
 # Reports
 
 
@@ -403,6 +445,12 @@ def _report(fmt: str) -> Query:
     return run
 
 
+@query
+def report_json(spark: SparkSession, sf: str) -> DataFrame:
+    rows = r.json_rows(_items(spark, sf), HEADER)
+    return rows.select("archive", "repo", "source", "provider", "model", "baseline", F.col("verdict.category").alias("category"), "error")
+
+
 QUERIES["report_markdown"] = _report("markdown")
 QUERIES["report_issue"] = _report("issue")
 QUERIES["report_digest"] = _report("digest")

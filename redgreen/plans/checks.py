@@ -83,6 +83,18 @@ CHECKS["flaky_runs"] = with_ctes(
 from jobs j join flaky f on j.head_sha = f.head_sha and j.workflow_file = f.workflow_file and j.job_name = f.job_name
 where conclusion in ('success', 'failure', 'timed_out')""",
 )
+CHECKS["ordered_runs"] = CHECKS["flaky_runs"]
+CHECKS["ranked_occurrences"] = with_ctes([JOBS, flaky()], "select id, job_name, round(rate, 9) as failure_rate from flaky")
+CHECKS["index_documents"] = with_ctes(
+    [JOBS],
+    """select 'acme/' || run_id % 5 as repo, run_id, run_attempt, run_id * 10 + run_attempt as job_id, job_name, conclusion,
+  cast(started_at as timestamp) as started_at, run_id || '.zip' as log_archive from jobs""",
+)
+CHECKS["job_lines"] = with_ctes(
+    [JOBS],
+    """select run_id, run_attempt, run_id * 10 + run_attempt as job_id, case when branch = 'P' then '' else branch end as branch,
+  conclusion, cast(started_at as timestamp) as started_at from jobs""",
+)
 CHECKS["primary_failures"] = with_ctes(
     [JOBS, flaky()],
     """select id, job_name, last_run_id as run_id, last_run_attempt as run_attempt, last_job_id as job_id,
@@ -375,6 +387,28 @@ CHECKS["repair_round"] = with_ctes(
     then 'answered' else 'malformed twice' end as outcome from round_one)""",
 )
 
+ANSWERS = f"""answers as (
+  select id, explanation, case when id % 4 = 1 then 'unknown' else category end as expected,
+    case when error = '' then case when confidence < 0.5 then 'unknown' else category end end as predicted,
+    case when error = '' then cast(confidence as double) else 0 end as confidence,
+    case when error = '' and not contains(explanation, 'a {{b}} c') then 1 else 0 end as hallucinated, error
+  from (select *, case when lost then 'connection reset' when usable or (form in (3, 6) and {utrim('explanation')} <> '')
+    then '' else 'malformed twice' end as error from round_one))"""
+CHECKS["eval_responses"] = with_ctes(
+    [RESPONSES, ROUND_ONE, ANSWERS],
+    """select count(*) as total, count(*) filter (where predicted = expected) as correct,
+  count(*) filter (where error <> '') as errored,
+  round(count(*) filter (where predicted = expected) / count(*) filter (where error = ''), 9) as accuracy,
+  round(avg(confidence) filter (where predicted = expected), 9) as mean_confidence_correct,
+  round(avg(confidence) filter (where error = '' and predicted <> expected), 9) as mean_confidence_wrong,
+  cast(sum(hallucinated) as bigint) as hallucinated_citations from answers""",
+)
+CHECKS["response_listing"] = with_ctes(
+    [RESPONSES, ROUND_ONE, ANSWERS],
+    """select case when error <> '' then 'ERR' when predicted = expected then 'PASS' else 'FAIL' end as mark, id as case_id,
+  expected, coalesce(predicted, '') as predicted, printf('%.2f', confidence) as confidence, error from answers""",
+)
+
 # Evaluation
 
 EVAL = [
@@ -476,6 +510,12 @@ def sentence(text: str) -> str:
     return SENTENCE.format(t=utrim(text))
 
 
+CHECKS["report_json"] = with_ctes(
+    ITEMS,
+    f"""select archive, {q(HEADER.repo)} as repo, {q(HEADER.source)} as source, {q(HEADER.provider)} as provider,
+  {q(HEADER.model)} as model, {str(HEADER.baseline).lower()} as baseline, case when not failed then category end as category,
+  case when failed then 'downloading log: gone' else '' end as error from items""",
+)
 CHECKS["category_counts"] = with_ctes(ITEMS, "select category, n from counts")
 CHECKS["category_share"] = with_ctes(
     ITEMS,

@@ -55,16 +55,31 @@ def rejected_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.where(bad_time("started_at"))
 
 
+def _listed_jobs(docs: DataFrame) -> DataFrame:
+    """Jobs of decoded documents ``(file, repo, jobs)``; one without jobs is an error."""
+    empty = F.raise_error(F.concat(F.col("file"), F.lit(" contains no jobs"))).cast(docs.schema["jobs"].dataType)
+    jobs = F.when(F.size("jobs") > 0, F.col("jobs")).otherwise(empty)
+    return docs.select("repo", F.inline(jobs))
+
+
+def index_rows(documents: DataFrame) -> DataFrame:
+    """Raw job rows of index documents held as text, ``(file, document)``; malformed JSON is an error."""
+    parsed = F.from_json("document", INDEX_DOCUMENT, {"mode": "FAILFAST"}).alias("d")
+    return _listed_jobs(documents.select("file", parsed).select("file", "d.*"))
+
+
+def line_rows(lines: DataFrame) -> DataFrame:
+    """Raw job rows of JSON lines held as text, ``(line)``; a malformed line is an error."""
+    return lines.select(F.from_json("line", INDEX_JOB, {"mode": "FAILFAST"}).alias("j")).select("j.*")
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Raw job rows of index documents: ``{"repo": ..., "jobs": [...]}``.
 
     A document without jobs is an error, as is malformed JSON.
     """
     docs = spark.read.schema(INDEX_DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    docs = docs.withColumn("file", F.col("_metadata.file_path"))
-    empty = F.raise_error(F.concat(F.col("file"), F.lit(" contains no jobs"))).cast(docs.schema["jobs"].dataType)
-    jobs = F.when(F.size("jobs") > 0, F.col("jobs")).otherwise(empty)
-    return docs.select("repo", F.inline(jobs))
+    return _listed_jobs(docs.withColumn("file", F.col("_metadata.file_path")))
 
 
 def read_jobs(spark: SparkSession, path: str, fmt: str = "index", strict: bool = True) -> DataFrame:

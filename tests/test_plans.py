@@ -22,7 +22,7 @@ def plan(df, final=False):
 def test_no_query_pairs_rows_without_a_key(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "collect_list" not in text or name == "eval_scores"
+    assert "collect_list" not in text or name in ("eval_scores", "index_documents")  # seven lines of an order at most
     # Python runs only to unzip.
     assert "EvalPython" not in text
     assert ("MapInPandas" in text) == (name == "archive_ingest")
