@@ -280,7 +280,7 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return rs.build_requests(_requests(spark, sf)).select("id", digest("prompt", "prompt"))
+    return rs.build_requests(_requests(spark, sf)).select("id", digest("prompt", "prompt"), digest("system", "system"))
 
 
 @query

@@ -366,7 +366,7 @@ join taxonomy u on u.category = 'unknown'""",
 REQUEST = f"""requests as (select id, form, 'Job: ' || job_name || {q(rs.PROMPT_BEFORE_STEP)}
   || case when form = 0 then '(unknown step)' else 'Run tests' end || {q(rs.PROMPT_BEFORE_EXCERPT)} || explanation
   || {q(rs.PROMPT_END)} as prompt from responses)"""
-CHECKS["prompts"] = with_ctes([RESPONSES, REQUEST], "select id, md5(prompt) as prompt from requests")
+CHECKS["prompts"] = with_ctes([RESPONSES, REQUEST], f"select id, md5(prompt) as prompt, md5({q(rs.SYSTEM_PROMPT)}) as system from requests")
 CHECKS["parsed_responses"] = with_ctes(
     [RESPONSES, ROUND_ONE],
     f"""select id, not usable as malformed, case when usable then category end as category,
