@@ -195,13 +195,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star (every larger neighbour links to the smallest
     neighbour) and small-star (every smaller neighbour and the node itself do)
-    until nothing changes. Neighbourhoods are only reduced to their minimum,
+    until every component is one star. Neighbourhoods are only reduced to their minimum,
     never collected; every round is a table in the shared folder.
     """
     edges = durable(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    before = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -213,12 +212,15 @@ def components(links: DataFrame) -> DataFrame:
             small_least.select("u", F.col("m").alias("v"))
         )
         new = durable(small.distinct(), "edges")
-        state = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         discard([edges, large])
         edges = new
-        if tuple(state) == before:
+        # Stars: no node has two centres, and no centre has one.
+        ends = new.select("u", F.lit(1).alias("links"), F.lit(0).alias("centre")).union(
+            new.select("v", F.lit(0), F.lit(1))
+        )
+        each = ends.groupBy("u").agg(F.sum("links").alias("links"), F.max("centre").alias("centre"))
+        if each.where("links > 1 or links = 1 and centre = 1").isEmpty():
             break
-        before = tuple(state)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -315,8 +317,9 @@ def near_duplicates(
     for best in (True, False):
         more = confirmed(durable(apart(members, classes, found, percent, best), "pairs"), texts, words, percent)
         if not more.isEmpty():
-            links = links.union(more)
-            found = durable(components(links), "components")
+            # Stars stand for all links found so far.
+            stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = durable(components(stars.union(more)), "components")
     # From classes back to documents: the class's smallest id, then its component.
     reached = reread(classes).select(*key, "node").join(found, "node", "left")
     reached = reached.select(*key, F.coalesce("component", "node").alias("component_id"))
