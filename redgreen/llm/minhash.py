@@ -176,10 +176,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             if p != last:  # the pairs of one a follow each other
                 last, one = p, m.shingle_set(m.word_hashes(p, memory), words)
             other = m.shingle_set(m.word_hashes(q, memory), words)
-            small, large = (one, other) if len(one) <= len(other) else (other, one)
-            at = np.searchsorted(large, small)
-            common = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(small) else 0
-            out.append(len(small) > 0 and 100 * common >= percent * (len(one) + len(other) - common))
+            out.append(m.shared_enough(one, other, percent))
         return pa.array(out, pa.bool_())
 
     # b is the many: joined first, by its own key. A centre's key may be hot; its pairs can then be split.
@@ -231,25 +228,44 @@ def crowded(buckets: DataFrame) -> DataFrame:
     return reread(buckets).join(centres, "bucket")
 
 
-def apart(members: DataFrame, classes: DataFrame, found: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidate pairs that the stars left open: same bucket, different components, neither its centre.
+def shared_enough(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether ``100 * intersection >= percent * union`` of two sorted sets; never for an empty one."""
+    small, large = (one, other) if len(one) <= len(other) else (other, one)
+    if not len(small):
+        return False
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(one) + len(other) - common)
+
+
+def apart(
+    members: DataFrame, classes: DataFrame, found: DataFrame, percent: int, texts: DataFrame | None = None, words: int = 0
+) -> DataFrame:
+    """Pairs that the stars left open: same bucket, different components, neither its centre.
 
     Only buckets that hold several components are looked at. Their members are
     dealt into blocks, every two blocks of a bucket meet in one task, and only
     pairs whose set sizes and signatures agree come out, each from the first
-    band it shares. With ``best``, two components give one pair, the one whose
-    signatures agree most; without, every pair comes out. A bucket of any size is spread
-    over as many tasks as it has pairs of blocks.
+    band it shares. Without ``texts`` they are candidates, and two components
+    give one pair, the one whose signatures agree most. With ``texts``, which
+    then come to the blocks, all pairs are confirmed on their full sets where
+    they meet, and only links come out. A bucket of any size is spread over as
+    many tasks as it has pairs of blocks.
     """
     least = percent / 100 - SIGNATURE_SLACK
     marked = members.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = marked.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = durable(mixed.where("low <> high").select("bucket"), "mixed")
     met = marked.where("node <> centre").join(mixed, "bucket").join(reread(classes).select("node", "signature", "n_shingles"), "node")
+    more = []
+    if texts is not None:
+        wanted = durable(met.select("node").distinct(), "wanted")
+        met = met.join(durable(texts.join(few(wanted), "node", "left_semi").select("node", "text"), "texts"), "node")
+        more = ["text"]
     met = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "signature"
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "signature", *more
     )
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -270,8 +286,13 @@ def apart(members: DataFrame, classes: DataFrame, found: DataFrame, percent: int
                 hits = (agree >= least) & ((keys[some] == keys[x]).argmax(axis=1) == band)
                 pairs.append(np.column_stack([np.full(hits.sum(), x), some[hits], agree[hits] * 1000]).astype(np.int64))
         a, b, agree = (np.concatenate(pairs) if pairs else np.empty((0, 3), dtype=np.int64)).T
+        if more and len(a):
+            memory: dict[bytes, int] = {}
+            sets = {x: m.shingle_set(m.word_hashes(table.column("text")[x].as_py(), memory), words) for x in {*a.tolist(), *b.tolist()}}
+            keep = [i for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())) if m.shared_enough(sets[x], sets[y], percent)]
+            a, b, agree = a[keep], b[keep], agree[keep]
         ends = [np.minimum(component[a], component[b]), np.maximum(component[a], component[b])]
-        if best and len(a):
+        if not more and len(a):
             order = np.lexsort((node[b], node[a], -agree, ends[1], ends[0]))
             first = np.append(True, (np.diff(ends[0][order]) != 0) | (np.diff(ends[1][order]) != 0))
             keep = order[first]
@@ -280,7 +301,7 @@ def apart(members: DataFrame, classes: DataFrame, found: DataFrame, percent: int
         return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("a", "b", "agree", "low", "high"), out)})
 
     pairs = met.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint, agree bigint, low bigint, high bigint")
-    if best:
+    if not more:
         return pairs.groupBy("low", "high").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
     return pairs.select("a", "b").distinct()
 
@@ -314,8 +335,11 @@ def near_duplicates(
     links = confirmed(durable(agreeing(star, classes, percent), "pairs"), texts, words, percent)
     found = durable(components(links), "components")
     # The likeliest link between any two components first: what that joins needs no more comparisons.
-    for best in (True, False):
-        more = confirmed(durable(apart(members, classes, found, percent, best), "pairs"), texts, words, percent)
+    for last in (False, True):
+        if last:
+            more = durable(apart(members, classes, found, percent, texts, words), "links")
+        else:
+            more = confirmed(durable(apart(members, classes, found, percent), "pairs"), texts, words, percent)
         if not more.isEmpty():
             # Stars stand for all links found so far.
             stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
