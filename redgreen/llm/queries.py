@@ -55,7 +55,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.compare_edits(read(spark, sf_dir, "documents"))
+    return simhash.compare_edits(read(spark, sf_dir, "documents"), simhash.NEAR_COPIES)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
