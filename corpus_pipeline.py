@@ -7,12 +7,12 @@ before it kept; all but the last return the columns of ``docs``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redgreen.llm import bpe, minhash, mixing, passages, quality
 from redgreen.llm.queries import RANKS, mixture_weights, source_domain
-from redgreen.llm.support import durable
+from redgreen.llm.support import durable, reread
 
 # Bytes of a passage that may stand in one place only; fifty words of prose are some 300.
 PASSAGE_BYTES = 256
@@ -25,21 +25,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id, and of rows that share it one.
+    """One row of each group of near copies: that of the smallest id (no id comes last), then of the smallest row number.
 
-    Documents without words or without an id stay.
+    Rows, not ids, are linked, each by a number of its own; rows that share an
+    id and differ in their texts all stay. Rows without words stay, but for
+    those that repeat both the id and the text of another.
     """
-    found = durable(minhash.near_duplicates(docs, words=5, percent=80), "near")
-    gone = found.where("not kept").select("doc_id").distinct()
-    ids = durable(gone, "dropped")
-    left = docs.join(minhash.few(ids), "doc_id", "left_anti").select(*docs.columns)
-    twice = durable(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return left
-    # Only rows of repeated ids are lined up.
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    same = left.join(minhash.few(twice), "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return left.join(minhash.few(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(same.select(*docs.columns))
+    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # numbers are fixed here
+    found = durable(minhash.near_duplicates(rows, words=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id"), "near")
+    ids = reread(rows).select("_row", "doc_id")
+    heads = found.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("head")).select("head._row")
+    # Joined by row numbers, so that a large group is not lined up in one task.
+    copies = reread(found).select("_row").join(heads, "_row", "left_anti")
+    blank = reread(rows).where("doc_id is not null").where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("_row", "doc_id", "text")
+    first = blank.groupBy("doc_id", "text").agg(F.min("_row").alias("_row")).select("_row")
+    repeated = blank.select("_row").join(first, "_row", "left_anti")
+    gone = durable(copies.union(repeated), "dropped")
+    return reread(rows).join(minhash.few(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,18 @@ def test_an_empty_corpus(spark, corpus):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).isEmpty()
 
 
+def test_near_copies_are_judged_by_row(spark):
+    """Rows that share an id stay if their texts differ, and near copies without an id go."""
+    rows = [(7, prose(500 + i, 60)) for i in range(6)] + [(3, prose(500, 60) + " end"), (8, prose(600, 60)), (8, prose(601, 60)), (9, prose(600, 60))]
+    rows += [(None, prose(700, 60)), (None, prose(700, 60) + " end"), (12, ""), (12, None), (12, " "), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [tuple(r) for r in STAGE["near_duplicates"](spark, docs, "").collect()]
+    want = [r for r in rows if r not in [(7, prose(500, 60)), (9, prose(600, 60)), (None, prose(700, 60) + " end")]]
+    lone = [r for r in kept if r[0] is None and r[1]]  # either of the two copies
+    assert len(lone) == 1 and lone[0][1].startswith(prose(700, 60))
+    assert sorted(map(str, (r for r in kept if r not in lone))) == sorted(map(str, (r for r in want if r[0] is not None or not r[1])))
+
+
 @tables
 @pytest.mark.parametrize("name", ORACLE)
 def test_query_equals_sql(spark, name):
