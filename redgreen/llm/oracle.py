@@ -1,6 +1,39 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+
+
+def _centroid_rounds(k: int, rounds: int) -> str:
+    """Lloyd's rounds, one common table expression after the other."""
+    scaled = "list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double))"
+    plain = "len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0"
+    square = "list_inner_product({0}, {0})"
+    parts = [
+        f"v as (select row_number() over () r, vec_id, {scaled} e from embeddings where len(embedding) = 64 and {plain})",
+        f"c0 as (select cast(row_number() over (order by sha256('2:' || vec_id), e) - 1 as integer) cluster, e c from v "
+        f"where vec_id is not null order by sha256('2:' || vec_id), e limit {k})",
+    ]
+    for i in range(rounds + 1):
+        distance = f"{square.format('e')} + {square.format('c')} - 2 * list_inner_product(e, c)"
+        parts.append(
+            f"a{i} as materialized (select r, vec_id, e, min(struct_pack(d := cast({distance} as bigint), cluster := cluster)) m "
+            f"from v, c{i} group by r, vec_id, e)"
+        )
+        if i < rounds:
+            parts += [
+                f"s{i} as (select m.cluster cluster, generate_subscripts(e, 1) p, unnest(e) x from a{i})",
+                f"g{i} as (select cluster, p, floor(sum(x) / count(*)) x from s{i} group by all)",
+                f"n{i} as (select cluster, list(x order by p) c from g{i} group by cluster)",
+                f"c{i + 1} as materialized (select cluster, coalesce(n{i}.c, c{i}.c) c from c{i} left join n{i} using (cluster))",
+            ]
+    digest = "sha256(array_to_string(list_transform(c, lambda x: cast(cast(x as bigint) as varchar)), ','))"
+    return (
+        "with " + ", ".join(parts) + f" select vec_id, m.cluster as cluster, m.d as distance, cast(sum(m.d) over (partition by m.cluster) as bigint) cluster_inertia, "
+        f"cast(sum(m.d) over () as bigint) inertia, {digest} centroid_sha256 from a{rounds} join c{rounds} on m.cluster = c{rounds}.cluster"
+    )
+
+
 ORACLE: dict[str, str] = {
+    "op11_centroids": _centroid_rounds(40, 5),
     "op1_topk": """
 with raw as (select vec_id, embedding from embeddings
     where vec_id is not null and embedding is not null

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redgreen.llm import bpe, langid, lattice, minhash, mixing, passages, quality, simhash, topk, urls
+from redgreen.llm import bpe, centroids, langid, lattice, minhash, mixing, passages, quality, simhash, topk, urls
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -76,6 +76,11 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digest(read(spark, sf_dir, "documents"), length=400)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = centroids.integer_vectors(read(spark, sf_dir, "embeddings"))
+    return centroids.cluster(vectors, k=40, rounds=5, seed=2).drop("centroid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_bpe": op2_bpe,
@@ -87,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice": op8_lattice,
     "op9_langid": op9_langid,
     "op10_passages": op10_passages,
+    "op11_centroids": op11_centroids,
 }
