@@ -33,6 +33,36 @@ def _centroid_rounds(k: int, rounds: int) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op12_overlap": r"""
+with recursive words as (select row_number() over () r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') w from documents),
+sets as (select r, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end s from words),
+sizes as (select r, doc_id, len(s) n from sets),
+items as (select r, unnest(s) x from sets where doc_id is not null),
+common as (select a.r a, b.r b, count(*) c from items a join items b on a.x = b.x and a.r < b.r group by all),
+links as (select a, b from common join sizes p on a = p.r join sizes q on b = q.r where 100 * c >= 80 * (p.n + q.n - c)),
+edges as (select a u, b v from links union all select b, a from links),
+reach as (select r u, r v from words union select x.u, e.v from reach x join edges e on x.v = e.u)
+select d.doc_id, d.n n_shingles, min(o.doc_id) component_id
+from sizes d join reach on d.r = u join sizes o on o.r = v group by d.r, d.doc_id, d.n
+""",
+    "op13_lexical": r"""
+with tokens as (select row_number() over () r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t from documents),
+tf as (select r, doc_id, t, count(*) tf from tokens group by all),
+sizes as (select r, sum(tf)::bigint n from tf group by r),
+facts as (select count(*) n_docs, sum(n)::bigint n_terms from sizes),
+df as (select t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::double))::bigint w from tf, facts group by t, n_docs),
+damp as (select r, 10 + (90 * n * n_docs) // n_terms m from sizes, facts),
+items as (select row_number() over () q, item_id, text from benchmark),
+asked as (select distinct q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t from items),
+scores as (select q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score
+        from asked join tf using (t) join df using (t) join damp using (r) group by all),
+ranked as (select *, row_number() over (partition by q order by score desc, doc_id nulls last) place from scores where score > 0)
+select item_id, place::integer "rank", doc_id, score from ranked where place <= 10
+""",
     "op11_centroids": _centroid_rounds(40, 5),
     "op1_topk": """
 with raw as (select vec_id, embedding from embeddings

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redgreen.llm import bpe, centroids, langid, lattice, minhash, mixing, passages, quality, simhash, topk, urls
+from redgreen.llm import bpe, centroids, langid, lattice, lexical, minhash, mixing, overlap, passages, quality, simhash, topk, urls
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -81,6 +81,14 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(vectors, k=40, rounds=5, seed=2).drop("centroid")
 
 
+def op12_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.jaccard_join(read(spark, sf_dir, "documents"), words=5, percent=80)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_bpe": op2_bpe,
@@ -93,4 +101,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_passages": op10_passages,
     "op11_centroids": op11_centroids,
+    "op12_overlap": op12_overlap,
+    "op13_lexical": op13_lexical,
 }
