@@ -89,8 +89,8 @@ def _verdict(category: Column, confidence: Column, explanation: Column, cited: C
     )
 
 
-def rule_verdict(excerpt: Column | str, rules: Sequence[Rule] = RULES) -> Column:
-    """The verdict of one text as a single bound expression."""
+def verdict_of(matched: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """The verdict of the rules that matched a text, as one bound expression."""
     no_match = _verdict(
         F.lit(UNKNOWN), F.lit(NO_MATCH_CONFIDENCE), F.lit(NO_MATCH_TEXT), F.array().cast("array<string>")
     )
@@ -112,15 +112,17 @@ def rule_verdict(excerpt: Column | str, rules: Sequence[Rule] = RULES) -> Column
             citations(matched, best["category"]),
         )
 
-    def judged(text: Column) -> Column:
-        return let(
-            matching_rules(text, rules),
-            lambda matched: F.when(F.size(matched) == 0, no_match).otherwise(
-                let(ranking(matched, rules), lambda place: decided(matched, place))
-            ),
-        )
+    return let(
+        matched,
+        lambda matched: F.when(F.size(matched) == 0, no_match).otherwise(
+            let(ranking(matched, rules), lambda place: decided(matched, place))
+        ),
+    )
+
 
-    return let(text_or_empty(excerpt), judged)
+def rule_verdict(excerpt: Column | str, rules: Sequence[Rule] = RULES) -> Column:
+    """The verdict of one text as a single bound expression."""
+    return let(text_or_empty(excerpt), lambda text: verdict_of(matching_rules(text, rules), rules))
 
 
 def classify_by_rules(df: DataFrame, excerpt: str = "excerpt", rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -120,6 +120,84 @@ def primary_failures(occurrences: DataFrame) -> DataFrame:
     return occurrences.select("id", "job_name", *failure)
 
 
+def signatures(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per signature of all jobs: ``jobs`` counts every row, ``total_attempts`` and ``failed_runs`` those that count.
+
+    What a scan reports of all jobs and which signatures are flaky both follow
+    from it, so one pass over the jobs serves both.
+    """
+    counts = F.col("conclusion").isin(DECISIVE) & (F.col("head_sha") != "") & (F.col("job_name") != "")
+    rows = jobs.withColumns({"workflow_file": text_or_empty("workflow_file"), "_counts": F.coalesce(counts, F.lit(False))})
+    return rows.groupBy(*by, *SIGNATURE).agg(
+        F.count(F.lit(1)).alias("jobs"),
+        F.count_if("_counts").alias("total_attempts"),
+        F.count_if(F.col("_counts") & ~passed()).alias("failed_runs"),
+    )
+
+
+def flaky_signatures(signatures: DataFrame, min_attempts: int = MIN_ATTEMPTS) -> DataFrame:
+    """Those that both passed and failed, in enough attempts."""
+    return signatures.where(
+        (F.col("total_attempts") >= max(MIN_ATTEMPTS, min_attempts))
+        & (F.col("failed_runs") > 0)
+        & (F.col("failed_runs") < F.col("total_attempts"))
+    )
+
+
+def scanned(signatures: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``total_jobs``, ``distinct_commits``, and the sums of attempts, per value of ``by``, from the signatures of all jobs."""
+    return signatures.groupBy(*by).agg(
+        F.coalesce(F.sum("jobs"), F.lit(0)).alias("total_jobs"),
+        F.countDistinct(F.nullif("head_sha", F.lit(""))).alias("distinct_commits"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_attempts", "failed_runs")],
+    )
+
+
+def attempts_of(jobs: DataFrame, flaky: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Whole rows of the attempts that count of some signatures."""
+    keys = [*by, *SIGNATURE]
+    listed = flaky.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) if k in by else F.col(k) == F.col(f"_{k}") for k in keys])
+    columns = [*by, *SIGNATURE, *ATTEMPT_ORDER, "branch", "workflow_name", "conclusion", "url"]
+    return decisive_jobs(jobs).join(listed, same, "left_semi").select(*columns)
+
+
+def occurrences_of(attempts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What ``detect`` gives, from the attempts of flaky signatures alone."""
+    failed_run = F.when(~passed(), F.struct(*ATTEMPT_ORDER, "conclusion", "url"))
+    passed_run = F.when(passed(), F.struct(*ATTEMPT_ORDER, "url"))
+    found = attempts.groupBy(*by, *SIGNATURE).agg(
+        F.count(F.lit(1)).alias("total_attempts"),
+        F.count_if(~passed()).alias("failed_runs"),
+        F.min(F.struct(*ATTEMPT_ORDER, "branch", "workflow_name")).alias("first"),
+        F.max(failed_run).alias("primary_failure"),
+        F.max(passed_run)["url"].alias("last_pass_url"),
+    )
+    return found.select(
+        *by,
+        short_hash(*SIGNATURE).alias("id"),
+        "head_sha",
+        "first.branch",
+        "first.workflow_name",
+        "workflow_file",
+        "job_name",
+        "total_attempts",
+        "failed_runs",
+        (F.col("total_attempts") - F.col("failed_runs")).alias("passed_runs"),
+        (F.col("failed_runs") / F.col("total_attempts")).alias("failure_rate"),
+        "primary_failure",
+        "last_pass_url",
+    )
+
+
+def runs_of(attempts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What ``occurrence_runs`` gives, from the attempts of flaky signatures alone."""
+    outcome = F.when(passed(), F.lit("passed")).otherwise(F.lit("failed"))
+    return attempts.select(
+        *by, short_hash(*SIGNATURE).alias("id"), outcome.alias("outcome"), "run_id", "run_attempt", "job_id", "conclusion", "started_at", "url"
+    )
+
+
 def summarise(jobs: DataFrame, occurrences: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row of totals per value of ``by``; counts every job row, decisive or not.
 
@@ -129,6 +207,11 @@ def summarise(jobs: DataFrame, occurrences: DataFrame, by: Sequence[str] = ()) -
         F.count(F.lit(1)).alias("total_jobs"),
         F.countDistinct(F.nullif("head_sha", F.lit(""))).alias("distinct_commits"),
     )
+    return with_flaky(scanned, occurrences, by)
+
+
+def with_flaky(scanned: DataFrame, occurrences: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A summary from the totals of all jobs and the occurrences."""
     flaky = occurrences.groupBy(*by).agg(
         F.count(F.lit(1)).alias("flaky_occurrences"),
         F.countDistinct("job_name").alias("affected_jobs"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redgreen.functions.logs import (
@@ -92,14 +92,36 @@ def add_excerpt(steps: DataFrame, options: ExcerptOptions = ExcerptOptions()) ->
 
 
 def failing_step(steps: DataFrame) -> DataFrame:
-    """Per archive the step with the highest score, the later one on ties.
+    """Per readable archive the step with the highest score, the later one on ties.
 
     With no scoring step at all every score is 0 and the last step wins, which
-    is the fallback wanted. Scores shuffle, bodies do not.
+    is the fallback wanted. Bodies are scored where they are read; scores and
+    places are ranked, of which each task passes on one per archive.
     """
-    scored = steps.withColumn("score", failure_score("step_name", "body"))
-    chosen = F.max_by(F.struct("job_dir", "step_order", "step_name", "score"), F.struct("score", step_position()))
-    return scored.groupBy("archive").agg(chosen.alias("step")).select("archive", "step.*")
+    scored = steps.where(F.col("error").isNull()) if "error" in steps.columns else steps
+    scored = scored.select("archive", "job_dir", "step_order", "step_name", "entry_no", failure_score("step_name", "body").alias("score"))
+    best = Window.partitionBy("archive").orderBy(F.desc("score"), F.desc("job_dir"), F.desc("step_order"), F.desc("entry_no"))
+    chosen = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") == 1)
+    return chosen.select("archive", "job_dir", "step_order", "step_name", "score")
+
+
+def chosen_excerpts(archives: DataFrame, options: ExcerptOptions = ExcerptOptions()) -> DataFrame:
+    """``(archive, excerpt, error)`` of ``archives_with_steps``: every step is scored, the best one cut.
+
+    All steps of an archive are in its row, so nothing is shuffled, sorted or
+    aggregated, and no other step's excerpt is ever made.
+    """
+
+    def best(steps: Column) -> Column:
+        def rank(s: Column, i: Column) -> Column:
+            score = failure_score(s["step_name"], s["body"]).alias("score")
+            return F.struct(score, *[s[c].alias(c) for c in ("job_dir", "step_order", "entry_no")], i.alias("at"))
+
+        return let(F.array_max(F.transform(steps, rank)), lambda r: F.get(steps, r["at"]))
+
+    found = F.when(F.col("error").isNull() & (F.size("steps") > 0), best(F.col("steps")))
+    excerpt = let(found, lambda s: F.when(s.isNotNull(), excerpt_of(s["step_name"], s["body"], options)))
+    return archives.select("archive", excerpt.alias("excerpt"), "error")
 
 
 def archive_excerpts(steps: DataFrame, options: ExcerptOptions = ExcerptOptions()) -> DataFrame:

@@ -10,6 +10,7 @@ the lines in order across as many files as the data needs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from datetime import datetime
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from redgreen.functions.text import first_sentence, percent, short_commit, two_places
 from redgreen.operators.taxonomy import (
     GENUINE_BUG,
+    is_category,
     label_of,
     mitigation_of,
     mitigation_steps_of,
@@ -45,6 +47,7 @@ DIGEST_EMPTY = "**No flaky occurrences detected.** Every job agreed with itself
 FOOTER = "<sub>Generated by redgreen.</sub>"
 TOP_JOBS = 5
 
+HEADER_COLUMNS = ["repo", "source", "generated_at", "provider", "model", "baseline"]
 LINE_KEY = ["part", "rank", "grp", "weight", "item", "line_no"]
 
 
@@ -70,30 +73,32 @@ def category() -> Column:
     return F.coalesce(F.col("verdict.category"), F.lit(""))
 
 
-def tally(items: DataFrame) -> DataFrame:
-    """``(category, job_name, failed, n)``: the one aggregate every rollup derives from.
+def tally(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, category, job_name, failed, n)``: the one aggregate every rollup derives from.
 
     Rollups sum over it instead of filtering it, so several of them in one plan
-    share a single pass over the items.
+    share a single pass over the items. All of them can be made for each value
+    of ``by``, say the repository.
     """
     failed = F.coalesce("error", F.lit("")) != ""
     keys = [category().alias("category"), F.col("job_name"), failed.alias("failed")]
-    return items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return items.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _classified(n: str = "n") -> Column:
     return F.coalesce(F.sum(F.when(~F.col("failed"), F.col(n))), F.lit(0))
 
 
-def category_counts(tally: DataFrame) -> DataFrame:
-    """``(category, n)``, failed items left out."""
-    return tally.groupBy("category").agg(_classified().alias("n")).where(F.col("n") > 0)
+def category_counts(tally: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, category, n)``, failed items left out."""
+    return tally.groupBy(*by, "category").agg(_classified().alias("n")).where(F.col("n") > 0)
 
 
-def category_share(tally: DataFrame) -> DataFrame:
+def category_share(tally: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts with label, whole-percent share and owner; the window runs over one row per category."""
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return category_counts(tally).select(
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(*by or [F.lit(1)]))
+    return category_counts(tally, by).select(
+        *by,
         report_order_of("category").alias("ord"),
         "category",
         label_of("category").alias("label"),
@@ -131,11 +136,14 @@ def ordered_detail(detail: DataFrame) -> DataFrame:
 def issue_groups(items: DataFrame) -> DataFrame:
     """One row per classified item with its group's size, label, advice and sort key.
 
-    Sizes are one row per category joined back, not a window that would put a
-    whole category into one task; adaptive execution broadcasts them by size.
+    Sizes are one row per category of the closed set, so they are broadcast,
+    and no category, however large, meets in one task. Items of any other
+    category, which no classifier here gives, are counted as one more group.
     """
-    sizes = category_counts(tally(items)).withColumnRenamed("n", "group_size")
-    rows = classified(items).withColumn("category", category()).join(sizes, "category")
+    known = F.when(is_category("category"), F.col("category"))  # null: all others
+    sizes = category_counts(tally(items)).groupBy(known.alias("_known")).agg(F.sum("n").alias("group_size"))
+    rows = classified(items).withColumn("category", category())
+    rows = rows.join(F.broadcast(sizes), known.eqNullSafe(F.col("_known"))).drop("_known")
     return rows.select(
         "id",
         "category",
@@ -155,10 +163,10 @@ def ordered_issue_groups(groups: DataFrame) -> DataFrame:
     return groups.orderBy(F.desc("severity"), "category", F.desc("confidence"), "id")
 
 
-def digest_totals(tally: DataFrame) -> DataFrame:
+def digest_totals(tally: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row: classified occurrences, distinct jobs, genuine bugs, and all items."""
     good = ~F.col("failed")
-    return tally.agg(
+    return tally.groupBy(*by).agg(
         _classified().alias("occurrences"),
         F.countDistinct(F.when(good, F.col("job_name"))).alias("jobs"),
         F.coalesce(F.sum(F.when(good & (F.col("category") == GENUINE_BUG), F.col("n"))), F.lit(0)).alias("genuine_bugs"),
@@ -166,10 +174,13 @@ def digest_totals(tally: DataFrame) -> DataFrame:
     )
 
 
-def noisiest_jobs(tally: DataFrame, top: int = TOP_JOBS) -> DataFrame:
+def noisiest_jobs(tally: DataFrame, top: int = TOP_JOBS, by: Sequence[str] = ()) -> DataFrame:
     """Jobs with most occurrences, name breaking ties: combined counts, then top-k."""
-    counts = tally.groupBy("job_name").agg(_classified().alias("n")).where(F.col("n") > 0)
-    return counts.orderBy(F.desc("n"), "job_name").limit(top)
+    counts = tally.groupBy(*by, "job_name").agg(_classified().alias("n")).where(F.col("n") > 0)
+    if not by:
+        return counts.orderBy(F.desc("n"), "job_name").limit(top)
+    first = Window.partitionBy(*by).orderBy(F.desc("n"), "job_name")
+    return counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= top).drop("place")
 
 
 def _lines(
@@ -180,11 +191,13 @@ def _lines(
     grp: Column | str = "",
     weight: Column | float = 0.0,
     item: Column | str = "",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     def value(x: Column | int | float | str) -> Column:
         return x if isinstance(x, Column) else F.lit(x)
 
     return df.select(
+        *by,
         F.lit(part).alias("part"),
         value(rank).cast("int").alias("rank"),
         value(grp).alias("grp"),
@@ -209,23 +222,56 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def markdown_lines(items: DataFrame, header: Header) -> DataFrame:
+def _totals(counted: DataFrame, header: Header | DataFrame, by: Sequence[str]) -> DataFrame:
+    """``digest_totals`` under the header's texts ``repo, source, label, generated, baseline``.
+
+    With a table of headers there is one row for each, also for those without
+    items; items without a header are an error.
+    """
+    total = digest_totals(counted, by)
+    if isinstance(header, Header):
+        texts = {
+            "repo": header.repo, "source": header.source, "label": header.label(),
+            "generated": f"{header.generated_at:%Y-%m-%d %H:%M}", "baseline": header.baseline,
+        }
+        return total.withColumns({k: F.lit(v) for k, v in texts.items()})
+    heads = header.select(*HEADER_COLUMNS, F.lit(True).alias("_headed"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("occurrences", "jobs", "genuine_bugs", "items")]
+    missing = F.raise_error(F.concat(F.lit("no header for repository "), F.coalesce("repo", F.lit("null")))).cast("string")
+    suffix = F.when(F.col("baseline"), F.lit(BASELINE_SUFFIX)).otherwise(F.lit(""))
+    utc = F.to_utc_timestamp("generated_at", F.current_timezone())
+    return total.join(heads, "repo", "full").select(
+        F.when(F.col("_headed"), F.col("repo")).otherwise(missing).alias("repo"),
+        "source",
+        _all(F.col("provider"), " / ", F.col("model"), suffix).alias("label"),
+        F.date_format(utc, "yyyy-MM-dd HH:mm").alias("generated"),
+        "baseline",
+        *counts,
+    )
+
+
+def _if_baseline(texts: list[str]) -> Column:
+    return F.when(F.col("baseline"), _texts(*texts)).otherwise(F.array().cast("array<string>"))
+
+
+def markdown_lines(items: DataFrame, header: Header | DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The full report: header, summary table, every item by severity then confidence."""
     none = F.array().cast("array<string>")
-    counted = tally(items)
-    total = digest_totals(counted)
+    counted = tally(items, by)
+    total = _totals(counted, header, by)
     n = F.col("occurrences")
-    top = _texts(
-        "# Flake report",
-        "",
-        f"**Repository:** `{header.repo}`  ",
-        f"**Source:** {header.source}  ",
-        f"**Classifier:** {header.label()}  ",
-        f"**Generated:** {header.generated_at:%Y-%m-%d %H:%M} UTC",
-        "",
-        *(MARKDOWN_BASELINE if header.baseline else []),
-        "## Summary",
-        "",
+    top = F.concat(
+        _texts(
+            "# Flake report",
+            "",
+            _all("**Repository:** `", F.col("repo"), "`  "),
+            _all("**Source:** ", F.col("source"), "  "),
+            _all("**Classifier:** ", F.col("label"), "  "),
+            _all("**Generated:** ", F.col("generated"), " UTC"),
+            "",
+        ),
+        _if_baseline(MARKDOWN_BASELINE),
+        _texts("## Summary", ""),
     )
     summary = F.when(n == 0, _texts(MARKDOWN_EMPTY, "")).otherwise(
         _texts(
@@ -296,34 +342,35 @@ def markdown_lines(items: DataFrame, header: Header) -> DataFrame:
     confidence = F.coalesce(v["confidence"], F.lit(0.0))
     return _union(
         [
-            _lines(total, 0, F.concat(top, summary)),
-            _lines(category_share(counted), 1, _texts(share_line), rank=F.col("ord")),
-            _lines(total, 2, after_summary),
-            _lines(items, 3, body, rank=-severity, weight=F.lit(0.0) - confidence, item=F.col("id")),
+            _lines(total, 0, F.concat(top, summary), by=by),
+            _lines(category_share(counted, by), 1, _texts(share_line), rank=F.col("ord"), by=by),
+            _lines(total, 2, after_summary, by=by),
+            _lines(items, 3, body, rank=-severity, weight=F.lit(0.0) - confidence, item=F.col("id"), by=by),
         ]
     )
 
 
-def issue_lines(items: DataFrame, header: Header) -> DataFrame:
+def issue_lines(items: DataFrame, header: Header | DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """An issue body: items as check boxes, grouped by category, most severe group first."""
-    none = F.array().cast("array<string>")
     n = F.col("occurrences")
-    top = _texts(
-        f"## Flaky tests detected in `{header.repo}`",
-        "",
-        _all(
-            "Found **", n.cast("string"),
-            " flaky occurrence(s)** — jobs that produced both a pass and a failure on the same commit.",
+    top = F.concat(
+        _texts(
+            _all("## Flaky tests detected in `", F.col("repo"), "`"),
+            "",
+            _all(
+                "Found **", n.cast("string"),
+                " flaky occurrence(s)** — jobs that produced both a pass and a failure on the same commit.",
+            ),
+            "",
+            _all("Classified by `", F.col("label"), "`."),
+            "",
         ),
-        "",
-        f"Classified by `{header.label()}`.",
-        "",
-        *(ISSUE_BASELINE if header.baseline else []),
+        _if_baseline(ISSUE_BASELINE),
     )
     end = F.when(n == 0, _texts(ISSUE_EMPTY)).otherwise(_texts("---", FOOTER))
-    counted = tally(items)
-    total = digest_totals(counted)
-    groups = category_counts(counted)
+    counted = tally(items, by)
+    total = _totals(counted, header, by)
+    groups = category_counts(counted, by)
     rank = -severity_of("category")
     open_group = _texts(
         _all("### ", label_of("category"), " (", F.col("n").cast("string"), ")"),
@@ -344,26 +391,26 @@ def issue_lines(items: DataFrame, header: Header) -> DataFrame:
     )
     return _union(
         [
-            _lines(total, 0, top),
-            _lines(groups, 1, open_group, rank=rank, grp=F.col("category"), weight=float("-inf")),
+            _lines(total, 0, top, by=by),
+            _lines(groups, 1, open_group, rank=rank, grp=F.col("category"), weight=float("-inf"), by=by),
             _lines(
                 rows, 1, _texts(box), rank=-severity_of(category()), grp=category(),
-                weight=F.lit(0.0) - F.col("verdict.confidence"), item=F.col("id"),
+                weight=F.lit(0.0) - F.col("verdict.confidence"), item=F.col("id"), by=by,
             ),
-            _lines(groups, 1, close_group, rank=rank, grp=F.col("category"), weight=float("inf")),
-            _lines(total, 2, end),
+            _lines(groups, 1, close_group, rank=rank, grp=F.col("category"), weight=float("inf"), by=by),
+            _lines(total, 2, end, by=by),
         ]
     )
 
 
-def digest_lines(items: DataFrame, header: Header, window_days: int = 7) -> DataFrame:
+def digest_lines(items: DataFrame, header: Header | DataFrame, window_days: int = 7, by: Sequence[str] = ()) -> DataFrame:
     """The short periodic summary: totals, category table, noisiest jobs."""
     none = F.array().cast("array<string>")
     n, bugs = F.col("occurrences"), F.col("genuine_bugs")
     top = _texts(
         f"## Flake digest — last {window_days} days",
         "",
-        f"`{header.repo}` · classified by {header.label()}",
+        _all("`", F.col("repo"), "` · classified by ", F.col("label")),
         "",
     )
     found = F.concat(
@@ -386,43 +433,58 @@ def digest_lines(items: DataFrame, header: Header, window_days: int = 7) -> Data
         ).otherwise(none),
         _texts("| Category | Count |", "| --- | ---: |"),
     )
-    counted = tally(items)
-    total = digest_totals(counted)
+    counted = tally(items, by)
+    total = _totals(counted, header, by)
     row = _all("| ", F.col("label"), " | ", F.col("n").cast("string"), " |")
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "job_name"))
-    noisy = noisiest_jobs(counted).withColumn("place", place)
+    place = F.row_number().over(Window.partitionBy(*by or [F.lit(1)]).orderBy(F.desc("n"), "job_name"))
+    noisy = noisiest_jobs(counted, by=by).withColumn("place", place)
     job_line = _all(
         F.col("place").cast("string"), ". `", F.col("job_name"), "` — ", F.col("n").cast("string"), " occurrence(s)"
     )
     return _union(
         [
-            _lines(total, 0, F.concat(top, F.when(n == 0, _texts(DIGEST_EMPTY)).otherwise(found))),
-            _lines(category_share(counted), 1, _texts(row), rank=F.col("ord")),
-            _lines(total, 2, F.when(n > 0, _texts("", "**Noisiest jobs**", "")).otherwise(none)),
-            _lines(noisy, 3, _texts(job_line), rank=F.col("place")),
-            _lines(total, 4, F.when(n > 0, _texts("", FOOTER)).otherwise(none)),
+            _lines(total, 0, F.concat(top, F.when(n == 0, _texts(DIGEST_EMPTY)).otherwise(found)), by=by),
+            _lines(category_share(counted, by), 1, _texts(row), rank=F.col("ord"), by=by),
+            _lines(total, 2, F.when(n > 0, _texts("", "**Noisiest jobs**", "")).otherwise(none), by=by),
+            _lines(noisy, 3, _texts(job_line), rank=F.col("place"), by=by),
+            _lines(total, 4, F.when(n > 0, _texts("", FOOTER)).otherwise(none), by=by),
         ]
     )
 
 
-def report_lines(items: DataFrame, header: Header, fmt: str = "markdown", window_days: int = 7) -> DataFrame:
+def report_lines(
+    items: DataFrame, header: Header | DataFrame, fmt: str = "markdown", window_days: int = 7, by: Sequence[str] = ()
+) -> DataFrame:
     """Lines of one report format, unsorted, with their sort key."""
     if fmt in ("markdown", "md"):
-        return markdown_lines(items, header)
+        return markdown_lines(items, header, by)
     if fmt == "issue":
-        return issue_lines(items, header)
+        return issue_lines(items, header, by)
     if fmt == "digest":
-        return digest_lines(items, header, window_days)
+        return digest_lines(items, header, window_days, by)
     raise ValueError(f"unknown report format {fmt!r} (want markdown, json, issue, or digest)")
 
 
+def repository_lines(items: DataFrame, headers: DataFrame, fmt: str = "markdown", window_days: int = 7) -> DataFrame:
+    """Lines of one report for each row of ``headers``, with ``repo`` before the sort key.
+
+    ``headers`` has the columns of ``Header``, one row per repository; ``items``
+    has a column ``repo`` too. All reports come from the same few aggregates.
+    """
+    return report_lines(items, headers, fmt, window_days, by=["repo"])
+
+
 def in_reading_order(lines: DataFrame) -> DataFrame:
-    return lines.orderBy(*LINE_KEY).select("line")
+    """Lines by report, if there are several, and place; a range sort, so a long report spreads over tasks."""
+    by = [c for c in lines.columns if c not in (*LINE_KEY, "line")]
+    return lines.orderBy(*by, *LINE_KEY).select(*by, "line")
 
 
-def json_rows(items: DataFrame, header: Header) -> DataFrame:
-    """The ``json`` format: items under the header's columns."""
-    return items.withColumns({k: F.lit(v) for k, v in asdict(header).items()})
+def json_rows(items: DataFrame, header: Header | DataFrame) -> DataFrame:
+    """The ``json`` format: items under the header's columns, or under those of their repository."""
+    if isinstance(header, Header):
+        return items.withColumns({k: F.lit(v) for k, v in asdict(header).items()})
+    return items.join(header.select(*HEADER_COLUMNS), "repo")
 
 
 def write_report(
@@ -433,3 +495,12 @@ def write_report(
         json_rows(items, header).write.mode("errorifexists").json(path)
     else:
         in_reading_order(report_lines(items, header, fmt, window_days)).write.mode("errorifexists").text(path)
+
+
+def write_reports(items: DataFrame, headers: DataFrame, path: str, fmt: str = "markdown", window_days: int = 7) -> None:
+    """One folder ``repo=...`` for each row of ``headers``, in one job; in each, name order is reading order."""
+    if fmt == "json":
+        json_rows(items, headers).write.mode("errorifexists").partitionBy("repo").json(path)
+    else:
+        lines = in_reading_order(repository_lines(items, headers, fmt, window_days))
+        lines.write.mode("errorifexists").partitionBy("repo").text(path)

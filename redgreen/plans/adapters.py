@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -38,6 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a query that writes: in ``spark.checkpoint.dir``, or of this machine if Spark runs on it alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return f"{tempfile.mkdtemp(prefix='redgreen-')}/written"
+
+
 def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job executions: a line item is an attempt, its order the run and the commit."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
@@ -68,7 +80,10 @@ def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _landed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs as they land: numbered, times as text with a zone or without, some names missing."""
+    """Jobs as they land: times as text with a zone or without, some names missing.
+
+    Their number holds the run and the attempt; it tells jobs apart as long as a run has less than ten attempts.
+    """
     jobs = job_results(spark, sf_dir)
     clock = F.date_format(F.col("started_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
     number = F.col("run_id") * 10 + F.col("run_attempt")
@@ -88,6 +103,13 @@ def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select(F.col("run_id").cast("string").alias("file"), text.alias("document"))
 
 
+def job_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Jobs as they land in three batches: two thirds; the last two thirds, all finished as passed; the same once more."""
+    jobs = job_results(spark, sf_dir).drop("created_at")
+    again = jobs.where(F.col("run_id") % 3 > 0).withColumn("conclusion", F.lit("success"))
+    return [jobs.where(F.col("run_id") % 3 < 2), again, again]
+
+
 def job_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON text per job."""
     jobs = _landed_jobs(spark, sf_dir)
@@ -139,6 +161,36 @@ def labelled_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled cases as corpora of sixteen, each a document that names its logs relative to itself."""
+    cases = labelled_cases(spark, sf_dir)
+    case = F.struct(
+        F.col("id").cast("string").alias("id"), F.concat(F.lit("./logs/"), F.col("id").cast("string"), F.lit(".log")).alias("log"),
+        "expected_category", F.lit("").alias("note"),
+    )
+    listed = cases.groupBy(F.floor(F.col("id") / 16).alias("n")).agg(F.collect_list(case).alias("cases"))
+    text = F.to_json(F.struct(F.lit("d").alias("description"), F.lit("p").alias("label_policy"), "cases"))
+    return listed.select(F.concat(F.lit("file:/corpora/"), F.col("n").cast("string"), F.lit("/cases.json")).alias("file"), text.alias("document"))
+
+
+def corpus_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(log_path, excerpt)`` of those cases."""
+    n, i = F.floor(F.col("id") / 16).cast("string"), F.col("id").cast("string")
+    path = F.concat(F.lit("file:/corpora/"), n, F.lit("/logs/"), i, F.lit(".log"))
+    return labelled_cases(spark, sf_dir).select(path.alias("log_path"), "excerpt")
+
+
+def phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule table: the first three words of every document that begins with three plain ones."""
+    phrase = F.regexp_extract(F.coalesce("text", F.lit("")), "^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+", 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", phrase.alias("phrase")).where(F.col("phrase") != "")
+    first = docs.groupBy(F.lower("phrase").alias("phrase")).agg(F.min("doc_id").alias("rule"))
+    return first.select(
+        "rule", _pick(F.col("rule") % 6, [c for c in CODES if c != UNKNOWN]).alias("category"),
+        ((F.col("rule") % 4 + 1) / F.lit(2.0)).alias("weight"), F.concat(F.lit("(?i)"), "phrase").alias("pattern"),
+    )
+
+
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw responses in eight forms: bare, fenced, in prose, no JSON, bad category,
     confidence 7, unbalanced, upper-case category with blanks. Every explanation is a whole turn."""
@@ -235,7 +287,7 @@ def named_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(job_id, log_archive)``: failed jobs only, no archive name for every eleventh run, one that is gone for every seventh."""
     jobs = job_results(spark, sf_dir).where(F.col("conclusion") == "failure")
-    archives = table(spark, sf_dir, "documents").count() // 4
+    archives = table(spark, sf_dir, "documents").agg(F.floor(F.count(F.lit(1)) / 4)).scalar()
     run = F.col("run_id")
     name = (
         F.when(run % 11 == 4, F.lit(""))

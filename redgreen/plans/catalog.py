@@ -16,12 +16,16 @@ from redgreen.operators import evaluate as ev
 from redgreen.operators import excerpt as ex
 from redgreen.operators import report as r
 from redgreen.operators import responses as rs
+from redgreen.operators import rule_table as rt
 from redgreen.operators import taxonomy as tx
 from redgreen.operators import verdicts as vd
 from redgreen.plans import adapters as a
 from redgreen.plans import workflow as w
 from redgreen.sources import archives as ar
+from redgreen.sources import corpus as co
 from redgreen.sources import jobs as j
+from redgreen.sources import landing as la
+from redgreen.sources import results as res
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,9 +135,39 @@ def every_attempt(spark: SparkSession, sf: str) -> DataFrame:
     return j.every_attempt(a.runs(spark, sf)).select("run_id", "run_attempt")
 
 
+@query
+def landed_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Summary, occurrences and runs of one scan, as they were written."""
+    summary, occurrences, runs = res.land_scan(a.job_results(spark, sf), a.scratch(spark))
+    rate = F.round("failure_rate", 9)
+    return (
+        summary.select(
+            F.lit("summary").alias("kind"), F.lit("").alias("id"), F.col("total_jobs").alias("n"), F.col("distinct_commits").alias("m"),
+            F.round("mean_failure_rate", 9).alias("rate"), F.lit(None).cast("string").alias("job_id"),
+        )
+        .union(occurrences.select(F.lit("occurrence"), "id", "total_attempts", "failed_runs", rate, "primary_failure.job_id"))
+        .union(runs.select("outcome", "id", "run_id", F.col("run_attempt").cast("long"), F.lit(None).cast("double"), "job_id"))
+    )
+
+
+@query
+def landed_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches of jobs that overlap, merged into partitions by month."""
+    path = a.scratch(spark)
+    for batch in a.job_batches(spark, sf):
+        la.land(batch, path, period="month")
+    return spark.read.parquet(path).select("run_id", "run_attempt", "job_id", "job_name", "conclusion", F.col("day").cast("string").alias("day"))
+
+
 # Sources
 
 
+@query
+def corpus_cases(spark: SparkSession, sf: str) -> DataFrame:
+    cases = co.with_log_text(co.corpus_rows(a.corpus_documents(spark, sf)), a.corpus_logs(spark, sf))
+    return cases.select("id", "expected_category", "log_path", digest("excerpt", "excerpt"))
+
+
 @query
 def timestamp_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return a.time_texts(spark, sf).select(
@@ -206,6 +240,11 @@ def archive_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     return _excerpt("archive", ex.archive_excerpts(a.step_logs(spark, sf)))
 
 
+@query
+def zipped_excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    return _excerpt("archive", ex.chosen_excerpts(ar.archives_with_steps(a.zipped_documents(spark, sf))))
+
+
 # Classification
 
 
@@ -218,6 +257,20 @@ def rule_hits(spark: SparkSession, sf: str) -> DataFrame:
     return c.rule_hits(a.step_logs(spark, sf), "doc_id", "body")
 
 
+@query
+def user_rule_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return rt.rule_table_hits(a.table(spark, sf, "documents"), "doc_id", a.phrase_rules(spark, sf), "text").select(
+        "doc_id", "rule", "category", "weight", digest("line", "line")
+    )
+
+
+@query
+def user_rule_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = a.table(spark, sf, "documents")
+    v = rt.classify_by_rule_table(docs, a.phrase_rules(spark, sf), "text").select("doc_id", "verdict.*")
+    return v.select("doc_id", "category", nine("confidence"), F.size("cited_lines").alias("n_cited"))
+
+
 @query
 def rule_scores(spark: SparkSession, sf: str) -> DataFrame:
     return c.rule_scores(a.step_logs(spark, sf), "doc_id", "body")
@@ -343,6 +396,16 @@ def eval_per_category(spark: SparkSession, sf: str) -> DataFrame:
     return table.withColumns({x: nine(x) for x in ["precision", "recall", "f1"]})
 
 
+@query
+def eval_category_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The categories of a scores document with their places, as written and read back."""
+    p = w.deterministic()
+    scores, path = ev.scores(_outcomes(spark, sf), p.name, p.model, p.baseline), a.scratch(spark)
+    res.write_json(scores, path)
+    back = res.read_json(spark, path, scores.schema)
+    return back.select(F.posexplode("per_category").alias("place", "c")).select("place", "c.category", "c.support", F.round("c.f1", 9).alias("f1"))
+
+
 @query
 def eval_macro_f1(spark: SparkSession, sf: str) -> DataFrame:
     return ev.macro_f1(ev.per_category(ev.cells(_outcomes(spark, sf)))).select(nine("macro_f1"))
@@ -456,6 +519,38 @@ QUERIES["report_issue"] = _report("issue")
 QUERIES["report_digest"] = _report("digest")
 
 
+def repository_items(spark: SparkSession, sf: str) -> DataFrame:
+    return _items(spark, sf).withColumn("repo", F.concat(F.lit("acme/"), (F.col("archive") % 5).cast("string")))
+
+
+def repository_headers(spark: SparkSession) -> DataFrame:
+    """Five repositories with items and one without; every second one classified by a model."""
+    names = [*map(str, range(5)), "none"]
+    rows = [(f"acme/{n}", f"source {n}", HEADER.generated_at, *(("model", "m1", False) if i % 2 else ("deterministic", "rule-based-v1", True))) for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "repo string, source string, generated_at timestamp_ntz, provider string, model string, baseline boolean")
+
+
+def _repository_report(fmt: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return r.repository_lines(repository_items(spark, sf), repository_headers(spark), fmt).withColumn("weight", nine("weight"))
+
+    return run
+
+
+QUERIES["repository_markdown"] = _repository_report("markdown")
+QUERIES["repository_issue"] = _repository_report("issue")
+QUERIES["repository_digest"] = _repository_report("digest")
+
+
+@query
+def written_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items as JSON lines, written and read back."""
+    items, path = _items(spark, sf), a.scratch(spark)
+    res.write_json(items, path)
+    back = res.read_json(spark, path, items.schema)
+    return back.select("archive", "id", F.col("verdict.category").alias("category"), F.round("verdict.confidence", 9).alias("confidence"), F.size("verdict.cited_lines").alias("n_cited"), "error")
+
+
 @query
 def classified_items(spark: SparkSession, sf: str) -> DataFrame:
     jobs = a.job_results(spark, sf)

@@ -136,6 +136,23 @@ CHECKS["every_attempt"] = """
 select o_orderkey as run_id, cast(unnest(range(1, greatest(o_orderkey % 7, 1) + 1)) as integer) as run_attempt
 from orders"""
 
+CHECKS["landed_scan"] = with_ctes(
+    [JOBS, flaky()],
+    """select 'summary' as kind, '' as id, (select count(*) from jobs) as n, (select count(distinct head_sha) from jobs) as m,
+  round(avg(rate), 9) as rate, null as job_id from flaky
+union all select 'occurrence', id, total_attempts, failed_runs, round(rate, 9), last_job_id from flaky
+union all select case when conclusion = 'success' then 'passed' else 'failed' end, f.id, run_id, run_attempt, null, job_id
+from jobs j join flaky f on j.head_sha = f.head_sha and j.workflow_file = f.workflow_file and j.job_name = f.job_name
+where conclusion in ('success', 'failure', 'timed_out')""",
+)
+CHECKS["landed_batches"] = with_ctes(
+    [JOBS],
+    """select run_id, run_attempt, job_id, job_name, conclusion, strftime(date_trunc('month', started_at), '%Y-%m-%d') as day
+from (select * replace (case when run_id % 3 > 0 then 'success' else conclusion end as conclusion) from jobs)
+qualify row_number() over (partition by run_id, run_attempt, job_id
+  order by job_name desc, workflow_name desc, workflow_file desc, head_sha desc, branch desc, conclusion desc, started_at desc) = 1""",
+)
+
 CHECKS["timestamp_normalise"] = """
 select event_id,
   case when event_id % 6 in (0, 1, 2) then ts
@@ -262,6 +279,24 @@ CHECKS["excerpt_small_budget"] = with_ctes(
 CHECKS["archive_excerpts"] = with_ctes(
     [STEPS, CHOSEN, *excerpts("chosen")], f"select archive, {EXCERPT_COLUMNS} from excerpts"
 )
+ZIPPED = f"""zipped as materialized (
+  select doc_id, cast(doc_id as varchar) as archive, '.' as job_dir, 3 as step_order, 0 as entry_no, 'Run tests' as step_name,
+    {unstamped('raw_body')} as body from stamped where doc_id % 10 <> 9
+  union all select doc_id, cast(doc_id as varchar), 'build', 1, 1, 'Set up job', {unstamped('text')} from stamped where doc_id % 10 <> 9
+  union all select doc_id, cast(doc_id as varchar), '.', 0, 2, 'Summary', 'no number' from stamped where doc_id % 10 <> 9),
+best as (select * from (select *, row_number() over (partition by archive
+    order by {score('step_name', 'body')} desc, job_dir desc, step_order desc, entry_no desc) as place from zipped) where place = 1)"""
+CHECKS["zipped_excerpts"] = with_ctes(
+    [STAMPED, ZIPPED, *excerpts("best")],
+    f"""select archive, {EXCERPT_COLUMNS} from excerpts
+union all select cast(doc_id as varchar), null, null, null, null, null from documents where doc_id % 10 = 9""",
+)
+
+CHECKS["corpus_cases"] = with_ctes(
+    [STEPS],
+    f"""select cast(doc_id as varchar) as id, {pick('k', [x for _, x in MARKED_LINES])} as expected_category,
+  'file:/corpora/' || doc_id // 16 || '/logs/' || doc_id || '.log' as log_path, md5(body) as excerpt from steps""",
+)
 
 # Rules and verdicts
 
@@ -318,6 +353,18 @@ CHECKS["rule_verdicts"] = with_ctes(
     """select doc_id, v.category, round(confidence, 9) as confidence, explanation, t.summary as suggested_mitigation
 from verdicts v join taxonomy t on t.category = v.category""",
 )
+PHRASES = f"""phrases as (select min(doc_id) as rule, lower(p) as phrase from (
+    select doc_id, regexp_extract(coalesce(text, ''), '^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+') as p from documents) where p <> '' group by all),
+ruled as (select rule, phrase, {pick('rule % 6', [c for c in CODES if c != 'unknown'])} as category, (rule % 4 + 1) / 2.0 as weight,
+  cast(row_number() over (order by rule) - 1 as integer) as place from phrases),
+hits as materialized (select doc_id, place as rule, category, cast(weight as double) as weight,
+  {utrim("list_filter(string_split(text, chr(10)), lambda l: contains(lower(l), phrase))[1]")} as line
+  from documents join ruled on contains(lower(text), phrase))"""
+CHECKS["user_rule_hits"] = with_ctes([PHRASES], "select doc_id, rule, category, weight, md5(line) as line from hits")
+CHECKS["user_rule_verdicts"] = with_ctes(
+    [PHRASES, "texts as (select doc_id from documents)", *verdicts("texts", "doc_id", 0)],
+    "select doc_id, category, round(confidence, 9) as confidence, cast(len(cited) as integer) as n_cited from verdicts",
+)
 CHECKS["rule_citations"] = with_ctes(
     [*BODY_HITS, *verdicts("steps", "doc_id", 0)],
     f"select doc_id, array_to_string(cited, {NL}) as cited, cast(len(cited) as integer) as n_cited from verdicts",
@@ -449,6 +496,11 @@ CHECKS["eval_per_category"] = with_ctes(
     f"""select category, support, predicted, true_positives, round(cast(p as double), 9) as precision,
   round(cast(r as double), 9) as recall, round(cast({F1} as double), 9) as f1 from per_category""",
 )
+CHECKS["eval_category_order"] = with_ctes(
+    [*EVAL, PER_CATEGORY],
+    f"""select cast(row_number() over (order by category) - 1 as integer) as place, category, support,
+  round(cast({F1} as double), 9) as f1 from per_category""",
+)
 CHECKS["eval_macro_f1"] = with_ctes(
     [*EVAL, PER_CATEGORY], f"select round(avg({F1}), 9) as macro_f1 from per_category where support > 0"
 )
@@ -544,8 +596,8 @@ NOISY = """noisy as (select job_name, n, row_number() over (order by n desc, job
 CHECKS["noisiest_jobs"] = with_ctes([*ITEMS, NOISY], "select job_name, n from noisy")
 
 
-def lines(source: str, part: int, array: str, rank: str = "0", grp: str = "''", weight: str = "0.0", item: str = "''") -> str:
-    return f"""select {part} as part, cast({rank} as integer) as rank, {grp} as grp, cast({weight} as double) as weight,
+def lines(source: str, part: int, array: str, rank: str = "0", grp: str = "''", weight: str = "0.0", item: str = "''", by: str = "") -> str:
+    return f"""select {by}{part} as part, cast({rank} as integer) as rank, {grp} as grp, cast({weight} as double) as weight,
   {item} as item, cast(generate_subscripts(ls, 1) - 1 as integer) as line_no, unnest(ls) as line
 from (select *, {array} as ls from {source})"""
 
@@ -659,6 +711,102 @@ CHECKS["report_digest"] = with_ctes(
     ),
 )
 
+HEADS = "heads(repo, source, label, baseline) as (values " + ", ".join(
+    f"('acme/{n}', 'source {n}', {q('model / m1' if i % 2 else HEADER.label())}, {str(not i % 2).lower()})"
+    for i, n in enumerate([*range(5), "none"])
+) + ")"
+BY_REPO = [
+    *ITEMS,
+    HEADS,
+    "r_items as (select *, 'acme/' || archive % 5 as repo from items)",
+    "r_good as (select *, 'acme/' || archive % 5 as repo from good)",
+    "r_counts as (select repo, category, ord, label, severity, owner, summary, steps, count(*) as n from r_good group by all)",
+    """r_totals as (select h.*, coalesce(occurrences, 0) as occurrences, coalesce(jobs, 0) as jobs, coalesce(bugs, 0) as bugs, coalesce(n, 0) as n
+  from heads h left join (select repo, count(*) filter (where not failed) as occurrences,
+    count(distinct job_name) filter (where not failed) as jobs, count(*) filter (where category = 'genuine_bug') as bugs, count(*) as n
+    from r_items group by repo) t on t.repo = h.repo)""",
+    """r_noisy as (select repo, job_name, n, row_number() over (partition by repo order by n desc, job_name) as place
+  from (select repo, job_name, count(*) as n from r_good group by all) qualify place <= 5)""",
+    "r_share as (select *, sum(n) over (partition by repo) as all_n from r_counts)",
+]
+
+
+def some(condition: str, *values: str) -> str:
+    return f"(case when {condition} then {texts(*values)} else [] end)"
+
+
+def by_repo(*parts: str) -> str:
+    return with_ctes(BY_REPO, "\nunion all\n".join(parts))
+
+
+R = {"by": "repo, "}
+CHECKS["repository_markdown"] = by_repo(
+    lines(
+        "r_totals", 0,
+        "['# Flake report', '', '**Repository:** `' || repo || '`  ', '**Source:** ' || source || '  ', '**Classifier:** ' || label || '  ', "
+        f"'**Generated:** {GENERATED}', ''] || {some('baseline', *map(q, r.MARKDOWN_BASELINE))} || ['## Summary', ''] || "
+        f"(case when occurrences = 0 then {fixed(r.MARKDOWN_EMPTY, '')} else [occurrences || ' flaky occurrence(s) classified.', '', "
+        "'| Category | Count | Share | Typical owner |', '| --- | ---: | ---: | --- |'] end)",
+        **R,
+    ),
+    lines("r_share", 1, f"['| ' || label || ' | ' || n || ' | ' || {percent('n / all_n')} || ' | ' || owner || ' |']", rank="ord", **R),
+    lines("r_totals", 2, f"""{some('occurrences > 0', "''")} || {some('n > 0', "'## Occurrences'", "''")}""", **R),
+    lines(
+        "r_good", 3, f"['### `' || job_name || '` — ' || label, ''] || {FACTS}", rank="-severity",
+        weight="round(0.0 - confidence, 9)", item="id", **R,
+    ),
+    lines(
+        "(select * from r_items where failed)", 3,
+        "['### `' || job_name || '` — ', '', '> Classification failed: downloading log: gone', '']", item="id", **R,
+    ),
+)
+CHECKS["repository_issue"] = by_repo(
+    lines(
+        "r_totals", 0,
+        "['## Flaky tests detected in `' || repo || '`', '', 'Found **' || occurrences || ' flaky occurrence(s)** — jobs that produced "
+        "both a pass and a failure on the same commit.', '', 'Classified by `' || label || '`.', ''] "
+        f"|| {some('baseline', *map(q, r.ISSUE_BASELINE))}",
+        **R,
+    ),
+    lines(
+        "r_counts", 1, "['### ' || label || ' (' || n || ')', '', '**' || summary || '** _(owner: ' || owner || ')_', '']",
+        rank="-severity", grp="category", weight="'-infinity'", **R,
+    ),
+    lines(
+        "r_good", 1,
+        f"['- [ ] `' || job_name || '` — ' || {sentence('explanation')} || ' _(commit `' || left(head_sha, 7) || '`, ' || "
+        f"{percent('rate')} || ' failure rate, confidence ' || printf('%.2f', confidence) || ')_']",
+        rank="-severity", grp="category", weight="round(0.0 - confidence, 9)", item="id", **R,
+    ),
+    lines(
+        "r_counts", 1,
+        "['', '<details><summary>Suggested steps</summary>', ''] || list_transform(steps, lambda s: '1. ' || s) || ['', '</details>', '']",
+        rank="-severity", grp="category", weight="'infinity'", **R,
+    ),
+    lines("r_totals", 2, f"case when occurrences = 0 then {fixed(r.ISSUE_EMPTY)} else {fixed('---', r.FOOTER)} end", **R),
+)
+CHECKS["repository_digest"] = by_repo(
+    lines(
+        "r_totals", 0,
+        "['## Flake digest — last 7 days', '', '`' || repo || '` · classified by ' || label, ''] || "
+        f"(case when occurrences = 0 then {fixed(r.DIGEST_EMPTY)} else "
+        "['**' || occurrences || ' flaky occurrence(s)** across **' || jobs || ' job(s)**.', ''] "
+        "|| (case when bugs > 0 then ['> ⚠️ ' || bugs || "
+        "' occurrence(s) look like a **genuine bug** masked by a rerun, not infrastructure noise. "
+        "Those should not be re-run to green.', ''] else [] end) || ['| Category | Count |', '| --- | ---: |'] end)",
+        **R,
+    ),
+    lines("r_counts", 1, "['| ' || label || ' | ' || n || ' |']", rank="ord", **R),
+    lines("r_totals", 2, some("occurrences > 0", "''", "'**Noisiest jobs**'", "''"), **R),
+    lines("r_noisy", 3, "[place || '. `' || job_name || '` — ' || n || ' occurrence(s)']", rank="place", **R),
+    lines("r_totals", 4, some("occurrences > 0", "''", q(r.FOOTER)), **R),
+)
+CHECKS["written_items"] = with_ctes(
+    ITEMS,
+    """select archive, id, case when not failed then category end as category, case when not failed then round(confidence, 9) end as confidence,
+  cast(case when not failed then len(cited) end as integer) as n_cited, case when failed then 'downloading log: gone' else '' end as error from items""",
+)
+
 CHECKS["classified_items"] = with_ctes(
     [
         JOBS,

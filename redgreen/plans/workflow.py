@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from redgreen.operators import detect as d
 from redgreen.operators import evaluate as ev
 from redgreen.operators.classify import classify_by_rules
-from redgreen.operators.excerpt import ExcerptOptions, archive_excerpts
+from redgreen.operators.excerpt import ExcerptOptions, archive_excerpts, chosen_excerpts
 from redgreen.operators.responses import merge_rounds, parse_responses, with_answers
+from redgreen.operators.rule_table import classify_by_rule_table
 from redgreen.operators.verdicts import DEFAULT_FLOOR, settle
-from redgreen.sources.archives import locate_logs, unzip_steps
+from redgreen.sources.archives import archives_with_steps, locate_logs
 from redgreen.sources.corpus import check_labels
 from redgreen.sources.jobs import for_workflow
-from redgreen.sources.tables import possibly_listed
 
 
 class Classifier(NamedTuple):
@@ -41,6 +41,15 @@ def deterministic() -> Classifier:
     return Classifier("deterministic", "rule-based-v1", _by_rules)
 
 
+def by_rule_table(rules: DataFrame, model: str = "rule-table") -> Classifier:
+    """The rules of a user's table ``(rule, category, weight, pattern)``."""
+
+    def run(requests: DataFrame) -> DataFrame:
+        return classify_by_rule_table(requests, rules).withColumn("classify_error", F.lit(None).cast("string"))
+
+    return Classifier("deterministic", model, run)
+
+
 def from_responses(name: str, model: str, first: DataFrame, second: DataFrame, on: Sequence[str] = ("id",)) -> Classifier:
     """A classifier over landed response tables ``(id, raw, transport_error)``, with one repair round.
 
@@ -99,24 +108,28 @@ def classify_occurrences(
 ) -> DataFrame:
     """One item per occurrence; what fails carries ``error`` and the run goes on.
 
-    ``log_index`` is ``(job_id, log_archive)``; ``logs`` are step rows, or
-    archives still zipped. Detection comes first and its few archive names
-    filter the logs where they are read, so those of healthy jobs are hardly
-    ever unzipped, scored or cut; only excerpts, bounded by the budget, move
-    between tasks. Pass landed occurrences: they are read twice.
+    ``log_index`` is ``(job_id, log_archive)``; ``logs`` are archives listed by
+    name, archives with their contents, or step rows. Of listed archives only
+    names meet names: none of a healthy job is opened, and a wanted one is
+    opened, scored and cut by one task. Contents and step rows are cut where
+    they are read, all of them, as a join would move whole logs first; only
+    excerpts, bounded by the budget, move between tasks. So list archives where
+    few of them are wanted. Pass landed occurrences: listing reads them twice.
     """
     failure = F.col("primary_failure")
     failing = occurrences.withColumns(
         {"job_id": failure["job_id"], "failing_url": failure["url"], "passing_url": F.col("last_pass_url")}
     )
     located = locate_logs(failing, log_index)
-    names = located.where(F.col("log_error").isNull()).select(F.col("log_archive").alias("archive"))
-    wanted = possibly_listed(logs, names, ["archive"])
-    steps = unzip_steps(wanted) if "content" in logs.columns else wanted
+    if "path" in logs.columns:
+        names = located.where(F.col("log_error").isNull()).select(F.col("log_archive").alias("archive"))
+        logs = logs.join(names, "archive", "left_semi")
+    zipped = "path" in logs.columns or "content" in logs.columns
+    excerpts = chosen_excerpts(archives_with_steps(logs), options) if zipped else archive_excerpts(logs, options)
     # Occurrences without a log get a key of their own, so that they spread
     # instead of meeting in one partition under an empty name.
     key = F.when(F.col("log_error").isNull(), F.col("log_archive")).otherwise(F.concat(F.lit("\0"), "id"))
-    cut = archive_excerpts(steps, options).select(
+    cut = excerpts.select(
         F.col("archive").alias("key"),
         F.col("excerpt.step_name").alias("step_name"),
         F.col("excerpt.text").alias("excerpt"),

@@ -19,6 +19,9 @@ CORPUS_DOCUMENT = (
     "cases array<struct<id string, log string, expected_category string, note string>>"
 )
 
+ARCHIVE_ENTRIES = (
+    "archive string, steps array<struct<job_dir string, entry_no int, entry_name string, raw_body string>>, error string"
+)
 STEP_LOG = "archive string, job_dir string, entry_no int, entry_name string, raw_body string, error string"
 
 VERDICT = (

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,62 +13,113 @@ from pyspark.sql import functions as F
 
 from redgreen.functions.logs import step_file, strip_stamps
 from redgreen.functions.text import text_or_empty
-from redgreen.schemas import STEP_LOG
+from redgreen.schemas import ARCHIVE_ENTRIES, STEP_LOG
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``(archive, content)`` of every zip below a directory, archive = its path below it."""
+
+def _zip_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(archive, path, length, content)`` of every zip below a directory, archive = its path below it."""
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
     )
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
-    # Archives of different folders may share a file name.
-    return files.select(F.substring_index("path", root, -1).alias("archive"), "content")
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
+    # The root is cut off at the front only: its name may come again further down, and archives of different folders may share one.
+    below = F.when(F.startswith("path", F.lit(root)), F.substring("path", F.lit(len(root) + 1), F.length("path")))
+    return files.select(F.coalesce(below, "path").alias("archive"), "path", "length", "content")
 
 
-def unzip_steps(archives: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """One row per step file, or one row with ``error`` for an unusable archive.
+def list_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``(archive, path, length)``: names only, no archive is opened.
 
-    With ``max_bytes`` an archive that expands to as many bytes or more counts
-    as unusable; without it any size is read, entry by entry.
-
-    This is the only place a Python worker is needed. Filter archives first:
-    a predicate cannot be pushed through the worker. Land the result as a table
-    when more than one query reads it, so nothing is expanded twice.
+    Join with the names that are wanted, then read those with ``read_listed``.
     """
+    return _zip_files(spark, path).drop("content")
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``(archive, content)`` of every zip below a directory."""
+    return _zip_files(spark, path).select("archive", "content")
+
+
+def open_path(path: str) -> BinaryIO:
+    """A file for reading at any place: of this machine or a mounted one, else through the file systems that Arrow knows."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return open("/" + rest.lstrip("/") if colon else path, "rb")
+    from pyarrow import fs
+
+    authority, _, key = rest.lstrip("/").partition("/")
+    files, base = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{authority}/")
+    return files.open_input_file(f"{base.rstrip('/')}/{key}")
+
+
+def _unzipper(nested: bool, max_bytes: int | None, opener: Callable[[str], BinaryIO]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function over ``(archive, content)`` or ``(archive, path)``: a row for each entry, or one with all entries."""
+
+    # Nested, so that workers get the functions themselves and need no installed package.
+    def entries(file: BinaryIO) -> list[tuple]:
+        left, found = max_bytes, []
+        with zipfile.ZipFile(file) as zipped:
+            for info in zipped.infolist():
+                if info.is_dir() or not info.filename.lower().endswith(".txt"):
+                    continue
+                with zipped.open(info) as entry:
+                    body = entry.read(left)
+                if left is not None:
+                    left -= len(body)
+                    if left <= 0:
+                        raise ValueError(f"log archive exceeds {max_bytes} bytes; refusing to expand further")
+                folder, _, base = info.filename.rpartition("/")
+                found.append((folder or ".", len(found), base, body.decode("utf-8", "replace")))
+        if not found:
+            raise ValueError("log archive contained no .txt step files")
+        return found
 
-    # Nested, so that workers get the function itself and need no installed package.
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Spark bounds a batch by bytes, and archives expand one at a time up to the cap.
-        columns = ["archive", "job_dir", "entry_no", "entry_name", "raw_body", "error"]
+        names = ["job_dir", "entry_no", "entry_name", "raw_body"]
         for batch in batches:
-            for archive, content in zip(batch["archive"], batch["content"]):
-                rows = []
+            source = "content" if "content" in batch.columns else "path"
+            for archive, given in zip(batch["archive"], batch[source]):
+                found, error = [], None
                 try:
-                    left = max_bytes
-                    with zipfile.ZipFile(io.BytesIO(content)) as zipped:
-                        for info in zipped.infolist():
-                            if info.is_dir() or not info.filename.lower().endswith(".txt"):
-                                continue
-                            with zipped.open(info) as entry:
-                                body = entry.read(left)
-                            if left is not None:
-                                left -= len(body)
-                                if left <= 0:
-                                    raise ValueError(f"log archive exceeds {max_bytes} bytes; refusing to expand further")
-                            folder, _, base = info.filename.rpartition("/")
-                            rows.append(
-                                (archive, folder or ".", len(rows), base, body.decode("utf-8", "replace"), None)
-                            )
-                    if not rows:
-                        raise ValueError("log archive contained no .txt step files")
+                    with io.BytesIO(given) if source == "content" else opener(given) as file:
+                        found = entries(file)
                 except ValueError as problem:  # the archive's content
-                    rows = [(archive, None, None, None, None, f"reading archive: {problem}")]
+                    error = f"reading archive: {problem}"
                 except Exception as problem:  # the container, or a corrupt stream in it
-                    rows = [(archive, None, None, None, None, f"reading archive: opening log archive: {problem}")]
-                yield pd.DataFrame(rows, columns=columns)
+                    error = f"reading archive: opening log archive: {problem}"
+                if nested:
+                    steps = [dict(zip(names, entry)) for entry in found]
+                    yield pd.DataFrame({"archive": [archive], "steps": [steps], "error": [error]})
+                else:
+                    rows = [(archive, *entry, None) for entry in found] or [(archive, None, None, None, None, error)]
+                    yield pd.DataFrame(rows, columns=["archive", *names, "error"])
+
+    return unzip
+
+
+def _spread(archives: DataFrame) -> DataFrame:
+    """What the unzippers read; listed names are small, so sizes say nothing about the work and they are dealt by number."""
+    if "content" in archives.columns:
+        return archives.select("archive", "content")
+    tasks = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archives.select("archive", "path").repartition(tasks, "path")
 
-    raw = archives.select("archive", "content").mapInPandas(unzip, STEP_LOG)
+
+def unzip_steps(archives: DataFrame, max_bytes: int | None = None, opener: Callable[[str], BinaryIO] = open_path) -> DataFrame:
+    """One row per step file, or one row with ``error`` for an unusable archive.
+
+    ``archives`` holds contents, or the paths of ``list_archives``, each opened
+    by ``opener`` in the task that reads it. With ``max_bytes`` an archive that
+    expands to as many bytes or more counts as unusable; without it any size is
+    read, entry by entry.
+
+    Filter archives first: a predicate cannot be pushed through the Python
+    worker. Land the result as a table when more than one query reads it, so
+    nothing is expanded twice.
+    """
+    raw = _spread(archives).mapInPandas(_unzipper(False, max_bytes, opener), STEP_LOG)
     parsed = step_file("entry_name")
     return raw.select(
         "archive",
@@ -80,6 +132,27 @@ def unzip_steps(archives: DataFrame, max_bytes: int | None = None) -> DataFrame:
     )
 
 
+def archives_with_steps(archives: DataFrame, max_bytes: int | None = None, opener: Callable[[str], BinaryIO] = open_path) -> DataFrame:
+    """``(archive, steps, error)``: one row per archive that holds its steps, as ``unzip_steps`` has them.
+
+    An archive is one file, read by one task; its steps stay together, so what
+    is asked of an archive as a whole needs no shuffle.
+    """
+    raw = _spread(archives).mapInPandas(_unzipper(True, max_bytes, opener), ARCHIVE_ENTRIES)
+
+    def step(entry: Column) -> Column:
+        parsed = step_file(entry["entry_name"])
+        return F.struct(
+            entry["job_dir"].alias("job_dir"),
+            parsed["step_order"].alias("step_order"),
+            parsed["step_name"].alias("step_name"),
+            entry["entry_no"].alias("entry_no"),
+            strip_stamps(entry["raw_body"]).alias("body"),
+        )
+
+    return raw.select("archive", F.transform("steps", step).alias("steps"), "error")
+
+
 def step_position() -> Column:
     """Order of steps in an archive: folder, number, then place in the archive."""
     return F.struct("job_dir", "step_order", "entry_no")

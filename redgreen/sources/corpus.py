@@ -25,8 +25,16 @@ def check_labels(cases: DataFrame) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Case rows ``(id, log, expected_category, note, log_path)``; empty corpus or bad label fails."""
     docs = spark.read.schema(CORPUS_DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    file = _decoded(F.col("_metadata.file_path"))
-    docs = docs.withColumn("file", file)
+    return _cases(docs.withColumn("file", _decoded(F.col("_metadata.file_path"))))
+
+
+def corpus_rows(documents: DataFrame) -> DataFrame:
+    """Case rows of corpora held as text, ``(file, document)``; logs are named relative to the file."""
+    parsed = F.from_json("document", CORPUS_DOCUMENT, {"mode": "FAILFAST"}).alias("d")
+    return _cases(documents.select("file", parsed).select("file", "d.*"))
+
+
+def _cases(docs: DataFrame) -> DataFrame:
     empty = F.raise_error(F.concat(F.lit("corpus "), F.col("file"), F.lit(" contains no cases")))
     cases = F.when(F.size("cases") > 0, F.col("cases")).otherwise(empty.cast(docs.schema["cases"].dataType))
     rows = docs.select("file", F.inline(cases))

@@ -7,10 +7,14 @@ items nested in one JSON value, can be read too.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redgreen.operators import detect as d
 from redgreen.operators.detect import SIGNATURE
+from redgreen.sources.jobs import for_workflow
 from redgreen.schemas import CLASSIFIED_DOCUMENT, SCAN_DOCUMENT
 
 
@@ -29,6 +33,47 @@ def write_scan(header: dict[str, str], summary: DataFrame, occurrences: DataFram
     write_json(runs, f"{path}/runs")
 
 
+def scan_counts(signatures: DataFrame, min_attempts: int = d.MIN_ATTEMPTS, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``kind`` flaky, one for each flaky signature, and of ``kind`` total, one for each value of ``by``.
+
+    Both use every count, so that the engine sees one shuffle and makes it once.
+    """
+    flaky = d.flaky_signatures(signatures, min_attempts).withColumn("kind", F.lit("flaky"))
+    total = d.scanned(signatures, by).withColumn("kind", F.lit("total"))
+    return flaky.unionByName(total, allowMissingColumns=True)
+
+
+def land_scan(
+    jobs: DataFrame, path: str, workflow_file: str = "", min_attempts: int = d.MIN_ATTEMPTS, by: Sequence[str] = (), header: dict[str, str] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One scan, written once: ``(summary, occurrences, runs)``, read back from one directory.
+
+    Jobs are read twice and not once for each output: a first pass counts them
+    by signature, which gives the totals and the flaky signatures in one job
+    over one shuffle; a second one fetches the flaky attempts. Occurrences and
+    runs come from those attempts, the summary from what is written by then.
+    The two tables in between stay under names that readers of a directory skip.
+    """
+    spark = jobs.sparkSession
+    kept = for_workflow(jobs, workflow_file)
+    counted = d.signatures(kept, by)
+    both = scan_counts(counted, min_attempts, by)
+    both.write.mode("errorifexists").parquet(f"{path}/_counts")
+    counts = spark.read.schema(both.schema).parquet(f"{path}/_counts")
+    attempts = d.attempts_of(kept, counts.where("kind = 'flaky'"), by)
+    attempts.write.mode("errorifexists").parquet(f"{path}/_attempts")
+    attempts = spark.read.schema(attempts.schema).parquet(f"{path}/_attempts")
+    occurrences, runs = d.occurrences_of(attempts, by), d.runs_of(attempts, by)
+    out = []
+    for name, table in (("occurrences", occurrences), ("runs", runs)):
+        write_json(table, f"{path}/{name}")
+        out.append(spark.read.schema(table.schema).option("mode", "FAILFAST").json(f"{path}/{name}"))
+    totals = counts.where("kind = 'total'").select(*by, "total_jobs", "distinct_commits")
+    summary = d.with_flaky(totals, out[0], by).withColumns({k: F.lit(v) for k, v in (header or {}).items()})
+    write_json(summary, f"{path}/summary")
+    return spark.read.schema(summary.schema).option("mode", "FAILFAST").json(f"{path}/summary"), *out
+
+
 def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 

@@ -1,6 +1,9 @@
+from dataclasses import replace
 from datetime import datetime
+from urllib.parse import unquote
 
 import pytest
+from pyspark.sql import functions as F
 
 from redgreen.operators import report as r
 from redgreen.schemas import VERDICT
@@ -121,3 +124,52 @@ def test_written_report(spark, sample, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 6
     with pytest.raises(ValueError, match="unknown report format"):
         r.write_report(sample, HEADER, str(tmp_path / "x"), "pdf")
+
+
+def test_one_report_for_each_repository(spark, sample, tmp_path):
+    """Every repository's text equals the report of its items alone, also without items; one job writes them all."""
+    zones = spark.conf.get("spark.sql.session.timeZone")
+    others = frame(spark, item("7", "unit", "genuine_bug", 0.9), item("8", "e2e", "genuine_bug", 0.9), item("9", "e2e", "", error="gone"))
+    headers = {"acme/a": HEADER, "acme/b c": BASELINE, "acme/none": BASELINE}
+    items = sample.withColumn("repo", F.lit("acme/a")).unionByName(others.withColumn("repo", F.lit("acme/b c")))
+    rows = [(n, h.source, h.generated_at, h.provider, h.model, h.baseline) for n, h in headers.items()]
+    table = spark.createDataFrame(rows, "repo string, source string, generated_at timestamp, provider string, model string, baseline boolean")
+    for fmt in ("markdown", "issue", "digest"):
+        r.write_reports(items, table, str(tmp_path / fmt), fmt)
+        for name, h in headers.items():
+            own = items.where(F.col("repo") == name).drop("repo")
+            want = text(own, fmt, replace(h, repo=name))
+            folder = next(p for p in (tmp_path / fmt).iterdir() if unquote(p.name) == f"repo={name}")
+            got = "".join(p.read_text() for p in sorted(folder.iterdir()) if p.name.startswith("part-"))
+            assert got == want + "\n"
+    r.write_reports(items, table, str(tmp_path / "json"), "json")
+    back = spark.read.json(str(tmp_path / "json"))
+    assert back.count() == items.count() and {(x.repo, x.provider) for x in back.collect()} == {("acme/a", "acme-model"), ("acme/b c", "deterministic")}
+    assert zones == spark.conf.get("spark.sql.session.timeZone")
+
+
+def test_items_without_a_header_are_an_error(spark, sample):
+    headers = spark.createDataFrame([("x", "s", HEADER.generated_at, "p", "m", False)], "repo string, source string, generated_at timestamp, provider string, model string, baseline boolean")
+    with pytest.raises(Exception, match="no header for repository acme/lost"):
+        r.repository_lines(sample.withColumn("repo", F.lit("acme/lost")), headers).collect()
+
+
+def test_a_thousand_repositories_in_one_job(spark, tmp_path):
+    """A hot repository spreads over many files; the others have theirs."""
+    rows = [item(f"{i:05d}", f"job{i % 7}", "infra_flake", 0.5 + i % 5 / 10) for i in range(3000)]
+    repo = F.when(F.col("id") < "02000", F.lit("hot")).otherwise(F.concat(F.lit("r"), F.col("id")))
+    items = frame(spark, *rows).withColumn("repo", repo)
+    headers = items.select("repo").distinct().select("repo", F.lit("s").alias("source"), F.lit(HEADER.generated_at).alias("generated_at"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit(False).alias("baseline"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        r.write_reports(items, headers, str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("repo=")]) == 1001
+    hot = sorted(p for p in (tmp_path / "out" / "repo=hot").iterdir() if p.name.startswith("part-"))
+    assert len(hot) > 4
+    lines = "".join(p.read_text() for p in hot).split("\n")
+    assert "\n".join(lines[:-1]) == text(items.where("repo = 'hot'").drop("repo"), "markdown", replace(HEADER, repo="hot", source="s", provider="p", model="m"))

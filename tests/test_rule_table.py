@@ -1,0 +1,80 @@
+"""Rules kept in a table against the rules of the plan and against plain regular expressions."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from redgreen.functions.rules import RULES
+from redgreen.operators import classify as c
+from redgreen.operators import rule_table as rt
+from redgreen.plans import workflow as w
+
+SCHEMA = "rule bigint, category string, weight double, pattern string"
+WORDS = ["timeout", "dial", "tcp", "race", "disk", "FULL", "Kill", "\u212aill", "mem", "ory", "\u017fignal", "x" * 30, "ok:", "137"]
+
+
+def table(spark, rules):
+    return spark.createDataFrame([(i, r[0], float(r[1]), r[2]) for i, r in enumerate(rules)], SCHEMA).repartition(3)
+
+
+def texts(spark):
+    r = random.Random(4)
+    rows = [(i, "\n".join(" ".join(r.choices(WORDS, k=r.randrange(9))) for _ in range(r.randrange(8)))) for i in range(120)]
+    rows += [(1000 + i, "start\n \t" + line + "\u00a0\nend") for i, line in enumerate([
+        "dial tcp 1.1.1.1: i/o timeout", "OOM-Killed", "oomkilled now", "WARNING: DATA RACE", "expected 3 but got 4 items",
+        "concurrent map read and map write", "the operation was canceled by the runner", "no \u017fpace left on device",
+    ])]
+    rows += [(2000, None), (2001, ""), (2002, "a" * 200_000 + " out of memory")]
+    return spark.createDataFrame(rows, "id bigint, excerpt string")
+
+
+def test_the_default_rules_as_a_table(spark):
+    df = texts(spark)
+    rules = table(spark, RULES)
+    assert sorted(rt.rule_table_hits(df, "id", rules).collect()) == sorted(c.rule_hits(df, "id").collect())
+    got = rt.classify_by_rule_table(df, rules).select("id", "verdict")
+    assert sorted(got.collect()) == sorted(c.classify_by_rules(df).select("id", "verdict").collect())
+    assert sorted(w.by_rule_table(rules).run(df).select("id", "verdict").collect()) == sorted(got.collect())
+
+
+def test_ten_thousand_rules(spark):
+    """Literals, classes, alternatives, rules that mind the case: as a loop over plain expressions finds them."""
+    r = random.Random(5)
+    patterns = [rf"(?i)\b{a} {b}{n}\b" for n in range(2500) for a, b in [r.sample(["dial", "tcp", "race", "disk"], 2)]]
+    patterns += [f"no{n} such thing" for n in range(7000)] + ["dial tcp", "Kill", "(?i)kill.*(mem|ory)", "[0-9]{3}", "^ok:", "(?i)FULL|tcp$", r"x+ \w+"]
+    kinds = ["genuine_bug", "infra_flake", "race_condition"]
+    rules = [(kinds[i % 3], i % 4 + 0.5, p) for i, p in enumerate(patterns)]
+    df = texts(spark).where("id < 1000")
+    want = []
+    for row in df.collect():
+        for i, (kind, weight, p) in enumerate(rules):
+            m = rt.python_regex(p).search(row.excerpt)
+            if m:
+                line = row.excerpt[row.excerpt.rfind("\n", 0, m.start()) + 1 :].split("\n")[0].strip()
+                if line:
+                    want.append((row.id, i, kind, weight, line))
+    got = rt.rule_table_hits(df, "id", table(spark, rules))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+    assert len(got._jdf.queryExecution().executedPlan().toString()) < 5000
+
+
+def test_bad_tables(spark, monkeypatch):
+    for rules, message in [([("genuine_bug", 1, "(")], "broken pattern"), ([("cosmic_rays", 1, "x")], "unknown category cosmic_rays")]:
+        with pytest.raises(ValueError, match=message):
+            rt.read_rules(table(spark, rules))
+    monkeypatch.setattr(rt, "MAX_RULES", 2)
+    with pytest.raises(ValueError, match="more than 2 rules"):
+        rt.read_rules(table(spark, [("unknown", 1, "x")] * 3))
+    none = rt.classify_by_rule_table(texts(spark), table(spark, RULES).limit(0))
+    assert {r.c for r in none.select(F.col("verdict.category").alias("c")).collect()} == {"unknown"}
+
+
+def test_patterns_keep_their_meaning():
+    for pattern, text, found in [
+        (r"(?i)kill\b", "a \u212aill", True), (r"(?i)\bkill", "a \u212aill", False), (r"\bkill", "\u212aill", False), ("(?i)miss", "mi\u017fs", True),
+        (r"a.b", "a\nb", False), (r"a.b", "a\u0085b", True), (r"\bx", "\u00e9x", True), (r"\d", "\u0663", False),
+    ]:
+        assert bool(rt.python_regex(pattern).search(text)) is found
+    assert isinstance(rt.python_regex("x"), re.Pattern)

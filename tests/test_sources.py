@@ -14,8 +14,6 @@ from redgreen.sources import archives as ar
 from redgreen.sources import corpus as co
 from redgreen.sources import jobs as j
 from redgreen.sources import results as rs
-from redgreen.sources import tables
-from redgreen.sources.tables import possibly_listed
 
 
 def fails(action):
@@ -174,6 +172,47 @@ def test_archive_directory(spark, tmp_path):
     assert sorted((r.archive, r.body) for r in found) == [("deep/a b+1.zip", "x"), ("deep/er/a b+1.zip", "y")]
 
 
+def test_archives_below_a_root_whose_name_comes_again(spark, tmp_path):
+    """Only the root itself is cut off, so equal file names stay apart."""
+    root = tmp_path / "logs"
+    again = root / "a" / str(root).lstrip("/")
+    again.mkdir(parents=True)
+    (root / "1.zip").write_bytes(zipped(**{"1_a.txt": "x"}))
+    (again / "1.zip").write_bytes(zipped(**{"1_a.txt": "y"}))
+    for path in (str(root), f"file:{root}/", f"file://{root}"):
+        names = {r.archive for r in ar.read_archives(spark, path).collect()}
+        assert names == {"1.zip", f"a/{str(root).lstrip('/')}/1.zip"}
+
+
+def test_only_wanted_archives_are_opened(spark, tmp_path):
+    """Names are listed without opening a file, and what is not wanted never is."""
+    for n in range(6):
+        (tmp_path / f"a {n}+é.zip").write_bytes(zipped(**{"2_b.txt": f"body {n}", "1_a.txt": "first"}))
+    (tmp_path / "broken.zip").write_bytes(b"PK nonsense")
+    listing = ar.list_archives(spark, str(tmp_path))
+    assert listing.columns == ["archive", "path", "length"] and listing.count() == 7
+    assert "ReadSchema: struct<path:string,length:bigint>" in listing._jdf.queryExecution().executedPlan().toString()
+    opened = str(tmp_path / "opened")
+
+    def note(path):
+        with open(opened, "a") as f:
+            f.write(path.rsplit("/", 1)[-1] + "\n")
+        return open(path.removeprefix("file:"), "rb")
+
+    wanted = spark.createDataFrame([("a 1+é.zip",), ("a 4+é.zip",), ("broken.zip",), ("gone.zip",)], "archive string")
+    rows = ar.unzip_steps(listing.join(wanted, "archive", "left_semi"), opener=note).collect()
+    assert sorted((r.archive, r.step_name, r.body) for r in rows if not r.error) == [
+        ("a 1+é.zip", "a", "first"), ("a 1+é.zip", "b", "body 1"), ("a 4+é.zip", "a", "first"), ("a 4+é.zip", "b", "body 4"),
+    ]
+    assert [r.archive for r in rows if r.error] == ["broken.zip"]
+    assert sorted(open(opened).read().split("\n")[:-1]) == ["a 1+é.zip", "a 4+é.zip", "broken.zip"]
+    # The default opener, and a file that went away between listing and reading.
+    rows = [("a 1+é.zip", f"file:{tmp_path}/a 1+é.zip"), ("gone.zip", f"file:{tmp_path}/gone.zip")]
+    found = {r.archive: r for r in ar.archives_with_steps(spark.createDataFrame(rows, "archive string, path string")).collect()}
+    assert [s.body for s in found["a 1+é.zip"].steps] == ["body 1", "first"] and found["a 1+é.zip"].error is None
+    assert found["gone.zip"].steps == [] and found["gone.zip"].error.startswith("reading archive: opening log archive: ")
+
+
 def test_broken_json_line_fails_the_read(spark, tmp_path):
     (tmp_path / "jobs.json").write_text(json.dumps(job(1)) + "\n{broken\n")
     with pytest.raises(Exception, match="(?i)malformed"):
@@ -250,6 +289,31 @@ def test_scan_round_trip(spark, tmp_path):
     assert spark.read.json(f"{out}/summary").first().repo == "acme/x"
 
 
+def test_landed_scan_equals_one_made_piece_by_piece(spark, tmp_path):
+    rows = [job(n, "success" if n % 3 else "failure", head_sha=f"c{n // 4}", workflow_file=None if n % 5 else "w.yml", started_at=f"2026-08-18T09:{n:02d}:00Z") for n in range(40)]
+    rows += [job(90, "skipped", head_sha=""), job(91, "failure", job_name="")]
+    jobs = j.read_jobs(spark, index(tmp_path / "runs.json", *rows)).withColumn("repo", F.concat(F.lit("r"), F.col("run_id") % 2))
+    for by in ([], ["repo"]):
+        occurrences, summary = w.scan(jobs, by=by)
+        want = [summary, occurrences, d.occurrence_runs(jobs, occurrences, by)]
+        got = rs.land_scan(jobs, str(tmp_path / f"scan{len(by)}"), by=by)
+        assert occurrences.count() > 3
+        for x, y in zip(got, want):
+            assert x.columns == y.columns and sorted(map(repr, x.collect())) == sorted(map(repr, y.collect()))
+    empty = rs.land_scan(jobs.limit(0), str(tmp_path / "none"), header={"repo": "acme/x"})
+    assert [x.count() for x in empty[1:]] == [0, 0] and (empty[0].first().total_jobs, empty[0].first().repo) == (0, "acme/x")
+
+
+def test_landed_scan_counts_jobs_once(spark, tmp_path):
+    """Totals and flaky signatures share one shuffle, so one scan of the jobs serves both."""
+    j.read_jobs(spark, index(tmp_path / "runs.json", job(1), job(2, "success"))).write.parquet(str(tmp_path / "jobs"))
+    counted = d.signatures(spark.read.parquet(str(tmp_path / "jobs")))
+    both = rs.scan_counts(counted)
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+
+
 def test_nested_scan_document(spark, tmp_path):
     runs = [job(1, started_at="2026-01-01T00:00:00Z"), job(2, started_at="2026-01-02T00:00:00Z")]
     document = {
@@ -269,20 +333,6 @@ def test_nested_scan_document(spark, tmp_path):
     assert sorted((r.outcome, r.job_id) for r in flat.collect()) == [("failed", 9001), ("failed", 9002), ("passed", 9003)]
 
 
-def test_name_filter_keeps_every_listed_row_and_few_others(spark, monkeypatch):
-    rows = spark.range(20000).select((F.col("id") % 5000).alias("a"), F.concat(F.lit("k"), F.col("id") % 7).alias("b"))
-    keys = rows.where("a % 61 = 3 and b <> 'k2'").select("a", "b").unionByName(
-        spark.createDataFrame([(-1, "none"), (None, "k1")], "a long, b string")
-    )
-    want = rows.join(keys.distinct(), ["a", "b"], "left_semi")
-    got = possibly_listed(rows, keys, ["a", "b"])
-    assert got.columns == rows.columns and want.exceptAll(got).isEmpty()
-    assert got.count() < want.count() + 20000 / 8
-    assert possibly_listed(rows, keys.limit(0), ["a", "b"]).isEmpty()
-    monkeypatch.setattr(tables, "MAX_FILTER_BYTES", 100)
-    assert possibly_listed(rows, keys, ["a", "b"]) is rows
-
-
 def test_nested_classified_document(spark, tmp_path):
     occurrence = {
         "id": "o1", "head_sha": "abc1234def", "branch": "main", "workflow_name": "CI", "workflow_file": "ci.yml",

@@ -47,10 +47,21 @@ def write_fixture(folder):
 def classified(spark, folder, provider, floor=0.5):
     jobs = j.read_jobs(spark, str(folder / "runs.json"))
     occurrences, _ = w.scan(jobs)
-    archives = ar.read_archives(spark, str(folder))
+    archives = ar.list_archives(spark, str(folder))
     return w.classify_occurrences(occurrences, jobs.select("job_id", "log_archive"), archives, provider, floor)
 
 
+def test_listed_read_and_unzipped_logs_agree(spark, tmp_path):
+    write_fixture(tmp_path)
+    jobs = j.read_jobs(spark, str(tmp_path / "runs.json"))
+    occurrences, _ = w.scan(jobs)
+    read = ar.read_archives(spark, str(tmp_path))
+    forms = [ar.list_archives(spark, str(tmp_path)), read, ar.unzip_steps(read)]
+    index = jobs.select("job_id", "log_archive")
+    one, two, three = (sorted(map(repr, w.classify_occurrences(occurrences, index, f, w.deterministic()).collect())) for f in forms)
+    assert one == two == three and len(one) == 5
+
+
 def test_scan_to_report(spark, tmp_path):
     write_fixture(tmp_path)
     items = classified(spark, tmp_path, w.deterministic()).cache()
