@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 import zlib
 from collections import Counter
 
@@ -118,35 +119,89 @@ def test_kernel_is_that_of_presences():
 
 
 def paths(word, pieces):
-    """Summed weight and expected piece counts over all segmentations, one by one."""
+    """Summed weight over all segmentations, one by one."""
+    return uses(word, pieces)[0]
+
+
+def uses(word, pieces):
+    """The same, and every piece's uses weighted by their segmentations."""
     if not word:
         return 1.0, Counter()
-    total, uses = 0.0, Counter()
+    total, found = 0.0, Counter()
     for p, w in pieces.items():
         if word.startswith(p):
-            rest, counts = paths(word[len(p) :], pieces)
+            rest, counts = uses(word[len(p) :], pieces)
             total += w * rest
             for q, n in counts.items():
-                uses[q] += w * n
-            uses[p] += w * rest
-    return total, uses
+                found[q] += w * n
+            found[p] += w * rest
+    return total, found
 
 
-def test_forward_and_expected_counts_over_all_segmentations():
+def test_forward_over_all_segmentations():
     pieces = {b" ": 0.2, b" a": 0.1, b"a": 0.15, b"b": 0.1, b"ab": 0.2, b"ba": 0.1, b"aba": 0.1, b"bb": 0.05}
     model = lattice.Lattice(list(pieces), np.log(list(pieces.values())))
     words = [b"a", b"ab", b"abab", b"bbaba", b"ababab", b"bbbb"]
-    want = Counter()
     for places, lines in model.by_length(words):
-        found = model.forward(lines)
-        for i, value in zip(places, found):
-            total, uses = paths(b" " + words[i], pieces)
-            assert value == pytest.approx(math.log(total))
-            want.update({p: n / total for p, n in uses.items()})
+        for i, value in zip(places, model.forward(lines)):
+            assert value == pytest.approx(math.log(paths(b" " + words[i], pieces)))
+            assert value == pytest.approx(model.forward_long(words[i]))
+    want = Counter()
+    for word in words:
+        total, counts = uses(b" " + word, pieces)
+        want.update({p: n / total for p, n in counts.items()})
     got = sum(model.expected(lines) for _, lines in model.by_length(words))
     assert dict(zip(pieces, got)) == pytest.approx({p: want[p] for p in pieces})
 
 
+def test_very_long_words(monkeypatch):
+    """Both recursions agree, also across steps, and a megabyte of random letters takes seconds."""
+    model = lattice.Lattice(*lattice.read_pieces(PIECES))
+    r = np.random.default_rng(1)
+    word = bytes(r.integers(97, 123, 700).astype(np.uint8))
+    (value,) = model.forward(np.frombuffer(b" " + word, dtype=np.uint8)[None, :])
+    assert model.forward_long(word) == pytest.approx(value)
+    monkeypatch.setattr(lattice, "LONG_STEP", 50)
+    assert model.forward_long(word) == pytest.approx(value)
+    monkeypatch.undo()
+    start = time.perf_counter()
+    value = model.forward_long(bytes(r.integers(97, 123, 1 << 20).astype(np.uint8)))
+    assert math.isfinite(value) and time.perf_counter() - start < 20
+
+
+def test_score_of_every_word_over_all_segmentations(spark, tmp_path, monkeypatch):
+    """The whole query with a small vocabulary, against sums over every segmentation."""
+    pieces = {bytes([b]): 0.3 / 256 for b in range(256)}
+    pieces |= {b" a": 0.2, b"ab": 0.2, b"ba": 0.1, b"aba": 0.1, b" b": 0.1}
+    given = dict(pieces)
+    monkeypatch.setattr(lattice, "read_pieces", lambda path: (list(given), np.log(list(given.values()))))
+    rows = [(i, t) for i, t in enumerate(["ab aba", "ab ab b", "baab", "", None, "abba ab aba", "AB", "bbaa ab"])]
+    learn = [(t or "").lower().split() for i, t in rows if crc(i) % 7 != 2]
+    c = Counter(w for t in learn for w in t)
+    words, kinds, once, twice = sum(c.values()), len(c), sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+    d = once / (once + 2 * twice) if once and twice else 0.5
+    end = (len(learn) + 1) / (words + len(learn) + 2)
+
+    found = Counter()
+    for w in c:
+        if c[w] >= 2:
+            total, counts = uses(b" " + w.encode(), pieces)
+            found.update({p: n / total for p, n in counts.items()})
+    all_ = sum(found.values())
+    smooth = {p: found[p] + v * max(1.0, 1e-3 * all_) for p, v in pieces.items()}
+    pieces = {p: v / sum(smooth.values()) for p, v in smooth.items()}
+
+    def score(t):
+        out = math.log10(end)
+        for w in (t or "").lower().split():
+            out += math.log10((1 - end) * (max(c[w] - d, 0) / words + d * kinds / words * paths(b" " + w.encode(), pieces)))
+        return out
+
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in lattice.score_documents(df, "none").collect():
+        assert r.score == pytest.approx(score(rows[r.doc_id][1]))
+
+
 def test_vocabulary_weights():
     pieces, weights = lattice.read_pieces(PIECES)
     assert len(set(pieces)) == len(pieces) and np.exp(weights).sum() == pytest.approx(1)
