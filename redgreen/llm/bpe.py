@@ -22,13 +22,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redgreen.llm.support import pick, ship
+from redgreen.llm.support import pick, ship, tidy
 
 # Longest piece that is merged in a matrix, in bytes. Longer ones give the same ids through a heap.
 MATRIX_BYTES = 512
 # Bytes in one matrix, and remembered words and pieces per worker: memory bounds that change no result.
 MATRIX_CELLS = 1 << 21
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 NONE = np.int32((1 << 31) - 1)
 # Pieces of one matrix differ in length by at most a quarter.
@@ -119,6 +119,10 @@ class Codec:
         self.known = Memory(REMEMBERED)  # 32-bit ids of a piece
         self.words = Memory(REMEMBERED)  # and of a word with a blank before it
 
+    def forget(self) -> None:
+        """Empty what is remembered; the tables stay for the worker's next task."""
+        self.known, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
+
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """32-bit ids of each piece."""
         out: list[bytes] = [b""] * len(pieces)
@@ -287,12 +291,14 @@ def encoder(spark: SparkSession, ranks_path: str, pattern: str):
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))  # bounded by the vocabulary file
 
     @F.arrow_udf("array<int>")
+    @tidy
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from redgreen.llm import bpe
 
         codec = bpe._codec(shared, pattern)
         for batch in batches:
             yield bpe._listed([line for group in bpe._groups(batch) for line in codec.encode(group)])
+        codec.forget()
 
     return encode
 
@@ -303,6 +309,7 @@ def decoder(spark: SparkSession, ranks_path: str, pattern: str):
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.arrow_udf("binary")
+    @tidy
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from redgreen.llm import bpe
 
@@ -319,6 +326,7 @@ def round_tripper(spark: SparkSession, ranks_path: str, pattern: str):
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    @tidy
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from redgreen.llm import bpe
 
@@ -330,7 +338,10 @@ def round_tripper(spark: SparkSession, ranks_path: str, pattern: str):
                 decoded = pa.array([codec.decode(line) for line in ids], type=pa.binary())
                 parts.append(pa.StructArray.from_arrays([bpe._listed(ids), decoded], ["ids", "decoded"]))
             kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
-            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+            done = pa.concat_arrays(parts) if parts else pa.array([], kind)
+            del parts
+            yield done
+        codec.forget()
 
     return both
 

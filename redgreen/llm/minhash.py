@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redgreen.llm.support import discard, durable, pick, reread, ship
+from redgreen.llm.support import discard, durable, pick, reread, ship, tidy
 
 # A pair of similarity s misses every band with probability (1 - s^5)^32: 3e-6 at 0.8, 4e-9 at 0.85.
 ROWS, BANDS = 5, 32
@@ -93,6 +93,7 @@ def sketch(rows: DataFrame, words: int) -> DataFrame:
     """``(doc_id, n_shingles, set_hi, set_lo, signature)`` of ``(doc_id, text)``, without texts."""
     ship(rows.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from redgreen.llm import minhash as m
 
@@ -119,6 +120,7 @@ def sketch(rows: DataFrame, words: int) -> DataFrame:
 def bands(classes: DataFrame) -> DataFrame:
     """``(bucket, node)`` for every band of ``(node, signature)``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from redgreen.llm import minhash as m
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from redgreen.llm.minhash import components, few, shingle_set, word_hashes
-from redgreen.llm.support import discard, durable, pick, reread, ship
+from redgreen.llm.support import discard, durable, pick, reread, ship, tidy
 
 # Shingles of all sets searched in one task: a bound of memory and of a task's work.
 BIN = 1 << 20
@@ -161,6 +161,7 @@ def sketch(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """``(doc_id, n_shingles, hi, lo, first)`` of ``(doc_id, text)``: size and hash of the set, its smallest shingles."""
     ship(rows.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from redgreen.llm import overlap as m
 
@@ -208,6 +209,7 @@ def neighbourhoods(classes: DataFrame, percent: int) -> DataFrame:
 def full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``(node, component, n, shingles)`` of the classes ``wanted (doc_id, hi, lo, node, component)``, once each."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from redgreen.llm import overlap as m
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redgreen.llm.support import durable, pick, ship
+from redgreen.llm.support import durable, pick, ship, tidy
 
 SLOT_BITS = 18
 # At most this many labelled rows are learned from: those with the smallest hashes of their ids.
@@ -47,7 +47,7 @@ class Features:
 
     def hashes(self, words: list[str]) -> np.ndarray:
         memory = self.memory
-        if len(memory) > 300_000:
+        if len(memory) > 100_000:
             memory.clear()
         for word in set(words):
             if word not in memory:
@@ -102,6 +102,7 @@ def train(labelled: DataFrame, rows: int = TRAINING_ROWS, seed: int = 7) -> np.n
     """
     ship(labelled.sparkSession)
 
+    @tidy
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from redgreen.llm import quality as q
 
@@ -142,6 +143,7 @@ def scorer(df: DataFrame, weights: np.ndarray):
     shared = df.sparkSession.sparkContext.broadcast(weights)  # one float per slot
 
     @F.arrow_udf("double")
+    @tidy
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from redgreen.llm import quality as q
 
