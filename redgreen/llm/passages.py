@@ -1,12 +1,14 @@
-"""Removal of repeated passages, by prefix-free parsing of the corpus.
+"""Removal of repeated passages, by parsing the corpus at minima of a rolling hash.
 
-A rolling hash of ``TRIGGER`` bytes picks the phrase starts: every window of
+Texts are sequences of bytes, or of words; what is said of bytes here holds for
+words too. A rolling hash of ``TRIGGER`` bytes picks the phrase starts: every window of
 ``length`` bytes is assigned to the position, among its first five eighths, where that
 hash is smallest (the leftmost of equal ones). The choice depends on the
 window's own bytes only, so equal windows are parsed alike wherever they stand.
 Windows of one phrase start that follow each other form a run.
 
-What a suffix order would be asked is only which suffixes agree in their first
+This stands in for the phrases and the suffix arrays of prefix-free parsing:
+what a suffix order would be asked is only which suffixes agree in their first
 ``length`` bytes. So the dictionary and the parse are kept as classes of equal
 strings, by 64-bit hashes of the bytes:
 
@@ -25,16 +27,20 @@ members, and no group is ever collected.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redgreen.llm.support import discard, durable, pick, reread, ship
+from redgreen.llm.minhash import word_hashes
+from redgreen.llm.support import discard, durable, fresh, pick, reread, ship, tidy
 
 TRIGGER = 16
+# The same for words.
+WORD_TRIGGER = 2
 # Bytes parsed at once: several documents, or one that is longer.
 BUFFER = 1 << 19
 # Rows of positions up to this number are sent to all tasks (some 30 bytes each); more are joined by a shuffle.
@@ -50,8 +56,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Symbols:
+    """A text as a sequence: the bytes of its UTF-8, or its words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased."""
+
+    def __init__(self, words: bool):
+        self.words = words
+        self.memory: dict[bytes, int] = {}
+
+    def of(self, text: str | None) -> np.ndarray:
+        """A number for each symbol."""
+        if self.words:
+            return word_hashes(text, self.memory) | np.uint64(1)
+        return _BYTE[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def in_bytes(body: bytes, stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches of words as stretches of bytes: from a first word's start to a last word's end."""
+    if not stretches:
+        return []
+    ends = [m.span() for m in _WORD.finditer(body)]
+    return [(ends[start][0], ends[end - 1][1]) for start, end in stretches]
+
+
 class Hashes:
-    """Hashes of all substrings of a buffer: sums of bytes times powers, shifted back to the start."""
+    """Hashes of all substrings of a sequence: sums of symbols times powers, shifted back to the start."""
 
     _powers = np.ones(1, dtype=np.uint64)
     _inverse = np.ones(1, dtype=np.uint64)
@@ -65,7 +96,7 @@ class Hashes:
             factors[1:] = pow(_MULTIPLIER, -1, 1 << 64)
             Hashes._inverse = np.multiply.accumulate(factors)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * Hashes._powers[:n], out=self.sums[1:])
+        np.cumsum(data * Hashes._powers[:n], out=self.sums[1:])
 
     def every(self, length: int) -> np.ndarray:
         """Of every substring of one length, unmixed."""
@@ -90,21 +121,21 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(backward[:n], forward[width - 1 : width - 1 + n]) & low).astype(np.int64)
 
 
-def width(length: int) -> int:
+def width(length: int, trigger: int = TRIGGER) -> int:
     """How many of a window's first positions its phrase start is chosen from."""
-    return max(1, (length - TRIGGER) * 5 // 8)
+    return max(1, (length - trigger) * 5 // 8)
 
 
-def parse(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def parse(texts: list[np.ndarray], length: int, trigger: int = TRIGGER) -> tuple[np.ndarray, ...]:
     """Runs of windows: text number, first and last start in the text, dictionary and class hash."""
-    reach = width(length)
+    reach = width(length, trigger)
     ends = np.cumsum([len(t) for t in texts])
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    data = np.concatenate(texts) if texts else np.empty(0, dtype=np.uint64)
     none = np.empty(0, dtype=np.int64)
     if len(data) < length:
         return none, none, none, none, none
     hashes = Hashes(data)
-    at = smallest(mix(hashes.every(min(TRIGGER, length))), reach)[: len(data) - length + 1]
+    at = smallest(mix(hashes.every(min(trigger, length))), reach)[: len(data) - length + 1]
     inside = np.zeros(len(at) + 1, dtype=bool)
     owner = np.empty(len(at), dtype=np.int32)
     for i, (start, end) in enumerate(zip(ends - [len(t) for t in texts], ends)):
@@ -122,20 +153,24 @@ def parse(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return text, first - begin, stop - begin, word.view(np.int64), whole.view(np.int64)
 
 
-def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Documents with ``_k1, _k2``: hashes of id and text, which rows equal in both share and need to share."""
+def keys_of(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes of id and text, which rows equal in both share and need to share."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return documents.withColumns({"_k1": F.xxhash64(F.col(f"`{id_col}`"), text), "_k2": F.crc32(text.cast("binary"))})
+    return [F.xxhash64(F.col(f"`{id_col}`"), text), F.crc32(text.cast("binary"))]
 
 
-def runs(rows: DataFrame, length: int) -> DataFrame:
+def runs(rows: DataFrame, length: int, words: bool = False) -> DataFrame:
     """``(k1, k2, lo, hi, word, whole)`` of ``(k1, k2, text)``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from redgreen.llm import passages as m
 
-        def table(keys: list[tuple], texts: list[bytes]) -> pa.RecordBatch:
-            number, lo, hi, word, whole = m.parse(texts, length)
+        symbols = m.Symbols(words)
+        trigger, buffer = (m.WORD_TRIGGER, m.BUFFER // 4) if words else (m.TRIGGER, m.BUFFER)
+
+        def table(keys: list[tuple], texts: list[np.ndarray]) -> pa.RecordBatch:
+            number, lo, hi, word, whole = m.parse(texts, length, trigger)
             k = np.array(keys, dtype=np.int64).reshape(-1, 2)[number]
             return pa.RecordBatch.from_arrays(
                 [pa.array(x) for x in (k[:, 0], k[:, 1], lo.astype(np.int64), hi.astype(np.int64), word, whole)], ["k1", "k2", "lo", "hi", "word", "whole"]
@@ -144,10 +179,10 @@ def runs(rows: DataFrame, length: int) -> DataFrame:
         keys, texts, size = [], [], 0
         for batch in batches:
             for k1, k2, text in zip(*batch.columns):
-                body = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                body = symbols.of(text.as_py())
                 if len(body) < length:
                     continue
-                if size + len(body) > m.BUFFER and texts:
+                if size + len(body) > buffer and texts:
                     yield table(keys, texts)
                     keys, texts, size = [], [], 0
                 keys.append((k1.as_py(), k2.as_py()))
@@ -159,16 +194,17 @@ def runs(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "k1 bigint, k2 bigint, lo bigint, hi bigint, word bigint, whole bigint")
 
 
-def windows(rows: DataFrame, length: int, reach: int) -> DataFrame:
+def windows(rows: DataFrame, length: int, reach: int, words: bool = False) -> DataFrame:
     """``(hash, place, unsure)``: every window of the runs that come with a text; place = run number * reach + offset."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from redgreen.llm import passages as m
 
+        symbols = m.Symbols(words)
         for batch in batches:
             for text, spans in zip(*batch.columns):
-                data = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                hashes = m.Hashes(data)
+                hashes = m.Hashes(symbols.of(text.as_py()))
                 parts = [(s["lo"], s["hi"], s["run"], s["unsure"]) for s in spans.as_py()]
                 starts = np.concatenate([np.arange(lo, hi + 1) for lo, hi, _, _ in parts])
                 place = np.concatenate([number * reach + np.arange(hi - lo + 1) for lo, hi, number, _ in parts])
@@ -183,14 +219,14 @@ def small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
-def repeats(texts: DataFrame, length: int) -> DataFrame:
-    """``(k1, k2, start, end)``: the maximal stretches of bytes that repeated strings cover.
+def repeats(texts: DataFrame, length: int, words: bool = False) -> DataFrame:
+    """``(k1, k2, start, end)``: the maximal stretches of bytes, or words, that repeated strings of ``length`` cover.
 
     ``texts`` is ``(k1, k2, text)``; rows equal in all three are texts of their own.
     """
     ship(texts.sparkSession)
-    reach = width(length)
-    parsed = durable(runs(texts, length), "runs")
+    reach = width(length, WORD_TRIGGER if words else TRIGGER)
+    parsed = durable(runs(texts, length, words), "runs")
     # Tables of their own: only where both sides of a join are read anew can the engine split a hot string's rows.
     dictionary = durable(parsed.groupBy("word").agg(F.count("*").alias("times")).where("times > 1").select("word"), "dictionary")
     phrases = durable(reread(parsed).join(dictionary, "word"), "phrases")
@@ -200,7 +236,8 @@ def repeats(texts: DataFrame, length: int) -> DataFrame:
     )
     classes = durable(classes, "classes")
     # Members of a class of several: all windows repeat.
-    sure = reread(phrases).join(classes.where("members > 1").select("whole"), "whole").select("k1", "k2", "lo", "hi")
+    repeated = durable(reread(classes).where("members > 1").select("whole"), "repeated")
+    sure = reread(phrases).join(repeated, "whole").select("k1", "k2", "lo", "hi")
     # Strings that several classes share: single windows decide, one member for each class.
     several = durable(reread(classes).groupBy("word").agg(F.count("*").alias("kinds")).where("kinds > 1").select("word"), "several")
     open_runs = reread(classes).join(several, "word").select(
@@ -212,8 +249,8 @@ def repeats(texts: DataFrame, length: int) -> DataFrame:
     # Rows equal in id and content share a key; only classes of several members can be theirs, so no unsure window counts twice.
     met = texts.join(small(wanted, count), ["k1", "k2"]).select("text", "spans")
     # Made twice rather than kept: hashes are dear to store and cheap to compute.
-    twice = durable(windows(met, length, reach).groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "twice")
-    found = windows(met, length, reach).where("unsure").join(twice, "hash")
+    twice = durable(windows(met, length, reach, words).groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "twice")
+    found = windows(met, length, reach, words).where("unsure").join(twice, "hash")
     offsets = found.select(F.expr(f"place div {reach}").alias("run"), (F.col("place") % reach).alias("at"))
     line = Window.partitionBy("run").orderBy("at")  # a run has ``reach`` windows at most
     ranges = offsets.withColumn("island", F.col("at") - F.row_number().over(line)).groupBy("run", "island").agg(
@@ -237,25 +274,37 @@ def cut(body: bytes, stretches: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, body[at:]])
 
 
-def remove_repeats(documents: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept") -> DataFrame:
+def with_stretches(documents: DataFrame, length: int, words: bool, id_col: str, text_col: str, spans_col: str) -> DataFrame:
+    """All columns and ``spans_col``: the stretches of ``repeats`` in each text, null if it has none."""
+    k1, k2 = fresh(documents, "_k1", "_k2")
+    documents = documents.withColumns(dict(zip((k1, k2), keys_of(id_col, text_col))))
+    texts = documents.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(f"`{text_col}`").alias("text"))
+    # Too short a text has no such string and need not be read for it; a word and a blank are two bytes.
+    spans = durable(repeats(texts.where(F.octet_length("text") >= (2 * length - 1 if words else length)), length, words), "spans")
+    count = spans.count()
+    # A row equal to another in id and content has that one's stretches too.
+    spans = spans.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_set(F.struct("start", "end")).alias(spans_col))
+    return documents.join(small(spans, count), [k1, k2], "left").drop(k1, k2)
+
+
+def remove_repeats(
+    documents: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept", words: bool = False
+) -> DataFrame:
     """All columns and ``kept_col``: ``struct<kept: binary, n_bytes, n_removed, n_spans>``.
 
     Every byte goes that lies in a ``length``-byte string which also starts at
     another place of the corpus, in the same text or another; all places lose
     it, the first too. Strings never cross texts and are judged on the input.
+    With ``words``, strings are ``length`` words (A-Z lower-cased, whatever
+    stands between them), and what goes is all from their first to their last.
     Null texts count as empty. Rows that repeat id and text are texts of their
     own, so they lose all their strings. An empty table gives an empty result.
     """
-    documents = keyed(documents, id_col, text_col)
-    texts = documents.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col(f"`{text_col}`").alias("text"))
-    # Too short a text has no such string and need not be read for it.
-    spans = durable(repeats(texts.where(F.octet_length("text") >= length), length), "spans")
-    count = spans.count()
-    # A row equal to another in id and content has that one's stretches too.
-    spans = spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    met = documents.join(small(spans, count), ["_k1", "_k2"], "left")
+    (spans_col,) = fresh(documents, "_spans")
+    met = with_stretches(documents, length, words, id_col, text_col, spans_col)
 
     @F.arrow_udf("struct<kept: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint>")
+    @tidy
     def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         from redgreen.llm import passages as m
 
@@ -264,12 +313,12 @@ def remove_repeats(documents: DataFrame, length: int = 400, id_col: str = "doc_i
             for body, places in zip(text, spans):
                 body = (body.as_py() or "").encode("utf-8", "surrogatepass")
                 stretches = [(s["start"], s["end"]) for s in places.as_py() or []]
-                kept = m.cut(body, stretches)
+                kept = m.cut(body, m.in_bytes(body, stretches) if words else stretches)
                 rows.append((kept, len(body), len(body) - len(kept), len(stretches)))
             kinds = [("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
 
-    return met.withColumn(kept_col, apply(F.col(f"`{text_col}`"), F.col("_spans"))).drop("_k1", "_k2", "_spans")
+    return met.withColumn(kept_col, apply(F.col(f"`{text_col}`"), F.col(spans_col))).drop(spans_col)
 
 
 def whole_characters(body: str):
@@ -282,7 +331,17 @@ def whole_characters(body: str):
     return decode(body)
 
 
-def digest(documents: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every row."""
-    done = remove_repeats(pick(documents, doc_id=id_col, text=text_col), length)
-    return done.select("doc_id", "kept.n_bytes", "kept.n_removed", "kept.n_spans", F.sha2("kept.kept", 256).alias("kept_sha256"))
+def digest(documents: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", passage_words: int = 51) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_words)`` of every row.
+
+    ``n_passages`` counts the stretches of at least ``passage_words`` words
+    that stand elsewhere too, however few bytes they have, and
+    ``passage_words`` the words in them.
+    """
+    picked = pick(documents, doc_id=id_col, text=text_col)
+    done = remove_repeats(with_stretches(picked, passage_words, True, "doc_id", "text", "passages"), length)
+    covered = F.aggregate("passages", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select(
+        "doc_id", "kept.n_bytes", "kept.n_removed", "kept.n_spans", F.sha2("kept.kept", 256).alias("kept_sha256"),
+        F.coalesce(F.size("passages"), F.lit(0)).cast("long").alias("n_passages"), F.coalesce(covered, F.lit(0)).alias("passage_words"),
+    )

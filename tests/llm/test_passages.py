@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 from made import prose
@@ -24,7 +25,32 @@ def brute(rows, length):
 
 
 def result(df, length):
-    return sorted(map(tuple, passages.digest(df, length).collect()), key=str)
+    return sorted(map(tuple, passages.digest(df, length).drop("n_passages", "passage_words").collect()), key=str)
+
+
+def brute_words(rows, least):
+    """Stretches of words that windows of ``least`` words standing elsewhere cover, and what is left without them."""
+    bodies = [(i, [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())], (t or "").encode()) for i, t in rows]
+    words = [(i, tuple(b[x:y].lower() for x, y in spans), spans, b) for i, spans, b in bodies]
+    seen = Counter(w[p : p + least] for _, w, _, _ in words for p in range(len(w) - least + 1))
+    out = []
+    for i, w, spans, b in words:
+        gone = [False] * len(w)
+        for p in range(len(w) - least + 1):
+            if seen[w[p : p + least]] > 1:
+                gone[p : p + least] = [True] * least
+        stretches, p = [], 0
+        while p < len(w):
+            if gone[p]:
+                q = p
+                while q < len(w) and gone[q]:
+                    q += 1
+                stretches.append((spans[p][0], spans[q - 1][1]))
+                p = q
+            else:
+                p += 1
+        out.append((i, len(stretches), sum(gone), passages.cut(b, stretches)))
+    return sorted(out, key=str)
 
 
 def corpus():
@@ -49,6 +75,21 @@ def test_equals_every_substring(spark):
         assert result(df, length) == brute(rows, length)
 
 
+def test_passages_of_words_however_short(spark):
+    """Whole results for words: passages of one-letter words, other blanks between them, other cases."""
+    r = random.Random(9)
+    short = " ".join(r.choice("abcdefgh") for _ in range(60))
+    rows = corpus() + [(200, f"one {short} two"), (201, short.upper().replace(" ", "\n\t")), (202, short[:97]), (203, short[: 2 * 51]), (204, "w " * 70), (205, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for least in (12, 51):
+        found = passages.remove_repeats(df, least, words=True).select("doc_id", "kept.n_spans", "kept.kept").collect()
+        want = brute_words(rows, least)
+        assert sorted(((x.doc_id, x.n_spans, bytes(x.kept)) for x in found), key=str) == sorted(((i, n, k) for i, n, _, k in want), key=str)
+        digest = passages.digest(df, passage_words=least).select("doc_id", "n_passages", "passage_words").collect()
+        assert sorted(map(tuple, digest), key=str) == sorted(((i, n, w) for i, n, w, _ in want), key=str)
+    assert {i for i, n, _, _ in want if n} >= {200, 201, 203, 204}
+
+
 def test_small_buffers_and_shuffled_positions_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(passages, "BUFFER", 500)
     monkeypatch.setattr(passages, "BROADCAST_ROWS", 0)
@@ -67,9 +108,9 @@ def test_odd_rows(spark, odd_documents, no_documents):
 
 
 def test_phrase_starts_depend_on_the_window_only():
-    shared = prose(3, 200).encode()
-    one = passages.parse([prose(1, 50).encode() + shared], 100)
-    other = passages.parse([b"", prose(2, 91).encode(), shared + prose(4, 20).encode()], 100)
+    shared, of = prose(3, 200), passages.Symbols(False).of
+    one = passages.parse([of(prose(1, 50) + shared)], 100)
+    other = passages.parse([of(""), of(prose(2, 91)), of(shared + prose(4, 20))], 100)
     assert len(set(one[4].tolist()) & set(other[4].tolist())) > len(shared) // 100
 
 
