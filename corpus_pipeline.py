@@ -6,6 +6,9 @@ before it kept; all but the last return the columns of ``docs``.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +17,36 @@ from redgreen.llm import bpe, minhash, mixing, passages, quality
 from redgreen.llm.queries import RANKS, mixture_weights, source_domain
 from redgreen.llm.support import durable, reread
 
-# Bytes of a passage that may stand in one place only; fifty words of prose are some 300.
-PASSAGE_BYTES = 256
+# Words of a passage that may stand in one place only.
+PASSAGE_WORDS = 51
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def plainly(stage: Stage) -> Stage:
+    """A stage that sees other columns under names of their own, so that none clashes with a derived one."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in KNOWN and docs.columns.index(c) == i else f"other{i}" for i, c in enumerate(docs.columns)]
+        done = stage(spark, docs.toDF(*names), sf_dir)
+        back = dict(zip(names, docs.columns))
+        derived = {c.lower() for c in done.columns if c not in back}
+        # A column named like one that the stage adds comes back with an underscore after it.
+        return done.toDF(*[back[c] + "_" * (back[c].lower() in derived) if c in back else c for c in done.columns])
+
+    return run
 
 
+@plainly
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from labelled documents that are not held out."""
     weights = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, weights, least=0.3)
 
 
+@plainly
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that of the smallest id (no id comes last), then of the smallest row number.
 
@@ -44,24 +67,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return reread(rows).join(minhash.few(gone), "_row", "left_anti").select(*docs.columns)
 
 
+@plainly
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand in several places; ``n_chars`` follows the text.
 
     Characters of which a part is cut off go too. A document may end up empty.
     """
-    done = passages.remove_repeats(docs, PASSAGE_BYTES, kept_col="_kept")
+    done = passages.remove_repeats(docs, PASSAGE_WORDS, kept_col="_kept", words=True)
     changed = F.col("_kept.n_removed") > 0
     text = F.when(changed, passages.whole_characters("_kept.kept")).otherwise(F.col("text"))
     done = done.withColumn("text", text)
     return done.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@plainly
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the tokens, dealt to sources by weight; a document comes once per epoch that takes it."""
     chosen = mixing.mix(docs, source_domain(), mixing.word_tokens(F.col("text")), mixture_weights(), fraction=0.9, max_epochs=2)
     return chosen.select(*docs.columns)
 
 
+@plainly
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of them and of the bytes they decode to."""
     done = docs.withColumn("_t", bpe.round_tripper(spark, RANKS, public_tokenizers.PATTERN)("text")).drop("text")
