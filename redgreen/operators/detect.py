@@ -25,13 +25,17 @@ def passed() -> Column:
     return F.col("conclusion") == PASSED
 
 
-def decisive_jobs(jobs: DataFrame) -> DataFrame:
-    """Rows that count: a decisive conclusion, a commit and a job name."""
+def decisive_jobs(jobs: DataFrame, clean: bool = False) -> DataFrame:
+    """Rows that count: a decisive conclusion, a commit and a job name.
+
+    Of ``clean`` rows no key is null, and their columns are taken as they are,
+    so that the engine still knows how a landed table is bucketed.
+    """
     kept = jobs.where(F.col("conclusion").isin(DECISIVE) & (F.col("head_sha") != "") & (F.col("job_name") != ""))
-    return kept.withColumn("workflow_file", text_or_empty("workflow_file"))
+    return kept if clean else kept.withColumn("workflow_file", text_or_empty("workflow_file"))
 
 
-def detect(jobs: DataFrame, min_attempts: int = MIN_ATTEMPTS, by: Sequence[str] = ()) -> DataFrame:
+def detect(jobs: DataFrame, min_attempts: int = MIN_ATTEMPTS, by: Sequence[str] = (), clean: bool = False) -> DataFrame:
     """One row per flaky occurrence, within each value of ``by`` (say the repository).
 
     Counts come first, in a hash aggregate whose buffers have a fixed size, so
@@ -47,7 +51,7 @@ def detect(jobs: DataFrame, min_attempts: int = MIN_ATTEMPTS, by: Sequence[str]
     themselves are the child rows of ``occurrence_runs``.
     """
     keys = [*by, *SIGNATURE]
-    rows = decisive_jobs(jobs)
+    rows = decisive_jobs(jobs, clean)
     counts = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_attempts"), F.count_if(~passed()).alias("failed_runs")
     )

@@ -77,6 +77,52 @@ def verify_citations(df: DataFrame, excerpt: str = "excerpt", verdict: str = "ve
     return df.withColumn(verdict, verified(F.col(verdict), F.col(excerpt)))
 
 
+def _trimmed_hash(line: Column) -> Column:
+    return F.md5(F.encode(utrim(line), "UTF-8"))
+
+
+def line_index(excerpts: DataFrame, key: str, excerpt: str = "excerpt") -> DataFrame:
+    """``(key, line)``: the hash of every line of every excerpt, trimmed, once each; blank lines left out.
+
+    Land it beside the excerpts: any number of verdicts is then checked without
+    moving a text.
+    """
+    lines = F.filter(F.split(text_or_empty(excerpt), "\n"), lambda x: ~is_blank(x))
+    return excerpts.select(key, F.explode(F.array_distinct(F.transform(lines, _trimmed_hash))).alias("line")).distinct()
+
+
+def verify_by_index(
+    verdicts: DataFrame, index: DataFrame, excerpts: DataFrame, row: str, key: str, excerpt: str = "excerpt", verdict: str = "verdict"
+) -> DataFrame:
+    """``verify_citations`` of verdicts kept apart from their excerpts.
+
+    ``row`` names a verdict, ``key`` its excerpt; ``index`` is ``line_index`` of
+    ``excerpts``. A citation that is a whole line is found by its hash. Only
+    those that are not, parts of lines or invented ones, are looked up in the
+    text, and only their excerpts move.
+    """
+    cited = verdicts.select(row, key, F.posexplode(f"{verdict}.cited_lines").alias("place", "cited")).where(~is_blank("cited"))
+    known = index.select(key, F.col("line").alias("_line"), F.lit(True).alias("_whole"))
+    met = cited.withColumn("_line", _trimmed_hash(F.col("cited"))).join(known, [key, "_line"], "left")
+    whole = met.where(F.col("_whole")).select(row, "place", "cited", F.lit(True).alias("found"))
+    texts = excerpts.select(key, text_or_empty(excerpt).alias("_text"))
+    part = met.where(F.col("_whole").isNull()).join(texts, key, "left")
+    part = part.select(row, "place", "cited", F.coalesce(F.contains("_text", utrim("cited")), F.lit(False)).alias("found"))
+    # A row's citations, a few lines each, back in their order.
+    sorted_ = F.sort_array(F.collect_list(F.struct("place", "cited", "found")))
+    lines = whole.union(part).groupBy(row).agg(sorted_.alias("_cited"))
+    both = verdicts.join(lines, row, "left")
+
+    def of(found: bool) -> Column:
+        some = F.filter("_cited", lambda x: x["found"] == F.lit(found))
+        return F.transform(some, lambda x: x["cited"])
+
+    v = F.col(verdict)
+    empty = F.array().cast("array<string>")
+    kept = {name: F.when(F.col("_cited").isNull(), empty).otherwise(of(ok)) for name, ok in (("cited_lines", True), ("hallucinated_citations", False))}
+    return both.withColumn(verdict, _rebuilt(v, **kept)).select(*verdicts.columns)
+
+
 def apply_floor(df: DataFrame, floor: float = DEFAULT_FLOOR, verdict: str = "verdict") -> DataFrame:
     return df.withColumn(verdict, floored(F.col(verdict), floor))
 

@@ -110,6 +110,12 @@ def job_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [jobs.where(F.col("run_id") % 3 < 2), again, again]
 
 
+def months_of(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
+    """``(day)``: first days of the months of a year in which an order was made."""
+    orders = table(spark, sf_dir, "orders").where(F.year("o_orderdate") == year)
+    return orders.select(F.trunc(F.to_date("o_orderdate"), "month").alias("day")).distinct()
+
+
 def job_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON text per job."""
     jobs = _landed_jobs(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -159,6 +160,16 @@ def landed_batches(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("run_id", "run_attempt", "job_id", "job_name", "conclusion", F.col("day").cast("string").alias("day"))
 
 
+@query
+def landed_detection(spark: SparkSession, sf: str) -> DataFrame:
+    """Detection over a table in months and buckets, on the months of one year."""
+    path = a.scratch(spark)
+    landed = la.land_table(a.job_results(spark, sf), f"jobs_{uuid.uuid4().hex}", path, buckets=8, period="month")
+    return d.detect(la.on_days(landed, a.months_of(spark, sf, 1996)), clean=True).select(
+        "id", "workflow_file", "total_attempts", "failed_runs", nine("failure_rate"), "last_pass_url"
+    )
+
+
 # Sources
 
 
@@ -310,6 +321,22 @@ def citation_check(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def citation_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same verdicts, checked against an index of their excerpts' lines."""
+    rows = a.cited_excerpts(spark, sf)
+    texts = rows.select("doc_id", "excerpt")
+    checked = vd.verify_by_index(rows.select("doc_id", F.col("doc_id").alias("n"), "verdict"), vd.line_index(texts, "doc_id"), texts, "n", "doc_id")
+    v = checked.select("doc_id", "verdict.*")
+    return v.select(
+        "doc_id",
+        digest(F.array_join("cited_lines", "|"), "kept"),
+        digest(F.array_join("hallucinated_citations", "|"), "invented"),
+        F.size("cited_lines").alias("n_kept"),
+        F.size("hallucinated_citations").alias("n_invented"),
+    )
+
+
 @query
 def verdict_validation(spark: SparkSession, sf: str) -> DataFrame:
     return vd.with_validity(a.verdict_rows(spark, sf)).select("id", "valid", "invalid_reason")

@@ -152,6 +152,16 @@ from (select * replace (case when run_id % 3 > 0 then 'success' else conclusion
 qualify row_number() over (partition by run_id, run_attempt, job_id
   order by job_name desc, workflow_name desc, workflow_file desc, head_sha desc, branch desc, conclusion desc, started_at desc) = 1""",
 )
+PASSED_LAST = "last(url order by started_at, run_id, run_attempt, job_id) filter (where conclusion = 'success') as passed_url,"
+CHECKS["landed_detection"] = with_ctes(
+    [
+        JOBS,
+        """kept as (select * from jobs where date_trunc('month', started_at) in
+  (select date_trunc('month', o_orderdate) from orders where year(o_orderdate) = 1996))""",
+        flaky("kept").replace("count(*) as total_attempts,", f"count(*) as total_attempts, {PASSED_LAST}"),
+    ],
+    """select id, workflow_file, total_attempts, failed_runs, round(rate, 9) as failure_rate, passed_url as last_pass_url from flaky""",
+)
 
 CHECKS["timestamp_normalise"] = """
 select event_id,
@@ -382,6 +392,7 @@ select doc_id, md5(array_to_string(list_filter(lines, lambda x: {utrim('x')} <>
 from (select d.doc_id, d.text, [' ' || chr(9) || string_split(d.text, {NL})[1] || chr(160), string_split(d.text, {NL})[-1] || {NL},
     coalesce(b.text, '  '), '   ', 'an invented line'] as lines
   from documents d left join benchmark b on d.doc_id = b.item_id)"""
+CHECKS["citation_index"] = CHECKS["citation_check"]
 
 # Model responses
 

@@ -11,6 +11,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from redgreen.functions.text import text_or_empty
+from redgreen.operators.detect import SIGNATURE
+
 # What tells one execution of a job from another.
 JOB_KEY = ["run_id", "run_attempt", "job_id"]
 DAY = "day"
@@ -78,6 +81,30 @@ def land(
     return sorted(changed, key=lambda d: (d is not None, d))
 
 
+def land_table(jobs: DataFrame, name: str, path: str | None = None, buckets: int = 64, time: str = "started_at", period: str = "day") -> DataFrame:
+    """Job rows as a table of the catalog, partitioned by day and bucketed by signature.
+
+    Detection over such a table (``detect(..., clean=True)``) moves no job row:
+    attempts of a signature are in one bucket of every day already. A hot
+    commit spreads over buckets by its jobs. Choose as many buckets as tasks
+    should read the table; each writes one file a day.
+    """
+    keys = {k: text_or_empty(k) for k in (*SIGNATURE, "conclusion")}
+    rows = jobs.withColumns({**keys, DAY: day_of(time, period)}).repartition(buckets, *SIGNATURE)
+    writer = rows.write.mode("errorifexists").format("parquet").partitionBy(DAY).bucketBy(buckets, *SIGNATURE).sortBy(*SIGNATURE)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return jobs.sparkSession.table(name)
+
+
+def on_days(jobs: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows of the listed days, say those that a batch has changed; files of other days are not opened.
+
+    Days are one value per partition of the table at the most, so they are
+    broadcast, and the engine prunes partitions by them before it reads.
+    """
+    return jobs.join(F.broadcast(days.select(DAY).distinct()), DAY, "left_semi")
+
+
 def _on_days(days: Sequence[date | None]) -> Column:
     listed = F.col(DAY).isin([d for d in days if d is not None])
     return listed | F.col(DAY).isNull() if None in days else listed

@@ -2,6 +2,9 @@
 
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
+from redgreen.operators import detect as d
 from redgreen.sources import jobs as j
 from redgreen.sources import landing as la
 
@@ -68,3 +71,38 @@ def test_of_different_rows_with_one_key_the_greatest_stays(spark, tmp_path):
     rows = [row(1, c, 1) for c in ("failure", "success", "cancelled")] * 3
     la.land(batch(spark, *rows), str(tmp_path / "jobs"))
     assert [c for _, _, c, _ in content(spark, tmp_path / "jobs")] == ["success"]
+
+
+def jobs_of(spark, n=400):
+    run = F.col("id")
+    return spark.range(n).select(
+        run.alias("run_id"), (run % 3 + 1).cast("int").alias("run_attempt"), run.cast("string").alias("job_id"),
+        F.when(run % 7 > 0, F.concat(F.lit("job"), run % 2)).alias("job_name"), F.lit("CI").alias("workflow_name"),
+        F.when(run % 5 > 0, F.lit("ci.yml")).alias("workflow_file"), F.when(run % 4 > 0, F.lit("hot")).otherwise(F.concat(F.lit("c"), run % 60)).alias("head_sha"),
+        F.lit("main").alias("branch"), F.when(run % 11 < 7, "success").when(run % 11 < 9, "failure").otherwise("skipped").alias("conclusion"),
+        F.timestamp_seconds(run * 9000 + 1_770_000_000).alias("started_at"), F.concat(F.lit("u"), run).alias("url"),
+    )
+
+
+def test_detection_over_a_landed_table_moves_no_job_row(spark, tmp_path):
+    """No exchange below, between or above its aggregates, and only wanted days are read."""
+    jobs = jobs_of(spark)
+    landed = la.land_table(jobs, "landed_jobs", str(tmp_path / "jobs"), buckets=4)
+    try:
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = d.detect(landed, clean=True)
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in text and "Exchange" not in text and "SelectedBucketsCount: 4 out of 4" in text
+        want = d.detect(jobs)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and want.count() > 4
+        # Days from a table, known only when the query runs.
+        days = spark.createDataFrame([(date(2026, 2, 5), 1), (date(2026, 2, 9), 2), (date(2030, 1, 1), 2)], "day date, n int").where("n = 2")
+        kept = d.detect(la.on_days(landed, days), clean=True)
+        text = kept._jdf.queryExecution().executedPlan().toString()
+        assert "dynamicpruning" in text and "Exchange hashpartitioning(head_sha" not in text
+        want = d.detect(jobs.where(la.day_of() == "2026-02-09"))
+        assert sorted(map(repr, kept.collect())) == sorted(map(repr, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("drop table landed_jobs")

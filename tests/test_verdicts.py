@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,21 @@ def test_taxonomy_is_complete(spark):
     assert got["other"].mitigation == got["unknown"].mitigation == got[None].mitigation
     assert rows.where(tx.is_category("category")).count() == 7
     assert rows.where(~tx.is_category(F.col("category"))).count() == 2
+
+
+def test_the_line_index_finds_what_the_texts_hold(spark):
+    """Whole lines, parts of lines, lines over a line end, padded, blank, invented and repeated ones; null and missing texts."""
+    r = random.Random(3)
+    texts = [(i, "\n".join(r.choice(["alpha beta", " gamma\t", "", "delta", "beta", " é è"]) for _ in range(r.randrange(7)))) for i in range(40)]
+    texts += [(40, None), (41, "")]
+    choices = ["alpha beta", "beta", "  delta ", "alpha", "gamma", "é", "delta\nbeta", " \t", "", None, "invented", "é è"]
+    rows = []
+    for n in range(300):
+        cited = [r.choice(choices) for _ in range(r.randrange(6))]
+        verdict = None if n % 29 == 0 else ("unknown", 0.5, "x", None if n % 31 == 0 else cited, "", False, None, [])
+        rows.append((n, r.randrange(43), verdict))  # one excerpt is missing
+    excerpts = spark.createDataFrame(texts, "key int, excerpt string")
+    verdicts = spark.createDataFrame(rows, f"n int, key int, verdict {VERDICT}")
+    got = v.verify_by_index(verdicts, v.line_index(excerpts, "key"), excerpts, "n", "key")
+    want = v.verify_citations(verdicts.join(excerpts, "key", "left")).select("n", "key", "verdict")
+    assert got.columns == ["n", "key", "verdict"] and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
