@@ -269,7 +269,8 @@ def links_of(sets: DataFrame, percent: int, bin_size: int = BIN) -> DataFrame:
     """``(node, component)`` of linked classes, from ``(node, component, n, shingles)`` by neighbourhood."""
     sizes = durable(sets.groupBy("component").agg(F.sum("n").alias("weight")), "weights")
     small = sizes.where(F.col("weight") <= bin_size)
-    bins = max(1, math.ceil((small.agg(F.sum("weight").alias("w")).first()["w"] or 0) / bin_size))
+    # Bins are filled to a quarter, so that there are more of them than of large neighbourhoods' blocks to share the work.
+    bins = max(1, math.ceil(4 * (small.agg(F.sum("weight").alias("w")).first()["w"] or 0) / bin_size))
     packed = reread(sets).join(small, "component").select(
         F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"), "node", F.lit(True).alias("ask"), F.lit(True).alias("listed"), "shingles"
     )
