@@ -166,14 +166,16 @@ def held_out(id_col: str = "doc_id", divisor: int = 5) -> Column:
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> np.ndarray:
     """Weights learned from ``labels.quality`` of at most ``rows`` documents that are not held out.
 
-    A document labelled twice counts with its smaller label, a repeated document
-    once per row. Null ids, null labels and labels but 0 and 1 take no part.
+    A document labelled twice counts with its smaller label, equal rows count
+    once, and rows that share an id and differ in text each. Null ids, null labels and labels but 0 and 1 take no part.
     """
     marks = pick(labels, doc_id="doc_id", quality="quality").where("doc_id is not null and quality in (0, 1)")
     few = marks.where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = durable(few.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows), "labels")
     docs = pick(documents, doc_id="doc_id", text="text").join(F.broadcast(few), "doc_id")  # ``rows`` ids at most
-    return train(docs.select("doc_id", "text", F.col("quality").cast("int").alias("label")), rows)
+    # A row that is repeated, however often, is learned from once and leaves room for the others.
+    once = docs.select("doc_id", "text", F.col("quality").cast("int").alias("label")).dropDuplicates(["doc_id", "text"])
+    return train(once, rows)
 
 
 def score_documents(documents: DataFrame, weights: np.ndarray, least: float = 0.3) -> DataFrame:

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from made import prose
 from redgreen.llm import langid, lattice, quality
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -55,6 +56,15 @@ def test_quality_of_odd_rows(spark, odd_documents, no_documents):
     assert quality.keep_good(odd_documents.toDF(*[f"c{i}" for i in range(10)]), none, 0.3, "c1").count() == len(rows)
 
 
+def test_a_row_repeated_often_leaves_room_for_others(spark):
+    rows = [(i, prose(i, 30) if i % 2 else " ".join([prose(i, 1)] * 30)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    schema = "doc_id bigint, text string"
+    want = quality.fit(spark.createDataFrame(rows, schema), labels, rows=32)
+    got = quality.fit(spark.createDataFrame(rows + [rows[1]] * 200, schema).repartition(5), labels, rows=32)
+    assert want.any() and np.allclose(got, want)
+
+
 def test_shapes_and_vectors():
     assert quality.shape("ABCd12!!!.\n") == "AAa00!!.n" and quality.shape("Éa漢") == "Aaa"
     slots, values = quality.Features().of("a b a b")
