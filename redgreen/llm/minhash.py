@@ -319,8 +319,9 @@ def near_duplicates(
     reachable, and the rows with that id are ``kept``. Texts that are null or
     without words have no shingles and link with nothing. Rows without an id
     take no part in linking: their component is null and they are kept. Rows
-    that repeat an id are one document each; those of one component are kept
-    or not together. An empty table gives an empty result.
+    that share an id are reported each, and linked as one: where ids repeat with
+    different texts, give the rows numbers of their own first, as the corpus
+    pipeline does. An empty table gives an empty result.
     """
     ids = pick(documents, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     key = ["set_hi", "set_lo", "n_shingles"]
