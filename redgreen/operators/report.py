@@ -45,6 +45,28 @@ MARKDOWN_EMPTY = "No flaky occurrences were classified."
 ISSUE_EMPTY = "Nothing to action. 🎉"
 DIGEST_EMPTY = "**No flaky occurrences detected.** Every job agreed with itself on every commit."
 FOOTER = "<sub>Generated by redgreen.</sub>"
+REPORT_TITLE = "# Flake report"
+REPORT_REPOSITORY, REPORT_SOURCE = "**Repository:** `", "**Source:** "
+REPORT_CLASSIFIER, REPORT_GENERATED = "**Classifier:** ", "**Generated:** "
+SUMMARY_TITLE, DETAIL_TITLE = "## Summary", "## Occurrences"
+SUMMARY_COUNT = " flaky occurrence(s) classified."
+SHARE_TABLE = ["| Category | Count | Share | Typical owner |", "| --- | ---: | ---: | --- |"]
+ITEM_COMMIT, ITEM_WORKFLOW, ITEM_RATE = "- **Commit:** `", "- **Workflow:** ", "- **Failure rate:** "
+ITEM_CONFIDENCE, ITEM_DEMOTED, ITEM_DEMOTED_END = "- **Confidence:** ", "- **Note:** demoted to unknown from `", "` for low confidence"
+ITEM_EVIDENCE, ITEM_MITIGATION, ITEM_OWNER = "**Evidence**", "**Mitigation** — ", " _(owner: "
+ITEM_DROPPED = " cited line(s) were dropped because they do not appear in the log excerpt."
+ITEM_FAILING, ITEM_PASSING, ITEM_FAILED = "[Failing run](", " · [Passing rerun](", "> Classification failed: "
+ISSUE_TITLE, ISSUE_FOUND = "## Flaky tests detected in `", "Found **"
+ISSUE_COUNT = " flaky occurrence(s)** — jobs that produced both a pass and a failure on the same commit."
+ISSUE_CLASSIFIER = "Classified by `"
+ISSUE_STEPS, ISSUE_STEPS_END = "<details><summary>Suggested steps</summary>", "</details>"
+DIGEST_COUNT, DIGEST_JOBS = " flaky occurrence(s)** across **", " job(s)**."
+DIGEST_BUGS = (
+    " occurrence(s) look like a **genuine bug** masked by a rerun, not infrastructure noise. "
+    "Those should not be re-run to green."
+)
+DIGEST_TABLE = ["| Category | Count |", "| --- | ---: |"]
+DIGEST_NOISY = "**Noisiest jobs**"
 TOP_JOBS = 5
 
 HEADER_COLUMNS = ["repo", "source", "generated_at", "provider", "model", "baseline"]
@@ -262,30 +284,29 @@ def markdown_lines(items: DataFrame, header: Header | DataFrame, by: Sequence[st
     n = F.col("occurrences")
     top = F.concat(
         _texts(
-            "# Flake report",
+            REPORT_TITLE,
             "",
-            _all("**Repository:** `", F.col("repo"), "`  "),
-            _all("**Source:** ", F.col("source"), "  "),
-            _all("**Classifier:** ", F.col("label"), "  "),
-            _all("**Generated:** ", F.col("generated"), " UTC"),
+            _all(REPORT_REPOSITORY, F.col("repo"), "`  "),
+            _all(REPORT_SOURCE, F.col("source"), "  "),
+            _all(REPORT_CLASSIFIER, F.col("label"), "  "),
+            _all(REPORT_GENERATED, F.col("generated"), " UTC"),
             "",
         ),
         _if_baseline(MARKDOWN_BASELINE),
-        _texts("## Summary", ""),
+        _texts(SUMMARY_TITLE, ""),
     )
     summary = F.when(n == 0, _texts(MARKDOWN_EMPTY, "")).otherwise(
         _texts(
-            _all(n.cast("string"), " flaky occurrence(s) classified."),
+            _all(n.cast("string"), SUMMARY_COUNT),
             "",
-            "| Category | Count | Share | Typical owner |",
-            "| --- | ---: | ---: | --- |",
+            *SHARE_TABLE,
         )
     )
     share_line = _all(
         "| ", F.col("label"), " | ", F.col("n").cast("string"), " | ", F.col("share"), " | ", F.col("owner"), " |"
     )
     after_summary = F.concat(
-        F.when(n > 0, _texts("")).otherwise(none), F.when(F.col("items") > 0, _texts("## Occurrences", "")).otherwise(none)
+        F.when(n > 0, _texts("")).otherwise(none), F.when(F.col("items") > 0, _texts(DETAIL_TITLE, "")).otherwise(none)
     )
 
     v = F.col("verdict")
@@ -295,40 +316,40 @@ def markdown_lines(items: DataFrame, header: Header | DataFrame, by: Sequence[st
     steps = F.transform(mitigation_steps_of(category()), lambda s: F.concat(F.lit("- "), s))
     facts = F.concat(
         _texts(
-            _all("- **Commit:** `", short_commit("head_sha"), "` on `", F.col("branch"), "`"),
-            _all("- **Workflow:** ", F.col("workflow_name"), " (`", F.col("workflow_file"), "`)"),
-            _all("- **Failure rate:** ", percent("failure_rate"), " (", F.col("total_attempts").cast("string"), " attempts)"),
-            _all("- **Confidence:** ", two_places(v["confidence"])),
+            _all(ITEM_COMMIT, short_commit("head_sha"), "` on `", F.col("branch"), "`"),
+            _all(ITEM_WORKFLOW, F.col("workflow_name"), " (`", F.col("workflow_file"), "`)"),
+            _all(ITEM_RATE, percent("failure_rate"), " (", F.col("total_attempts").cast("string"), " attempts)"),
+            _all(ITEM_CONFIDENCE, two_places(v["confidence"])),
         ),
         F.when(
             v["downgraded"],
-            _texts(_all("- **Note:** demoted to unknown from `", v["raw_category"], "` for low confidence")),
+            _texts(_all(ITEM_DEMOTED, v["raw_category"], ITEM_DEMOTED_END)),
         ).otherwise(none),
         _texts("", v["explanation"], ""),
-        F.when(F.size(cited) > 0, F.concat(_texts("**Evidence**", "", "```"), cited, _texts("```", ""))).otherwise(none),
+        F.when(F.size(cited) > 0, F.concat(_texts(ITEM_EVIDENCE, "", "```"), cited, _texts("```", ""))).otherwise(none),
         F.when(
             F.size(v["hallucinated_citations"]) > 0,
             _texts(
                 _all(
                     "> ",
                     F.size(v["hallucinated_citations"]).cast("string"),
-                    " cited line(s) were dropped because they do not appear in the log excerpt.",
+                    ITEM_DROPPED,
                 ),
                 "",
             ),
         ).otherwise(none),
-        _texts(_all("**Mitigation** — ", mitigation_of(category()), " _(owner: ", owner_of(category()), ")_"), ""),
+        _texts(_all(ITEM_MITIGATION, mitigation_of(category()), ITEM_OWNER, owner_of(category()), ")_"), ""),
         steps,
         _texts(""),
         F.when(
             F.col("failing_url").isNotNull(),
             _texts(
                 _all(
-                    "[Failing run](",
+                    ITEM_FAILING,
                     F.col("failing_url"),
                     ")",
                     F.when(
-                        F.col("passing_url").isNotNull(), _all(" · [Passing rerun](", F.col("passing_url"), ")")
+                        F.col("passing_url").isNotNull(), _all(ITEM_PASSING, F.col("passing_url"), ")")
                     ).otherwise(F.lit("")),
                 ),
                 "",
@@ -336,7 +357,7 @@ def markdown_lines(items: DataFrame, header: Header | DataFrame, by: Sequence[st
         ).otherwise(none),
         _texts("---", ""),
     )
-    failure = _texts(_all("> Classification failed: ", F.col("error")), "")
+    failure = _texts(_all(ITEM_FAILED, F.col("error")), "")
     body = F.concat(_texts(title, ""), F.when(failed, failure).otherwise(facts))
     severity = severity_of(category())
     confidence = F.coalesce(v["confidence"], F.lit(0.0))
@@ -355,14 +376,14 @@ def issue_lines(items: DataFrame, header: Header | DataFrame, by: Sequence[str]
     n = F.col("occurrences")
     top = F.concat(
         _texts(
-            _all("## Flaky tests detected in `", F.col("repo"), "`"),
+            _all(ISSUE_TITLE, F.col("repo"), "`"),
             "",
             _all(
-                "Found **", n.cast("string"),
-                " flaky occurrence(s)** — jobs that produced both a pass and a failure on the same commit.",
+                ISSUE_FOUND, n.cast("string"),
+                ISSUE_COUNT,
             ),
             "",
-            _all("Classified by `", F.col("label"), "`."),
+            _all(ISSUE_CLASSIFIER, F.col("label"), "`."),
             "",
         ),
         _if_baseline(ISSUE_BASELINE),
@@ -379,9 +400,9 @@ def issue_lines(items: DataFrame, header: Header | DataFrame, by: Sequence[str]
         "",
     )
     close_group = F.concat(
-        _texts("", "<details><summary>Suggested steps</summary>", ""),
+        _texts("", ISSUE_STEPS, ""),
         F.transform(mitigation_steps_of("category"), lambda s: F.concat(F.lit("1. "), s)),
-        _texts("", "</details>", ""),
+        _texts("", ISSUE_STEPS_END, ""),
     )
     rows = classified(items)
     box = _all(
@@ -416,7 +437,7 @@ def digest_lines(items: DataFrame, header: Header | DataFrame, window_days: int
     found = F.concat(
         _texts(
             _all(
-                "**", n.cast("string"), " flaky occurrence(s)** across **", F.col("jobs").cast("string"), " job(s)**."
+                "**", n.cast("string"), DIGEST_COUNT, F.col("jobs").cast("string"), DIGEST_JOBS
             ),
             "",
         ),
@@ -425,13 +446,12 @@ def digest_lines(items: DataFrame, header: Header | DataFrame, window_days: int
             _texts(
                 _all(
                     "> ⚠️ ", bugs.cast("string"),
-                    " occurrence(s) look like a **genuine bug** masked by a rerun, not infrastructure noise. "
-                    "Those should not be re-run to green.",
+                    DIGEST_BUGS,
                 ),
                 "",
             ),
         ).otherwise(none),
-        _texts("| Category | Count |", "| --- | ---: |"),
+        _texts(*DIGEST_TABLE),
     )
     counted = tally(items, by)
     total = _totals(counted, header, by)
@@ -445,7 +465,7 @@ def digest_lines(items: DataFrame, header: Header | DataFrame, window_days: int
         [
             _lines(total, 0, F.concat(top, F.when(n == 0, _texts(DIGEST_EMPTY)).otherwise(found)), by=by),
             _lines(category_share(counted, by), 1, _texts(row), rank=F.col("ord"), by=by),
-            _lines(total, 2, F.when(n > 0, _texts("", "**Noisiest jobs**", "")).otherwise(none), by=by),
+            _lines(total, 2, F.when(n > 0, _texts("", DIGEST_NOISY, "")).otherwise(none), by=by),
             _lines(noisy, 3, _texts(job_line), rank=F.col("place"), by=by),
             _lines(total, 4, F.when(n > 0, _texts("", FOOTER)).otherwise(none), by=by),
         ]

@@ -2,6 +2,8 @@
 
 Log work here goes through line lists and window functions, matching through an
 RE2 engine and the original patterns, so agreement is not agreement with itself.
+Rules, markers and texts are taken from the operators; that these are right is
+not for this module to show, ``tests/test_fixed_values.py`` pins them by literals.
 """
 
 from __future__ import annotations
