@@ -27,6 +27,7 @@ from redgreen.sources import corpus as co
 from redgreen.sources import jobs as j
 from redgreen.sources import landing as la
 from redgreen.sources import results as res
+from redgreen.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,6 +171,19 @@ def landed_detection(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def live_detection(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences after a stream of three batches of jobs, the last one a replay, each taken up when it has landed."""
+    path = a.scratch(spark)
+    for n, batch in enumerate(a.job_batches(spark, sf)):
+        batch.write.parquet(f"{path}/in/{n}")
+        stream = spark.readStream.schema(batch.schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
+        live.follow(stream, f"{path}/jobs", f"{path}/out", f"{path}/checkpoint", period="month").awaitTermination()
+    return live.occurrences(spark, f"{path}/out").select(
+        "id", "head_sha", "branch", "workflow_name", "workflow_file", "job_name", "total_attempts", "failed_runs", nine("failure_rate")
+    )
+
+
 # Sources
 
 

@@ -154,6 +154,16 @@ from (select * replace (case when run_id % 3 > 0 then 'success' else conclusion
 qualify row_number() over (partition by run_id, run_attempt, job_id
   order by job_name desc, workflow_name desc, workflow_file desc, head_sha desc, branch desc, conclusion desc, started_at desc) = 1""",
 )
+CHECKS["live_detection"] = with_ctes(
+    [
+        JOBS,
+        """merged as (select * from (select * replace (case when run_id % 3 > 0 then 'success' else conclusion end as conclusion) from jobs)
+  qualify row_number() over (partition by run_id, run_attempt, job_id
+    order by job_name desc, workflow_name desc, workflow_file desc, head_sha desc, branch desc, conclusion desc, started_at desc) = 1)""",
+        flaky("merged"),
+    ],
+    """select id, head_sha, branch, workflow_name, workflow_file, job_name, total_attempts, failed_runs, round(rate, 9) as failure_rate from flaky""",
+)
 PASSED_LAST = "last(url order by started_at, run_id, run_attempt, job_id) filter (where conclusion = 'success') as passed_url,"
 CHECKS["landed_detection"] = with_ctes(
     [
