@@ -122,8 +122,12 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def width(length: int, trigger: int = TRIGGER) -> int:
-    """How many of a window's first positions its phrase start is chosen from."""
-    return max(1, (length - trigger) * 5 // 8)
+    """How many of a window's first positions its phrase start is chosen from.
+
+    The more there are, the fewer phrases a text has; what is left of the
+    window is its dictionary string, for which a few words are enough.
+    """
+    return max(1, (length - trigger) * (15 if trigger == WORD_TRIGGER else 10) // 16)
 
 
 def parse(texts: list[np.ndarray], length: int, trigger: int = TRIGGER) -> tuple[np.ndarray, ...]:
