@@ -249,12 +249,16 @@ def repeats(texts: DataFrame, length: int, words: bool = False) -> DataFrame:
     )
     open_runs = durable(open_runs, "open")  # run numbers are fixed here
     wanted = durable(open_runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "run", "unsure")).alias("spans")), "wanted")
-    count = wanted.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first()["n"]
+    sizes = wanted.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans"), F.count("*").alias("texts")).first()
+    if sizes["spans"] > BROADCAST_ROWS and sizes["texts"] <= BROADCAST_ROWS:
+        # Spans meet their texts in a shuffle, but no other text goes into it.
+        texts = texts.join(F.broadcast(reread(wanted).select("k1", "k2")), ["k1", "k2"], "left_semi")
     # Rows equal in id and content share a key; only classes of several members can be theirs, so no unsure window counts twice.
-    met = texts.join(small(wanted, count), ["k1", "k2"]).select("text", "spans")
-    # Made twice rather than kept: hashes are dear to store and cheap to compute.
-    twice = durable(windows(met, length, reach, words).groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "twice")
-    found = windows(met, length, reach, words).where("unsure").join(twice, "hash")
+    met = texts.join(small(wanted, sizes["spans"]), ["k1", "k2"]).select("text", "spans")
+    # Of bytes made twice rather than kept: hashes are dear to store and cheap to compute. Words are few, and dear to find.
+    made = durable(windows(met, length, reach, words), "windows") if words else windows(met, length, reach, words)
+    twice = durable(made.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "twice")
+    found = (reread(made) if words else made).where("unsure").join(twice, "hash")
     offsets = found.select(F.expr(f"place div {reach}").alias("run"), (F.col("place") % reach).alias("at"))
     line = Window.partitionBy("run").orderBy("at")  # a run has ``reach`` windows at most
     ranges = offsets.withColumn("island", F.col("at") - F.row_number().over(line)).groupBy("run", "island").agg(
