@@ -8,7 +8,7 @@ from datetime import date
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from redgreen.functions.text import text_or_empty
@@ -17,6 +17,8 @@ from redgreen.operators.detect import SIGNATURE
 # What tells one execution of a job from another.
 JOB_KEY = ["run_id", "run_attempt", "job_id"]
 DAY = "day"
+# Of landed files, which are written once and read often.
+CODEC = "zstd"
 
 
 def day_of(column: str = "started_at", period: str = "day") -> Column:
@@ -31,10 +33,33 @@ def _path(spark: SparkSession, path: str):
 
 
 def latest(batch: DataFrame, key: Sequence[str] = JOB_KEY) -> DataFrame:
-    """One row per key: equal rows once, and of different ones the greatest, column by column."""
-    rows = batch.dropDuplicates()  # a row sent often is reduced before rows of one key meet
-    greatest = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in batch.columns if c not in key])
-    return rows.withColumn("_place", F.row_number().over(greatest)).where("_place = 1").drop("_place")
+    """One row per key: equal rows once, and of different ones the greatest, column by column.
+
+    Each task passes on one row per key, and rows are moved once.
+    """
+    return batch.withColumn("_place", F.row_number().over(_greatest(batch, key))).where("_place = 1").drop("_place")
+
+
+def _greatest(batch: DataFrame, key: Sequence[str], *more: str) -> WindowSpec:
+    return Window.partitionBy(*key, *more).orderBy(*[F.desc(c) for c in batch.columns if c not in key])
+
+
+def news_of(batch: DataFrame, known: DataFrame, key: Sequence[str] = JOB_KEY) -> DataFrame:
+    """The rows of ``latest(batch)`` that ``known``, of the same columns, does not hold.
+
+    Both sides move once, by the key. Of what is known only the key and a
+    128-bit digest of the row move, which rows of one key are compared by.
+    """
+    others = [c for c in batch.columns if c not in key]
+    digest = [F.xxhash64(F.lit(seed), *[x for c in others for x in (F.col(c).isNull(), F.col(c))]) for seed in (1, 2)]
+    names, none = ["_digest", "_digest2"], F.lit(None).cast("bigint")
+    side = known.select(*key, *[F.lit(None).cast(batch.schema[c].dataType).alias(c) for c in others], *[x.alias(n) for x, n in zip(digest, names)], F.lit(True).alias("_known"))
+    sent = batch.select(*key, *others, *[none.alias(n) for n in names], F.lit(False).alias("_known"))
+    both = side.unionByName(sent).repartition(*key)
+    both = both.withColumns({n: F.coalesce(n, x) for x, n in zip(digest, names)})
+    greatest = both.withColumn("_place", F.row_number().over(_greatest(batch, key, "_known"))).where("_known or _place = 1")
+    held = F.bool_or("_known").over(Window.partitionBy(*key, *names))
+    return greatest.withColumn("_held", held).where("not _known and not _held").select(*batch.columns)
 
 
 def land(
@@ -50,35 +75,39 @@ def land(
 
     Days with changes are read and replaced in one job; the rows to come are
     written aside first, so nothing is computed twice and a lost executor costs
-    tasks only.
+    tasks only. A first batch has nothing to meet and is written at once.
     """
     spark = batch.sparkSession
     files, at = _path(spark, path)
-    rows = latest(batch, key).withColumn(DAY, day_of(time, period))
-    aside = f"{path}/_landing-{uuid.uuid4().hex}"
+    dated = batch.withColumn(DAY, day_of(time, period))
     exists = files.exists(at) and any(s.getPath().getName().startswith(f"{DAY}=") for s in files.listStatus(at))
-    schema = rows.schema
-    if exists:
-        days = [r[DAY] for r in rows.select(DAY).distinct().collect()]  # one value per day of the batch
-        table = spark.read.schema(schema).parquet(path)
-        known = table.where(_on_days(days))
-        same = reduce(and_, [rows[c].eqNullSafe(known[c]) for c in rows.columns])
-        rows = rows.join(known, same, "left_anti")
-    rows.write.parquet(aside)
+    schema = dated.schema
+    if not exists:
+        _write_days(latest(dated, key), path)
+        changed = [r[DAY] for r in spark.read.schema(schema).parquet(path).select(DAY).distinct().collect()]
+        return _sorted(changed)
+    days = [r[DAY] for r in dated.select(DAY).distinct().collect()]  # one value per day of the batch
+    table = spark.read.schema(schema).parquet(path)
+    aside = f"{path}/_landing-{uuid.uuid4().hex}"
+    news_of(dated, table.where(_on_days(days)), key).write.option("compression", CODEC).parquet(aside)
     news = spark.read.schema(schema).parquet(aside)
     changed = [r[DAY] for r in news.select(DAY).distinct().collect()]
     if changed:
-        whole = news
-        if exists:
-            on = [*key, DAY]
-            other = table.where(_on_days(changed))
-            replaced = reduce(and_, [other[c].eqNullSafe(news[c]) for c in on])
-            whole = other.join(news, replaced, "left_anti").unionByName(news)
-        # Sized by the engine: a day of many rows is split, small ones are gathered.
-        whole = whole.hint("rebalance", DAY)
-        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+        other = table.where(_on_days(changed))
+        replaced = reduce(and_, [other[c].eqNullSafe(news[c]) for c in [*key, DAY]])
+        _write_days(other.join(news, replaced, "left_anti").unionByName(news), path)
     files.delete(_path(spark, aside)[1], True)
-    return sorted(changed, key=lambda d: (d is not None, d))
+    return _sorted(changed)
+
+
+def _write_days(rows: DataFrame, path: str) -> None:
+    """Replace the days of some rows; sized by the engine: a day of many rows is split, small ones are gathered."""
+    writer = rows.hint("rebalance", DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("compression", CODEC).partitionBy(DAY).parquet(path)
+
+
+def _sorted(days: Sequence[date | None]) -> list[date | None]:
+    return sorted(days, key=lambda d: (d is not None, d))
 
 
 def land_table(jobs: DataFrame, name: str, path: str | None = None, buckets: int = 64, time: str = "started_at", period: str = "day") -> DataFrame:

@@ -106,3 +106,14 @@ def test_detection_over_a_landed_table_moves_no_job_row(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("drop table landed_jobs")
+
+
+def test_rows_move_once_to_their_key(spark, tmp_path):
+    """Whether a batch brings anything new takes one shuffle of it and of what is known."""
+    rows = [row(1, "failure", 1), row(1, "success", 1), row(1, "success", 1), row(2, None, 2), (None, None, None, "failure", None)]
+    df = batch(spark, *rows)
+    assert sorted((r.run_id or 0, r.conclusion or "") for r in la.latest(df).collect()) == [(0, "failure"), (1, "success"), (2, "")]
+    news = la.news_of(df, batch(spark, rows[1], rows[4]))
+    assert [(r.run_id, r.conclusion) for r in news.collect()] == [(2, None)]
+    for made in (la.latest(df), news):
+        assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
