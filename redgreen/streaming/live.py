@@ -8,13 +8,15 @@ signatures it brings, whose attempts alone are looked at again.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from redgreen.functions.text import short_hash, text_or_empty
 from redgreen.operators import detect as d
-from redgreen.sources.landing import land
+from redgreen.sources.landing import CODEC, land
 
 PART = "part"
 
@@ -24,6 +26,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def _aside(table: DataFrame, path: str) -> DataFrame:
+    table.write.option("compression", CODEC).parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def update(batch: DataFrame, jobs_path: str, out_path: str, min_attempts: int = d.MIN_ATTEMPTS, parts: int = 16, period: str = "day") -> None:
     """Land a batch, then replace the occurrences of its signatures.
 
@@ -34,20 +41,29 @@ def update(batch: DataFrame, jobs_path: str, out_path: str, min_attempts: int =
     """
     spark = batch.sparkSession
     land(batch, jobs_path, period=period)
+    aside = f"{out_path}/_update-{uuid.uuid4().hex}"
     jobs = spark.read.parquet(jobs_path)
     # Also of rows that no longer count, which may have done so before.
     named = batch.withColumn("workflow_file", text_or_empty("workflow_file"))
     touched = named.where((F.col("head_sha") != "") & (F.col("job_name") != "")).select(*d.SIGNATURE).distinct()
     part = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(parts)).cast("int")
-    ids = touched.select(short_hash(*d.SIGNATURE).alias("id")).withColumn(PART, part)
-    found = d.detect(d.attempts_of(jobs, touched), min_attempts).withColumns({"flaky": F.lit(True), PART: part})
-    if _exists(spark, out_path):
+    exists = _exists(spark, out_path)
+    # Attempts of the signatures meet once: they are counted where their details are found.
+    found = d.flaky_signatures(d.occurrences_of(d.attempts_of(jobs, touched)), min_attempts).withColumns({"flaky": F.lit(True), PART: part})
+    if exists:
+        # What is used more than once is written aside, and neither found nor moved again.
+        found, schema = _aside(found, f"{aside}/found"), found.schema
+        ids = _aside(touched.select(short_hash(*d.SIGNATURE).alias("id")).withColumn(PART, part), f"{aside}/ids")
         wanted = [r[PART] for r in ids.select(PART).distinct().collect()]  # ``parts`` values at the most
-        old = spark.read.schema(found.schema).parquet(out_path).where(F.col(PART).isin(wanted))
+        old = spark.read.schema(schema).parquet(out_path).where(F.col(PART).isin(wanted))
         other = old.join(ids, ["id", PART], "left_anti")
         gone = old.join(ids, ["id", PART], "left_semi").join(found.select("id"), "id", "left_anti").withColumn("flaky", F.lit(False))
         found = found.unionByName(other.select(*found.columns)).unionByName(gone.select(*found.columns))
-    found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(out_path)
+    writer = found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", CODEC)
+    writer.partitionBy(PART).parquet(out_path)
+    if exists:
+        at = spark._jvm.org.apache.hadoop.fs.Path(aside)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def follow(
