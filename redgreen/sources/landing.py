@@ -19,6 +19,8 @@ JOB_KEY = ["run_id", "run_attempt", "job_id"]
 DAY = "day"
 # Of landed files, which are written once and read often.
 CODEC = "zstd"
+# Rows of a bucket over all days, from which a table gets more buckets.
+BUCKET_ROWS = 2_000_000
 
 
 def day_of(column: str = "started_at", period: str = "day") -> Column:
@@ -116,8 +118,11 @@ def land_table(jobs: DataFrame, name: str, path: str | None = None, buckets: int
     Detection over such a table (``detect(..., clean=True)``) moves no job row:
     attempts of a signature are in one bucket of every day already. A hot
     commit spreads over buckets by its jobs. Choose as many buckets as tasks
-    should read the table; each writes one file a day.
+    should read the table; each writes one file a day. A table of more than
+    ``BUCKET_ROWS`` rows a bucket gets more of them, so that what one task
+    writes and reads stays the same however many rows there are.
     """
+    buckets = max(buckets, -(-jobs.count() // BUCKET_ROWS))
     keys = {k: text_or_empty(k) for k in (*SIGNATURE, "conclusion")}
     rows = jobs.withColumns({**keys, DAY: day_of(time, period)}).repartition(buckets, *SIGNATURE)
     writer = rows.write.mode("errorifexists").format("parquet").partitionBy(DAY).bucketBy(buckets, *SIGNATURE).sortBy(*SIGNATURE)

@@ -108,6 +108,18 @@ def test_detection_over_a_landed_table_moves_no_job_row(spark, tmp_path):
         spark.sql("drop table landed_jobs")
 
 
+def test_a_larger_table_has_more_buckets(spark, tmp_path, monkeypatch):
+    jobs = jobs_of(spark, 60).localCheckpoint()
+    monkeypatch.setattr(la, "BUCKET_ROWS", -(-jobs.count() // 5))
+    sizes = {}
+    for name, buckets in (("few", 2), ("many", 7)):
+        la.land_table(jobs, f"jobs_{name}", str(tmp_path / name), buckets=buckets, period="year")
+        described = {r.col_name: r.data_type for r in spark.sql(f"describe extended jobs_{name}").collect()}
+        sizes[name] = int(described["Num Buckets"])
+        spark.sql(f"drop table jobs_{name}")
+    assert sizes == {"few": 5, "many": 7}
+
+
 def test_rows_move_once_to_their_key(spark, tmp_path):
     """Whether a batch brings anything new takes one shuffle of it and of what is known."""
     rows = [row(1, "failure", 1), row(1, "success", 1), row(1, "success", 1), row(2, None, 2), (None, None, None, "failure", None)]
