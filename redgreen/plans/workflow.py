@@ -21,11 +21,16 @@ from redgreen.sources.jobs import for_workflow
 
 
 class Classifier(NamedTuple):
-    """Rows with ``id, job_name, step_name, excerpt`` in, the same rows plus ``verdict, classify_error`` out."""
+    """Rows with ``id, job_name, step_name, excerpt`` in, the same rows plus ``verdict, classify_error`` out.
+
+    One that looks at nothing but the step name and the excerpt says so by
+    ``by_excerpt``, and is given every excerpt once instead of every request.
+    """
 
     name: str
     model: str
     run: Callable[[DataFrame], DataFrame]
+    by_excerpt: bool = False
 
     @property
     def baseline(self) -> bool:
@@ -38,7 +43,7 @@ def _by_rules(requests: DataFrame) -> DataFrame:
 
 def deterministic() -> Classifier:
     """The rule table: a narrow projection, nothing moves."""
-    return Classifier("deterministic", "rule-based-v1", _by_rules)
+    return Classifier("deterministic", "rule-based-v1", _by_rules, True)
 
 
 def by_rule_table(rules: DataFrame, model: str = "rule-table") -> Classifier:
@@ -47,7 +52,7 @@ def by_rule_table(rules: DataFrame, model: str = "rule-table") -> Classifier:
     def run(requests: DataFrame) -> DataFrame:
         return classify_by_rule_table(requests, rules).withColumn("classify_error", F.lit(None).cast("string"))
 
-    return Classifier("deterministic", model, run)
+    return Classifier("deterministic", model, run, True)
 
 
 def from_responses(name: str, model: str, first: DataFrame, second: DataFrame, on: Sequence[str] = ("id",)) -> Classifier:
@@ -115,6 +120,8 @@ def classify_occurrences(
     they are read, all of them, as a join would move whole logs first; only
     excerpts, bounded by the budget, move between tasks. So list archives where
     few of them are wanted. Pass landed occurrences: listing reads them twice.
+    Where many jobs share a log and its excerpt alone decides, it is classified
+    where it was cut, and occurrences meet verdicts instead of texts.
     """
     failure = F.col("primary_failure")
     failing = occurrences.withColumns(
@@ -136,7 +143,12 @@ def classify_occurrences(
         F.col("excerpt.excerpt_bytes").alias("excerpt_len"),
         F.col("error").alias("extract_error"),
     )
-    answered = settle(provider.run(located.withColumn("key", key).join(cut, "key", "left").drop("key")), floor)
+    failing = located.withColumn("key", key)
+    if provider.by_excerpt:
+        cut = settle(provider.run(cut), floor).withColumn("excerpt", F.when(F.col("excerpt").isNotNull(), F.lit("")))
+        answered = failing.join(cut, "key", "left").drop("key")
+    else:
+        answered = settle(provider.run(failing.join(cut, "key", "left").drop("key")), floor)
     unread = F.concat(F.lit("downloading log: reading archive "), "log_archive", F.lit(": not found"))
     error = _error(
         (failure.isNull(), F.lit("occurrence has no failing run")),

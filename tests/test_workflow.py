@@ -112,3 +112,28 @@ def test_landed_responses(spark, tmp_path):
     assert (got["net"].verdict.cited_lines, got["net"].verdict.hallucinated_citations) == (["go test"], ["made up"])
     assert got["race"].error == "classifying: acme returned unparseable output twice: no JSON object found"
     assert got["lost"].error.startswith("downloading log: ")
+
+
+def test_jobs_that_share_a_log_have_it_classified_once(spark):
+    """Rules see each excerpt once, however many occurrences point at it; the items are those of one by one."""
+    jobs = spark.createDataFrame(
+        [(n, a, f"{n}-{a}", f"job {n}", "CI", "ci.yml", f"sha{n}", "main", c, "u") for n in range(6) for a, c in ((1, "failure"), (2, "success"))],
+        "run_id int, run_attempt int, job_id string, job_name string, workflow_name string, workflow_file string, head_sha string, branch string, conclusion string, url string",
+    ).withColumn("started_at", F.current_timestamp())
+    index = jobs.select("job_id", F.when(F.col("run_id") < 4, "a.zip").when(F.col("run_id") == 4, "bad.zip").otherwise("none.zip").alias("log_archive"))
+    logs = spark.createDataFrame(
+        [("a.zip", ".", 1, 0, "Run", "dial tcp: i/o timeout", None), ("bad.zip", ".", 1, 0, "Run", None, "not a zip")],
+        "archive string, job_dir string, step_order bigint, entry_no int, step_name string, body string, error string",
+    )
+    occurrences, _ = w.scan(jobs)
+    rules, seen = w.deterministic(), []
+
+    def counted(requests):
+        seen.append(requests.count())
+        return rules.run(requests)
+
+    once = w.classify_occurrences(occurrences, index, logs, rules._replace(run=counted))
+    each = w.classify_occurrences(occurrences, index, logs, w.Classifier("deterministic", "rule-based-v1", counted))
+    assert seen == [2, 6]
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, each.collect()))
+    assert once.where("verdict.category = 'network_timeout'").count() == 4
