@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from redgreen.operators import detect as d
 from redgreen.operators.detect import SIGNATURE
 from redgreen.sources.jobs import for_workflow
+from redgreen.sources.landing import CODEC
 from redgreen.schemas import CLASSIFIED_DOCUMENT, SCAN_DOCUMENT
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    """Compressed lines: the keys that each repeats are most of them. Any reader of JSON lines takes them as they are."""
+    df.write.mode("errorifexists").option("compression", "gzip").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -58,10 +60,10 @@ def land_scan(
     kept = for_workflow(jobs, workflow_file)
     counted = d.signatures(kept, by)
     both = scan_counts(counted, min_attempts, by)
-    both.write.mode("errorifexists").parquet(f"{path}/_counts")
+    both.write.mode("errorifexists").option("compression", CODEC).parquet(f"{path}/_counts")
     counts = spark.read.schema(both.schema).parquet(f"{path}/_counts")
     attempts = d.attempts_of(kept, counts.where("kind = 'flaky'"), by)
-    attempts.write.mode("errorifexists").parquet(f"{path}/_attempts")
+    attempts.write.mode("errorifexists").option("compression", CODEC).parquet(f"{path}/_attempts")
     attempts = spark.read.schema(attempts.schema).parquet(f"{path}/_attempts")
     occurrences, runs = d.occurrences_of(attempts, by), d.runs_of(attempts, by)
     out = []
