@@ -233,7 +233,7 @@ def repeats(texts: DataFrame, length: int, words: bool = False) -> DataFrame:
     parsed = durable(runs(texts, length, words), "runs")
     # Tables of their own: only where both sides of a join are read anew can the engine split a hot string's rows.
     dictionary = durable(parsed.groupBy("word").agg(F.count("*").alias("times")).where("times > 1").select("word"), "dictionary")
-    phrases = durable(reread(parsed).join(dictionary, "word"), "phrases")
+    phrases = durable(reread(parsed).join(dictionary, "word", "left_semi"), "phrases")
     discard([parsed])
     classes = phrases.groupBy("whole").agg(
         F.count("*").alias("members"), F.min("word").alias("word"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")
@@ -241,10 +241,10 @@ def repeats(texts: DataFrame, length: int, words: bool = False) -> DataFrame:
     classes = durable(classes, "classes")
     # Members of a class of several: all windows repeat.
     repeated = durable(reread(classes).where("members > 1").select("whole"), "repeated")
-    sure = reread(phrases).join(repeated, "whole").select("k1", "k2", "lo", "hi")
+    sure = reread(phrases).join(repeated, "whole", "left_semi").select("k1", "k2", "lo", "hi")
     # Strings that several classes share: single windows decide, one member for each class.
     several = durable(reread(classes).groupBy("word").agg(F.count("*").alias("kinds")).where("kinds > 1").select("word"), "several")
-    open_runs = reread(classes).join(several, "word").select(
+    open_runs = reread(classes).join(several, "word", "left_semi").select(
         F.monotonically_increasing_id().alias("run"), "one.*", (F.col("members") == 1).alias("unsure")
     )
     open_runs = durable(open_runs, "open")  # run numbers are fixed here
@@ -258,7 +258,7 @@ def repeats(texts: DataFrame, length: int, words: bool = False) -> DataFrame:
     # Of bytes made twice rather than kept: hashes are dear to store and cheap to compute. Words are few, and dear to find.
     made = durable(windows(met, length, reach, words), "windows") if words else windows(met, length, reach, words)
     twice = durable(made.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "twice")
-    found = (reread(made) if words else made).where("unsure").join(twice, "hash")
+    found = (reread(made) if words else made).where("unsure").join(twice, "hash", "left_semi")
     offsets = found.select(F.expr(f"place div {reach}").alias("run"), (F.col("place") % reach).alias("at"))
     line = Window.partitionBy("run").orderBy("at")  # a run has ``reach`` windows at most
     ranges = offsets.withColumn("island", F.col("at") - F.row_number().over(line)).groupBy("run", "island").agg(
