@@ -119,7 +119,7 @@ def test_jobs_that_share_a_log_have_it_classified_once(spark):
     jobs = spark.createDataFrame(
         [(n, a, f"{n}-{a}", f"job {n}", "CI", "ci.yml", f"sha{n}", "main", c, "u") for n in range(6) for a, c in ((1, "failure"), (2, "success"))],
         "run_id int, run_attempt int, job_id string, job_name string, workflow_name string, workflow_file string, head_sha string, branch string, conclusion string, url string",
-    ).withColumn("started_at", F.current_timestamp())
+    ).withColumn("started_at", F.lit("2026-01-02").cast("timestamp"))
     index = jobs.select("job_id", F.when(F.col("run_id") < 4, "a.zip").when(F.col("run_id") == 4, "bad.zip").otherwise("none.zip").alias("log_archive"))
     logs = spark.createDataFrame(
         [("a.zip", ".", 1, 0, "Run", "dial tcp: i/o timeout", None), ("bad.zip", ".", 1, 0, "Run", None, "not a zip")],
