@@ -2,8 +2,8 @@
 
 The lattice of a word has an arc for every piece of an existing vocabulary and,
 for words of the training texts, one arc for the word itself. Piece weights
-are the vocabulary's own scores after one step of re-estimation, on the words
-that the training texts repeat. Word arcs are discounted counts, and what the
+are the vocabulary's own scores after one step of re-estimation on the words
+of the training texts. Word arcs are discounted counts, and what the
 discount frees is the weight of the piece paths. A word's probability is the sum
 over all paths, computed by a forward recursion in log space over batches of
 words of one length; a very long word has a recursion of its own, over its
@@ -18,6 +18,7 @@ kinds seen once and twice.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -89,7 +90,7 @@ class Lattice:
             left, place = left[on], (place[on] + np.uint64(1)) & self.mask
         self.taken = self.index >= 0
         self.lengths = sorted({len(p) for p in pieces})
-        self.weights = weights
+        self.pieces, self.weights = pieces, weights
 
     @staticmethod
     def _key(piece: bytes) -> int:
@@ -156,40 +157,53 @@ class Lattice:
             out += np.bincount(pieces, np.exp(alpha[start, rows] + through - alpha[-1, rows]), len(out))
         return out
 
+    def arcs_from(self, line: np.ndarray, begin: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts (counted from ``begin``), lengths and pieces of all arcs that start at ``count`` places of a line, by ascending start."""
+        keys = np.zeros(count, dtype=np.uint64)
+        starts, lengths, pieces = [], [], []
+        for length in range(1, self.longest + 1):
+            inside = min(count, len(line) - begin - length + 1)
+            if inside <= 0:
+                break
+            keys = keys[:inside] * np.uint64(0x100000001B3) + line[begin + length - 1 : begin + length - 1 + inside]
+            if length in self.lengths:
+                found = self.find(keys)
+                at = np.flatnonzero(found >= 0)
+                starts.append(at)
+                lengths.append(np.full(len(at), length))
+                pieces.append(found[at])
+        starts, lengths, pieces = (np.concatenate(x) for x in (starts, lengths, pieces))
+        order = np.argsort(starts, kind="stable")
+        return starts[order], lengths[order], pieces[order]
+
     def forward_long(self, word: bytes) -> float:
         """``forward`` of one long word behind a blank, in time and memory that follow its length.
 
         Arcs are looked up for many positions at once; the recursion then needs
         the weights of as many places ahead as the longest piece has bytes.
         """
-        line = np.frombuffer(b" " + word, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+        return self.pass_over(b" " + word)
+
+    def pass_over(self, text: bytes, before: np.ndarray | None = None) -> float:
+        """Natural log of the summed weight of all segmentations; ``before`` takes that of what ends at each place."""
+        line = np.frombuffer(text, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
         n, around = len(line), self.longest + 1
         weights = np.exp(self.weights)
         ahead, scale = [0.0] * around, 0.0
         ahead[0] = 1.0
         for begin in range(0, n, LONG_STEP):
             count = min(LONG_STEP, n - begin)
-            keys = np.zeros(count, dtype=np.uint64)
-            starts, lengths, worth = [], [], []
-            for length in range(1, self.longest + 1):
-                inside = min(count, n - begin - length + 1)
-                if inside <= 0:
-                    break
-                keys = keys[:inside] * np.uint64(0x100000001B3) + line[begin + length - 1 : begin + length - 1 + inside]
-                if length in self.lengths:
-                    found = self.find(keys)
-                    at = np.flatnonzero(found >= 0)
-                    starts.append(at)
-                    lengths.append(np.full(len(at), length))
-                    worth.append(weights[found[at]])
-            starts, lengths, worth = (np.concatenate(x) for x in (starts, lengths, worth))
-            order = np.argsort(starts, kind="stable")
-            ends = np.searchsorted(starts[order], np.arange(count), side="right").tolist()
-            lengths, worth = lengths[order].tolist(), worth[order].tolist()
+            starts, lengths, pieces = self.arcs_from(line, begin, count)
+            ends = np.searchsorted(starts, np.arange(count), side="right").tolist()
+            lengths, worth = lengths.tolist(), weights[pieces].tolist()
+            passed, scales = [], []
             arc = 0
             for i in range(count):
                 place = (begin + i) % around
                 here, ahead[place] = ahead[place], 0.0
+                if before is not None:
+                    passed.append(here)
+                    scales.append(scale)
                 while arc < ends[i]:
                     ahead[(place + lengths[arc]) % around] += here * worth[arc]
                     arc += 1
@@ -197,8 +211,30 @@ class Lattice:
                     most = max(ahead)
                     scale += np.log(most)
                     ahead = [x / most for x in ahead]
+            if before is not None:
+                with np.errstate(divide="ignore"):
+                    before[begin : begin + count] = np.log(passed) + scales
         return float(np.log(ahead[n % around]) + scale)
 
+    @functools.cached_property
+    def backwards(self) -> Lattice:
+        """The lattice of the pieces read from their ends."""
+        return Lattice([p[::-1] for p in self.pieces], self.weights)
+
+    def expected_long(self, word: bytes) -> np.ndarray:
+        """``expected`` of one long word behind a blank: two numbers for each place are kept, and the arcs of many places are looked up at once."""
+        text = b" " + word
+        n, out = len(text), np.zeros(len(self.weights))
+        before, after = np.empty((2, n))
+        whole = self.pass_over(text, before)
+        self.backwards.pass_over(text[::-1], after)
+        line = np.frombuffer(text, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+        for begin in range(0, n, LONG_STEP):
+            starts, lengths, pieces = self.arcs_from(line, begin, min(LONG_STEP, n - begin))
+            through = before[begin + starts] + self.weights[pieces] + after[n - (begin + starts + lengths)]
+            out += np.bincount(pieces, np.exp(through - whole), len(out))
+        return out
+
     def by_length(self, words: list[bytes]) -> Iterator[tuple[list[int], np.ndarray]]:
         """Positions and rows of bytes, in bounded batches of words of one length, each behind a blank; long words are left out."""
         groups: dict[int, list[int]] = {}
@@ -241,12 +277,11 @@ def count_words(rows: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def fit_pieces(kinds: DataFrame, pieces: list[bytes], weights: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Log weights after one step of expectation maximisation over the words seen twice in training, or oftener.
+def fit_pieces(kinds: DataFrame, pieces: list[bytes], weights: np.ndarray, prior: np.ndarray, least: int = 1) -> np.ndarray:
+    """Log weights after one step of expectation maximisation over the words seen ``least`` times in training, or oftener.
 
-    Those hold what the others are made of, and are a fraction of all kinds;
-    long ones, which are hardly words, are left out. What comes back from the
-    cluster is one number per piece.
+    Each kind of word counts once, whatever its length. What comes back from
+    the cluster is one number per piece.
     """
     shared = kinds.sparkSession.sparkContext.broadcast((pieces, weights))
 
@@ -257,12 +292,16 @@ def fit_pieces(kinds: DataFrame, pieces: list[bytes], weights: np.ndarray, prior
         lattice = m.Lattice(*shared.value)
         total = np.zeros(len(lattice.weights))
         for batch in batches:
-            for _, lines in lattice.by_length(batch.column(0).to_pylist()):
+            words = batch.column(0).to_pylist()
+            for _, lines in lattice.by_length(words):
                 total += lattice.expected(lines)
+            for word in words:
+                if len(word) >= m.LONG_WORD:
+                    total += lattice.expected_long(word)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "uses"])
 
-    uses = kinds.where(F.col("c") >= 2).where(F.length("word") < LONG_WORD).select("word").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
+    uses = kinds.where(F.col("c") >= least).select("word").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
     found = np.zeros(len(weights))
     for row in uses.collect():  # one row per piece at most
         found[row["piece"]] = row["uses"]
@@ -299,14 +338,16 @@ def score_kinds(kinds: DataFrame, pieces: list[bytes], weights: np.ndarray, word
     return kinds.select("word", "c", "n").mapInArrow(run, "word binary, c bigint, n bigint, base double, score double")
 
 
-def score_documents(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", divisor: int = 7, held: int = 2) -> DataFrame:
+def score_documents(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", divisor: int = 7, held: int = 2, least: int = 2) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per input row.
 
     Learns from rows whose ``crc32(id as text) % divisor`` is not ``held``.
     Tokens are words and one end per text; null and empty texts have the end
     only. Rows without an id are scored, and neither learned from nor held out.
     Repeated rows count and are scored each. An empty table gives no rows; with
-    nothing to learn from, words have the weight of their spelling.
+    nothing to learn from, words have the weight of their spelling. Piece
+    weights are re-estimated on the words seen ``least`` times in training, or
+    oftener; 1 takes every word of the training texts.
 
     The word counts, their spelling and all statistics cover all texts; the
     most frequent words are then scored where texts are read, the others by a
@@ -330,7 +371,7 @@ def score_documents(documents: DataFrame, vocabulary: str, id_col: str = "doc_id
     end = (texts + 1) / (total + 2)
     log_word = float(np.log(1 - end))
     pieces, weights = read_pieces(vocabulary)
-    weights = fit_pieces(kinds, pieces, weights, weights)
+    weights = fit_pieces(kinds, pieces, weights, weights, least)
     scored = durable(
         score_kinds(kinds, pieces, weights, int(seen["words"]), seen["kinds"], discount, log_word, base_total), "scores"
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from made import prose
 from redgreen.llm import langid, lattice, quality
+from redgreen.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
@@ -212,6 +213,45 @@ def test_score_of_every_word_over_all_segmentations(spark, tmp_path, monkeypatch
         assert r.score == pytest.approx(score(rows[r.doc_id][1]))
 
 
+def test_expected_uses_of_very_long_words(monkeypatch):
+    """Both recursions agree, also across steps, and half a megabyte takes seconds."""
+    model = lattice.Lattice(*lattice.read_pieces(PIECES))
+    r = np.random.default_rng(2)
+    word = bytes(r.integers(97, 123, 500).astype(np.uint8)) + "漢字".encode() * 20 + b"the" * 40
+    want = model.expected(np.frombuffer(b" " + word, dtype=np.uint8)[None, :])
+    assert model.expected_long(word) == pytest.approx(want)
+    monkeypatch.setattr(lattice, "LONG_STEP", 50)
+    assert model.expected_long(word) == pytest.approx(want)
+    monkeypatch.undo()
+    start = time.perf_counter()
+    found = model.expected_long(bytes(r.integers(0, 256, 1 << 19).astype(np.uint8)))
+    assert np.isfinite(found).all() and time.perf_counter() - start < 30
+
+
+def test_pieces_are_fitted_on_every_training_word(spark):
+    """Words seen once teach, and those of any length; words of held-out texts do not."""
+    pieces = {bytes([b]): 0.3 / 256 for b in range(256)}
+    pieces |= {b" a": 0.2, b"ab": 0.2, b"ba": 0.1, b"aba": 0.1, b" b": 0.1}
+    names, prior = list(pieces), np.log(list(pieces.values()))
+    model = lattice.Lattice(names, prior)
+    taught = [b"abab", b"ba", b"ab" * 300 + b"a", b"a" * lattice.LONG_WORD]
+    kinds = [(bytearray(w), 1 + i % 2, 2) for i, w in enumerate(taught)] + [(bytearray(b"bbbb"), 0, 5), (bytearray(b"b" * 600), 0, 1)]
+    found = sum(model.expected(np.frombuffer(b" " + w, dtype=np.uint8)[None, :]) for w in taught)
+    want = found + np.exp(prior) * max(1.0, 1e-3 * found.sum())
+    got = lattice.fit_pieces(spark.createDataFrame(kinds, "word binary, c bigint, n bigint"), names, prior, prior)
+    assert np.exp(got) == pytest.approx(want / want.sum())
+
+
+def test_query_learns_from_every_training_word(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(["zorg flimmer", "zorg zorg", "qua " + "quux" * 200, "one two", "three", "flimmers"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in QUERIES["op8_lattice"](spark, str(tmp_path)).collect()}
+    for least, same in ((1, True), (2, False)):
+        other = {r.doc_id: r.score for r in lattice.score_documents(df, PIECES, least=least).collect()}
+        assert (got == pytest.approx(other, abs=1e-9)) == same
+
+
 def test_vocabulary_weights():
     pieces, weights = lattice.read_pieces(PIECES)
     assert len(set(pieces)) == len(pieces) and np.exp(weights).sum() == pytest.approx(1)
