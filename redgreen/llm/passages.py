@@ -21,7 +21,8 @@ strings, by 64-bit hashes of the bytes:
    begin or end inside a run. Each class, not each member, then gives the
    hashes of its single windows, and those that occur twice repeat.
 
-Counts are combined before every shuffle, classes stand for all of their
+Runs of one class in one text, as repetitive texts have them, are one row with
+their number. Counts are combined before every shuffle, classes stand for all of their
 members, and no group is ever collected.
 """
 
@@ -157,6 +158,26 @@ def parse(texts: list[np.ndarray], length: int, trigger: int = TRIGGER) -> tuple
     return text, first - begin, stop - begin, word.view(np.int64), whole.view(np.int64)
 
 
+def alike(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First run and number of runs of each class of one text; text, first and last start of stretches of runs whose class the text has twice.
+
+    A text that says one thing over and over has a run for each time. As they
+    stand in several places, all of their windows repeat, and the first can
+    stand for all before the other texts.
+    """
+    order = np.lexsort((lo, whole, text))
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[order][1:] != text[order][:-1]) | (whole[order][1:] != whole[order][:-1])
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(text)))
+    often = np.zeros(len(text), dtype=bool)
+    often[order] = np.repeat(times > 1, times)
+    joined = np.zeros(len(text) + 1, dtype=bool)  # with the run before
+    joined[1:-1] = often[1:] & often[:-1] & (text[1:] == text[:-1]) & (lo[1:] == hi[:-1] + 1)
+    begin, end = np.flatnonzero(often & ~joined[:-1]), np.flatnonzero(often & ~joined[1:])
+    return order[at], times, text[begin], lo[begin], hi[end]
+
+
 def keys_of(id_col: str, text_col: str) -> list[Column]:
     """Two hashes of id and text, which rows equal in both share and need to share."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -164,7 +185,11 @@ def keys_of(id_col: str, text_col: str) -> list[Column]:
 
 
 def runs(rows: DataFrame, length: int, words: bool = False) -> DataFrame:
-    """``(k1, k2, lo, hi, word, whole)`` of ``(k1, k2, text)``."""
+    """``(k1, k2, lo, hi, times, word, whole)`` of ``(k1, k2, text)``.
+
+    A row is the first of ``times`` runs of one class in one text or, without
+    ``word`` and ``whole``, a stretch of windows that stand in the text twice.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +200,13 @@ def runs(rows: DataFrame, length: int, words: bool = False) -> DataFrame:
 
         def table(keys: list[tuple], texts: list[np.ndarray]) -> pa.RecordBatch:
             number, lo, hi, word, whole = m.parse(texts, length, trigger)
-            k = np.array(keys, dtype=np.int64).reshape(-1, 2)[number]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (k[:, 0], k[:, 1], lo.astype(np.int64), hi.astype(np.int64), word, whole)], ["k1", "k2", "lo", "hi", "word", "whole"]
-            )
+            first, times, known, begin, end = m.alike(number, lo, hi, whole)
+            k = np.array(keys, dtype=np.int64).reshape(-1, 2)[np.concatenate([number[first], known])]
+            none = np.zeros(len(known), dtype=np.int64)
+            numbers = [k[:, 0], k[:, 1], np.concatenate([lo[first], begin]), np.concatenate([hi[first], end]), np.concatenate([times, none])]
+            blank = np.arange(len(k)) >= len(first)
+            hashes = [pa.array(np.concatenate([x[first], none]), mask=blank) for x in (word, whole)]
+            return pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int64)) for x in numbers], *hashes], ["k1", "k2", "lo", "hi", "times", "word", "whole"])
 
         keys, texts, size = [], [], 0
         for batch in batches:
@@ -195,7 +223,7 @@ def runs(rows: DataFrame, length: int, words: bool = False) -> DataFrame:
         if texts:
             yield table(keys, texts)
 
-    return rows.mapInArrow(run, "k1 bigint, k2 bigint, lo bigint, hi bigint, word bigint, whole bigint")
+    return rows.mapInArrow(run, "k1 bigint, k2 bigint, lo bigint, hi bigint, times bigint, word bigint, whole bigint")
 
 
 def windows(rows: DataFrame, length: int, reach: int, words: bool = False) -> DataFrame:
@@ -232,16 +260,17 @@ def repeats(texts: DataFrame, length: int, words: bool = False) -> DataFrame:
     reach = width(length, WORD_TRIGGER if words else TRIGGER)
     parsed = durable(runs(texts, length, words), "runs")
     # Tables of their own: only where both sides of a join are read anew can the engine split a hot string's rows.
-    dictionary = durable(parsed.groupBy("word").agg(F.count("*").alias("times")).where("times > 1").select("word"), "dictionary")
+    dictionary = durable(parsed.where("word is not null").groupBy("word").agg(F.sum("times").alias("times")).where("times > 1").select("word"), "dictionary")
+    known = durable(reread(parsed).where("word is null").select("k1", "k2", "lo", "hi"), "known")
     phrases = durable(reread(parsed).join(dictionary, "word", "left_semi"), "phrases")
     discard([parsed])
     classes = phrases.groupBy("whole").agg(
-        F.count("*").alias("members"), F.min("word").alias("word"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")
+        F.sum("times").alias("members"), F.min("word").alias("word"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")
     )
     classes = durable(classes, "classes")
     # Members of a class of several: all windows repeat.
     repeated = durable(reread(classes).where("members > 1").select("whole"), "repeated")
-    sure = reread(phrases).join(repeated, "whole", "left_semi").select("k1", "k2", "lo", "hi")
+    sure = reread(phrases).where("times = 1").join(repeated, "whole", "left_semi").select("k1", "k2", "lo", "hi")
     # Strings that several classes share: single windows decide, one member for each class.
     several = durable(reread(classes).groupBy("word").agg(F.count("*").alias("kinds")).where("kinds > 1").select("word"), "several")
     open_runs = reread(classes).join(several, "word", "left_semi").select(
@@ -268,7 +297,7 @@ def repeats(texts: DataFrame, length: int, words: bool = False) -> DataFrame:
     # Ranges of one text that touch or overlap in the bytes they cover become one stretch.
     order = Window.partitionBy("k1", "k2").orderBy("lo", "hi")
     before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = sure.union(part).withColumn("new", F.coalesce(F.col("lo") > before + length, F.lit(True)).cast("int"))
+    marked = known.union(sure).union(part).withColumn("new", F.coalesce(F.col("lo") > before + length, F.lit(True)).cast("int"))
     stretches = marked.withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return stretches.groupBy("k1", "k2", "stretch").agg(F.min("lo").alias("start"), (F.max("hi") + length).alias("end")).drop("stretch")
 

@@ -118,3 +118,22 @@ def test_all_columns_stay(spark):
     df = spark.createDataFrame([(1, "a" * 50, 7), (2, None, 8)], "doc_id bigint, text string, extra int")
     rows = passages.remove_repeats(df, 40).orderBy("doc_id").collect()
     assert [(r.doc_id, r.text, r.extra, r.kept.n_removed, r.kept.n_spans) for r in rows] == [(1, "a" * 50, 7, 50, 1), (2, None, 8, 0, 0)]
+
+
+def test_repetitive_texts_have_few_rows(spark):
+    """What a text says over and over is a row for each kind of phrase, however often, and all of it goes."""
+    r = random.Random(5)
+    lines = [" ".join(prose(40 + i, n).split()[:n]) for i, n in enumerate((1, 2, 3, 17))]
+    rows = [(i, prose(700 + i, 30) + " " + (r.choice(lines) + " ") * r.randrange(100, 300) + prose(800 + i, 30)) for i in range(10)]
+    rows += [(100 + i, "ab" * n) for i, n in enumerate((199, 200, 201, 900))] + [(110, "x" * 401), (111, prose(900, 400))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = df.selectExpr("doc_id as k1", "0 as k2", "text")
+    for words, length in ((True, 12), (False, 60)):
+        found = passages.runs(texts.where("k1 < 110"), length, words)
+        kept = found.where("word is not null")
+        assert kept.groupBy("k1", "whole").count().where("count > 1").isEmpty()
+        assert kept.count() * 5 < kept.agg({"times": "sum"}).first()[0]
+    assert result(df, 60) == brute(rows, 60)
+    done = passages.remove_repeats(df, 12, kept_col="kept", words=True).collect()
+    want = {i: kept for i, _, _, kept in brute_words(rows, 12)}
+    assert {x.doc_id: bytes(x.kept.kept) for x in done} == want
