@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from redgreen.operators import detect as d
 from redgreen.operators.detect import SIGNATURE
@@ -20,8 +21,12 @@ from redgreen.schemas import CLASSIFIED_DOCUMENT, SCAN_DOCUMENT
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Compressed lines: the keys that each repeats are most of them. Any reader of JSON lines takes them as they are."""
-    df.write.mode("errorifexists").option("compression", "gzip").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    """Compressed lines: the keys that each repeats are most of them. Any reader of JSON lines takes them as they are.
+
+    Documents with maps, as scores are, stay plain: their keys differ, and people open them.
+    """
+    codec = "none" if any(isinstance(f.dataType, MapType) for f in df.schema) else "gzip"
+    df.write.mode("errorifexists").option("compression", codec).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
