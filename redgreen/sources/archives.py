@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import io
-import itertools
 import zipfile
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,12 +57,11 @@ def open_path(path: str) -> BinaryIO:
     return files.open_input_file(f"{base.rstrip('/')}/{key}")
 
 
-def _unzipper(nested: bool, max_bytes: int | None, opener: Callable[[str], BinaryIO]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _unzipper(nested: bool, max_bytes: int | None, opener: Callable[[str], BinaryIO]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """A function over ``(archive, content)`` or ``(archive, path)``: a row for each entry, or one with all entries."""
     held_bytes, held_rows = HELD_BYTES, HELD_ROWS
-    step = [("job_dir", pa.string()), ("entry_no", pa.int32()), ("entry_name", pa.string()), ("raw_body", pa.string())]
-    inner = [("steps", pa.list_(pa.struct(step)))] if nested else step
-    schema = pa.schema([("archive", pa.string()), *inner, ("error", pa.string())])
+    step = ["job_dir", "entry_no", "entry_name", "raw_body"]
+    columns = ["archive", *(["steps"] if nested else step), "error"]
 
     # Nested, so that workers get the functions themselves and need no installed package.
     def entries(file: BinaryIO) -> list[tuple]:
@@ -84,24 +82,17 @@ def _unzipper(nested: bool, max_bytes: int | None, opener: Callable[[str], Binar
             raise ValueError("log archive contained no .txt step files")
         return found
 
-    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Spark bounds a batch by bytes, and archives expand one at a time up to the cap. What they expand to is passed on
         # many archives at once, as a batch of its own for each costs more than opening it.
         rows, held = [], 0
 
-        def table() -> pa.RecordBatch:
-            columns = list(zip(*rows))
-            if nested:  # made from plain columns, which takes a fraction of the time of rows within rows
-                ends = pa.array([0, *itertools.accumulate(map(len, columns[1]))], pa.int32())
-                entry = list(zip(*itertools.chain.from_iterable(columns[1]))) or [()] * len(step)
-                fields = [pa.array(c, kind) for c, (_, kind) in zip(entry, step)]
-                columns[1] = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, [name for name, _ in step]))
-            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, schema.types)], schema=schema)
+        def table() -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=columns, dtype=object)
 
         for batch in batches:
-            source = "content" if "content" in batch.schema.names else "path"
-            for archive, given in zip(batch.column("archive"), batch.column(source)):
-                archive, given = archive.as_py(), given.as_py()
+            source = "content" if "content" in batch.columns else "path"
+            for archive, given in zip(batch["archive"], batch[source]):
                 found, error = [], None
                 try:
                     with io.BytesIO(given) if source == "content" else opener(given) as file:
@@ -115,7 +106,7 @@ def _unzipper(nested: bool, max_bytes: int | None, opener: Callable[[str], Binar
                     yield table()
                     rows, held = [], 0
                 if nested:
-                    rows.append((archive, found, error))
+                    rows.append((archive, [dict(zip(step, entry)) for entry in found], error))
                 else:
                     rows += [(archive, *entry, None) for entry in found] or [(archive, None, None, None, None, error)]
                 held += size
@@ -148,7 +139,7 @@ def unzip_steps(archives: DataFrame, max_bytes: int | None = None, opener: Calla
     worker. Land the result as a table when more than one query reads it, so
     nothing is expanded twice.
     """
-    raw = _spread(archives).mapInArrow(_unzipper(False, max_bytes, opener), STEP_LOG)
+    raw = _spread(archives).mapInPandas(_unzipper(False, max_bytes, opener), STEP_LOG)
     parsed = step_file("entry_name")
     return raw.select(
         "archive",
@@ -167,7 +158,7 @@ def archives_with_steps(archives: DataFrame, max_bytes: int | None = None, opene
     An archive is one file, read by one task; its steps stay together, so what
     is asked of an archive as a whole needs no shuffle.
     """
-    raw = _spread(archives).mapInArrow(_unzipper(True, max_bytes, opener), ARCHIVE_ENTRIES)
+    raw = _spread(archives).mapInPandas(_unzipper(True, max_bytes, opener), ARCHIVE_ENTRIES)
 
     def step(entry: Column) -> Column:
         parsed = step_file(entry["entry_name"])

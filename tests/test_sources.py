@@ -361,7 +361,7 @@ def test_nested_classified_document(spark, tmp_path):
 
 def test_opened_archives_share_batches_of_bounded_size(monkeypatch):
     """Many small archives leave a task in one batch, and a large one by itself; rows and their order are those of single batches."""
-    import pyarrow as pa
+    import pandas as pd
 
     def packed(*entries):
         buffer = io.BytesIO()
@@ -371,13 +371,13 @@ def test_opened_archives_share_batches_of_bounded_size(monkeypatch):
         return buffer.getvalue()
 
     contents = [packed((f"{i}_a.txt", f"body {i}"), ("b/2_b.txt", "é" * i), ("n.md", "-")) for i in range(40)] + [b"no zip", None, packed(("n.md", "-"))]
-    given = pa.RecordBatch.from_arrays([pa.array([f"z{i}" for i in range(43)]), pa.array(contents, pa.binary())], ["archive", "content"])
+    given = pd.DataFrame({"archive": [f"z{i}" for i in range(43)], "content": contents})
     runs = {}
     for size in (ar.HELD_BYTES, 200, 0):
         monkeypatch.setattr(ar, "HELD_BYTES", size)
         for nested in (False, True):
-            found = list(ar._unzipper(nested, None, ar.open_path)(iter([given.slice(0, 20), given.slice(20)])))
-            runs[size, nested] = len(found), [row for batch in found for row in batch.to_pylist()]
+            found = list(ar._unzipper(nested, None, ar.open_path)(iter([given[:20], given[20:]])))
+            runs[size, nested] = len(found), [row for batch in found for row in batch.to_dict("records")]
     (whole, flat), (one, rows) = runs[4 << 20, False], runs[4 << 20, True]
     assert whole == one == 1 and runs[0, True][0] == 43 and 1 < runs[200, False][0] < 43
     for size in (200, 0):
@@ -385,4 +385,4 @@ def test_opened_archives_share_batches_of_bounded_size(monkeypatch):
     assert [(r["archive"], len(r["steps"]), r["error"] is None) for r in rows] == [(f"z{i}", 2 if i < 40 else 0, i < 40) for i in range(43)]
     assert len(flat) == 83 and [{**s, "archive": r["archive"], "error": None} for r in rows for s in r["steps"]] == flat[:80]
     monkeypatch.undo()
-    assert list(ar._unzipper(True, None, ar.open_path)(iter([given.slice(40)])))[0].num_rows == 3
+    assert list(ar._unzipper(True, None, ar.open_path)(iter([given[40:]])))[0].shape[0] == 3
