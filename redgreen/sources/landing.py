@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterable, Sequence
 from datetime import date
 from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ DAY = "day"
 CODEC = "zstd"
 # Rows of a bucket over all days, from which a table gets more buckets.
 BUCKET_ROWS = 2_000_000
+# Rows of a landed file, about.
+FILE_ROWS = 500_000
 
 
 def day_of(column: str = "started_at", period: str = "day") -> Column:
@@ -64,6 +66,30 @@ def news_of(batch: DataFrame, known: DataFrame, key: Sequence[str] = JOB_KEY) ->
     return greatest.withColumn("_held", held).where("not _known and not _held").select(*batch.columns)
 
 
+def _hash(columns: Sequence[str], seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+
+
+def changes_of(batch: DataFrame, known: DataFrame | None, key: Sequence[str] = JOB_KEY) -> DataFrame:
+    """``(day, _several, n)``: how many keys of a batch bring something new on a day.
+
+    Of every row only 128 bits move, a hash of its key and one of all of it,
+    and its day. Keys that the batch holds different rows of are listed by
+    their hash under ``_several``, without a day: which of them counts, only
+    the rows tell.
+    """
+
+    def marks(rows: DataFrame, sent: bool) -> DataFrame:
+        return rows.select(_hash(key, 1).alias("_key"), _hash(batch.columns, 2).alias("_row"), DAY, F.lit(sent).alias("_sent"))
+
+    both = marks(batch, True) if known is None else marks(batch, True).unionByName(marks(known, False))
+    rows = both.repartition("_key").groupBy("_key", "_row").agg(F.bool_or("_sent").alias("_sent"), F.bool_or(~F.col("_sent")).alias("_known"), F.max(DAY).alias(DAY))
+    keys = rows.where("_sent").groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"), F.bool_and("_known").alias("_known"), F.max(DAY).alias(DAY))
+    several = F.col("_rows") > 1
+    new = keys.where(several | ~F.col("_known")).select(F.when(~several, F.col(DAY)).alias(DAY), F.when(several, F.col("_key")).alias("_several"))
+    return new.groupBy(DAY, "_several").agg(F.count(F.lit(1)).alias("n"))
+
+
 def land(
     batch: DataFrame, path: str, key: Sequence[str] = JOB_KEY, time: str = "started_at", period: str = "day"
 ) -> list[date | None]:
@@ -75,40 +101,65 @@ def land(
     the batch brings something new are written anew; landing the same batch
     twice changes no file. A key belongs to its day: an execution starts once.
 
-    Days with changes are read and replaced in one job; the rows to come are
-    written aside first, so nothing is computed twice and a lost executor costs
-    tasks only. A first batch has nothing to meet and is written at once.
+    Hashes of rows tell the days with changes, so a batch that brings nothing
+    moves no row. Rows of these days, landed ones and those of the batch, then
+    move once, to the file they are written to, where they meet and are
+    replaced in one job. Only keys with different rows in one batch move apart
+    before, for the greatest of them.
     """
     spark = batch.sparkSession
     files, at = _path(spark, path)
     dated = batch.withColumn(DAY, day_of(time, period))
     exists = files.exists(at) and any(s.getPath().getName().startswith(f"{DAY}=") for s in files.listStatus(at))
-    schema = dated.schema
-    if not exists:
-        _write_days(latest(dated, key), path)
-        changed = [r[DAY] for r in spark.read.schema(schema).parquet(path).select(DAY).distinct().collect()]
-        return _sorted(changed)
-    days = [r[DAY] for r in dated.select(DAY).distinct().collect()]  # one value per day of the batch
-    table = spark.read.schema(schema).parquet(path)
+    known = None
+    if exists:
+        days = [r[DAY] for r in dated.select(DAY).distinct().collect()]  # one value per day of the batch
+        known = spark.read.schema(dated.schema).parquet(path).where(_on_days(days))
     aside = f"{path}/_landing-{uuid.uuid4().hex}"
-    news_of(dated, table.where(_on_days(days)), key).write.option("compression", CODEC).parquet(aside)
-    news = spark.read.schema(schema).parquet(aside)
-    changed = [r[DAY] for r in news.select(DAY).distinct().collect()]
-    if changed:
-        other = table.where(_on_days(changed))
-        replaced = reduce(and_, [other[c].eqNullSafe(news[c]) for c in [*key, DAY]])
-        _write_days(other.join(news, replaced, "left_anti").unionByName(news), path)
+    changes = _aside(changes_of(dated, known, key), f"{aside}/changes")
+    counts = Counter({r[DAY]: r["n"] for r in changes.where("_several is null").collect()})  # one row per day
+    parts = [dated.withColumn("_key", _hash(key, 1))]
+    several = changes.where("_several is not null").select(F.col("_several").alias("_key"))
+    if not several.isEmpty():
+        sent = parts[0].join(several, "_key", "left_semi").drop("_key")
+        held = known.withColumn("_key", _hash(key, 1)).join(several, "_key", "left_semi").drop("_key") if exists else None
+        news = _aside(news_of(sent, held, key) if exists else latest(sent, key), f"{aside}/news")
+        counts.update({r[DAY]: r["count"] for r in news.groupBy(DAY).count().collect()})
+        parts = [parts[0].join(several, "_key", "left_anti"), news.withColumn("_key", _hash(key, 1))]
+    parts = [x.withColumn("_sent", F.lit(True)) for x in parts]
+    changed = _sorted(counts)
+    if exists and changed:
+        other = known.where(_on_days(changed))
+        counts.update({r[DAY]: r["count"] for r in other.groupBy(DAY).count().collect()})
+        parts.append(other.withColumns({"_key": _hash(key, 1), "_sent": F.lit(False)}))
+    if changed or not exists:
+        _write_days(reduce(DataFrame.unionByName, parts), counts, path, key)
     files.delete(_path(spark, aside)[1], True)
-    return _sorted(changed)
+    return changed
+
 
+def _aside(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.option("compression", CODEC).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
-def _write_days(rows: DataFrame, path: str) -> None:
-    """Replace the days of some rows; sized by the engine: a day of many rows is split, small ones are gathered."""
-    writer = rows.hint("rebalance", DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+
+def _write_days(rows: DataFrame, counts: dict[date | None, int], path: str, key: Sequence[str]) -> None:
+    """Replace the counted days by their rows, one a key of those ``_sent``, and others of which no key is sent.
+
+    Rows move once, to their day and, on days of many rows, to a part of it by
+    their key; each part becomes a file, or small ones together.
+    """
+    spark, columns = rows.sparkSession, [c for c in rows.columns if c not in ("_key", "_sent")]
+    parts = spark.createDataFrame([(day, -(-n // FILE_ROWS)) for day, n in counts.items()], "_of date, _parts int")
+    placed = rows.join(F.broadcast(parts), F.col(DAY).eqNullSafe(F.col("_of"))).select(*columns, "_sent", F.pmod("_key", "_parts").cast("int").alias("_part"))
+    met = Window.partitionBy(DAY, "_part", *key).orderBy(F.desc("_sent"))
+    placed = placed.repartition(DAY, "_part").withColumns({"_place": F.row_number().over(met), "_new": F.first("_sent").over(met)})
+    kept = placed.where("_place = 1 or not _new").select(*columns)
+    writer = kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.option("compression", CODEC).partitionBy(DAY).parquet(path)
 
 
-def _sorted(days: Sequence[date | None]) -> list[date | None]:
+def _sorted(days: Iterable[date | None]) -> list[date | None]:
     return sorted(days, key=lambda d: (d is not None, d))
 
 

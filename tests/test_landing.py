@@ -129,3 +129,36 @@ def test_rows_move_once_to_their_key(spark, tmp_path):
     assert [(r.run_id, r.conclusion) for r in news.collect()] == [(2, None)]
     for made in (la.latest(df), news):
         assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_hashes_tell_what_a_batch_brings(spark, tmp_path, monkeypatch):
+    """To know it, no text moves; rows that come once each meet nothing before they meet in their file."""
+    jobs, path = jobs_of(spark, 300), str(tmp_path / "jobs")
+    dated = jobs.withColumn("day", la.day_of(period="year"))
+    text = la.changes_of(dated, dated)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    above = text[: text.index("Exchange hashpartitioning(_key")]
+    assert "Exchange hashpartitioning(_key" in text and "url" not in above and "head_sha" not in above
+    monkeypatch.setattr(la, "news_of", lambda *_: 1 / 0)
+    monkeypatch.setattr(la, "latest", lambda *_: 1 / 0)
+    assert len(la.land(jobs, path, period="year")) == 1 and la.land(jobs, path, period="year") == []
+    more = jobs_of(spark, 400).withColumn("conclusion", F.lit("skipped"))
+    assert len(la.land(more, path, period="year")) == 1
+    assert sorted(map(repr, spark.read.parquet(path).drop("day").collect())) == sorted(map(repr, more.collect()))
+
+
+def test_keys_with_several_rows_in_a_batch_meet_what_is_known(spark, tmp_path, monkeypatch):
+    """Equal and different rows of one key, on one day and on others, null keys; days in one part and in several."""
+    null = (None, None, None, "failure", datetime(2026, 3, 4))
+    first = [row(n, "failure", 1 + n % 3) for n in range(9)] + [row(1, "failure", 2), null]
+    # The greatest row of 1 is known, that of 2 is new, 3 comes on two days, 4 twice the same, null keys with another row.
+    second = [row(1, "failure", 2), row(1, "cancelled", 2), row(2, "success", 3), row(2, "failure", 3), row(3, "failure", 1), row(3, "failure", 2)]
+    second += [row(4, "success", 2)] * 2 + [null, (*null[:3], "success", null[4])]
+    want = {r: "failure" for r in (0, 1, 5, 6, 7, 8)} | {2: "success", 4: "success", None: "success"}
+    for n in (1, 500_000):
+        monkeypatch.setattr(la, "FILE_ROWS", n)
+        path = tmp_path / str(n)
+        la.land(batch(spark, *first), str(path))
+        assert la.land(batch(spark, *second), str(path)) == [date(2026, 3, 2), date(2026, 3, 3), date(2026, 3, 4)]
+        got = content(spark, path)
+        assert {r: c for r, _, c, _ in got if r != 3} == want and len(got) == len(want) + 2
+        assert [(c, d) for r, _, c, d in got if r == 3] == [("failure", date(2026, 3, 1)), ("failure", date(2026, 3, 2))]
