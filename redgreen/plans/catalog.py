@@ -176,7 +176,7 @@ def live_detection(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences after a stream of three batches of jobs, the last one a replay, each taken up when it has landed."""
     path = a.scratch(spark)
     for n, batch in enumerate(a.job_batches(spark, sf)):
-        batch.write.parquet(f"{path}/in/{n}")
+        batch.write.option("compression", la.CODEC).parquet(f"{path}/in/{n}")
         stream = spark.readStream.schema(batch.schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
         live.follow(stream, f"{path}/jobs", f"{path}/out", f"{path}/checkpoint", period="month").awaitTermination()
     return live.occurrences(spark, f"{path}/out").select(

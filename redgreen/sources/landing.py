@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from datetime import date
 from functools import reduce
 
@@ -31,6 +32,18 @@ def day_of(column: str = "started_at", period: str = "day") -> Column:
     return day if period == "day" else F.trunc(day, period)
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, the files of a step's shuffles go when the step ends, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _path(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
@@ -107,6 +120,11 @@ def land(
     replaced in one job. Only keys with different rows in one batch move apart
     before, for the greatest of them.
     """
+    with tidy_shuffles(batch.sparkSession):
+        return _merge(batch, path, key, time, period)
+
+
+def _merge(batch: DataFrame, path: str, key: Sequence[str], time: str, period: str) -> list[date | None]:
     spark = batch.sparkSession
     files, at = _path(spark, path)
     dated = batch.withColumn(DAY, day_of(time, period))

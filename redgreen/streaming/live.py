@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from redgreen.functions.text import short_hash, text_or_empty
 from redgreen.operators import detect as d
-from redgreen.sources.landing import CODEC, land
+from redgreen.sources.landing import CODEC, land, tidy_shuffles
 
 PART = "part"
 
@@ -39,26 +39,33 @@ def update(batch: DataFrame, jobs_path: str, out_path: str, min_attempts: int =
     longer flaky, because an execution came again with another conclusion, is
     marked so.
     """
-    spark = batch.sparkSession
     land(batch, jobs_path, period=period)
+    with tidy_shuffles(batch.sparkSession):
+        _replace(batch, jobs_path, out_path, min_attempts, parts)
+
+
+def _replace(batch: DataFrame, jobs_path: str, out_path: str, min_attempts: int, parts: int) -> None:
+    spark = batch.sparkSession
     aside = f"{out_path}/_update-{uuid.uuid4().hex}"
     jobs = spark.read.parquet(jobs_path)
     # Also of rows that no longer count, which may have done so before.
-    named = batch.withColumn("workflow_file", text_or_empty("workflow_file"))
-    touched = named.where((F.col("head_sha") != "") & (F.col("job_name") != "")).select(*d.SIGNATURE).distinct()
+    named = batch.withColumn("workflow_file", text_or_empty("workflow_file")).where((F.col("head_sha") != "") & (F.col("job_name") != ""))
     part = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(parts)).cast("int")
     exists = _exists(spark, out_path)
     # Attempts of the signatures meet once: they are counted where their details are found.
+    touched = named.select(*d.SIGNATURE).distinct()
     found = d.flaky_signatures(d.occurrences_of(d.attempts_of(jobs, touched)), min_attempts).withColumns({"flaky": F.lit(True), PART: part})
     if exists:
         # What is used more than once is written aside, and neither found nor moved again.
         found, schema = _aside(found, f"{aside}/found"), found.schema
-        ids = _aside(touched.select(short_hash(*d.SIGNATURE).alias("id")).withColumn(PART, part), f"{aside}/ids")
+        ids = _aside(named.select(short_hash(*d.SIGNATURE).alias("id")).distinct().withColumn(PART, part), f"{aside}/ids")
         wanted = [r[PART] for r in ids.select(PART).distinct().collect()]  # ``parts`` values at the most
         old = spark.read.schema(schema).parquet(out_path).where(F.col(PART).isin(wanted))
-        other = old.join(ids, ["id", PART], "left_anti")
-        gone = old.join(ids, ["id", PART], "left_semi").join(found.select("id"), "id", "left_anti").withColumn("flaky", F.lit(False))
-        found = found.unionByName(other.select(*found.columns)).unionByName(gone.select(*found.columns))
+        # Of the touched ones, those found anew give way, the others are no longer flaky; old rows meet both once.
+        both = ids.withColumn("_found", F.lit(False)).unionByName(found.select("id", PART, F.lit(True).alias("_found")))
+        met = old.join(both.groupBy("id", PART).agg(F.bool_or("_found").alias("_found")), ["id", PART], "left")
+        left = met.where("_found is null or not _found").withColumn("flaky", F.col("flaky") & F.col("_found").isNull())
+        found = found.unionByName(left.select(*found.columns))
     writer = found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", CODEC)
     writer.partitionBy(PART).parquet(out_path)
     if exists:

@@ -162,3 +162,23 @@ def test_keys_with_several_rows_in_a_batch_meet_what_is_known(spark, tmp_path, m
         got = content(spark, path)
         assert {r: c for r, _, c, _ in got if r != 3} == want and len(got) == len(want) + 2
         assert [(c, d) for r, _, c, d in got if r == 3] == [("failure", date(2026, 3, 1)), ("failure", date(2026, 3, 2))]
+
+
+def test_no_shuffle_outlives_its_step(spark, tmp_path):
+    """Landing keeps none of its shuffle files, and leaves the session's setting as it was."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        names = (disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size()))
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    jobs, path = jobs_of(spark, 500).localCheckpoint(), str(tmp_path / "jobs")
+    before = shuffled()
+    for setting in (None, "false"):
+        spark.conf.unset(name) if setting is None else spark.conf.set(name, setting)
+        was = spark.conf.get(name)
+        la.land(jobs.withColumn("conclusion", F.lit(str(setting))), path, period="year")
+        assert spark.conf.get(name) == was
+    spark.conf.unset(name)
+    assert not shuffled() - before
